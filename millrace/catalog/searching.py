@@ -28,7 +28,7 @@ _PLACES = f"""tokenised AS (SELECT doc_id, {SIMPLE} AS tokens FROM documents),
 
 @query(
     "inverted_index",
-    f"""WITH {_PLACES} SELECT token, doc_id // 10000 AS block, CAST(count(*) AS BIGINT) AS places, CAST(count(DISTINCT doc_id) AS BIGINT) AS documents,
+    f"""WITH {_PLACES} SELECT token, doc_id // 1024 AS block, CAST(count(*) AS BIGINT) AS places, CAST(count(DISTINCT doc_id) AS BIGINT) AS documents,
         string_agg(doc_id || ':' || pos, ' ' ORDER BY doc_id, pos) AS posting_list FROM places GROUP BY ALL""",
 )
 def inverted_index(spark: SparkSession, folder: str) -> DataFrame:

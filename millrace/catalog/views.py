@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.plans.spread import spread
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -55,7 +57,7 @@ _SQL_DELAY = "CAST(date_diff('day', o_orderdate, l_shipdate) AS DOUBLE)"
 def trips(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
     """The requested trip columns; only the tables they need are joined."""
     needed = {t for c in columns for t in _TRIPS[c][1]}
-    rows = table(spark, folder, "lineitem")
+    rows = spread(table(spark, folder, "lineitem"))
     if "orders" in needed:
         rows = rows.join(table(spark, folder, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     if "supplier" in needed:

@@ -80,7 +80,8 @@ def roc_area(df: DataFrame, score: Column, label: str = "label") -> DataFrame:
     """One row ``area``: exact area under the ROC curve, equal scores counted half; null with one class."""
     ranked = _ranked(df, score, label)
     concordant = F.sum(F.col("neg") * (F.col("pos_upto") - F.col("pos") / 2))
-    return ranked.agg((concordant / F.nullif(F.sum("pos") * F.sum("neg").cast("double"), F.lit(0.0))).alias("area"))
+    pairs = F.sum("pos") * F.sum("neg").cast("double")
+    return ranked.agg((concordant / F.nullif(pairs, F.lit(0.0))).alias("area"))
 
 
 def roc_points(df: DataFrame, score: Column, label: str = "label", bins: int | None = None) -> DataFrame:
@@ -90,11 +91,10 @@ def roc_points(df: DataFrame, score: Column, label: str = "label", bins: int | N
     """
     stepped = score if bins is None else F.floor(score * bins) / bins
     ranked = _ranked(df, stepped, label)
-    totals = ranked.agg(F.struct(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).alias("t")).scalar()
     points = ranked.select(
         F.col("score").alias("threshold"),
-        (F.col("neg_upto") / F.nullif(totals["neg"], F.lit(0))).alias("fpr"),
-        (F.col("pos_upto") / F.nullif(totals["pos"], F.lit(0))).alias("tpr"),
+        (F.col("neg_upto") / F.nullif("neg_all", F.lit(0))).alias("fpr"),
+        (F.col("pos_upto") / F.nullif("pos_all", F.lit(0))).alias("tpr"),
     )
     origin = df.sparkSession.range(1).select(
         F.lit(None).cast("double").alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr")

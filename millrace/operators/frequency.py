@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.text import ngrams
+from millrace.plans.spread import rows_of
 
 
 def ngram_counts(df: DataFrame, tokens_col: str, n: int = 1) -> DataFrame:
@@ -13,7 +14,7 @@ def ngram_counts(df: DataFrame, tokens_col: str, n: int = 1) -> DataFrame:
 
     Counted per task before the shuffle, so a frequent gram sends one row per task.
     """
-    grams = df.select(F.explode(ngrams(F.col(tokens_col), n)).alias("gram"))
+    grams = df.select(rows_of(ngrams(F.col(tokens_col), n)).alias("gram"))
     return grams.groupBy("gram").agg(F.count("*").alias("count"))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.text import as_text, ngram_range, simple_tokens
 from millrace.plans.joins import attach_by_key, match_by_key
+from millrace.plans.spread import by_key, numbered_rows_of, rows_of
 from millrace.plans.staging import stage
 
 MIN_SCORE = 0.05
@@ -27,21 +28,21 @@ def postings(df: DataFrame, id_col: str, tokens_col: str) -> DataFrame:
     exchange, and a group never holds more than one document.
     """
     located = (
-        df.repartition(id_col)
-        .select(F.col(id_col).alias("doc_id"), F.posexplode(tokens_col).alias("pos", "token"))
+        by_key(df, id_col)
+        .select(F.col(id_col).alias("doc_id"), numbered_rows_of(tokens_col).alias("pos", "token"))
         .groupBy("doc_id", "token")
         .agg(F.sort_array(F.collect_list("pos")).alias("positions"))
     )
     return located.select("doc_id", "token", F.size("positions").cast("long").alias("tf"), "positions")
 
 
-def inverted_index(df: DataFrame, id_col: str, tokens_col: str, block_size: int = 10_000) -> DataFrame:
+def inverted_index(df: DataFrame, id_col: str, tokens_col: str, block_size: int = 1024) -> DataFrame:
     """``(token, block, posting_list array<struct<doc_id, pos>>)``.
 
     A list is cut into blocks of ``block_size`` consecutive integer document ids, which bounds its
     length for a token found in every document. A corpus that fits one block has one row per token.
     """
-    located = df.select(F.col(id_col).alias("doc_id"), F.posexplode(tokens_col).alias("pos", "token"))
+    located = df.select(F.col(id_col).alias("doc_id"), numbered_rows_of(tokens_col).alias("pos", "token"))
     return (
         located.groupBy("token", F.floor(F.col("doc_id") / block_size).alias("block"))
         .agg(F.sort_array(F.collect_list(F.struct("doc_id", "pos"))).alias("posting_list"))
@@ -105,8 +106,8 @@ class TfIdfIndex:
     ngram_low: int = 1
     ngram_high: int = 3
 
-    def grams(self, df: DataFrame) -> DataFrame:
-        return _grams(df, self.ngram_low, self.ngram_high)
+    def terms_of(self, df: DataFrame) -> DataFrame:
+        return _terms(df, self.ngram_low, self.ngram_high)
 
     def save(self, path: str) -> None:
         self.documents.write.mode("overwrite").parquet(f"{path}/documents")
@@ -115,7 +116,7 @@ class TfIdfIndex:
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, ngram_low: int = 1, ngram_high: int = 3) -> TfIdfIndex:
-        documents = spark.read.parquet(f"{path}/documents").repartition("doc_id")
+        documents = by_key(spark.read.parquet(f"{path}/documents"), "doc_id")
         terms, norms = (spark.read.parquet(f"{path}/{part}") for part in ("terms", "norms"))
         return cls(documents, terms, norms, ngram_low, ngram_high)
 
@@ -125,8 +126,10 @@ def _index_words(text: Column) -> Column:
     return F.filter(simple_tokens(text), lambda t: F.length(t) >= 2)
 
 
-def _grams(df: DataFrame, low: int, high: int) -> DataFrame:
-    return df.withColumn("grams", ngram_range(F.col("tokens"), low, high)).drop("tokens")
+def _terms(df: DataFrame, low: int, high: int) -> DataFrame:
+    """One row per term occurrence, in place of the token list."""
+    others = [c for c in df.columns if c != "tokens"]
+    return df.select(*others, rows_of(ngram_range(F.col("tokens"), low, high)).alias("term"))
 
 
 def tfidf_index(
@@ -148,19 +151,19 @@ def tfidf_index(
         texts = distinct_documents(df, id_col, tokens_col)
     else:
         texts = df.select(F.col(id_col).alias("doc_id"), as_text(F.col(tokens_col)).alias("text"))
-    documents = texts.repartition("doc_id").select("doc_id", _index_words(F.col("text")).alias("tokens"))
+    documents = by_key(texts, "doc_id").select("doc_id", _index_words(F.col("text")).alias("tokens"))
     total = documents.agg(F.count("*").alias("n")).scalar()
 
     # One row per document and distinct term leaves the row itself; repeats are cut before the
     # explode, and counts are summed per task before the shuffle.
-    per_document = _grams(documents, ngram_low, ngram_high).select(F.explode(F.array_distinct("grams")).alias("term"))
+    distinct = F.array_distinct(ngram_range(F.col("tokens"), ngram_low, ngram_high))
+    per_document = documents.select(rows_of(distinct).alias("term"))
     counted = per_document.groupBy("term").agg(F.count("*").alias("df"))
     kept_terms = counted.filter((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df) * total))
     terms = stage(kept_terms.withColumn("idf", F.log((total + 1) / (F.col("df") + 1)) + 1), "terms")
 
     counts = (
-        _grams(documents, ngram_low, ngram_high)
-        .select("doc_id", F.explode("grams").alias("term"))
+        _terms(documents, ngram_low, ngram_high)
         .groupBy("doc_id", "term")
         .agg(F.count("*").alias("tf"))
     )
@@ -171,12 +174,7 @@ def tfidf_index(
 
 def tfidf_weights(index: TfIdfIndex) -> DataFrame:
     """L2-normalised weights ``(doc_id, term, weight)`` of every document."""
-    counts = (
-        index.grams(index.documents)
-        .select("doc_id", F.explode("grams").alias("term"))
-        .groupBy("doc_id", "term")
-        .agg(F.count("*").alias("tf"))
-    )
+    counts = index.terms_of(index.documents).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
     weighted = attach_by_key(counts, index.terms, "term", "df", "idf", spread_by=F.col("doc_id"))
     joined = weighted.join(index.norms, "doc_id")
     return joined.select("doc_id", "term", (F.col("tf") * F.col("idf") / F.col("norm")).alias("weight"))
@@ -189,12 +187,7 @@ def query_weights(index: TfIdfIndex, queries: DataFrame, id_col: str, tokens_col
     """
     words = _index_words(as_text(F.col(tokens_col)))
     listed = queries.select(F.col(id_col).alias("query_id"), words.alias("tokens"))
-    counts = (
-        index.grams(listed.repartition("query_id"))
-        .select("query_id", F.explode("grams").alias("term"))
-        .groupBy("query_id", "term")
-        .agg(F.count("*").alias("tf"))
-    )
+    counts = index.terms_of(by_key(listed, "query_id")).groupBy("query_id", "term").agg(F.count("*").alias("tf"))
     raw = counts.join(index.terms.select("term", "idf"), "term").withColumn("w", F.col("tf") * F.col("idf"))
     norms = raw.groupBy("query_id").agg(F.sqrt(F.sum(F.pow("w", 2))).alias("norm"))
     return raw.join(norms, "query_id").select("query_id", "term", (F.col("w") * F.col("idf") / F.col("norm")).alias("weight"))
@@ -207,8 +200,7 @@ def cosine_scores(index: TfIdfIndex, queries: DataFrame, id_col: str, tokens_col
     right after the explode and sums its own documents' scores.
     """
     wanted = stage(query_weights(index, queries, id_col, tokens_col), "queries")
-    terms = index.grams(index.documents).select("doc_id", F.explode("grams").alias("term"))
-    matched = match_by_key(terms, wanted, "term", F.col("doc_id"))
+    matched = match_by_key(index.terms_of(index.documents), wanted, "term", F.col("doc_id"))
     dots = matched.groupBy("query_id", "doc_id").agg(F.sum("weight").alias("dot"))
     return dots.join(index.norms, "doc_id").select("query_id", "doc_id", (F.col("dot") / F.col("norm")).alias("score"))
 
@@ -243,9 +235,12 @@ def require_queries(queries: DataFrame, text_col: str) -> DataFrame:
 
 
 def attach_text(hits: DataFrame, documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Hits with the text of the document they point at."""
+    """Hits with the text of the document they point at.
+
+    The few hits are written first: knowing their size, the planner leaves the texts in place.
+    """
     texts = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("description"))
-    return hits.join(texts, "doc_id")
+    return stage(hits, "hits").join(texts, "doc_id")
 
 
 # --- hashed TF-IDF --------------------------------------------------------------------------------
@@ -263,7 +258,7 @@ def hashed_tfidf_model(df: DataFrame, tokens_col: str, num_features: int = 10_00
 
 def _slots(model: PipelineModel, df: DataFrame, id_col: str) -> DataFrame:
     vector = F.unwrap_udt("unit_features")
-    pairs = F.explode(F.arrays_zip(vector["indices"].alias("slot"), vector["values"].alias("weight")))
+    pairs = rows_of(F.arrays_zip(vector["indices"].alias("slot"), vector["values"].alias("weight")))
     rows = model.transform(df).select(F.col(id_col), pairs.alias("cell"))
     return rows.select(id_col, "cell.slot", "cell.weight").filter("weight <> 0")
 
@@ -275,7 +270,7 @@ def hashed_cosine_scores(
 
     Vectors have unit length, so the score is a sum over shared slots: a join, not a Python UDF.
     """
-    docs = _slots(model, documents.repartition(doc_id), doc_id).withColumnRenamed(doc_id, "doc_id")
+    docs = _slots(model, by_key(documents, doc_id), doc_id).withColumnRenamed(doc_id, "doc_id")
     wanted = _slots(model, queries, query_id).select(F.col(query_id).alias("query_id"), "slot", F.col("weight").alias("wanted"))
     matched = match_by_key(docs, stage(wanted, "queries"), "slot", F.col("doc_id"))
     sums = matched.groupBy("query_id", "doc_id").agg(F.sum(F.col("weight") * F.col("wanted")).alias("score"))

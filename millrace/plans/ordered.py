@@ -29,7 +29,8 @@ def running_totals(
     group_by: Sequence[str] = (),
     slices: int | None = None,
 ) -> DataFrame:
-    """Add ``<c>_upto``, the inclusive running sum of each column in ``sums``, per group.
+    """Add per group ``<c>_upto``, the inclusive running sum of each column in ``sums``, and
+    ``<c>_all``, its sum over the whole group.
 
     ``order_by`` must be unique within a group. Slices are ranges of ``(group, order)``, so one
     group or key holding most rows is cut into many slices. The slice number is written with the
@@ -46,13 +47,17 @@ def running_totals(
 
     # At most (slices + groups) rows; the window below sees at most `slices` rows per group.
     totals = rows.groupBy(*keys).agg(*[F.sum(c).alias(f"_{c}_total") for c in sums])
-    earlier = Window.partitionBy(*group_by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    group = Window.partitionBy(*group_by)
+    earlier = group.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     shifts = totals.select(
-        *keys, *[F.coalesce(F.sum(f"_{c}_total").over(earlier), F.lit(0)).alias(f"_{c}_shift") for c in sums]
+        *keys,
+        *[F.coalesce(F.sum(f"_{c}_total").over(earlier), F.lit(0)).alias(f"_{c}_shift") for c in sums],
+        *[F.sum(f"_{c}_total").over(group).alias(f"{c}_all") for c in sums],
     )
     return join_on_groups(within, shifts, keys).select(
         *df.columns,
         *[(F.col(f"_{c}_within") + F.col(f"_{c}_shift")).alias(f"{c}_upto") for c in sums],
+        *[f"{c}_all" for c in sums],
     )
 
 
@@ -76,13 +81,7 @@ def exact_percentiles(
     """
     present = df.filter(F.col(value).isNotNull() & ~F.isnan(value))
     counted = present.groupBy(*group_by, value).agg(F.count("*").alias("_n"))
-    placed = running_totals(counted, [F.col(value)], ["_n"], group_by)
-    sizes = placed.groupBy(*group_by).agg(F.max("_n_upto").alias("_size"))
-    if group_by:
-        rows = join_on_groups(placed, sizes, group_by)
-    else:
-        rows = placed.withColumn("_size", sizes.scalar())
-
+    rows = running_totals(counted, [F.col(value)], ["_n"], group_by)
     start, end = F.col("_n_upto") - F.col("_n"), F.col("_n_upto")
 
     def at(index: Column) -> Column:
@@ -90,7 +89,7 @@ def exact_percentiles(
 
     picked = []
     for name, p in probabilities.items():
-        rank = (F.col("_size") - 1) * F.lit(p)
+        rank = (F.col("_n_all") - 1) * F.lit(p)
         picked += [
             at(F.floor(rank)).alias(f"_{name}_lo"),
             at(F.ceil(rank)).alias(f"_{name}_hi"),

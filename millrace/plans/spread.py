@@ -1,8 +1,11 @@
-"""Parallelism of text work over few input files."""
+"""Where rows are processed: parallelism, and shuffles placed before data grows."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+_ALL = 2**31 - 1
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -14,3 +17,26 @@ def spread(df: DataFrame) -> DataFrame:
     cores = df.sparkSession.sparkContext.defaultParallelism
     files = df.inputFiles()
     return df.repartition(cores) if 0 < len(files) < cores else df
+
+
+def by_key(df: DataFrame, key: str) -> DataFrame:
+    """Hash-distribute compact rows before they are exploded.
+
+    Groupings by ``key`` and more need no further exchange. The number of partitions is fixed:
+    adaptive coalescing judges by the compact size and would leave the exploded rows to few tasks.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
+def rows_of(values: Column | str) -> Column:
+    """``explode`` whose input is computed once.
+
+    For a bare column the optimizer infers a filter on the list's size and pushes it, with the whole
+    expression behind the column, below earlier shuffles: every text would be tokenised twice.
+    """
+    return F.explode(F.slice(values, 1, _ALL))
+
+
+def numbered_rows_of(values: Column | str) -> Column:
+    """``posexplode`` whose input is computed once; see :func:`rows_of`."""
+    return F.posexplode(F.slice(values, 1, _ALL))
