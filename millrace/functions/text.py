@@ -7,7 +7,7 @@ no word-boundary escapes.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -34,10 +34,10 @@ def word_tokens(text: Column) -> Column:
     """Words, numbers and punctuation marks; contractions split, ``5.1`` and ``wi-fi`` kept whole."""
     spaced = F.concat(F.lit(" "), F.regexp_replace(text, r"\s+", _GAP), F.lit(" "))
     for pattern, replacement in (
-        (CONTRACTION, "$1 $2 "),
         (BRACKETS_AND_SYMBOLS, " $1 "),
         (COMMA_OR_COLON, " $1 $2"),
         (CLOSING_MARK, " $1 "),
+        (CONTRACTION, "$1 $2 "),
     ):
         spaced = F.regexp_replace(spaced, pattern, replacement)
     return _not_empty(F.split(spaced, " +"))
@@ -79,17 +79,27 @@ def protect_phrases(
     lowered = list(dict.fromkeys(p.lower() for p in phrases))
     ranked = sorted(lowered, key=lambda p: (-len(p), p)) if order == "longest" else lowered
     cut = [phrase_parts(p) for p in ranked]
-    if keep_case:
-        line = _laid_out(tokens)
-        for parts in cut:
-            pattern = f"(?i) {_GAP.join(map(re.escape, parts))} "
-            line = F.regexp_replace(line, pattern, f" {'_'.join(parts)} ")
-    else:
-        line = _laid_out(F.transform(tokens, _lower_if_in(word for parts in cut for word in parts)))
+    if not keep_case:
+        tokens = F.transform(tokens, _lower_if_in(word for parts in cut for word in parts))
+
+    def replaced(line: Column) -> Column:
         for parts in cut:
-            if len(parts) > 1:
-                line = F.replace(line, F.lit(f" {_GAP.join(parts)} "), F.lit(f" {'_'.join(parts)} "))
-    return _taken_apart(line)
+            joined = f" {'_'.join(parts)} "
+            if keep_case:
+                line = F.regexp_replace(line, f"(?i) {_GAP.join(map(re.escape, parts))} ", joined)
+            elif len(parts) > 1:
+                line = F.replace(line, F.lit(f" {_GAP.join(parts)} "), F.lit(joined))
+        return line
+
+    # One look for any phrase spares most texts the search for each of them.
+    any_phrase = "|".join(_GAP.join(map(re.escape, parts)) for parts in cut)
+    found = f"(?i) (?:{any_phrase}) "
+    return _taken_apart(_once(_laid_out(tokens), lambda line: F.when(line.rlike(found), replaced(line)).otherwise(line)))
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` refers to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def _lower_if_in(words: Iterable[str]):

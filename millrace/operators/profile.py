@@ -16,7 +16,7 @@ QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 def _long(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     """``(*keep, column, value double)``, one row per value."""
     cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns])
-    return df.select(*keep, F.explode(cells).alias("cell")).select(*keep, "cell.column", "cell.value")
+    return df.select(*keep, F.explode(cells).alias("_cell")).select(*keep, "_cell.column", "_cell.value")
 
 
 def _statistics_rows(aggregated: DataFrame, columns: Sequence[str], names: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
@@ -24,7 +24,7 @@ def _statistics_rows(aggregated: DataFrame, columns: Sequence[str], names: Seque
     cells = F.array(*[
         F.struct(F.lit(c).alias("column"), *[F.col(f"{s}__{c}").alias(s) for s in names]) for c in columns
     ])
-    return aggregated.select(*keep, F.explode(cells).alias("cell")).select(*keep, "cell.*")
+    return aggregated.select(*keep, F.explode(cells).alias("_cell")).select(*keep, "_cell.*")
 
 
 def summary(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -219,10 +219,12 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     code generation.
     """
     clean = nan_to_null(df.select(*columns)).select(*[F.col(c).cast("double").alias(c) for c in columns])
-    cells = F.array(*[F.struct(F.lit(c).alias("a"), F.col(c).alias("x")) for c in columns])
-    rows = clean.select(F.explode(cells).alias("cell"), *columns)
-    wide = rows.groupBy(F.col("cell.a").alias("a")).agg(*[F.corr("cell.x", c).alias(c) for c in columns])
-    return wide.unpivot("a", list(columns), "b", "r")
+    cells = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("value")) for c in columns])
+    rows = clean.select(F.explode(cells).alias("_cell"), *columns)
+    wide = rows.groupBy(F.col("_cell.name").alias("_a")).agg(
+        F.array(*[F.struct(F.lit(c).alias("b"), F.corr("_cell.value", c).alias("r")) for c in columns]).alias("_pairs")
+    )
+    return wide.select(F.col("_a").alias("a"), F.explode("_pairs").alias("_pair")).select("a", "_pair.b", "_pair.r")
 
 
 def correlation_with(df: DataFrame, columns: Sequence[str], target: str) -> DataFrame:

@@ -37,14 +37,21 @@ def attach_by_key(
     return joined.select(*rows.columns, F.coalesce("_heavy", "_light").alias(payload)).filter(F.col(payload).isNotNull())
 
 
-def match_by_key(rows: DataFrame, wanted: DataFrame, key: str, spread_by: Column, salts: int = 64) -> DataFrame:
+def match_by_key(
+    rows: DataFrame,
+    wanted: DataFrame,
+    key: str,
+    spread_by: Column,
+    salts: int = 64,
+    max_rows: int = BROADCAST_ROWS,
+) -> DataFrame:
     """Inner join of a large table with a usually small many-to-many side.
 
     ``wanted`` is broadcast when a bounded count allows it, so ``rows`` is not moved at all. Beyond
     that, ``rows`` is salted by ``spread_by`` and ``wanted`` repeated once per salt: a key holding a
     third of all rows is still spread over ``salts`` tasks. Both ways give the same rows.
     """
-    if fits_broadcast(wanted):
+    if fits_broadcast(wanted, max_rows):
         return rows.join(F.broadcast(wanted), key)
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
     repeated = wanted.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
