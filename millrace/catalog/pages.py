@@ -9,7 +9,7 @@ from millrace.catalog.registry import query
 from millrace.catalog.views import table
 from millrace.functions import html as h
 from millrace.operators import extract
-from millrace.plans.spread import spread
+from millrace.plans.spread import by_key, spread
 
 BASE = "https://shop.example/"
 
@@ -68,7 +68,7 @@ def listing_pages(spark: SparkSession, folder: str) -> DataFrame:
     blocks = table(spark, folder, "part").select(
         "p_partkey", F.floor(F.col("p_partkey") / 20).alias("page_id"), F.expr(_BLOCK).alias("block")
     )
-    joined = blocks.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("p_partkey", "block"))).alias("blocks"))
+    joined = by_key(blocks, "page_id").groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("p_partkey", "block"))).alias("blocks"))
     return joined.select("page_id", F.concat(F.lit("<html><body>"), F.array_join("blocks.block", "\n"), F.lit("</body></html>")).alias("html"))
 
 

@@ -15,8 +15,9 @@ def spread(df: DataFrame) -> DataFrame:
     A table of many files is returned unchanged: no shuffle is added where it is not needed.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    files = df.inputFiles()
-    return df.repartition(cores) if 0 < len(files) < cores else df
+    # Counted in the JVM: a large table's list of paths is not copied into Python.
+    files = len(df._jdf.inputFiles())
+    return df.repartition(cores) if 0 < files < cores else df
 
 
 def by_key(df: DataFrame, key: str) -> DataFrame:
