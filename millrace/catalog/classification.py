@@ -255,11 +255,11 @@ def bag_of_words(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("topic_words")
 def topic_words(spark: SparkSession, folder: str) -> DataFrame:
-    return topics.topic_words(*topics.fit_topics(_simple_tokens(spark, folder), "tokens", passes=15))
+    return topics.topic_words(topics.fit_topics(_simple_tokens(spark, folder), "tokens", passes=15))
 
 
 @query("topic_table")
 def topic_table(spark: SparkSession, folder: str) -> DataFrame:
     rows = _simple_tokens(spark, folder)
-    words = topics.topic_words(*topics.fit_topics(rows, "tokens", topics=3, passes=2))
+    words = topics.topic_words(topics.fit_topics(rows, "tokens", topics=3, passes=2))
     return topics.topic_table(words, rows, "tokens")

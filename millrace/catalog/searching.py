@@ -179,5 +179,5 @@ def hashed_search_hits(spark: SparkSession, folder: str) -> DataFrame:
 @query("hashed_tfidf_norms", "SELECT doc_id, 1.0E0 AS norm FROM documents WHERE regexp_matches(text, '[\\p{L}\\p{N}_]')")
 def hashed_tfidf_norms(spark: SparkSession, folder: str) -> DataFrame:
     docs = _tokens(spark, folder)
-    cells = search._slots(search.hashed_tfidf_model(docs, "tokens"), docs, "doc_id")
+    cells = search.hashed_weights(search.hashed_tfidf_model(docs, "tokens"), docs, "doc_id")
     return round_doubles(cells.groupBy("doc_id").agg(F.sqrt(F.sum(F.pow("weight", 2))).alias("norm")))

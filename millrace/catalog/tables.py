@@ -43,14 +43,15 @@ def csv_scan_inferred(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "tsv_scan_complete_rows",
     """SELECT p_partkey AS id, p_name || ' "' || p_type || '"' || chr(9) || p_brand AS name, p_retailprice AS price
-       FROM part WHERE p_partkey % 7 NOT IN (0, 1) AND p_partkey % 11 <> 0""",
+       FROM part WHERE p_size BETWEEN 11 AND 45""",
 )
 def tsv_scan_complete_rows(spark: SparkSession, folder: str) -> DataFrame:
     parts = table(spark, folder, "part").selectExpr(
         "CAST(p_partkey AS STRING) AS id",
-        "CASE WHEN p_partkey % 7 = 1 THEN 'n/a' WHEN p_partkey % 7 <> 0 "
+        # Small parts lack a name, written as n/a or nothing; large parts lack a price.
+        "CASE WHEN p_size <= 5 THEN 'n/a' WHEN p_size > 10 "
         "THEN p_name || ' \"' || p_type || '\"' || chr(9) || p_brand END AS name",
-        "CASE WHEN p_partkey % 11 = 0 THEN 'None' ELSE CAST(p_retailprice AS STRING) END AS price",
+        "CASE WHEN p_size > 45 THEN 'None' ELSE CAST(p_retailprice AS STRING) END AS price",
     )
     path = new_scratch_path(spark, "parts-tsv")
     parts.write.options(sep="\t", header=True, quote='"', escape='"').csv(path)

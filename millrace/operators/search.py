@@ -70,7 +70,7 @@ def within_distance(index: DataFrame, pairs: DataFrame, distance: int = 1) -> Da
         F.struct(F.col("first").alias("token"), F.lit(1).alias("side")),
         F.struct(F.col("second").alias("token"), F.lit(2).alias("side")),
     )).alias("w")).select("pair_id", "w.token", "w.side")
-    found = match_by_key(spots, wanted, "token", F.col("doc_id"))
+    found = match_by_key(spots, stage(wanted, "pairs"), "token", F.col("doc_id"))
     both = found.groupBy("pair_id", "doc_id").agg(
         F.max(F.when(F.col("side") == 1, F.col("positions"))).alias("before"),
         F.max(F.when(F.col("side") == 2, F.col("positions"))).alias("after"),
@@ -256,7 +256,8 @@ def hashed_tfidf_model(df: DataFrame, tokens_col: str, num_features: int = 10_00
     return Pipeline(stages=stages).fit(df)
 
 
-def _slots(model: PipelineModel, df: DataFrame, id_col: str) -> DataFrame:
+def hashed_weights(model: PipelineModel, df: DataFrame, id_col: str) -> DataFrame:
+    """``(id, slot, weight)``: the non-zero cells of the unit-length vectors."""
     vector = F.unwrap_udt("unit_features")
     pairs = rows_of(F.arrays_zip(vector["indices"].alias("slot"), vector["values"].alias("weight")))
     rows = model.transform(df).select(F.col(id_col), pairs.alias("cell"))
@@ -270,8 +271,8 @@ def hashed_cosine_scores(
 
     Vectors have unit length, so the score is a sum over shared slots: a join, not a Python UDF.
     """
-    docs = _slots(model, by_key(documents, doc_id), doc_id).withColumnRenamed(doc_id, "doc_id")
-    wanted = _slots(model, queries, query_id).select(F.col(query_id).alias("query_id"), "slot", F.col("weight").alias("wanted"))
+    docs = hashed_weights(model, by_key(documents, doc_id), doc_id).withColumnRenamed(doc_id, "doc_id")
+    wanted = hashed_weights(model, queries, query_id).select(F.col(query_id).alias("query_id"), "slot", F.col("weight").alias("wanted"))
     matched = match_by_key(docs, stage(wanted, "queries"), "slot", F.col("doc_id"))
     sums = matched.groupBy("query_id", "doc_id").agg(F.sum(F.col("weight") * F.col("wanted")).alias("score"))
     return sums.withColumn("score", F.col("score").cast("float"))

@@ -12,8 +12,11 @@ BROADCAST_ROWS = 1_000_000
 
 
 def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Count at most ``max_rows + 1`` rows to decide whether a side may be broadcast."""
-    return df.limit(max_rows + 1).count() <= max_rows
+    """Whether a side has few enough rows to be broadcast; of a staged table only footers are read.
+
+    A plain count adds up per task. A limit would send each task's first rows to a single one.
+    """
+    return df.count() <= max_rows
 
 
 def attach_by_key(
@@ -47,7 +50,7 @@ def match_by_key(
 ) -> DataFrame:
     """Inner join of a large table with a usually small many-to-many side.
 
-    ``wanted`` is broadcast when a bounded count allows it, so ``rows`` is not moved at all. Beyond
+    ``wanted``, best a staged table, is broadcast when its row count allows it, so ``rows`` is not moved at all. Beyond
     that, ``rows`` is salted by ``spread_by`` and ``wanted`` repeated once per salt: a key holding a
     third of all rows is still spread over ``salts`` tasks. Both ways give the same rows.
     """
