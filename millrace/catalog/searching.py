@@ -160,6 +160,17 @@ def search_hits(spark: SparkSession, folder: str) -> DataFrame:
     return _top(spark, folder, "plain")
 
 
+@query("stored_search_hits", _top_sql(SIMPLE) + " SELECT query_id, doc_id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM ranked WHERE rank <= 5")
+def stored_search_hits(spark: SparkSession, folder: str) -> DataFrame:
+    """The same hits from weights on storage, read only where a query term can be."""
+    path = new_scratch_path(spark, "weights")
+    index = search.tfidf_index(_tokens(spark, folder), "doc_id", "tokens")
+    search.save_weights(index, path, 16)
+    weights = spark.read.parquet(path)
+    scores = search.stored_cosine_scores(weights, index, _queries(spark, folder), "item_id", "tokens", 16)
+    return search.top_hits(round_doubles(scores))
+
+
 @query(
     "search_hits_with_text",
     _top_sql(sql.simple_preset("text"))

@@ -181,16 +181,13 @@ def tfidf_weights(index: TfIdfIndex) -> DataFrame:
 
 
 def query_weights(index: TfIdfIndex, queries: DataFrame, id_col: str, tokens_col: str) -> DataFrame:
-    """``(query_id, term, weight)``: idf-weighted, L2-normalised; unknown terms drop out.
-
-    The inner idf factor of the document side is folded in, so scoring only adds up weights.
-    """
+    """``(query_id, term, idf, weight)``: idf-weighted, L2-normalised; unknown terms drop out."""
     words = _index_words(as_text(F.col(tokens_col)))
     listed = queries.select(F.col(id_col).alias("query_id"), words.alias("tokens"))
     counts = index.terms_of(by_key(listed, "query_id")).groupBy("query_id", "term").agg(F.count("*").alias("tf"))
     raw = counts.join(index.terms.select("term", "idf"), "term").withColumn("w", F.col("tf") * F.col("idf"))
     norms = raw.groupBy("query_id").agg(F.sqrt(F.sum(F.pow("w", 2))).alias("norm"))
-    return raw.join(norms, "query_id").select("query_id", "term", (F.col("w") * F.col("idf") / F.col("norm")).alias("weight"))
+    return raw.join(norms, "query_id").select("query_id", "term", "idf", (F.col("w") / F.col("norm")).alias("weight"))
 
 
 def cosine_scores(index: TfIdfIndex, queries: DataFrame, id_col: str, tokens_col: str) -> DataFrame:
@@ -199,12 +196,45 @@ def cosine_scores(index: TfIdfIndex, queries: DataFrame, id_col: str, tokens_col
     Documents are not moved when the query terms can be broadcast: each task drops all other terms
     right after the explode and sums its own documents' scores.
     """
-    wanted = stage(query_weights(index, queries, id_col, tokens_col), "queries")
+    weights = query_weights(index, queries, id_col, tokens_col)
+    # A document's factor idf is the same for all its occurrences of a term, so it goes in here.
+    wanted = stage(weights.select("query_id", "term", (F.col("weight") * F.col("idf")).alias("weight")), "queries")
     matched = match_by_key(index.terms_of(index.documents), wanted, "term", F.col("doc_id"))
     dots = matched.groupBy("query_id", "doc_id").agg(F.sum("weight").alias("dot"))
     return dots.join(index.norms, "doc_id").select("query_id", "doc_id", (F.col("dot") / F.col("norm")).alias("score"))
 
 
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
+
+
+def save_weights(index: TfIdfIndex, path: str, buckets: int = 256, slices: int = 8) -> None:
+    """Write the document weights in one folder per hash bucket of the term, sorted by term.
+
+    A bucket has ``slices`` files by hash of the document: equal parts, however frequent a term is.
+    """
+    weights = tfidf_weights(index).withColumn("bucket", _bucket(buckets))
+    spread_out = weights.repartition("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(slices)))
+    ordered = spread_out.sortWithinPartitions("bucket", "term", "doc_id")
+    ordered.write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def stored_cosine_scores(
+    weights: DataFrame, index: TfIdfIndex, queries: DataFrame, id_col: str, tokens_col: str, buckets: int = 256
+) -> DataFrame:
+    """Like :func:`cosine_scores`, from weights written by :func:`save_weights`.
+
+    Only folders that hold a query term are read.
+    """
+    wanted = query_weights(index, queries, id_col, tokens_col).select("query_id", "term", F.col("weight").alias("wanted"))
+    wanted = stage(wanted, "queries")
+    # At most `buckets` numbers.
+    needed = [row.bucket for row in wanted.select(_bucket(buckets).alias("bucket")).distinct().collect()]
+    there = weights.filter(F.col("bucket").isin(needed)).select("doc_id", "term", "weight")
+    matched = match_by_key(there, wanted, "term", F.col("doc_id"))
+    return matched.groupBy("query_id", "doc_id").agg(F.sum(F.col("weight") * F.col("wanted")).alias("score"))
+
+
 def top_hits(scores: DataFrame, k: int = TOP_K, min_score: float = MIN_SCORE) -> DataFrame:
     """The best ``k`` documents per query at or above ``min_score``, ties by document id.
 

@@ -90,6 +90,16 @@ def test_saved_index_gives_the_same_hits(spark, tmp_path):
     assert hits(index) == hits(again) != []
 
 
+def test_stored_weights_give_the_same_scores_and_prune_folders(spark, tmp_path):
+    index = search.tfidf_index(frame(spark, DOCS), "id", "tokens")
+    search.save_weights(index, str(tmp_path / "w"), 8)
+    weights = spark.read.parquet(str(tmp_path / "w"))
+    stored = search.stored_cosine_scores(weights, index, frame(spark, QUERIES), "id", "tokens", 8)
+    got = {(r.query_id, r.doc_id): r.score for r in stored.collect()}
+    assert got == pytest.approx(brute_force(DOCS, QUERIES)[0])
+    assert "PartitionFilters: [bucket" in stored._jdf.queryExecution().executedPlan().toString()
+
+
 def test_duplicates_keep_the_smallest_id(spark):
     kept = {r.doc_id for r in search.distinct_documents(frame(spark, DOCS), "id", "tokens").collect()}
     assert kept == {0, 1, 3, 4, 5, 6}
