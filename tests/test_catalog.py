@@ -22,7 +22,7 @@ def test_contract(spark):
     assert hits.count() > 0 and hits.columns == ["query_id", "doc_id", "score", "rank"]
 
 
-@pytest.mark.parametrize("name", sorted(driver.queries()))
+@pytest.mark.parametrize("name", sorted(compare.QUERIES))
 def test_query(spark, con, name):
     ok, message = compare.compare(spark, con, DATA, name)
     assert ok, message
