@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import packing
+from millrace.llm import packing, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -28,3 +28,10 @@ def op10_retrieval_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Where each document's tokens lie in sequences of 2048."""
     pieces = packing.pack(table(spark, folder, "documents"), "doc_id", "text", public_tokenizers.path("word_bpe_49k.json"))
     return packing.with_checksums(pieces)
+
+
+@query
+def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    """The near-duplicate component of every document: three-word shingles, two bits."""
+    found = simhash.near_duplicates(table(spark, folder, "documents"), "doc_id", "text", shingle_words=3, max_bits=2)
+    return found.select("doc_id", "fingerprint", "component_id")
