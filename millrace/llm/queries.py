@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import packing, simhash
+from millrace.llm import language, packing, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -35,3 +35,15 @@ def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
     """The near-duplicate component of every document: three-word shingles, two bits."""
     found = simhash.near_duplicates(table(spark, folder, "documents"), "doc_id", "text", shingle_words=3, max_bits=2)
     return found.select("doc_id", "fingerprint", "component_id")
+
+
+HELD_OUT = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+
+
+@query
+def op1_language(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of every document, learnt from those that are not held out."""
+    docs = table(spark, folder, "documents")
+    model = language.train(docs.filter(~F.coalesce(HELD_OUT, F.lit(False))), "text", "lang", F.col("doc_id"))
+    named = language.identify(docs, "doc_id", "text", model)
+    return named.select("doc_id", F.coalesce(HELD_OUT, F.lit(False)).alias("held_out"), "lang_pred", "score", "spans")
