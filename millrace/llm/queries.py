@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import language, packing, simhash
+from millrace.llm import language, packing, quality, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -37,13 +37,18 @@ def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "fingerprint", "component_id")
 
 
-HELD_OUT = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
-
-
 @query
 def op1_language(spark: SparkSession, folder: str) -> DataFrame:
     """The language of every document, learnt from those that are not held out."""
     docs = table(spark, folder, "documents")
-    model = language.train(docs.filter(~F.coalesce(HELD_OUT, F.lit(False))), "text", "lang", F.col("doc_id"))
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    model = language.train(docs.filter(~held_out), "text", "lang", F.col("doc_id"))
     named = language.identify(docs, "doc_id", "text", model)
-    return named.select("doc_id", F.coalesce(HELD_OUT, F.lit(False)).alias("held_out"), "lang_pred", "score", "spans")
+    return named.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "spans")
+
+
+@query
+def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of every document, learnt from heuristic labellers alone."""
+    docs = table(spark, folder, "documents")
+    return quality.classify(docs, "doc_id", "text", quality.fit(docs, "text"))
