@@ -23,7 +23,7 @@ WINDOW = 2048
 SHARD_DOCUMENTS = 1024
 QUERY_TOKENS = 48
 K1, B = 1.2, 0.75
-CACHED_STEMS = 600_000
+CACHED_STEMS = 300_000
 # ASCII marks that a tokenizer's pattern keeps together as one piece; the apostrophe opens suffixes.
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
