@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import language, packing, quality, simhash
+from millrace.llm import language, mixing, packing, quality, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -52,3 +52,9 @@ def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Quality of every document, learnt from heuristic labellers alone."""
     docs = table(spark, folder, "documents")
     return quality.classify(docs, "doc_id", "text", quality.fit(docs, "text"))
+
+
+@query
+def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """How many words of every document the mixture takes; sources weigh 1, 2, 3 in turn."""
+    return mixing.Mix(table(spark, folder, "documents"), "doc_id", "text", "source").taken()
