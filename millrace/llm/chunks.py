@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 SLICE_BYTES = 4 << 20
 
@@ -61,3 +62,15 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     ends = np.cumsum(lengths)
     total = int(ends[-1]) if len(ends) else 0
     return np.arange(total) + np.repeat(starts - (ends - lengths), lengths)
+
+
+def kept_rows(docs: DataFrame, text_col: str, decide: Callable[[pa.Array], np.ndarray]) -> DataFrame:
+    """The rows of ``docs``, unchanged, for whose texts ``decide`` gives true; rows are not moved."""
+
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                texts = pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(text_col))], names=["text"])
+                yield batch.filter(pa.array(np.concatenate([decide(plain(t["text"])) for t in slices(iter([texts]))])))
+
+    return docs.mapInArrow(chosen, docs.schema)

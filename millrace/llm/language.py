@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.chunks import plain, slices, word_codes
+from millrace.llm.chunks import kept_rows, plain, slices, word_codes
 
 UNKNOWN = "und"
 BUCKETS = 1 << 17
@@ -221,57 +221,83 @@ def viterbi(scores: np.ndarray, offsets: np.ndarray, penalty: float) -> np.ndarr
     return labels
 
 
+@dataclass
+class Labels:
+    """What :func:`label` finds: for each text the language and score, and the spans of all texts."""
+
+    lang: list[str]
+    score: np.ndarray
+    spans_per_text: np.ndarray
+    first_word: np.ndarray
+    words: np.ndarray
+    span_lang: np.ndarray
+
+
+def label(texts: pa.Array, model: Model, penalty: float) -> Labels:
+    """Languages and spans of some texts."""
+    offsets, codes, words = word_codes(texts)
+    rows, names = len(texts), model.languages
+    scores, letters = model.word_scores(words.to_pylist())
+    letters = letters.astype(np.float64)
+    known = letters * (scores.min(1, initial=0.0) < 0)
+    owner = np.repeat(np.arange(rows), np.diff(offsets))
+    all_letters = np.bincount(owner, letters[codes], rows)
+    lettered = (all_letters > 0) & bool(names)
+    if not lettered.any():
+        none = np.zeros(0, np.int64)
+        return Labels([UNKNOWN] * rows, np.zeros(rows), np.zeros(rows, np.int64), none, none, none)
+    labels = viterbi(scores[codes], offsets, penalty)
+    held = np.bincount(owner * len(names) + labels, known[codes], rows * len(names)).reshape(rows, -1)
+    top = np.where(held.any(1), held.argmax(1), model.common)
+    share = held[np.arange(rows), top] / np.maximum(all_letters, 1)
+    # A span starts where a text or its label does.
+    edge = np.ones(len(codes), bool)
+    edge[1:] = (owner[1:] != owner[:-1]) | (labels[1:] != labels[:-1])
+    first = np.flatnonzero(edge)
+    size = np.diff(np.append(first, len(codes)))
+    usable = lettered[owner[first]]
+    first, size = first[usable], size[usable]
+    lang = [names[t] if ok else UNKNOWN for t, ok in zip(top.tolist(), lettered.tolist())]
+    return Labels(lang, np.where(lettered, share, 0.0), np.bincount(owner[first], minlength=rows), first - offsets[owner[first]], size, labels[first])
+
+
+SPAN = pa.list_(pa.struct([("first_word", pa.int32()), ("words", pa.int32()), ("lang", pa.string())]))
+
+
 def identify(docs: DataFrame, id_col: str, text_col: str, model: Model, penalty: float = SWITCH_PENALTY) -> DataFrame:
     """``doc_id, lang_pred, score, spans`` for each row; nothing but the text is used.
 
     ``spans`` are ``(first_word, words, lang)``, words being what lies between ASCII white space.
     ``lang_pred`` is the language whose spans hold most letters (ties: the first by name) and
-    ``score`` its share of all letters that some language's script explains, weighted by how many are
-    explained. Texts that are null or have no letters are ``und`` with score 0 and no spans; a text
+    ``score`` is their share of all letters, counting only words in a script that some language
+    writes. Texts that are null or have no letters are ``und`` with score 0 and no spans; a text
     in a script of no known language gets the most trained language with score 0. Equal rows, null
     ids and an empty table are no special cases; other columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = dict(docs.dtypes)[id_col]
-    span = pa.list_(pa.struct([("first_word", pa.int32()), ("words", pa.int32()), ("lang", pa.string())]))
 
     def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        names = model.languages
         for table in slices(batches):
-            offsets, codes, words = word_codes(plain(table["text"]))
-            rows = table.num_rows
-            scores, letters = model.word_scores(words.to_pylist())
-            letters = letters.astype(np.float64)
-            known = letters * (scores.min(1, initial=0.0) < 0)
-            owner = np.repeat(np.arange(rows), np.diff(offsets))
-            all_letters = np.bincount(owner, letters[codes], rows)
-            if names and len(codes):
-                labels = viterbi(scores[codes], offsets, penalty)
-                held = np.bincount(owner * len(names) + labels, known[codes], rows * len(names)).reshape(rows, -1)
-                top = np.where(held.any(1), held.argmax(1), model.common)
-                share = held[np.arange(rows), top] / np.maximum(all_letters, 1)
-                # A span starts where a text or its label does.
-                edge = np.ones(len(codes), bool)
-                edge[1:] = (owner[1:] != owner[:-1]) | (labels[1:] != labels[:-1])
-                first = np.flatnonzero(edge)
-                size = np.diff(np.append(first, len(codes)))
-                usable = all_letters[owner[first]] > 0
-                first, size = first[usable], size[usable]
-                per_row = np.bincount(owner[first], minlength=rows)
-                structs = pa.StructArray.from_arrays(
-                    [pa.array((first - offsets[owner[first]]).astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(names, pa.string()).take(pa.array(labels[first].astype(np.int32)))],
-                    fields=list(span.value_type),
-                )
-                spans = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per_row)]).astype(np.int32)), structs)
-            else:
-                top, share, spans = np.zeros(rows, int), np.zeros(rows), pa.array([[]] * rows, span)
-            lettered = (all_letters > 0) & bool(names)
-            chosen = [names[t] if ok else UNKNOWN for t, ok in zip(top.tolist(), lettered.tolist())]
+            found = label(plain(table["text"]), shared.value, penalty)
+            langs = pa.array([*shared.value.languages, None], pa.string()).take(pa.array(found.span_lang.astype(np.int32)))
+            spans = pa.StructArray.from_arrays([pa.array(found.first_word.astype(np.int32)), pa.array(found.words.astype(np.int32)), langs], fields=list(SPAN.value_type))
+            bounds = np.concatenate([[0], np.cumsum(found.spans_per_text)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [plain(table["doc_id"]), pa.array(chosen, pa.string()), pa.array(np.where(lettered, share, 0.0)), spans.cast(span)],
+                [plain(table["doc_id"]), pa.array(found.lang, pa.string()), pa.array(found.score), pa.ListArray.from_arrays(pa.array(bounds), spans).cast(SPAN)],
                 names=["doc_id", "lang_pred", "score", "spans"],
             )
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(labelled, f"doc_id {kind}, lang_pred string, score double, spans array<struct<first_word:int,words:int,lang:string>>")
+
+
+def kept(docs: DataFrame, text_col: str, model: Model, least_score: float, penalty: float = SWITCH_PENALTY) -> DataFrame:
+    """The rows, with all their columns, whose language is known with at least ``least_score``."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def decide(texts: pa.Array) -> np.ndarray:
+        found = label(texts, shared.value, penalty)
+        return (found.score >= least_score) & (np.array(found.lang, object) != UNKNOWN)
+
+    return kept_rows(docs, text_col, decide)

@@ -271,6 +271,7 @@ def pack(
 NAMES = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]
 
 
-def with_checksums(pieces: DataFrame) -> DataFrame:
-    """``ids`` replaced by ``ids_crc32``."""
-    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+def with_checksums(pieces: DataFrame, keep_ids: bool = False) -> DataFrame:
+    """Add ``ids_crc32``, by default in place of ``ids``."""
+    summed = pieces.withColumn("ids_crc32", F.crc32("ids"))
+    return summed if keep_ids else summed.drop("ids")

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.chunks import plain, slices, word_codes
+from millrace.llm.chunks import kept_rows, plain, slices, word_codes
 
 BUCKETS = 1 << 14
 # Expected number of rows the linear model is fitted on.
@@ -341,3 +341,9 @@ def classify(docs: DataFrame, id_col: str, text_col: str, scorer: Scorer, thresh
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(scored, f"doc_id {kind}, posterior double, score double, keep boolean")
+
+
+def kept(docs: DataFrame, text_col: str, scorer: Scorer, threshold: float = 0.5) -> DataFrame:
+    """The rows that :func:`classify` keeps, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(scorer)
+    return kept_rows(docs, text_col, lambda texts: shared.value(Words.of(texts))[1] >= threshold)

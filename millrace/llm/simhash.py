@@ -151,3 +151,15 @@ def near_duplicates(docs: DataFrame, id_col: str, text_col: str, shingle_words:
     named = placed.join(smallest, "component").select("fp", "component_id")
     # Only the fingerprint of a large group of copies is frequent; Spark splits its rows.
     return prints.join(named, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, id_col: str, text_col: str, shingle_words: int = 3, max_bits: int = 2) -> DataFrame:
+    """One row of each component, with all its columns: the one of smallest id, then of smallest text hash.
+
+    Rows are told apart by id and text, so equal ids of different texts do no harm, and of wholly
+    equal rows one stays.
+    """
+    keyed = docs.withColumn("_row", F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("tie")))
+    found = near_duplicates(keyed, "_row", text_col, shingle_words, max_bits)
+    first = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_row"))
+    return keyed.join(first, "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")
