@@ -28,6 +28,8 @@ SCRIPT_SHARE = 0.01
 # Expected number of training rows of each language.
 ROWS_PER_LANGUAGE = 4000
 IMPOSSIBLE = -60.0
+# Distinct words whose n-grams are held in memory together.
+WORDS_AT_ONCE = 10_000
 
 # First code point, last code point and script of Unicode letter blocks.
 SCRIPT_RANGES = [
@@ -127,6 +129,10 @@ class Model:
     def word_scores(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """``(scores, letters)``: for each word and language the mean evidence of its n-grams, scaled
         by the square root of their number; 0 for a word without letters or in an unknown script."""
+        parts = [self._scores(words[i : i + WORDS_AT_ONCE]) for i in range(0, len(words), WORDS_AT_ONCE)] or [self._scores([])]
+        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+    def _scores(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = features(words)
         order = np.argsort(found.word, kind="stable")
         bounds = np.searchsorted(found.word[order], np.arange(len(words) + 1))
@@ -140,10 +146,16 @@ class Model:
 
 
 def _sampled(docs: DataFrame, lang: str, key: Column, rows_per_language: int) -> DataFrame:
-    """About ``rows_per_language`` rows of each language, or all of them, chosen by a hash of ``key``."""
-    counts = docs.groupBy(lang).agg(F.count("*").alias("_rows"))
+    """About ``rows_per_language`` rows of each language, or all of them, chosen by a hash of ``key``.
+
+    The driver holds one count per language, as the model holds a column per language; no text moves.
+    """
+    counts = docs.groupBy(lang).count().collect()
+    if not counts:
+        return docs
+    share = F.create_map(*[F.lit(x) for c in counts for x in (c[0], min(1.0, rows_per_language / c[1]))])
     chance = F.pmod(F.xxhash64(key, F.lit(7)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return docs.join(counts, lang).filter(chance * F.col("_rows") < rows_per_language).drop("_rows")
+    return docs.filter(chance < F.element_at(share, F.col(lang)))
 
 
 def train(docs: DataFrame, text_col: str, lang_col: str, key: Column, rows_per_language: int = ROWS_PER_LANGUAGE) -> Model:
@@ -161,13 +173,15 @@ def train(docs: DataFrame, text_col: str, lang_col: str, key: Column, rows_per_l
         for table in slices(batches):
             langs = np.array(table["lang"].to_pylist(), object)
             offsets, codes, words = word_codes(plain(table["text"]))
-            found = features(words.to_pylist())
             owner = np.repeat(langs, np.diff(offsets))
-            for lang in set(langs.tolist()):
-                times = np.bincount(codes[owner == lang], minlength=len(words)).astype(np.float64)
-                grams = np.bincount(found.bucket, times[found.word], BUCKETS)
-                letters = np.bincount(found.scripts, times * found.letters, len(SCRIPTS) + 1)
-                sums[lang] = sums.get(lang, 0) + np.concatenate([grams, letters])
+            times = {lang: np.bincount(codes[owner == lang], minlength=len(words)).astype(np.float64) for lang in set(langs.tolist())}
+            for start in range(0, len(words), WORDS_AT_ONCE):
+                found = features(words.slice(start, WORDS_AT_ONCE).to_pylist())
+                for lang, all_times in times.items():
+                    n = all_times[start : start + WORDS_AT_ONCE]
+                    grams = np.bincount(found.bucket, n[found.word], BUCKETS)
+                    letters = np.bincount(found.scripts, n * found.letters, len(SCRIPTS) + 1)
+                    sums[lang] = sums.get(lang, 0) + np.concatenate([grams, letters])
         for lang, total in sums.items():
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(at), pa.string()), "slot": pa.array(at), "n": pa.array(total[at])})
