@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import language, mixing, packing, quality, simhash
+from millrace.llm import extraction, language, mixing, packing, quality, simhash, warc
+from millrace.plans.staging import new_scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -58,3 +59,31 @@ def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
 def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """How many words of every document the mixture takes; sources weigh 1, 2, 3 in turn."""
     return mixing.Mix(table(spark, folder, "documents"), "doc_id", "text", "source").taken()
+
+
+@query
+def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page as it comes back from the archives it was written to."""
+    pages = table(spark, folder, "pages")
+    archives = warc.write_archives(pages, "page_id", "url", "html", new_scratch_path(spark, "warc"))
+    found = warc.resolved(warc.read_archives(archives), dict(pages.dtypes)["page_id"])
+    return found.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+SQL["op3_warc"] = """
+WITH sized AS (
+    SELECT page_id, sha256(coalesce(html, '')) AS payload_digest, strlen(coalesce(html, '')) AS payload_bytes FROM pages
+), placed AS (
+    SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM sized
+)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+    CASE WHEN payload_bytes >= 100 AND page_id > first_id THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN payload_bytes >= 100 AND page_id > first_id THEN first_id END AS refers_to
+FROM placed
+"""
+
+
+@query
+def op8_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    """The article of every page."""
+    return extraction.extract(table(spark, folder, "pages"), "page_id", "url", "html")
