@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import extraction, language, mixing, packing, quality, simhash, warc
+from millrace.llm import extraction, language, mixing, neighbours, packing, quality, simhash, topk, warc
 from millrace.plans.staging import new_scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +87,32 @@ FROM placed
 def op8_main_text(spark: SparkSession, folder: str) -> DataFrame:
     """The article of every page."""
     return extraction.extract(table(spark, folder, "pages"), "page_id", "url", "html")
+
+
+@query
+def op5_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The 10 nearest vectors of every hundredth one."""
+    return neighbours.nearest(table(spark, folder, "embeddings"), "vec_id", "embedding", "vec_id % 100 = 0", k=10)
+
+
+@query
+def op9_top_products(spark: SparkSession, folder: str) -> DataFrame:
+    """The 5 largest integer inner products of every fiftieth vector."""
+    return topk.search(table(spark, folder, "embeddings"), "vec_id", "embedding", "vec_id % 50 = 0", k=5)
+
+
+SQL["op9_top_products"] = """
+WITH usable AS (
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND len(embedding) > 0
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id,
+        CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: CAST(p[1] * p[2] AS HUGEINT))) AS BIGINT) AS score
+    FROM usable q JOIN usable c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+    WHERE q.vec_id % 50 = 0
+), ranked AS (
+    SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM scored
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
