@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import extraction, language, mixing, neighbours, packing, quality, simhash, topk, warc
+from millrace.llm import extraction, language, licences, mixing, neighbours, packing, quality, simhash, topk, warc
 from millrace.plans.staging import new_scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,3 +116,67 @@ WITH usable AS (
 )
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5
 """
+
+
+@query
+def op6_licences(spark: SparkSession, folder: str) -> DataFrame:
+    """The licence of every document, in a tree of sources and languages."""
+    docs = table(spark, folder, "documents")
+    path = F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))
+    found = licences.scan(docs, "doc_id", path, "text", licences.template_table(spark))
+    return found.select(F.col("id").alias("doc_id"), "path", "licence", F.round("score", 6).alias("score"), "basis", "from_dir")
+
+
+def _licence_sql() -> str:
+    values = ", ".join(f"({i}, '{name}', '{text}')" for i, (name, text) in enumerate(licences.TEMPLATES))
+    return f"""
+WITH template AS (SELECT * FROM (VALUES {values}) t(template, licence, text)
+), unit AS (
+    SELECT doc_id AS id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS unit, unnest(string_split(text, chr(10))) AS p FROM documents
+    UNION ALL
+    SELECT doc_id, -generate_subscripts(regexp_split_to_array(text, '\\n[ \\t\\r]*\\n'), 1), unnest(regexp_split_to_array(text, '\\n[ \\t\\r]*\\n'))
+    FROM documents WHERE regexp_matches(text, '{licences.CUE}')
+), passage AS (
+    SELECT id, unit, regexp_extract_all(lower(p), '{licences.TERM}') AS terms FROM unit WHERE regexp_matches(p, '{licences.CUE}')
+), full_passage AS (SELECT * FROM passage WHERE len(terms) > 0
+), total AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM full_passage
+), known AS (
+    SELECT template, licence, term, count(*) AS tf
+    FROM (SELECT template, licence, unnest(regexp_extract_all(lower(text), '{licences.TERM}')) AS term FROM template) GROUP BY ALL
+), counted AS (
+    SELECT id, unit, term, count(*) AS tf FROM (SELECT id, unit, unnest(terms) AS term FROM full_passage) GROUP BY ALL
+), idf AS (
+    SELECT k.term, count(c.id) AS df FROM (SELECT DISTINCT term FROM known) k LEFT JOIN counted c USING (term) GROUP BY k.term
+), t_weight AS (
+    SELECT template, licence, term, (1 + ln(tf)) * ln((1 + n) / (1 + df)) + 1 AS tw FROM known JOIN idf USING (term), total
+), t_norm AS (SELECT template, sqrt(sum(tw * tw)) AS t_norm FROM t_weight GROUP BY template
+), p_weight AS (
+    SELECT id, unit, term, tf, (1 + ln(tf)) * ln((1 + n) / (1 + coalesce(df, 0))) + 1 AS w FROM counted LEFT JOIN idf USING (term), total
+), p_norm AS (SELECT id, unit, sqrt(sum(w * w)) AS norm, sum(tf) AS n_terms FROM p_weight GROUP BY id, unit
+), scored AS (
+    SELECT id, unit, template, licence, round(sum(w * tw / t_norm) / any_value(norm), 9) AS score, any_value(n_terms) AS n_terms
+    FROM p_weight JOIN t_weight USING (term) JOIN t_norm USING (template) JOIN p_norm USING (id, unit) GROUP BY id, unit, template, licence
+), best AS (
+    SELECT * FROM scored WHERE score >= {licences.THRESHOLD}
+    QUALIFY row_number() OVER (PARTITION BY id, unit ORDER BY score DESC, template) = 1
+), own AS (
+    SELECT * FROM best QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, n_terms DESC, unit) = 1
+), marked AS (
+    SELECT d.doc_id, concat_ws('/', source, lang, CAST(d.doc_id AS VARCHAR)) AS path, own.licence, own.score, own.n_terms,
+        len(regexp_extract_all(lower(text), '{licences.TERM}')) AS all_terms
+    FROM documents d LEFT JOIN own ON own.id = d.doc_id
+), granted AS (
+    SELECT regexp_replace(path, '/?[^/]*$', '') AS dir, licence, score FROM marked WHERE licence IS NOT NULL AND n_terms >= {licences.FILE_SHARE} * all_terms
+    QUALIFY row_number() OVER (PARTITION BY dir ORDER BY score DESC, licence) = 1
+), inherited AS (
+    SELECT m.doc_id, g.dir, g.licence, g.score FROM marked m JOIN granted g ON starts_with(m.path, g.dir || '/') WHERE m.licence IS NULL
+    QUALIFY row_number() OVER (PARTITION BY m.doc_id ORDER BY length(g.dir) DESC) = 1
+)
+SELECT m.doc_id, m.path, coalesce(m.licence, i.licence) AS licence, round(coalesce(m.score, i.score), 6) AS score,
+    CASE WHEN m.licence IS NOT NULL THEN 'header' WHEN i.licence IS NOT NULL THEN 'inherited' END AS basis,
+    CASE WHEN m.licence IS NULL THEN i.dir END AS from_dir
+FROM marked m LEFT JOIN inherited i USING (doc_id)
+"""
+
+
+SQL["op6_licences"] = _licence_sql()
