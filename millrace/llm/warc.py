@@ -24,6 +24,7 @@ from millrace.plans.joins import attach_by_key
 from millrace.plans.staging import stage
 
 VERSION = b"WARC/1.1\r\n"
+VERSION_MARK = b"WARC/1."
 DATE = "2020-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 # Smaller payloads are stored again rather than referred to.
@@ -165,7 +166,7 @@ def _digest_ok(value: str | None, data: bytes) -> bool:
 
 def parse(source: Source, offset: int) -> tuple[dict[str, str], bytes, int]:
     """``(fields, payload, end)`` of the record at ``offset``; raises ``Damage`` if a check fails."""
-    if not source.read(offset, 7) == b"WARC/1.":
+    if source.read(offset, 7) != VERSION_MARK:
         raise Damage("no version line")
     stop = source.find(b"\r\n\r\n", offset)
     if stop >= source.size:
@@ -211,10 +212,23 @@ def inflate(source: Source, offset: int) -> tuple[bytes, int]:
     return b"".join(out), at - len(reader.unused_data)
 
 
-def _salvaged(source: Source, take, mark: bytes) -> Iterator[tuple]:
+class _Marks:
+    """Where the next of several patterns begins; each is looked for once."""
+
+    def __init__(self, source: Source, patterns: tuple[bytes, ...]) -> None:
+        self.source, self.next = source, dict.fromkeys(patterns, -1)
+
+    def after(self, offset: int) -> int:
+        for pattern, at in self.next.items():
+            if at < offset:
+                self.next[pattern] = self.source.find(pattern, offset)
+        return min(self.next.values())
+
+
+def _salvaged(source: Source, take, marks: tuple[bytes, ...]) -> Iterator[tuple]:
     """What ``take(source, offset)`` yields from one valid place to the next: ``(offset, end, value)``,
     and ``(offset, end, reason)`` with a string for the bytes between."""
-    offset = 0
+    offset, places = 0, _Marks(source, marks)
     while offset < source.size:
         try:
             value, end = take(source, offset)
@@ -223,13 +237,13 @@ def _salvaged(source: Source, take, mark: bytes) -> Iterator[tuple]:
             continue
         except Damage as damage:
             reason = str(damage)
-        resume = source.find(mark, offset + 1)
+        resume = places.after(offset + 1)
         while resume < source.size:
             try:
                 take(source, resume)
                 break
             except Damage:
-                resume = source.find(mark, resume + 1)
+                resume = places.after(resume + 1)
         yield offset, resume, reason
         offset = resume
 
@@ -243,7 +257,7 @@ def _member(source: Source, offset: int) -> tuple[list, int]:
     """The records of a member; damage inside it counts only if no record is left."""
     data, end = inflate(source, offset)
     inner = Source(pa.BufferReader(data))
-    found = list(_salvaged(inner, _record, b"WARC/1."))
+    found = list(_salvaged(inner, _record, (VERSION_MARK,)))
     records = [r for _, _, value in found if not isinstance(value, str) for r in value]
     lost = [value for _, _, value in found if isinstance(value, str)]
     if not records:
@@ -251,10 +265,14 @@ def _member(source: Source, offset: int) -> tuple[list, int]:
     return records + [(None, reason) for reason in lost], end
 
 
+def _either(source: Source, offset: int) -> tuple[list, int]:
+    """Members and bare records are told apart where they begin, so a damaged start decides nothing."""
+    return (_member if source.read(offset, 3) == GZIP_MAGIC else _record)(source, offset)
+
+
 def entries(source: Source) -> Iterator[tuple]:
     """``(kind, offset, length, fields, payload, reason)`` of an archive; kind is record or gap."""
-    zipped = source.read(0, min(2, source.size)) == GZIP_MAGIC[:2] or (source.find(GZIP_MAGIC, 0) < source.find(b"WARC/1.", 0))
-    for offset, end, value in _salvaged(source, *((_member, GZIP_MAGIC) if zipped else (_record, b"WARC/1."))):
+    for offset, end, value in _salvaged(source, _either, (GZIP_MAGIC, VERSION_MARK)):
         if isinstance(value, str):
             yield "gap", offset, end - offset, {}, None, value
             continue
