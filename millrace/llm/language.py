@@ -251,14 +251,16 @@ def label(texts: pa.Array, model: Model, penalty: float) -> Labels:
     """Languages and spans of some texts."""
     offsets, codes, words = word_codes(texts)
     rows, names = len(texts), model.languages
+    none = np.zeros(0, np.int64)
+    if not names or not len(codes):
+        return Labels([UNKNOWN] * rows, np.zeros(rows), np.zeros(rows, np.int64), none, none, none)
     scores, letters = model.word_scores(words.to_pylist())
     letters = letters.astype(np.float64)
     known = letters * (scores.min(1, initial=0.0) < 0)
     owner = np.repeat(np.arange(rows), np.diff(offsets))
     all_letters = np.bincount(owner, letters[codes], rows)
-    lettered = (all_letters > 0) & bool(names)
+    lettered = all_letters > 0
     if not lettered.any():
-        none = np.zeros(0, np.int64)
         return Labels([UNKNOWN] * rows, np.zeros(rows), np.zeros(rows, np.int64), none, none, none)
     labels = viterbi(scores[codes], offsets, penalty)
     held = np.bincount(owner * len(names) + labels, known[codes], rows * len(names)).reshape(rows, -1)
