@@ -120,7 +120,8 @@ def links(prints: DataFrame, max_bits: int = 2, crowd: int = CROWD) -> DataFrame
 
     exact = F.col("variant") % (BITS + 1) == 0
     pairs = (
-        side(0).join(side(1), ["variant", "key"])
+        # Exploded sides are larger than the planner thinks; neither may be broadcast.
+        side(0).hint("merge").join(side(1).hint("merge"), ["variant", "key"])
         .filter((~exact | (F.col("a") < F.col("b"))) & ~(F.col("in_crowd_a") & F.col("in_crowd_b")))
         .filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)
         .select("a", "b")
