@@ -189,7 +189,8 @@ class Mix:
                 (F.least(end, (block + 1) * length) - F.greatest(start, block * length)).alias("words"),
             )
         )
-        return slots.join(cut, ["sid", "block"])
+        # Both sides are exploded, so the sizes they are planned with are far too small for a broadcast.
+        return slots.hint("merge").join(cut.hint("merge"), ["sid", "block"])
 
     def taken(self) -> DataFrame:
         """``doc_id, size, source_size, target, taken`` for every document."""
@@ -206,7 +207,10 @@ class Mix:
         names = self.docs.columns
         whole = _placed(_prepared(self.docs, *self.columns, keep=names), self.sources, self.buckets).filter("size > 0")
         parts = self.pieces.groupBy("sid", "start", "copy").agg(F.array_sort(F.collect_list(F.struct("piece_start", "words"))).alias("parts"))
-        rows = whole.select("sid", "start", *[f"kept_{c}" for c in names]).join(parts, ["sid", "start"])
-        words = rows.withColumn("units", words_of(F.col(f"kept_{text_col}")))
-        taken = F.array_join(F.flatten(F.transform("parts", lambda p: F.slice(F.col("units"), (p["piece_start"] + 1).cast("int"), p["words"].cast("int")))), "")
-        return words.select(*[taken.alias(c) if c == text_col else F.col(f"kept_{c}").alias(c) for c in names])
+        rows = whole.select("sid", "start", "size", *[f"kept_{c}" for c in names]).join(parts, ["sid", "start"])
+        # Inside a list of one the words are split once, and not again for every part.
+        joined = lambda words: F.array_join(F.flatten(F.transform("parts", lambda p: F.slice(words, (p["piece_start"] + 1).cast("int"), p["words"].cast("int")))), "")
+        text = F.col(f"kept_{text_col}")
+        all_words = F.aggregate("parts", F.lit(0).cast("long"), lambda n, p: n + p["words"]) == F.col("size")
+        taken = F.when(all_words, text).otherwise(F.get(F.transform(F.array(words_of(text)), joined), F.lit(0)))
+        return rows.select(*[taken.alias(c) if c == text_col else F.col(f"kept_{c}").alias(c) for c in names])
