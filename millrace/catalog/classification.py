@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.catalog import textsql as sql
 from millrace.catalog.registry import query
-from millrace.catalog.views import SCORED_SQL, TRIPS_SQL, round_doubles, scored, table, trips
+from millrace.catalog.views import CAUSES, SCORED_SQL, TRIPS_SQL, round_doubles, scored, table, trips
 from millrace.catalog.wording import documents
-from millrace.operators import evaluate, features, models, presets, topics
+from millrace.operators import evaluate, features, models, presets, quality, topics
 from millrace.plans.staging import new_scratch_path
 from millrace.sources import models as stored
 
@@ -64,9 +64,14 @@ def random_split_sizes(spark: SparkSession, folder: str) -> DataFrame:
     return both.agg(F.count("*").alias("rows"), F.avg("train").between(0.75, 0.85).alias("near_eighty_percent"))
 
 
-@query("bernoulli_sample")
+@query("bernoulli_sample", "SELECT CAST(count(*) AS BIGINT) AS rows, true AS near_half FROM lineitem")
 def bernoulli_sample(spark: SparkSession, folder: str) -> DataFrame:
-    return features.bernoulli_sample(table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber"), 0.5)
+    """The number of rows, and whether about half of them are drawn."""
+    rows = table(spark, folder, "lineitem").select("l_orderkey")
+    drawn = features.bernoulli_sample(rows, 0.5)
+    both = rows.select(F.lit(0).alias("drawn")).unionByName(drawn.select(F.lit(1).alias("drawn")))
+    total = F.count_if(F.col("drawn") == 0)
+    return both.agg(total.alias("rows"), (F.sum("drawn") / total).between(0.45, 0.55).alias("near_half"))
 
 
 # --- evaluation -----------------------------------------------------------------------------------
@@ -154,55 +159,73 @@ def network_scores(spark: SparkSession, folder: str) -> DataFrame:
     return _fitted(spark, folder, "network", maxIter=10)
 
 
-def _tuned(spark: SparkSession, folder: str, family: str, grid: dict[str, list]) -> DataFrame:
-    return models.cross_validate(family, vectors(spark, folder), grid, folds=2).scores
+def _tuned(spark: SparkSession, folder: str, family: str) -> DataFrame:
+    """The score of every point of the family's own grid over five folds."""
+    scores = models.cross_validate(family, vectors(spark, folder), parallelism=4).scores
+    return scores.select("settings", F.col("area").between(0.0, 1.0).alias("is_area"))
 
 
-@query("tuned_logistic_regression")
+def _grid_sql(family: str) -> str:
+    points = [""]
+    for name, choices in sorted(models.GRIDS[family].items()):
+        points = [f"{p}{', ' if p else ''}{name}={c}" for p in points for c in choices]
+    return "SELECT settings, true AS is_area FROM (VALUES " + ", ".join(f"('{p}')" for p in points) + ") t(settings)"
+
+
+@query("tuned_logistic_regression", _grid_sql("logistic_regression"))
 def tuned_logistic_regression(spark: SparkSession, folder: str) -> DataFrame:
-    return _tuned(spark, folder, "logistic_regression", {"regParam": [0.01, 0.1]})
+    return _tuned(spark, folder, "logistic_regression")
 
 
-@query("tuned_random_forest")
+@query("tuned_random_forest", _grid_sql("random_forest"))
 def tuned_random_forest(spark: SparkSession, folder: str) -> DataFrame:
-    return _tuned(spark, folder, "random_forest", {"numTrees": [20, 50]})
+    return _tuned(spark, folder, "random_forest")
 
 
-@query("tuned_boosted_trees")
+@query("tuned_boosted_trees", _grid_sql("boosted_trees"))
 def tuned_boosted_trees(spark: SparkSession, folder: str) -> DataFrame:
-    return _tuned(spark, folder, "boosted_trees", {"maxDepth": [2, 5]})
+    return _tuned(spark, folder, "boosted_trees")
+
+
+_NUMERIC = ["crs_dep_time", "distance", *CAUSES]
+_CATEGORICAL = ["airline", "origin", "dest"]
 
 
-_NUMERIC = ["crs_dep_time", "distance", "due_carrier", "due_weather", "due_nas"]
-_CATEGORICAL = ["airline", "origin"]
+# The encoder is fitted on the training side; a category's slot is its rank there, after the numbers.
+_CODED_SQL = f"""prepared AS (SELECT trip_id, CASE WHEN coalesce(dep_delay, 0) > 15 THEN 1 ELSE 0 END AS label, crs_dep_time, distance,
+        {', '.join(f'coalesce({c}, 0) AS {c}' for c in CAUSES)}, CAST(airline AS STRING) AS airline, CAST(origin AS STRING) AS origin, CAST(dest AS STRING) AS dest,
+        {_PERCENT.format(salt="''", key='CAST(order_key AS STRING)')} < 80 AS training FROM trips),
+    ranked AS ({' UNION ALL '.join(f"SELECT '{c}' AS name, {c} AS value, row_number() OVER (ORDER BY count(*) DESC, {c}) - 1 AS place FROM prepared WHERE training GROUP BY {c}" for c in _CATEGORICAL)}),
+    sizes AS (SELECT name, count(*) AS n FROM ranked GROUP BY name),
+    cells AS ({' UNION ALL '.join(f'SELECT trip_id, label, {i} AS slot, CAST({c} AS DOUBLE) AS value FROM prepared' for i, c in enumerate(_NUMERIC))}
+        {' '.join(f"UNION ALL SELECT trip_id, label, {len(_NUMERIC)} + coalesce((SELECT sum(n) FROM sizes WHERE name IN ({', '.join(repr(o) for o in _CATEGORICAL[:i]) or 'NULL'})), 0) + place, 1.0E0 FROM prepared JOIN ranked ON name = '{c}' AND value = {c}" for i, c in enumerate(_CATEGORICAL))})"""
 
 
 def _encoded(spark: SparkSession, folder: str) -> DataFrame:
-    rows = trips(spark, folder, *_NUMERIC, *_CATEGORICAL, "dep_delay", "order_key").dropna()
-    labelled = features.binary_label(rows, "dep_delay", 60.0)
+    rows = trips(spark, folder, *_NUMERIC, *_CATEGORICAL, "dep_delay", "trip_id", "order_key")
+    # Delays and causes that are missing are 0; no row is lost.
+    rows = quality.handle_missing(rows, ["dep_delay", *CAUSES], ["order_key"])
+    labelled = features.binary_label(rows, "dep_delay", 15.0)
     train, _ = features.train_test_split(labelled, F.col("order_key"))
-    return features.encode(features.fit_encoder(train, _NUMERIC, _CATEGORICAL), labelled, "order_key", "label")
+    return features.encode(features.fit_encoder(train, _NUMERIC, _CATEGORICAL), labelled, "trip_id", "label")
 
 
 @query(
     "encoded_features",
-    f"""WITH {TRIPS_SQL}, complete AS (SELECT * FROM trips WHERE dep_delay IS NOT NULL AND due_carrier IS NOT NULL),
-        sizes AS (SELECT count(DISTINCT airline) + count(DISTINCT origin) AS n FROM complete)
-        SELECT order_key, CASE WHEN dep_delay > 60 THEN 1 ELSE 0 END AS label, CAST(5 + n AS INT) AS slots,
-               round(crs_dep_time + distance + due_carrier + due_weather + due_nas + 2, 6) AS total FROM complete, sizes""",
+    f"""WITH {TRIPS_SQL}, {_CODED_SQL}
+        SELECT trip_id, label, CAST(slot AS INT) AS slot, round(value, 6) AS value FROM cells WHERE value <> 0""",
 )
 def encoded_features(spark: SparkSession, folder: str) -> DataFrame:
-    """Slot count and slot sum of every encoded row: five numbers and one flag per category column."""
-    cells = F.unwrap_udt("features")
-    sparse = F.aggregate(cells["values"], F.lit(0.0), lambda total, value: total + value)
-    slots = F.coalesce(cells["size"], F.size(cells["values"]))
-    return round_doubles(_encoded(spark, folder).select("order_key", "label", slots.alias("slots"), sparse.alias("total")))
+    """Every slot of every encoded row that is not 0: seven numbers, then the categories of three columns."""
+    rows = _encoded(spark, folder).select("trip_id", "label", vector_to_array("features").alias("slots"))
+    cells = rows.select("trip_id", "label", F.posexplode("slots").alias("slot", "value"))
+    return round_doubles(cells.filter("value <> 0"))
 
 
 @query("feature_importances")
 def feature_importances(spark: SparkSession, folder: str) -> DataFrame:
     rows = _encoded(spark, folder)
-    return evaluate.feature_importances(models.train("random_forest", rows, numTrees=5), rows)
+    return evaluate.feature_importances(models.train("random_forest", rows), rows)
 
 
 @query("model_parameters")
@@ -218,7 +241,7 @@ def reloaded_model_agrees(spark: SparkSession, folder: str) -> DataFrame:
     """Rows that a saved and reloaded model scores exactly like the model in memory."""
     path = new_scratch_path(spark, "model")
     rows = vectors(spark, folder)
-    model = models.train("random_forest", rows, numTrees=5)
+    model = models.train("random_forest", rows)
     stored.save_model(model, path)
     before = models.predict(model, rows).select("vec_id", F.col("prediction").alias("before"))
     after = models.predict(stored.load_model("random_forest", path), rows).select("vec_id", F.col("prediction").alias("after"))
@@ -231,7 +254,7 @@ _SIMPLE = sql.simple_preset("text")
 _VOCABULARY_SQL = f"""{sql.document_tokens(_SIMPLE)},
     seen AS (SELECT DISTINCT doc_id, unnest(tokens) AS term FROM tokenised),
     vocabulary AS (SELECT term, count(*) AS df FROM seen GROUP BY term HAVING count(*) >= 2
-        AND count(*) <= 0.5 * (SELECT count(*) FROM documents) ORDER BY df DESC, term LIMIT {topics.MAX_TERMS})"""
+        AND count(*) <= 0.5 * (SELECT count(*) FROM documents))"""
 
 
 def _simple_tokens(spark: SparkSession, folder: str) -> DataFrame:
@@ -261,5 +284,5 @@ def topic_words(spark: SparkSession, folder: str) -> DataFrame:
 @query("topic_table")
 def topic_table(spark: SparkSession, folder: str) -> DataFrame:
     rows = _simple_tokens(spark, folder)
-    words = topics.topic_words(topics.fit_topics(rows, "tokens", topics=3, passes=2))
+    words = topics.topic_words(topics.fit_topics(rows, "tokens"))
     return topics.topic_table(words, rows, "tokens")

@@ -9,11 +9,11 @@ from millrace.catalog.registry import query
 from millrace.catalog.views import table
 from millrace.functions import html as h
 from millrace.operators import extract
-from millrace.plans.spread import by_key, spread
+from millrace.plans.spread import by_key
 
 BASE = "https://shop.example/"
 
-LINK = '<a\\s[^>]*href="[^"]*"[^>]*>[^<]*</a>'
+LINK = '<a\\s[^>]*href="[^"]*"[^>]*>[\\s\\S]*?</a>'
 PARAGRAPH = "<p>[^<]*</p>"
 
 
@@ -22,11 +22,12 @@ PARAGRAPH = "<p>[^<]*</p>"
     f"""WITH blocks AS (SELECT page_id, unnest(regexp_extract_all(html, '{LINK}')) AS b,
             unnest(range(len(regexp_extract_all(html, '{LINK}')))) AS block_no FROM pages)
         SELECT page_id, CAST(block_no AS INT) AS block_no, regexp_extract(b, 'href="([^"]*)"', 1) AS href,
-               regexp_extract(b, '>([^<]*)<', 1) AS text FROM blocks""",
+               regexp_replace(regexp_replace(b, '<[^>]*>', '', 'g'), '^\\s+|\\s+$', '', 'g') AS text FROM blocks""",
 )
 def page_links(spark: SparkSession, folder: str) -> DataFrame:
-    fields = {"href": 'href="([^"]*)"', "text": ">([^<]*)<"}
-    return extract.extract_blocks(spread(table(spark, folder, "pages")), "html", LINK, fields, ["page_id"])
+    fields = {"href": 'href="([^"]*)"', "text": "([\\s\\S]*)"}
+    links = extract.extract_blocks(table(spark, folder, "pages"), "html", LINK, fields, ["page_id"])
+    return links.withColumn("text", F.regexp_replace(F.regexp_replace("text", "<[^>]*>", ""), r"^\s+|\s+$", ""))
 
 
 @query(
@@ -36,7 +37,7 @@ def page_links(spark: SparkSession, folder: str) -> DataFrame:
         SELECT page_id, CAST(block_no AS INT) AS block_no, regexp_extract(b, '<p>([^<]*)</p>', 1) AS body FROM blocks""",
 )
 def page_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
-    return extract.extract_blocks(spread(table(spark, folder, "pages")), "html", PARAGRAPH, {"body": "<p>([^<]*)</p>"}, ["page_id"])
+    return extract.extract_blocks(table(spark, folder, "pages"), "html", PARAGRAPH, {"body": "<p>([^<]*)</p>"}, ["page_id"])
 
 
 # A listing block per part, with every case of the field rules (a few sizes lack a field); twenty blocks make a page.
@@ -96,7 +97,7 @@ def product_listings(spark: SparkSession, folder: str) -> DataFrame:
             WHEN href LIKE '/%' THEN '{BASE[:-1]}' || href ELSE '{BASE}' || href END AS link FROM links""",
 )
 def absolute_links(spark: SparkSession, folder: str) -> DataFrame:
-    pages = spread(table(spark, folder, "pages"))
+    pages = table(spark, folder, "pages")
     hrefs = pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("href"))
     links = hrefs.unionByName(pages.select("page_id", F.col("url").alias("href")))
     return links.select("page_id", h.absolute_url(F.col("href"), BASE).alias("link"))

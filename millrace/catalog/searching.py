@@ -65,34 +65,43 @@ def stored_index_lookup(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(path).join(wanted, "token", "left_semi").select("doc_id", "token", "tf")
 
 
-def _near_sql(distance: int) -> str:
-    return f"""WITH {_PLACES}, q AS (SELECT item_id AS pair_id, {SIMPLE} AS t FROM benchmark),
-        pairs AS (SELECT pair_id, t[1] AS first, t[2] AS second FROM q WHERE len(t) >= 2)
-        SELECT pair_id, b.doc_id, CAST(count(DISTINCT b.pos) AS BIGINT) AS matches
-        FROM pairs JOIN places a ON a.token = first JOIN places b ON b.token = second AND b.doc_id = a.doc_id
-        AND b.pos - a.pos BETWEEN 1 AND {distance} GROUP BY pair_id, b.doc_id"""
-
-
-def _near(spark: SparkSession, folder: str, distance: int) -> DataFrame:
-    pairs = _queries(spark, folder).select(
-        F.col("item_id").alias("pair_id"), F.get("tokens", F.lit(0)).alias("first"), F.get("tokens", F.lit(1)).alias("second")
-    ).filter("second is not null")
-    return search.within_distance(search.postings(_tokens(spark, folder), "doc_id", "tokens"), pairs, distance)
-
-
-@query("phrase_matches", _near_sql(1))
+@query(
+    "phrase_matches",
+    f"""WITH {_PLACES}, q AS (SELECT item_id AS pair_id, {SIMPLE} AS t FROM benchmark)
+        SELECT pair_id, a.doc_id, CAST(count(*) AS BIGINT) AS matches
+        FROM q JOIN places a ON a.token = t[1] JOIN tokenised d ON d.doc_id = a.doc_id
+        WHERE list_slice(d.tokens, a.pos + 1, a.pos + len(t)) = t GROUP BY pair_id, a.doc_id""",
+)
 def phrase_matches(spark: SparkSession, folder: str) -> DataFrame:
-    return _near(spark, folder, 1)
+    """Documents that quote a whole benchmark text."""
+    phrases = _queries(spark, folder).select(F.col("item_id").alias("pair_id"), "tokens")
+    return search.phrase_matches(search.postings(_tokens(spark, folder), "doc_id", "tokens"), phrases)
 
 
-@query("proximity_matches", _near_sql(5))
+@query(
+    "proximity_matches",
+    f"""WITH {_PLACES}, q AS (SELECT item_id, {SIMPLE} AS t FROM benchmark),
+        neighbours AS (SELECT item_id, unnest(range(1, len(t))) AS place, t FROM q),
+        pairs AS (SELECT item_id, place, t[place] AS first, t[place + 1] AS second FROM neighbours),
+        wanted AS (SELECT DISTINCT first, second FROM pairs),
+        near AS (SELECT DISTINCT first, second, b.doc_id, b.pos FROM wanted JOIN places a ON a.token = first, range(1, 6) r(d)
+            JOIN places b ON b.token = second AND b.doc_id = a.doc_id AND b.pos = a.pos + r.d),
+        counted AS (SELECT first, second, doc_id, count(*) AS n FROM near GROUP BY ALL)
+        SELECT item_id, CAST(place AS INT) AS place, doc_id, CAST(n AS BIGINT) AS matches FROM pairs JOIN counted USING (first, second)""",
+)
 def proximity_matches(spark: SparkSession, folder: str) -> DataFrame:
-    return _near(spark, folder, 5)
+    """Documents in which a word of a benchmark text is followed by its next word within five places, for every word."""
+    words = _queries(spark, folder).select("item_id", "tokens", F.posexplode("tokens").alias("at", "first"))
+    pairs = words.select("item_id", (F.col("at") + 1).alias("place"), "first", F.get("tokens", F.col("at") + 1).alias("second")).filter("second is not null")
+    distinct = pairs.select(F.struct("first", "second").alias("pair_id"), "first", "second").distinct()
+    near = search.within_distance(search.postings(_tokens(spark, folder), "doc_id", "tokens"), distinct, 5)
+    counted = near.select("pair_id.first", "pair_id.second", "doc_id", "matches")
+    return pairs.join(counted, ["first", "second"]).select("item_id", "place", "doc_id", "matches")
 
 
 def _unique_sql(preset: str) -> str:
     return f"""prepared AS (SELECT doc_id, {preset} AS tokens FROM documents),
-    unique_documents AS (SELECT min(doc_id) AS doc_id, array_to_string(tokens, ' ') AS text FROM prepared GROUP BY array_to_string(tokens, ' '))"""
+    unique_documents AS MATERIALIZED (SELECT min(doc_id) AS doc_id, array_to_string(tokens, ' ') AS text FROM prepared GROUP BY array_to_string(tokens, ' '))"""
 
 
 @query("distinct_documents", f"WITH {_unique_sql(sql.simple_preset('text'))} SELECT doc_id, text FROM unique_documents")
@@ -103,15 +112,15 @@ def distinct_documents(spark: SparkSession, folder: str) -> DataFrame:
 def _grams_sql(source: str, key: str, words: str) -> str:
     parts = " UNION ALL ".join(f"SELECT {key}, unnest({sql.ngrams('words', n)}) AS term FROM {source}_words" for n in (1, 2, 3))
     return f"""{source}_words AS (SELECT {key}, {sql.keep(words, 'length(t) >= 2')} AS words FROM {source}),
-    {source}_tf AS (SELECT {key}, term, count(*) AS tf FROM ({parts}) GROUP BY {key}, term)"""
+    {source}_tf AS MATERIALIZED (SELECT {key}, term, count(*) AS tf FROM ({parts}) GROUP BY {key}, term)"""
 
 
 def _index_sql(preset: str) -> str:
     return f"""{_unique_sql(preset)}, {_grams_sql('unique_documents', 'doc_id', SIMPLE)},
     total AS (SELECT count(*) AS n FROM unique_documents),
-    terms AS (SELECT term, count(*) AS df, ln((1 + any_value(n)) / (1 + count(*))) + 1 AS idf FROM unique_documents_tf, total
+    terms AS MATERIALIZED (SELECT term, count(*) AS df, ln((1 + any_value(n)) / (1 + count(*))) + 1 AS idf FROM unique_documents_tf, total
               GROUP BY term HAVING count(*) >= 2 AND count(*) <= 0.9 * any_value(n)),
-    norms AS (SELECT doc_id, sqrt(sum(pow(tf * idf, 2))) AS norm FROM unique_documents_tf JOIN terms USING (term) GROUP BY doc_id)"""
+    norms AS MATERIALIZED (SELECT doc_id, sqrt(sum(pow(tf * idf, 2))) AS norm FROM unique_documents_tf JOIN terms USING (term) GROUP BY doc_id)"""
 
 
 @query("tfidf_terms", f"WITH {_index_sql(SIMPLE)} SELECT term, CAST(df AS BIGINT) AS df, round(idf, 6) AS idf FROM terms")
@@ -166,8 +175,8 @@ def stored_search_hits(spark: SparkSession, folder: str) -> DataFrame:
     path = new_scratch_path(spark, "weights")
     index = search.tfidf_index(_tokens(spark, folder), "doc_id", "tokens")
     search.save_weights(index, path, 16)
-    weights = spark.read.parquet(path)
-    scores = search.stored_cosine_scores(weights, index, _queries(spark, folder), "item_id", "tokens", 16)
+    stored = search.StoredWeights.load(spark, path)
+    scores = search.stored_cosine_scores(stored, index, _queries(spark, folder), "item_id", "tokens")
     return search.top_hits(round_doubles(scores))
 
 

@@ -134,5 +134,10 @@ def ngrams(tokens: str, n: int) -> str:
     return f"list_transform(range(1, len({tokens}) - {n - 2}), lambda i: {words})"
 
 
+def gram_lists(tokens: str, n: int) -> str:
+    """Like :func:`ngrams`, as lists of tokens."""
+    return f"list_transform(range(1, len({tokens}) - {n - 2}), lambda i: list_slice({tokens}, i, i + {n - 1}))"
+
+
 def document_tokens(preset_tokens: str, source: str = "documents", key: str = "doc_id") -> str:
     return f"tokenised AS (SELECT {key}, {preset_tokens} AS tokens FROM {source})"

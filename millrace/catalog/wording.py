@@ -136,8 +136,8 @@ def conversation_tokens(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _counts_sql(n: int, preset: str) -> str:
-    return f"""WITH {sql.document_tokens(preset)}, grams AS (SELECT unnest({sql.ngrams('tokens', n)}) AS gram FROM tokenised)
-        SELECT gram, CAST(count(*) AS BIGINT) AS count FROM grams GROUP BY gram"""
+    return f"""WITH {sql.document_tokens(preset)}, grams AS (SELECT unnest({sql.gram_lists('tokens', n)}) AS words FROM tokenised)
+        SELECT array_to_string(words, ' ') AS gram, CAST(count(*) AS BIGINT) AS count FROM grams GROUP BY words"""
 
 
 def _counts(spark: SparkSession, folder: str, n: int, preset: str) -> DataFrame:

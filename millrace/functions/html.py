@@ -9,14 +9,23 @@ from pyspark.sql import functions as F
 ENTITIES = {"&nbsp;": " ", "&quot;": '"', "&#34;": '"', "&#39;": "'", "&#x27;": "'", "&apos;": "'", "&lt;": "<", "&gt;": ">", "&amp;": "&"}
 
 
+QUOTES = ('"', "'")
+
+
+def quoted(value: str) -> str:
+    """Pattern for an attribute value in either kind of quotes."""
+    return "(?:" + "|".join(f"{q}{value}{q}" for q in QUOTES) + ")"
+
+
 def element(tag: str, class_value: str, body: str = "(.*?)") -> str:
     """Pattern for the first element of ``tag`` whose class attribute is exactly ``class_value``."""
-    return f'(?s)<{tag}(?:\\s[^>]*)?\\sclass="{class_value}"[^>]*>{body}</{tag}>'
+    return f"(?s)<{tag}(?:\\s[^>]*)?\\sclass={quoted(class_value)}[^>]*>{body}</{tag}>"
 
 
 def opener(tag: str, class_name: str) -> str:
     """Pattern for the opening tag of an element whose class list contains ``class_name``."""
-    return f'<{tag}(?:\\s[^>]*)?\\sclass="(?:[^"]*\\s)?{class_name}(?:\\s[^"]*)?"[^>]*>'
+    either = "|".join(f"{q}(?:[^{q}]*\\s)?{class_name}(?:\\s[^{q}]*)?{q}" for q in QUOTES)
+    return f"<{tag}(?:\\s[^>]*)?\\sclass=(?:{either})[^>]*>"
 
 
 def inner_text(markup: Column) -> Column:

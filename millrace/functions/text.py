@@ -191,6 +191,13 @@ def ngrams(tokens: Column, n: int) -> Column:
     return grams
 
 
+def gram_lists(tokens: Column, n: int) -> Column:
+    """Neighbouring ``n`` tokens as lists."""
+    last = F.size(tokens) - (n - 1)
+    starts = F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.slice(tokens, i, n))
+
+
 def ngram_range(tokens: Column, low: int, high: int) -> Column:
     """All n-grams with ``low <= n <= high`` in one list."""
     return F.flatten(F.array(*[ngrams(tokens, n) for n in range(low, high + 1)]))

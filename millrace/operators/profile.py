@@ -31,10 +31,12 @@ def summary(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """``(column, count, mean, stddev, min, max)`` of numeric and text columns in one pass.
 
     Minimum and maximum are given as text; mean and standard deviation of text columns are null.
+    NaN counts as missing.
     """
     types = dict(df.dtypes)
     columns = [c for c in (columns or df.columns) if types[c] != "boolean"]
-    numeric = {c for c in columns if types[c] in ("tinyint", "smallint", "int", "bigint", "float", "double")}
+    numeric = {c for c in columns if types[c] in ("tinyint", "smallint", "int", "bigint", "float", "double") or types[c].startswith("decimal")}
+    clean = nan_to_null(df, columns)
     wide = []
     for c in columns:
         mean, spread = (F.avg(c), F.stddev_samp(c)) if c in numeric else (F.lit(None), F.lit(None))
@@ -45,7 +47,7 @@ def summary(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
             F.min(c).cast("string").alias(f"min__{c}"),
             F.max(c).cast("string").alias(f"max__{c}"),
         ]
-    return _statistics_rows(df.agg(*wide), columns, ["count", "mean", "stddev", "min", "max"])
+    return _statistics_rows(clean.agg(*wide), columns, ["count", "mean", "stddev", "min", "max"])
 
 
 def mean_and_stddev(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -57,7 +59,10 @@ def mean_and_stddev(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def describe_by(df: DataFrame, group: str, columns: Sequence[str]) -> DataFrame:
-    """``(group, column, count, mean, stddev, min, q1, median, q3, max)`` with exact quartiles."""
+    """``(group, column, count, mean, stddev, min, q1, median, q3, max)`` with exact quartiles.
+
+    A group without any value of a column is listed with count 0 and nulls.
+    """
     clean = nan_to_null(df, columns)
     wide = []
     for c in columns:
@@ -68,7 +73,7 @@ def describe_by(df: DataFrame, group: str, columns: Sequence[str]) -> DataFrame:
         ]
     basic = _statistics_rows(clean.groupBy(group).agg(*wide), columns, ["count", "mean", "stddev", "min", "max"], [group])
     quartiles = exact_percentiles(_long(clean, columns, [group]), "value", QUARTILES, [group, "column"])
-    return join_on_groups(basic, quartiles, [group, "column"])
+    return join_on_groups(basic, quartiles, [group, "column"], "left")
 
 
 def bucketize(column: Column, edges: Sequence[float], labels: Sequence[str]) -> Column:
@@ -168,8 +173,9 @@ def density(df: DataFrame, column: str, grid: int = 200) -> DataFrame:
     """
     values = _present(df, column)
     extent = _extent(values, "value")
-    low, step = extent["lo"], (extent["hi"] - extent["lo"]) / (grid - 1)
-    bandwidth = extent["sd"] * F.pow(extent["n"].cast("double"), F.lit(-0.2))
+    low, step = extent["lo"], (extent["hi"] - extent["lo"]) / max(grid - 1, 1)
+    # A constant column has no bandwidth, and so no density.
+    bandwidth = F.nullif(extent["sd"] * F.pow(extent["n"].cast("double"), F.lit(-0.2)), F.lit(0.0))
     counted = values.groupBy("value").agg(F.count("*").alias("n"))
     placed = counted.select("value", "n", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("point"))
     distance = (low + F.col("point") * step - F.col("value")) / bandwidth
@@ -190,7 +196,7 @@ def group_rates(df: DataFrame, group: str, means: dict[str, str], flag: str) ->
     rates = nan_to_null(df, list(means.values())).groupBy(group).agg(
         *[F.avg(c).alias(n) for n, c in means.items()],
         F.count("*").alias("total"),
-        F.sum(F.when(F.col(flag) == 1, 1).otherwise(0)).alias("flagged"),
+        F.count_if(F.col(flag) == 1).alias("flagged"),
     )
     return rates.withColumn("rate", F.col("flagged") / F.col("total"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -52,12 +52,12 @@ def handle_missing(df: DataFrame, impute: Sequence[str], essential: Sequence[str
 
 
 def first_per_key(df: DataFrame, key: Sequence[str], order_by: str) -> DataFrame:
-    """One row per key, the one with the smallest ``order_by`` (unique within a key).
+    """One row per key, the one with the smallest ``order_by`` (unique within a key; null comes last).
 
     Each task reduces its rows to one per key before the shuffle, so a key with very many copies
     does not pile up anywhere.
     """
-    first = F.min_by(F.struct(*df.columns), F.col(order_by)).alias("_row")
+    first = F.min_by(F.struct(*df.columns), F.struct(F.col(order_by).isNull(), F.col(order_by))).alias("_row")
     return df.groupBy(*key).agg(first).select("_row.*").select(*df.columns)
 
 
@@ -98,6 +98,3 @@ def category_counts(df: DataFrame, column: str, keep_null: bool = True) -> DataF
     counts = rows.groupBy(column).agg(F.count("*").alias("count"))
     return counts.orderBy(F.col("count").desc(), F.col(column).asc_nulls_last())
 
-
-def rename(df: DataFrame, names: Mapping[str, str]) -> DataFrame:
-    return df.withColumnsRenamed(dict(names))

@@ -82,6 +82,24 @@ def within_distance(index: DataFrame, pairs: DataFrame, distance: int = 1) -> Da
     return hits.filter("matches > 0")
 
 
+def phrase_matches(index: DataFrame, phrases: DataFrame) -> DataFrame:
+    """Documents that hold all tokens of a phrase, in order and next to each other.
+
+    ``index`` is the output of :func:`postings`; ``phrases`` is ``(pair_id, tokens)``, of any length.
+    Returns ``(pair_id, doc_id, matches)`` with the number of places. Each distinct token gives the
+    starts its positions allow; a document counts if all tokens are there and some start is allowed
+    by each. Positions are intersected inside a row, never paired one with another.
+    """
+    listed = phrases.select("pair_id", F.size(F.array_distinct("tokens")).alias("needed"), numbered_rows_of("tokens").alias("offset", "token"))
+    wanted = listed.groupBy("pair_id", "needed", "token").agg(F.collect_list("offset").alias("offsets"))
+    found = match_by_key(index.select("doc_id", "token", "positions"), stage(wanted, "phrases"), "token", F.col("doc_id"))
+    common = lambda lists: F.aggregate(lists, F.get(lists, F.lit(0)), F.array_intersect)
+    starts = common(F.transform("offsets", lambda o: F.transform("positions", lambda p: p - o)))
+    both = found.select("pair_id", "doc_id", "needed", starts.alias("starts")).groupBy("pair_id", "doc_id", "needed").agg(F.collect_list("starts").alias("starts"))
+    hits = both.filter(F.size("starts") == F.col("needed")).select("pair_id", "doc_id", F.size(common(F.col("starts"))).cast("long").alias("matches"))
+    return hits.filter("matches > 0")
+
+
 # --- exact TF-IDF ---------------------------------------------------------------------------------
 
 
@@ -113,9 +131,13 @@ class TfIdfIndex:
         self.documents.write.mode("overwrite").parquet(f"{path}/documents")
         self.terms.write.mode("overwrite").parquet(f"{path}/terms")
         self.norms.write.mode("overwrite").parquet(f"{path}/norms")
+        settings = self.norms.sparkSession.createDataFrame([(self.ngram_low, self.ngram_high)], "ngram_low int, ngram_high int")
+        settings.write.mode("overwrite").parquet(f"{path}/settings")
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str, ngram_low: int = 1, ngram_high: int = 3) -> TfIdfIndex:
+    def load(cls, spark: SparkSession, path: str) -> TfIdfIndex:
+        """An index with the settings it was saved with."""
+        ngram_low, ngram_high = spark.read.parquet(f"{path}/settings").first()
         documents = by_key(spark.read.parquet(f"{path}/documents"), "doc_id")
         terms, norms = (spark.read.parquet(f"{path}/{part}") for part in ("terms", "norms"))
         return cls(documents, terms, norms, ngram_low, ngram_high)
@@ -151,13 +173,15 @@ def tfidf_index(
         texts = distinct_documents(df, id_col, tokens_col)
     else:
         texts = df.select(F.col(id_col).alias("doc_id"), as_text(F.col(tokens_col)).alias("text"))
-    documents = by_key(texts, "doc_id").select("doc_id", _index_words(F.col("text")).alias("tokens"))
+    # Written once: the terms, the norms and every search read tokens instead of making them again.
+    listed = stage(texts.select("doc_id", _index_words(F.col("text")).alias("tokens")), "index-documents")
+    documents = by_key(listed, "doc_id")
     total = documents.agg(F.count("*").alias("n")).scalar()
 
     # One row per document and distinct term leaves the row itself; repeats are cut before the
     # explode, and counts are summed per task before the shuffle.
     distinct = F.array_distinct(ngram_range(F.col("tokens"), ngram_low, ngram_high))
-    per_document = documents.select(rows_of(distinct).alias("term"))
+    per_document = listed.select(rows_of(distinct).alias("term"))
     counted = per_document.groupBy("term").agg(F.count("*").alias("df"))
     kept_terms = counted.filter((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df) * total))
     terms = stage(kept_terms.withColumn("idf", F.log((total + 1) / (F.col("df") + 1)) + 1), "terms")
@@ -208,19 +232,34 @@ def _bucket(buckets: int) -> Column:
     return F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
 
 
+@dataclass
+class StoredWeights:
+    """Document weights on storage, and the number of buckets they were written in."""
+
+    weights: DataFrame
+    buckets: int
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> StoredWeights:
+        return cls(spark.read.parquet(f"{path}/weights"), spark.read.parquet(f"{path}/settings").first()["buckets"])
+
+
 def save_weights(index: TfIdfIndex, path: str, buckets: int = 256, slices: int = 8) -> None:
     """Write the document weights in one folder per hash bucket of the term, sorted by term.
 
     A bucket has ``slices`` files by hash of the document: equal parts, however frequent a term is.
+    The number of buckets is written beside them, for :class:`StoredWeights`.
     """
     weights = tfidf_weights(index).withColumn("bucket", _bucket(buckets))
     spread_out = weights.repartition("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(slices)))
     ordered = spread_out.sortWithinPartitions("bucket", "term", "doc_id")
-    ordered.write.mode("overwrite").partitionBy("bucket").parquet(path)
+    ordered.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/weights")
+    settings = ordered.sparkSession.createDataFrame([(buckets,)], "buckets int")
+    settings.write.mode("overwrite").parquet(f"{path}/settings")
 
 
 def stored_cosine_scores(
-    weights: DataFrame, index: TfIdfIndex, queries: DataFrame, id_col: str, tokens_col: str, buckets: int = 256
+    stored: StoredWeights, index: TfIdfIndex, queries: DataFrame, id_col: str, tokens_col: str
 ) -> DataFrame:
     """Like :func:`cosine_scores`, from weights written by :func:`save_weights`.
 
@@ -229,8 +268,8 @@ def stored_cosine_scores(
     wanted = query_weights(index, queries, id_col, tokens_col).select("query_id", "term", F.col("weight").alias("wanted"))
     wanted = stage(wanted, "queries")
     # At most `buckets` numbers.
-    needed = [row.bucket for row in wanted.select(_bucket(buckets).alias("bucket")).distinct().collect()]
-    there = weights.filter(F.col("bucket").isin(needed)).select("doc_id", "term", "weight")
+    needed = [row.bucket for row in wanted.select(_bucket(stored.buckets).alias("bucket")).distinct().collect()]
+    there = stored.weights.filter(F.col("bucket").isin(needed)).select("doc_id", "term", "weight")
     matched = match_by_key(there, wanted, "term", F.col("doc_id"))
     return matched.groupBy("query_id", "doc_id").agg(F.sum(F.col("weight") * F.col("wanted")).alias("score"))
 

@@ -2,21 +2,29 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Keys that carry more than 1/HEAVY_KEYS of all rows; there can be fewer than HEAVY_KEYS of them.
 HEAVY_KEYS = 1000
-# A side is broadcast only when counting it shows no more rows than this.
-BROADCAST_ROWS = 1_000_000
+# A side is broadcast only when measuring it shows no more bytes than this.
+BROADCAST_BYTES = 64 << 20
+_FIXED_BYTES = 16
 
 
-def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Whether a side has few enough rows to be broadcast; of a staged table only footers are read.
+def fits_broadcast(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether a side is small enough to be broadcast, by the bytes of its values.
 
-    A plain count adds up per task. A limit would send each task's first rows to a single one.
+    Texts and lists are measured row by row, so a few very long ones count for what they are; the
+    sum is added up per task.
     """
-    return df.count() <= max_rows
+    fixed = F.lit(_FIXED_BYTES * len(df.columns))
+    long = [F.octet_length(F.col(c)) if t in ("string", "binary") else F.octet_length(F.to_json(F.struct(c)))
+            for c, t in df.dtypes if t in ("string", "binary") or t.startswith(("array", "map", "struct"))]
+    size = reduce(lambda a, b: a + F.coalesce(b, F.lit(0)), long, fixed)
+    return (df.agg(F.sum(size.cast("long")).alias("b")).first()["b"] or 0) <= max_bytes
 
 
 def attach_by_key(
@@ -46,15 +54,15 @@ def match_by_key(
     key: str,
     spread_by: Column,
     salts: int = 64,
-    max_rows: int = BROADCAST_ROWS,
+    max_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Inner join of a large table with a usually small many-to-many side.
 
-    ``wanted``, best a staged table, is broadcast when its row count allows it, so ``rows`` is not moved at all. Beyond
+    ``wanted``, best a staged table, is broadcast when its measured bytes allow it, so ``rows`` is not moved at all. Beyond
     that, ``rows`` is salted by ``spread_by`` and ``wanted`` repeated once per salt: a key holding a
     third of all rows is still spread over ``salts`` tasks. Both ways give the same rows.
     """
-    if fits_broadcast(wanted, max_rows):
+    if fits_broadcast(wanted, max_bytes):
         return rows.join(F.broadcast(wanted), key)
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
     repeated = wanted.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

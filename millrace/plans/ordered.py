@@ -15,11 +15,11 @@ from pyspark.sql import functions as F
 from millrace.plans.staging import stage
 
 
-def join_on_groups(rows: DataFrame, per_group: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Inner join on ``keys`` that also matches null keys and keeps one copy of them."""
+def join_on_groups(rows: DataFrame, per_group: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys`` that also matches null keys and keeps one copy of them."""
     renamed = per_group.withColumnsRenamed({k: f"_at_{k}" for k in keys})
     same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_at_{k}")) for k in keys])
-    return rows.join(renamed, same).drop(*[f"_at_{k}" for k in keys])
+    return rows.join(renamed, same, how).drop(*[f"_at_{k}" for k in keys])
 
 
 def running_totals(

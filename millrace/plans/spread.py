@@ -9,15 +9,13 @@ _ALL = 2**31 - 1
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Redistribute rows when there are fewer input files than cores.
+    """Redistribute texts that Spark would read in fewer tasks than there are cores.
 
-    Row-wise text work starts in the scan stage, so a single small file would keep it on one core.
-    A table of many files is returned unchanged: no shuffle is added where it is not needed.
+    The tasks of a scan are splits of ``spark.sql.files.maxPartitionBytes``, so only a table of less
+    than that for each core is moved, whatever its number of files; a large table never is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    # Counted in the JVM: a large table's list of paths is not copied into Python.
-    files = len(df._jdf.inputFiles())
-    return df.repartition(cores) if 0 < files < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def by_key(df: DataFrame, key: str) -> DataFrame:

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
-    BooleanType, DateType, DoubleType, IntegerType, LongType, StringType, StructField, StructType,
+    BooleanType, DataType, DateType, DoubleType, IntegerType, LongType, StringType, StructField, StructType,
 )
 
 from millrace.operators.quality import drop_incomplete, first_per_key
@@ -73,12 +73,20 @@ def read_tsv(spark: SparkSession, path: str, schema: StructType, multi_line: boo
         .csv(path)
     )
     typed = raw.select(*[
-        F.when(~F.col(f"`{f.name}`").isin(MISSING_TEXTS), F.col(f"`{f.name}`")).try_cast(f.dataType).alias(f.name)
+        _typed(F.when(~F.col(f"`{f.name}`").isin(MISSING_TEXTS), F.col(f"`{f.name}`")), f.dataType).alias(f.name)
         for f in schema.fields
     ])
     return drop_incomplete(typed)
 
 
+def _typed(text: Column, kind: DataType) -> Column:
+    """The text as a value of its type; a whole number may be written with a zero fraction (``3.0``)."""
+    if not isinstance(kind, (IntegerType, LongType)):
+        return text.try_cast(kind)
+    exact = text.try_cast("decimal(38,10)")
+    return F.coalesce(text.try_cast(kind), F.when(exact == F.floor(exact), exact.cast("string")).try_cast("decimal(28,0)").try_cast(kind))
+
+
 def write_products(df: DataFrame, path: str, order_by: str, keyword: str, run_date: date | None = None) -> None:
     """Products as TSV, the first row per description, under ``keyword`` and ``run_date`` folders.
 

@@ -68,3 +68,11 @@ def test_extraction_is_free_of_python(spark):
     df = spark.createDataFrame([(PAGE,)], "html string").select(F.col("html"))
     plan = extract.product_listings(df, "html", BASE)._jdf.queryExecution().executedPlan().toString()
     assert "EvalPython" not in plan
+
+
+def test_blocks_end_with_their_element_and_take_single_quotes(spark):
+    one = """<div class='s-result-item'><div>x</div><a class='a-link-normal s-no-outline' href='/dp/1'></a>
+        <span class='a-size-base-plus a-color-base a-text-normal'>Thing</span></div>"""
+    page = f"<body>{one}<footer><span class='a-price-whole'>99,00</span></footer></body>"
+    rows = extract.product_listings(spark.createDataFrame([(page,)], "html string"), "html", "https://x/").collect()
+    assert [(r.Description, r.Price, r.URL) for r in rows] == [("Thing", 0.0, "https://x/dp/1")]

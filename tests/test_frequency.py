@@ -21,3 +21,8 @@ def test_counts_equal_a_plain_count(spark, lists, n):
 def test_most_common_breaks_ties_by_text(spark):
     counts = frequency.ngram_counts(frame(spark, [["b", "a", "c", "c"], []]), "tokens")
     assert [(r.gram, r["count"]) for r in frequency.most_common(counts, 2).collect()] == [("c", 2), ("a", 1)]
+
+
+def test_grams_with_the_same_label_stay_apart(spark):
+    rows = spark.createDataFrame([(["a b", "c"],), (["a", "b c"],), (["a", "b c"],)], "tokens array<string>")
+    assert sorted(tuple(r) for r in frequency.ngram_counts(rows, "tokens", 2).collect()) == [("a b c", 1), ("a b c", 2)]

@@ -28,9 +28,15 @@ def test_no_python_and_no_all_pairs_join(spark, name):
 
 def test_texts_are_tokenised_once(spark):
     """No filter on the size of the token list is pushed to the scan."""
-    for name in ("trigram_counts", "search_hits", "postings"):
+    for name in ("trigram_counts", "postings"):
         scans = [line for line in plan(QUERIES[name](spark, DATA)).splitlines() if "FileScan" in line and "documents" in line]
         assert scans and not any("size(" in line for line in scans)
+    # A search reads the tokens that its index wrote.
+    assert "documents.parquet" not in plan(QUERIES["search_hits"](spark, DATA))
+
+
+def test_trips_are_not_moved_before_their_joins(spark):
+    assert "RoundRobin" not in plan(QUERIES["airline_rates"](spark, DATA))
 
 
 def test_one_profile_is_one_scan_with_partial_aggregation(spark):

@@ -53,7 +53,7 @@ def test_match_by_key_gives_the_same_rows_with_and_without_broadcast(spark):
     rows = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i % 5}") for i in range(300)], "id long, key string")
     wanted = spark.createDataFrame([("hot", 1), ("hot", 2), ("k0", 3), ("none", 4)], "key string, q long")
     small = joins.match_by_key(rows, wanted, "key", F.col("id"))
-    large = joins.match_by_key(rows, wanted, "key", F.col("id"), salts=8, max_rows=1)
+    large = joins.match_by_key(rows, wanted, "key", F.col("id"), salts=8, max_bytes=1)
     def bag(df):
         return sorted((r.id, r.key, r.q) for r in df.collect())
     assert bag(small) == bag(large) and len(bag(small)) > 400

@@ -114,3 +114,21 @@ def test_correlation_is_pairwise_complete(spark):
     assert out["b", "c"] == pytest.approx(np.corrcoef([2, 9, 3], [5, 1, 2])[0, 1])
     row = profile.correlation_with(df, ["a", "c"], "b").first()
     assert (row.corr_a, row.corr_c) == pytest.approx((out["a", "b"], out["b", "c"]))
+
+
+def test_a_group_without_values_is_described(spark):
+    rows = spark.createDataFrame([("a", 1.0), ("b", None)], "g string, v double")
+    got = {r.g: (r["count"], r["median"]) for r in profile.describe_by(rows, "g", ["v"]).collect()}
+    assert got == {"a": (1, 1.0), "b": (0, None)}
+
+
+def test_density_of_a_constant_and_of_one_point(spark):
+    rows = spark.createDataFrame([(2.0,), (2.0,)], "v double")
+    assert {r.density for r in profile.density(rows, "v", 5).collect()} == {None}
+    assert profile.density(spark.createDataFrame([(1.0,), (3.0,)], "v double"), "v", 1).count() == 1
+
+
+def test_summary_of_decimals_and_nan(spark):
+    rows = spark.sql("SELECT CAST(v AS DECIMAL(5,1)) AS d, CAST(w AS DOUBLE) AS n FROM VALUES (1.0, 'NaN'), (2.0, '3.0') t(v, w)")
+    got = {r.column: (r["count"], r["mean"], r["max"]) for r in profile.summary(rows).collect()}
+    assert got == {"d": (2, 1.5, "2.0"), "n": (1, 3.0, "3.0")}

@@ -70,3 +70,8 @@ def test_category_counts(gaps):
 def test_nan_to_null(gaps):
     assert quality.nan_to_null(gaps).filter(F.isnan("x")).count() == 0
     assert math.isnan(quality.nan_to_null(gaps, ["nothing"]).filter("id = 3").first().x)
+
+
+def test_first_per_key_keeps_the_key_when_the_order_is_null(spark):
+    rows = spark.createDataFrame([("a", None, 1), ("b", 2, 2), ("b", None, 3)], "k string, o int, v int")
+    assert sorted(tuple(r) for r in quality.first_per_key(rows, ["k"], "o").collect()) == [("a", None, 1), ("b", 2, 2)]

@@ -93,8 +93,8 @@ def test_saved_index_gives_the_same_hits(spark, tmp_path):
 def test_stored_weights_give_the_same_scores_and_prune_folders(spark, tmp_path):
     index = search.tfidf_index(frame(spark, DOCS), "id", "tokens")
     search.save_weights(index, str(tmp_path / "w"), 8)
-    weights = spark.read.parquet(str(tmp_path / "w"))
-    stored = search.stored_cosine_scores(weights, index, frame(spark, QUERIES), "id", "tokens", 8)
+    weights = search.StoredWeights.load(spark, str(tmp_path / "w"))
+    stored = search.stored_cosine_scores(weights, index, frame(spark, QUERIES), "id", "tokens")
     got = {(r.query_id, r.doc_id): r.score for r in stored.collect()}
     assert got == pytest.approx(brute_force(DOCS, QUERIES)[0])
     assert "PartitionFilters: [bucket" in stored._jdf.queryExecution().executedPlan().toString()
@@ -168,3 +168,11 @@ def test_search_does_not_move_documents_or_run_python(spark):
     plan = search.top_hits(scores)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "WindowGroupLimit" in plan
     assert "Python" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_phrases_of_any_length(spark):
+    texts = [(1, "a b c d a b c"), (2, "a b x c"), (3, "c b a"), (4, "b c a b c d")]
+    index = search.postings(spark.createDataFrame([(i, t.split()) for i, t in texts], "id long, tokens array<string>"), "id", "tokens")
+    phrases = spark.createDataFrame([(1, ["a", "b", "c"]), (2, ["b"]), (3, ["a", "b", "c", "d"]), (4, ["c", "b", "c"]), (5, ["b", "c", "a", "b", "c"])], "pair_id long, tokens array<string>")
+    got = {(r.pair_id, r.doc_id): r.matches for r in search.phrase_matches(index, phrases).collect()}
+    assert got == {(1, 1): 2, (1, 4): 1, (2, 1): 2, (2, 2): 1, (2, 3): 1, (2, 4): 2, (3, 1): 1, (3, 4): 1, (5, 4): 1}

@@ -42,3 +42,9 @@ def test_product_sink_keeps_the_first_and_other_days(spark, tmp_path):
 
 def test_smoke_frame(spark):
     assert spark.createDataFrame([(1, "Alice"), (2, "Bob"), (3, "Charlie")], "id long, name string").count() == 3
+
+
+def test_whole_numbers_may_have_a_zero_fraction(spark, tmp_path):
+    (tmp_path / "t.tsv").write_text("a\tb\nx\t3.0\ny\t3.5\nz\t9007199254740993\nw\t1e3\n")
+    rows = delimited.read_tsv(spark, str(tmp_path / "t.tsv"), delimited.schema_of(a="string", b="long")).collect()
+    assert {r.a: r.b for r in rows} == {"x": 3, "z": 9007199254740993, "w": 1000}
