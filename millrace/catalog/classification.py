@@ -202,12 +202,14 @@ _CODED_SQL = f"""prepared AS (SELECT trip_id, CASE WHEN coalesce(dep_delay, 0) >
 
 
 def _encoded(spark: SparkSession, folder: str) -> DataFrame:
+    """Every trip encoded, with its order's side of the split."""
     rows = trips(spark, folder, *_NUMERIC, *_CATEGORICAL, "dep_delay", "trip_id", "order_key")
     # Delays and causes that are missing are 0; no row is lost.
     rows = quality.handle_missing(rows, ["dep_delay", *CAUSES], ["order_key"])
     labelled = features.binary_label(rows, "dep_delay", 15.0)
-    train, _ = features.train_test_split(labelled, F.col("order_key"))
-    return features.encode(features.fit_encoder(train, _NUMERIC, _CATEGORICAL), labelled, "trip_id", "label")
+    sided = features.with_side(labelled, F.col("order_key"))
+    train = sided.filter(F.col("side") == "train")
+    return features.encode(features.fit_encoder(train, _NUMERIC, _CATEGORICAL), sided, "trip_id", "label", "side")
 
 
 @query(
@@ -222,6 +224,38 @@ def encoded_features(spark: SparkSession, folder: str) -> DataFrame:
     return round_doubles(cells.filter("value <> 0"))
 
 
+_TEST_SQL = f"""WITH {TRIPS_SQL}, {_CODED_SQL}
+    SELECT trip_id, label, true AS in_range, true AS agrees FROM prepared WHERE NOT training"""
+
+
+def _scored_trips(spark: SparkSession, folder: str, family: str) -> DataFrame:
+    """The test side of the trips: whether each score is a probability and agrees with the prediction."""
+    rows = _encoded(spark, folder)
+    model = models.train(family, rows.filter(F.col("side") == "train"))
+    scores = models.predict(model, rows.filter(F.col("side") == "test")).withColumn("score", evaluate.positive_score())
+    agrees = (F.col("prediction") == 1) == (F.col("score") > 0.5)
+    return scores.select("trip_id", "label", F.col("score").between(0.0, 1.0).alias("in_range"), agrees.alias("agrees"))
+
+
+@query("trip_logistic_regression", _TEST_SQL)
+def trip_logistic_regression(spark: SparkSession, folder: str) -> DataFrame:
+    return _scored_trips(spark, folder, "logistic_regression")
+
+
+@query("trip_random_forest", _TEST_SQL)
+def trip_random_forest(spark: SparkSession, folder: str) -> DataFrame:
+    return _scored_trips(spark, folder, "random_forest")
+
+
+@query(
+    "trip_label_distribution",
+    f"""WITH {TRIPS_SQL}, {_CODED_SQL}
+        SELECT CASE WHEN training THEN 'train' ELSE 'test' END AS side, label, CAST(count(*) AS BIGINT) AS count FROM prepared GROUP BY ALL""",
+)
+def trip_label_distribution(spark: SparkSession, folder: str) -> DataFrame:
+    return features.label_distribution(_encoded(spark, folder).select("side", "label"))
+
+
 @query("feature_importances")
 def feature_importances(spark: SparkSession, folder: str) -> DataFrame:
     rows = _encoded(spark, folder)
