@@ -9,13 +9,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.Table]:
     """The rows of Arrow batches in pieces of about ``most`` bytes of text, one row at least.
 
     Null texts become empty ones. A batch of long texts is thus never expanded to words at once.
+    Arrow's unused memory goes back to the system after the last piece, as workers outlive their tasks.
     """
     for batch in batches:
         table = pa.Table.from_batches([batch])
@@ -31,6 +32,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SL
             stop = max(start + 1, int(np.searchsorted(ends, before + most, side="right")))
             yield table.slice(start, stop - start)
             start = stop
+    pa.default_memory_pool().release_unused()
 
 
 def plain(column: pa.ChunkedArray | pa.Array) -> pa.Array:

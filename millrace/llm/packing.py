@@ -35,7 +35,7 @@ class WordEncoder:
 
     Right for tokenizers that drop white space and whose pieces never reach over it. A word of
     letters followed by marks is two pieces, so it costs two look-ups; every other word is encoded
-    whole. The memo of letter runs is emptied when it holds ``CACHED_STEMS`` entries.
+    whole. The memo of letter runs is emptied when it holds ``CACHED_STEMS`` entries, and after a task.
     """
 
     def __init__(self, path: str) -> None:
@@ -136,6 +136,7 @@ def token_pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer_path: st
                 [plain(table["doc_id"]).take(pa.array(row)), pa.array(start), pa.array(length), pa.array(lengths[row]), binary.cast(pa.binary()), pa.array(place)],
                 names=["doc_id", "start", "length", "doc_tokens", "ids", "place"],
             )
+        encoder.clear()
 
     kind = dict(numbered.dtypes)["doc_id"]
     return numbered.mapInArrow(cut, f"doc_id {kind}, start long, length long, doc_tokens long, ids binary, place long")
