@@ -8,7 +8,9 @@ fill the seed's window greedily.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,12 +32,19 @@ MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _encoders: dict[str, WordEncoder] = {}
 
 
+@lru_cache(maxsize=None)  # bounded by the letters of Unicode
+def ends_in_letter(last: str) -> bool:
+    """Whether a piece that ends in this letter still does so after normalising and lower-casing."""
+    return not last or unicodedata.category(unicodedata.normalize("NFC", last).lower()[-1])[0] == "L"
+
+
 class WordEncoder:
     """Token ids of texts, computed once per distinct word.
 
     Right for tokenizers that drop white space and whose pieces never reach over it. A word of
     letters followed by marks is two pieces, so it costs two look-ups; every other word is encoded
-    whole. The memo of letter runs is emptied when it holds ``CACHED_STEMS`` entries, and after a task.
+    whole, also one whose last letter turns into a letter and a combining mark, which belongs to the
+    marks after it. The memo of letter runs is emptied when it holds ``CACHED_STEMS`` entries, and after a task.
     """
 
     def __init__(self, path: str) -> None:
@@ -80,6 +89,9 @@ class WordEncoder:
         offsets, codes, words = word_codes(texts)
         stems = pc.ascii_rtrim(words, MARKS)
         simple = pc.or_(pc.utf8_is_alpha(stems), pc.equal(pc.binary_length(stems), 0)).to_numpy(zero_copy_only=False)
+        ends = plain(pc.dictionary_encode(pc.utf8_slice_codeunits(stems, -1)))
+        safe = np.array([ends_in_letter(c) for c in ends.dictionary.to_pylist()], bool)
+        simple &= safe[ends.indices.to_numpy()]
         cut = pc.binary_length(stems).to_numpy(zero_copy_only=False)
         full = pc.binary_length(words).to_numpy(zero_copy_only=False)
         # A number for the first piece of each distinct word and, where marks follow, for the second.

@@ -1,6 +1,7 @@
 """Packing, near-duplicates, language, quality, mixing and the pipeline on odd rows and against brute force."""
 
 import re
+import unicodedata
 import zlib
 from collections import defaultdict
 
@@ -33,6 +34,20 @@ def test_word_encoder_equals_the_tokenizer():
             assert ids[offsets[i] : offsets[i + 1]].tolist() == tokenizer.encode(text, add_special_tokens=False).ids + [1]
 
 
+def test_words_whose_last_letter_becomes_a_letter_and_a_mark():
+    texts = ["BELEDİYESİ, İ! Aİ", "\u0924\u0930\u095e, \u0924\u0930\u095e \u0938\u093e\u095d.", "\ufb2a, \ufb2a\ufb2b; \ufb2ax.", "plain, BELEDİYE. İİ,", "naïve, ΑΣ. é"]
+    encoder = packing.WordEncoder(TOKENIZER)
+    tokenizer = Tokenizer.from_file(TOKENIZER)
+    offsets, ids = encoder(pa.array(texts), 1)
+    for i, text in enumerate(texts):
+        assert ids[offsets[i] : offsets[i + 1]].tolist() == tokenizer.encode(text, add_special_tokens=False).ids + [1]
+    letters = [chr(c) for c in range(0x80, 0x110000) if unicodedata.category(chr(c))[0] == "L"]
+    words = [f"{c}," for c in letters]
+    offsets, ids = encoder(pa.array(words), 1)
+    wanted = [e.ids + [1] for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+    assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == wanted
+
+
 def check_packed(docs, rows, window):
     tokenizer = Tokenizer.from_file(TOKENIZER)
     wanted = defaultdict(list)
