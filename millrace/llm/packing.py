@@ -1,15 +1,22 @@
 """Lexical retrieval packing: documents that share rare tokens go into the same training sequence.
 
-Documents are tokenised where they are read. Whole windows are cut off first; what is left of each
-document waits in one of many shards. A shard is an inverted index of bounded size: its first unused
-document is a seed, BM25 over the postings of the seed's tokens ranks the unused others, and these
-fill the seed's window greedily.
+Documents are tokenised where they are read. Whole windows are cut off first; they are sequences
+already, with no room for a neighbour. What is left of each document is weighted by the frequency of
+its tokens in the whole corpus, projected, and routed through a tree of two-means splits, so that
+pieces with the same telling tokens stand side by side. Runs of pieces in this order are shards. A
+shard is an inverted index of bounded size: its first unused piece is a seed, BM25 with corpus-wide
+weights over the postings of all tokens of the seed ranks the unused others, and these fill the
+seed's window greedily.
+
+The neighbours of a seed are the best ones of its shard, not of the corpus: exact ones would compare
+every seed with every piece, as each id of a tokenizer's bounded vocabulary stands in a fixed share of them.
 """
 
 from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -20,11 +27,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.chunks import plain, ranges, slices, word_codes
+from millrace.plans.staging import stage
 
 WINDOW = 2048
 SHARD_DOCUMENTS = 1024
-QUERY_TOKENS = 48
 K1, B = 1.2, 0.75
+# Length of the vectors by which pieces are routed, rows of the tree's sample, and its rows in a leaf.
+DIMENSIONS = 32
+SAMPLE_ROWS = 20_000
+LEAF_ROWS = 8
+# Pieces whose tokens are projected together.
+ROWS_AT_ONCE = 512
 CACHED_STEMS = 300_000
 # ASCII marks that a tokenizer's pattern keeps together as one piece; the apostrophe opens suffixes.
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -154,10 +167,173 @@ def token_pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer_path: st
     return numbered.mapInArrow(cut, f"doc_id {kind}, start long, length long, doc_tokens long, ids binary, place long")
 
 
+def _token_counts(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``(row, token, tf)`` of the pieces of a batch, some hundred rows at a time; every row has one at least."""
+    data = plain(batch.column(batch.schema.get_field_index("ids")).cast(pa.large_binary()))
+    offsets = np.frombuffer(data.buffers()[1], np.int64, len(data) + 1) // 4
+    ids = np.frombuffer(data.buffers()[2], "<u4", offsets[-1])
+    for start in range(0, len(data), ROWS_AT_ONCE):
+        bounds = offsets[start : start + ROWS_AT_ONCE + 1]
+        row = np.repeat(np.arange(len(bounds) - 1, dtype=np.uint64), np.diff(bounds))
+        keys = np.sort((row << np.uint64(32)) | ids[bounds[0] : bounds[-1]])
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        tf = np.diff(np.append(first, len(keys)))
+        yield (keys[first] >> np.uint64(32)).astype(np.int64), (keys[first] & np.uint64(0xFFFFFFFF)).astype(np.int64), tf
+
+
+@dataclass
+class Statistics:
+    """Corpus-wide BM25 statistics: ``idf`` of every id, mean length and number of pieces."""
+
+    idf: np.ndarray
+    mean: float
+    pieces: int
+
+
+def statistics(rests: DataFrame, size: int) -> Statistics:
+    """Count all pieces; a task hands on one row per id below ``size`` at most."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = np.zeros(size + 2, np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                for row, token, tf in _token_counts(batch):
+                    totals[:size] += np.bincount(token, minlength=size)
+                    totals[size:] += row[-1] + 1, tf.sum()
+        at = np.flatnonzero(totals)
+        yield pa.RecordBatch.from_pydict({"slot": pa.array(at), "n": pa.array(totals[at])})
+
+    rows = rests.select("ids").mapInArrow(counted, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    totals = np.zeros(size + 2, np.int64)
+    totals[rows["slot"].to_numpy()] = rows["n"].to_numpy()
+    df, pieces, tokens = totals[:size], int(totals[size]), int(totals[size + 1])
+    return Statistics(np.log1p((pieces - df + 0.5) / (df + 0.5)), tokens / max(pieces, 1), pieces)
+
+
+def _direction(points: np.ndarray) -> np.ndarray:
+    """About the direction in which points differ most."""
+    centred = points - points.mean(0)
+    along = centred[np.argmax((centred**2).sum(1))]
+    for _ in range(8):
+        along = centred.T @ (centred @ along)
+        along = along / max(np.sqrt((along**2).sum()), 1e-30)
+    return along
+
+
+@dataclass
+class Tree:
+    """Splits ``normal, threshold`` with two ``children`` each (``~leaf`` for a leaf); leaves are
+    numbered from left to right, and within one ``along`` gives the order."""
+
+    normal: np.ndarray
+    threshold: np.ndarray
+    children: np.ndarray
+    along: np.ndarray
+
+    def keys(self, points: np.ndarray, tie: np.ndarray) -> np.ndarray:
+        """Places in the tree's order: leaf, place in the leaf, and 32 bits of ``tie``."""
+        at = np.zeros(len(points), np.int64)
+        while (inner := np.flatnonzero(at >= 0)).size:
+            node = at[inner]
+            high = (points[inner] * self.normal[node]).sum(1) > self.threshold[node]
+            at[inner] = self.children[node, high.astype(np.int64)]
+        fine = np.clip(((points * self.along[~at]).sum(1) + 1) * 32768, 0, 65535).astype(np.int64)
+        return (~at << 48) | (fine << 32) | (tie & 0xFFFFFFFF)
+
+
+def tree(points: np.ndarray, leaf_rows: int = LEAF_ROWS) -> Tree:
+    """Two-means splits of a sample down to leaves of ``leaf_rows`` points, or of equal ones."""
+    normal, threshold, children, along = [np.zeros(DIMENSIONS)], [0.0], [[0, 0]], []
+    waiting = [(np.arange(len(points)), 0, 0), (np.arange(0), 0, 1)][::-1]
+    while waiting:
+        rows, parent, side = waiting.pop()
+        here, split = points[rows], None
+        if len(rows) > leaf_rows:
+            across = _direction(here)
+            cut = float((here @ across).mean())
+            for _ in range(4):
+                high = here @ across > cut
+                if not 0 < high.sum() < len(rows):
+                    break
+                a, b = here[~high].mean(0), here[high].mean(0)
+                across, cut = b - a, float((b - a) @ (a + b) / 2)
+            high = (here * across).sum(1) > cut
+            if not 0.05 < high.mean() < 0.95:
+                values = (here * across).sum(1)
+                cut = float(np.median(values))
+                high = values > cut
+            split = high if 0 < high.sum() < len(rows) else None
+        if split is None:
+            children[parent][side] = ~len(along)
+            along.append(_direction(here) if len(here) > 1 else np.zeros(DIMENSIONS))
+            continue
+        children[parent][side] = len(normal)
+        waiting += [(rows[split], len(normal), 1), (rows[~split], len(normal), 0)]
+        normal.append(across)
+        threshold.append(cut)
+        children.append([0, 0])
+    return Tree(np.array(normal), np.array(threshold), np.array(children), np.array(along))
+
+
+def _vectors(batch: pa.RecordBatch, idf: np.ndarray, projection: np.ndarray) -> np.ndarray:
+    """A unit vector for each piece: its tokens' BM25 weights, projected."""
+    out = [np.zeros((0, projection.shape[1]))]
+    for row, token, tf in _token_counts(batch):
+        weight = (idf[token] * tf / (tf + K1)).astype(np.float32)
+        sums = np.add.reduceat(projection[token] * weight[:, None], np.flatnonzero(np.diff(row, prepend=-1)), 0).astype(np.float64)
+        out.append(sums / np.maximum(np.sqrt((sums**2).sum(1, keepdims=True)), 1e-30))
+    return np.concatenate(out)
+
+
+def _tie(place: np.ndarray, start: np.ndarray) -> np.ndarray:
+    mixed = place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + start.astype(np.uint64)
+    mixed = (mixed ^ (mixed >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (mixed >> np.uint64(32)).astype(np.int64)
+
+
+def routed(rests: DataFrame, found: Statistics, parts: int) -> DataFrame:
+    """The pieces in ``parts`` partitions, similar ones side by side in each.
+
+    Partitions hold about equal numbers of pieces: equal ones are told apart by their places. The
+    driver holds vectors of about ``SAMPLE_ROWS`` pieces.
+    """
+    projection = np.random.default_rng(7).standard_normal((len(found.idf), DIMENSIONS)).astype(np.float32)
+    context = rests.sparkSession.sparkContext
+    known = context.broadcast((found.idf, projection))
+
+    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                vectors = _vectors(batch, *known.value)
+                tie = _tie(batch.column("place").to_numpy(), batch.column("start").to_numpy())
+                yield pa.RecordBatch.from_pydict({"tie": pa.array(tie), "vector": pa.array([v.tobytes() for v in vectors], pa.binary())})
+
+    chance = F.pmod(F.xxhash64("place", "start", F.lit(11)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    sample = rests.filter(chance < SAMPLE_ROWS / max(found.pieces, 1)).select("place", "start", "ids").mapInArrow(sampled, "tie long, vector binary").orderBy("tie").toArrow()
+    points = np.frombuffer(b"".join(sample["vector"].to_pylist()), np.float64).reshape(-1, DIMENSIONS)
+    order = tree(points)
+    keys = np.sort(order.keys(points, sample["tie"].to_numpy()))
+    bounds = keys[np.arange(1, parts) * len(keys) // parts] if len(keys) else np.zeros(0, np.int64)
+    routes = context.broadcast((order, bounds))
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                order, bounds = routes.value
+                at = order.keys(_vectors(batch, *known.value), _tie(batch.column("place").to_numpy(), batch.column("start").to_numpy()))
+                part = np.searchsorted(bounds, at, side="right").astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at), pa.array(part)], names=[*batch.schema.names, "dealt", "part"])
+
+    kind = dict(rests.dtypes)["doc_id"]
+    rows = rests.mapInArrow(dealt, f"doc_id {kind}, start long, length long, doc_tokens long, ids binary, place long, dealt long, part int")
+    return rows.repartitionById(parts, "part").drop("part").sortWithinPartitions("dealt", "place", "start").drop("dealt", "place")
+
+
 class Shard:
-    """An inverted index of at most some thousand token lists, and which of their tokens are unused."""
+    """An inverted index of at most some thousand token lists, and which of their tokens are unused.
+    Weights are those of the corpus, or of the lists themselves if none are given."""
 
-    def __init__(self, lists: list[np.ndarray]) -> None:
+    def __init__(self, lists: list[np.ndarray], known: Statistics | None = None) -> None:
         self.left = np.array([len(x) for x in lists], np.int64)
         self.used = np.zeros(len(lists), np.int64)
         token = np.concatenate(lists).astype(np.uint64)
@@ -166,26 +342,28 @@ class Shard:
         self.place = (keys & np.uint64(0xFFFFFF)).astype(np.int64)
         self.tokens, first, df = np.unique(keys >> np.uint64(24), return_index=True, return_counts=True)
         self.first = np.append(first, len(keys))
-        idf = np.log1p((len(lists) - df + 0.5) / (df + 0.5))
-        norm = K1 * (1 - B + B * self.left / self.left.mean())
+        idf = known.idf[self.tokens.astype(np.int64)] if known else np.log1p((len(lists) - df + 0.5) / (df + 0.5))
+        norm = K1 * (1 - B + B * self.left / (known.mean if known else self.left.mean()))
         self.weight = np.repeat(idf, df) * tf * (K1 + 1) / (tf + norm[self.place])
         # The tokens of each list, the most telling first.
         slot = np.repeat(np.arange(len(self.tokens)), df)
         order = np.lexsort((slot, -self.weight, self.place))
         self.of_list, self.list_first = slot[order], np.searchsorted(self.place[order], np.arange(len(lists) + 1))
 
-    def ranked(self, seed: int, query_tokens: int) -> np.ndarray:
-        """All lists by falling BM25 score for the seed's tokens, ties in order."""
+    def ranked(self, seed: int, query_tokens: int | None) -> np.ndarray:
+        """All lists by falling BM25 score for the seed's tokens (None: all of them), ties in order."""
         slots = self.of_list[self.list_first[seed] : self.list_first[seed + 1]][:query_tokens]
         hits = ranges(self.first[slots], self.first[slots + 1] - self.first[slots])
         scores = np.bincount(self.place[hits], self.weight[hits], len(self.left))
         return np.argsort(-scores, kind="stable")
 
 
-def fill_windows(lists: list[np.ndarray], window: int, query_tokens: int) -> Iterator[list[tuple[int, int, int]]]:
+def fill_windows(
+    lists: list[np.ndarray], window: int, query_tokens: int | None = None, known: Statistics | None = None
+) -> Iterator[list[tuple[int, int, int]]]:
     """Sequences of ``(list, start, length)``. The best unused neighbour that fits goes in whole; if
     none fits, the best one is cut and its rest stays unused. Only the last sequence can be short."""
-    shard = Shard(lists)
+    shard = Shard(lists, known)
     left, used = shard.left, shard.used
     for seed in range(len(lists)):
         while left[seed]:
@@ -216,7 +394,7 @@ def pack(
     tokenizer_path: str,
     window: int = WINDOW,
     shard_documents: int = SHARD_DOCUMENTS,
-    query_tokens: int = QUERY_TOKENS,
+    query_tokens: int | None = None,
     end_id: int = 1,
 ) -> DataFrame:
     """Pack all documents into sequences of ``window`` tokens.
@@ -225,17 +403,19 @@ def pack(
     document, the end id included, lies in exactly one piece, and pieces fill a sequence gaplessly
     from offset 0. Only the last sequence of a shard can be shorter than the window.
 
-    Pieces are dealt evenly to the partitions and sorted there by a number of their own, so neither
-    equal ids nor copies gather in a task; a partition is packed shard after shard in bounded memory,
-    and a lost task packs the same sequences again. Null texts count as empty (one piece, the end
-    id); equal rows are documents of their own; null ids are kept; an empty table gives no rows;
-    other columns are ignored. Equal scores take the earlier list. A seed is looked up by its
-    ``query_tokens`` tokens of highest weight; lists without any of them come last and are not lost.
+    Pieces go to partitions of about equal size in the order of a tree over the whole corpus, so
+    neither equal ids nor copies gather in a task; a partition is packed shard after shard in bounded
+    memory, and a lost task packs the same sequences again. Null texts count as empty (one piece, the
+    end id); equal rows are documents of their own; null ids are kept; an empty table gives no rows;
+    other columns are ignored. Equal scores take the earlier list. A seed is looked up by all its
+    tokens, or the ``query_tokens`` of highest weight; lists without any of them come last and are not lost.
     """
-    pieces = token_pieces(docs, id_col, text_col, tokenizer_path, window, end_id)
-    dealt = F.xxhash64("place", "start")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = pieces.withColumn("dealt", dealt).repartition(parts, "dealt").sortWithinPartitions("dealt", "place", "start").drop("dealt", "place")
+    pieces = stage(token_pieces(docs, id_col, text_col, tokenizer_path, window, end_id), "packing-pieces")
+    vocabulary = _encoder(tokenizer_path).tokenizer.get_vocab()
+    rests = pieces.filter(F.col("length") < window)
+    found = statistics(rests, max(end_id, *vocabulary.values()) + 1)
+    shared = docs.sparkSession.sparkContext.broadcast(found)
+    rows = routed(rests, found, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sequence_id = TaskContext.get().partitionId() << 32
@@ -257,7 +437,7 @@ def pack(
         def shards() -> Iterator[pa.RecordBatch]:
             lists = [np.frombuffer(x[4], "<u4") for x in waiting]
             out = []
-            for sequence in fill_windows(lists, window, query_tokens):
+            for sequence in fill_windows(lists, window, query_tokens, shared.value):
                 out.append([(waiting[i][0], waiting[i][1] + at, n, waiting[i][3], waiting[i][4][4 * at : 4 * (at + n)]) for i, at, n in sequence])
             waiting.clear()
             yield written(out)
@@ -265,20 +445,19 @@ def pack(
         id_kind = pa.int64()
         for batch in batches:
             id_kind = batch.schema.field("doc_id").type
-            whole = []
             for row in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "start", "length", "doc_tokens", "ids")]):
-                if row[2] == window:
-                    whole.append([row])
-                    continue
                 waiting.append(row)
                 if len(waiting) == shard_documents:
                     yield from shards()
-            yield written(whole)
         if waiting:
             yield from shards()
 
     kind = dict(docs.dtypes)[id_col]
-    return rows.mapInArrow(packed, f"doc_id {kind}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
+    filled = rows.mapInArrow(packed, f"doc_id {kind}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
+    # Whole windows are sequences where they are; their numbers lie above those of all partitions.
+    number = (F.monotonically_increasing_id() + F.lit(1 << 62)).alias("sequence_id")
+    whole = pieces.filter(F.col("length") == window)
+    return filled.union(whole.select("doc_id", "start", "length", "doc_tokens", number, F.lit(0).cast("long").alias("offset"), "ids"))
 
 
 NAMES = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]

@@ -90,6 +90,25 @@ def test_packing_pads_little_and_puts_related_documents_together(spark):
         assert len({i % 2 for i, _, _ in sequence[:4]}) == 1 or len(sequence) < 5
 
 
+def test_related_documents_meet_from_all_over_the_corpus(spark):
+    rng = np.random.default_rng(5)
+    words = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 9)) for _ in range(60 * 12)]
+    common = "the of and to in is that it was for on as with his they at be this have from".split()
+    texts = []
+    for i in range(1200):
+        own = words[i % 60 * 12 : i % 60 * 12 + 12]
+        texts.append((i, " ".join(rng.permutation([*rng.choice(own, 12), *rng.choice(common, 40)]).tolist())))
+    docs = spark.createDataFrame(texts, "id long, body string").repartition(8)
+    rows = packing.with_checksums(packing.pack(docs, "id", "body", TOKENIZER, window=512, shard_documents=20), keep_ids=True).collect()
+    check_packed(texts, rows, 512)
+    sequences = defaultdict(list)
+    for r in rows:
+        sequences[r.sequence_id].append(r.doc_id % 60)
+    pairs = [(a, b) for topics in sequences.values() for n, a in enumerate(topics) for b in topics[:n]]
+    # Dealt at random to 60 shards of 20, hardly any two of a topic meet; a topic fills three windows and a half.
+    assert sum(a == b for a, b in pairs) > 0.5 * len(pairs)
+
+
 # --- near-duplicates ------------------------------------------------------------------------------
 
 
