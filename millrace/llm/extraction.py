@@ -1,8 +1,9 @@
 """Main text of web pages by composite text density.
 
 Every node of a page's tree gets its characters and tags, with those in links set against it; the
-node whose children's densities add up to most holds the article, and within it only children as
-dense as the sparsest node on the way to the body are kept.
+node whose children's densities add up to most holds the article, or a part of it: where branches
+beside it are as dense as the sparsest node on the way to the body, the node above them all holds it.
+Within it, branches with links that are less dense than that are left out.
 """
 
 from __future__ import annotations
@@ -55,7 +56,7 @@ NAMING = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|(
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 
 
-@dataclass
+@dataclass(eq=False)
 class Node:
     tag: str
     parent: Node | None
@@ -196,7 +197,8 @@ def own_density(node: Node) -> float:
 
 
 def article(root: Node) -> tuple[Node, float]:
-    """The node with the largest density sum, and the least density on its path to the body."""
+    """The node with the largest density sum, or the one above it that holds all branches as dense as
+    its path to the body; and the least density on that path. A marked article stands for itself."""
     order = measure(root)
     marked = [n for n in order if n.tag in ("article", "main") and n.chars]
     # Nested ones first: an article's own sum stands for all that its blocks hold.
@@ -208,6 +210,18 @@ def article(root: Node) -> tuple[Node, float]:
     while up is not None and up.parent is not None:
         threshold = min(threshold, up.density)
         up = up.parent
+    if best in marked:
+        return best, threshold
+    dense: set[int] = set()
+    for node in order:
+        reaches = node.tag in BLOCKS and node.density >= threshold and 2 * node.link_chars <= node.chars
+        if reaches or any(id(c) in dense for c in node.children if isinstance(c, Node)):
+            dense.add(id(node))
+    node, up = best, best.parent
+    while up is not None:
+        if own_density(up) >= threshold or any(c is not node and id(c) in dense for c in up.children if isinstance(c, Node)):
+            best = up
+        node, up = up, up.parent
     return best, threshold
 
 

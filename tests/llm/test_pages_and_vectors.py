@@ -104,6 +104,17 @@ def test_article_without_its_surroundings(around):
     assert extraction.main_text(page) == TEXT
 
 
+PARAGRAPHS = [f"{name} " + "words of the story go on and on here, " * 8 + "end." for name in "one two three four five six".split()]
+NAV = "<div><a href=1>Home page</a> <a href=2>News of today</a> <a href=3>All the rest of it</a></div>"
+
+
+@pytest.mark.parametrize("around", ["{}{}", "<div>{}</div><div>{}</div>", "<div><section>{}</section></div><h2>Next part</h2><div><div>{}</div></div>", "<article>{}</article><article>{}</article>"])
+def test_article_in_several_sections(around):
+    first, second = ["".join(f"<p>{p}</p>" for p in part) for part in (PARAGRAPHS[:3], PARAGRAPHS[3:])]
+    text = extraction.main_text(f"<html><body>{NAV}{around.format(first, second)}{NAV}</body></html>")
+    assert text == " ".join(PARAGRAPHS[:3] + ["Next part"] * ("<h2>" in around) + PARAGRAPHS[3:])
+
+
 def test_extraction_of_the_test_pages_and_odd_ones(spark):
     import html
     import re
