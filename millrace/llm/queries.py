@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import extraction, language, licences, mixing, neighbours, packing, quality, simhash, topk, warc
+from millrace.llm import clustering, extraction, language, licences, mixing, neighbours, packing, quality, simhash, topk, warc
 from millrace.plans.staging import new_scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -180,3 +180,38 @@ FROM marked m LEFT JOIN inherited i USING (doc_id)
 
 
 SQL["op6_licences"] = _licence_sql()
+
+
+@query
+def op11_shallot_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    """The cluster of every vector of 64 components after ten rounds."""
+    return clustering.cluster(table(spark, folder, "embeddings"), "vec_id", "embedding")
+
+
+def _clusters_sql(clusters: int, rounds: int, dimensions: int) -> str:
+    squared = "CAST(list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT)"
+    nearest = f"(SELECT *, {squared} AS distance FROM kept, c{{0}} QUALIFY row_number() OVER (PARTITION BY row ORDER BY distance, cluster) = 1)"
+    steps = []
+    for n in range(rounds):
+        steps.append(f"""a{n} AS MATERIALIZED (SELECT cluster, v FROM {nearest.format(n)}
+), m{n} AS (
+    SELECT cluster, i, (s - ((s % n) + n) % n) // n AS x
+    FROM (SELECT cluster, i, CAST(sum(v[i]) AS BIGINT) AS s, count(*) AS n FROM a{n}, (SELECT unnest(range(1, {dimensions + 1})) AS i) GROUP BY cluster, i)
+), c{n + 1} AS MATERIALIZED (
+    SELECT c{n}.cluster, coalesce(t.c, c{n}.c) AS c FROM c{n} LEFT JOIN (SELECT cluster, list(x ORDER BY i) AS c FROM m{n} GROUP BY cluster) t USING (cluster)
+)""")
+    return f"""
+WITH kept AS MATERIALIZED (
+    SELECT vec_id, row_number() OVER () AS row, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+    WHERE len(embedding) = {dimensions} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), c0 AS MATERIALIZED (
+    SELECT row_number() OVER (ORDER BY key, v) - 1 AS cluster, v AS c
+    FROM (SELECT v, sha256('{clustering.SEED}:' || vec_id) AS key FROM kept WHERE vec_id IS NOT NULL) ORDER BY key, v LIMIT {clusters}
+), {", ".join(steps)}, placed AS MATERIALIZED (SELECT vec_id, cluster, distance, c FROM {nearest.format(rounds)})
+SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+    CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM placed
+"""
+
+
+SQL["op11_shallot_clusters"] = _clusters_sql(clustering.CLUSTERS, clustering.ROUNDS, clustering.DIMENSIONS)

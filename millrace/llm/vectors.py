@@ -31,3 +31,42 @@ def best_of(found: DataFrame, k: int, *order: Column) -> DataFrame:
     """The first ``k`` rows of each ``query_id`` with their ``rank``; tasks keep no more than that before they exchange."""
     ranks = Window.partitionBy("query_id").orderBy(*order)
     return found.withColumn("rank", F.row_number().over(ranks)).filter(F.col("rank") <= k)
+
+
+DOUBLE_MOST = np.finfo(np.float64).max
+# Sums of squares of so many bits are exact in 64-bit integers for vectors of up to 128 components.
+PLAIN_BITS = 27
+LIMB = 32
+
+
+def scaled(vectors: np.ndarray, scale: int) -> np.ndarray:
+    """``floor(scale * x)`` as doubles, which hold it exactly; beyond a double's range it is cut to that."""
+    with np.errstate(over="ignore"):
+        return np.clip(np.floor(scale * vectors), -DOUBLE_MOST, DOUBLE_MOST)
+
+
+def integers(whole: np.ndarray) -> np.ndarray:
+    """Doubles without fraction as 64-bit integers, or as Python's if one of them is too large to be squared."""
+    if np.abs(whole).max(initial=0) <= 2**PLAIN_BITS:
+        return whole.astype(np.int64)
+    return np.array([int(x) for x in whole.ravel().tolist()], object).reshape(whole.shape)
+
+
+def limbs(values: dict[int, int]) -> tuple[list[int], list[int], list[int]]:
+    """``(slot, limb, value)`` columns of integers of any size, in parts of 32 bits that add up as 64-bit numbers."""
+    out: tuple[list[int], list[int], list[int]] = ([], [], [])
+    for slot, value in values.items():
+        left, limb = abs(value), 0
+        while left:
+            for column, x in zip(out, (slot, limb, (left & ((1 << LIMB) - 1)) * (1 if value > 0 else -1))):
+                column.append(x)
+            left, limb = left >> LIMB, limb + 1
+    return out
+
+
+def from_limbs(rows: list) -> dict[int, int]:
+    """The sums by slot, from rows ``slot, limb, value``."""
+    out: dict[int, int] = {}
+    for slot, limb, value in rows:
+        out[slot] = out.get(slot, 0) + (value << (LIMB * limb))
+    return out
