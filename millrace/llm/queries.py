@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import clustering, extraction, language, licences, mixing, neighbours, packing, quality, simhash, topk, warc
+from millrace.llm import clustering, extraction, language, licences, mixing, neighbours, packing, quality, simhash, topk, warc, whitening
 from millrace.plans.staging import new_scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -215,3 +215,9 @@ FROM placed
 
 
 SQL["op11_shallot_clusters"] = _clusters_sql(clustering.CLUSTERS, clustering.ROUNDS, clustering.DIMENSIONS)
+
+
+@query
+def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """Every vector along the eight directions in which all differ most, with unit deviations."""
+    return whitening.whiten(table(spark, folder, "embeddings"), "vec_id", "embedding")
