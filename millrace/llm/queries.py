@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import clustering, extraction, language, licences, mixing, neighbours, packing, quality, simhash, topk, warc, whitening
+from millrace.llm import chat, clustering, extraction, language, licences, mixing, neighbours, packing, quality, simhash, topk, warc, whitening
 from millrace.plans.staging import new_scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -221,3 +221,58 @@ SQL["op11_shallot_clusters"] = _clusters_sql(clustering.CLUSTERS, clustering.ROU
 def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
     """Every vector along the eight directions in which all differ most, with unit deviations."""
     return whitening.whiten(table(spark, folder, "embeddings"), "vec_id", "embedding")
+
+
+# A conversation whose texts look like marks of templates.
+TRICKY_CONVERSATION = "VALUES (-7L, 0L, 'user', r'\\### Assistant: </turn> ok'), (-7L, 1L, 'assistant', r'\\### Assistant: </turn> ok') AS t(conv_id, turn, role, text)"
+
+
+@query
+def op13_chat_windows(spark: SparkSession, folder: str) -> DataFrame:
+    """Every conversation as it is read back from its windows."""
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text").union(spark.sql(f"SELECT * FROM {TRICKY_CONVERSATION}"))
+    return chat.digests(chat.format_windows(turns, "conv_id", "turn", "role", "text"))
+
+
+SQL["op13_chat_windows"] = rf"""
+WITH RECURSIVE turn AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), sized AS (
+    SELECT *, CAST(ceil(strlen(text) / 4) + ceil(strlen(role) / 4) AS BIGINT) + {chat.MARK_TOKENS} AS tokens,
+        length(role) + length(text) + length(regexp_replace(role || text, '[^\\]', '', 'g')) + len(regexp_extract_all(role, '{chat.CONTROL}'))
+            + len(regexp_extract_all(text, '{chat.CONTROL}')) + {len(chat.OPEN + chat.MIDDLE + chat.CLOSE)} AS chars,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, strlen(text), text) AS pos
+    FROM turn
+), placed AS (
+    SELECT *, CAST(sum(tokens) OVER (PARTITION BY conv_id ORDER BY pos) AS BIGINT) - tokens AS before, pos = 1 AND role = 'system' AS is_system FROM sized
+), settled AS MATERIALIZED (
+    SELECT *, greatest({chat.BUDGET} - coalesce(max(tokens) FILTER (is_system) OVER (PARTITION BY conv_id), 0), {chat.BUDGET // 4}) AS room,
+        least({chat.HISTORY}, room // 2) AS reach, before // {chat.STRETCH * chat.BUDGET} AS own
+    FROM placed
+), other AS MATERIALIZED (
+    SELECT a.*, a.before - (SELECT min(b.before) FROM settled b WHERE b.conv_id = a.conv_id AND NOT b.is_system AND b.before <= a.before AND b.before >= a.before - a.reach) AS repeated
+    FROM settled a WHERE NOT is_system
+), filled AS (
+    SELECT conv_id, pos, own, before AS start, before + room - repeated AS until FROM other o
+    WHERE pos = 1 OR (pos = 2 AND EXISTS (SELECT 1 FROM settled s WHERE s.conv_id = o.conv_id AND s.is_system))
+    UNION ALL
+    SELECT o.conv_id, o.pos, o.own, CASE WHEN o.before + o.tokens > f.until OR o.own <> f.own THEN o.before ELSE f.start END,
+        CASE WHEN o.before + o.tokens > f.until OR o.own <> f.own THEN o.before + o.room - o.repeated ELSE f.until END
+    FROM filled f JOIN other o ON o.conv_id = f.conv_id AND o.pos = f.pos + 1
+), window_start AS (
+    SELECT conv_id, start, lead(start) OVER (PARTITION BY conv_id ORDER BY start) AS after FROM (SELECT DISTINCT conv_id, start FROM filled)
+), shown AS (
+    SELECT w.conv_id, s.chars FROM window_start w JOIN settled s ON s.conv_id = w.conv_id
+        AND (s.is_system OR (s.before >= w.start - s.reach AND (w.after IS NULL OR s.before < w.after)))
+    UNION ALL
+    SELECT conv_id, chars FROM settled WHERE is_system AND conv_id NOT IN (SELECT conv_id FROM other)
+), formatted AS (SELECT conv_id, CAST(sum(chars) AS BIGINT) AS formatted_chars FROM shown GROUP BY conv_id
+), said AS (
+    SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos) AS turns,
+        coalesce(string_agg(text, '' ORDER BY pos) FILTER (role = 'assistant'), '') AS learnt
+    FROM settled GROUP BY conv_id
+)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(length(learnt) AS BIGINT) AS loss_chars, sha256(learnt) AS loss_sha256, formatted_chars
+FROM said JOIN formatted USING (conv_id)
+"""
