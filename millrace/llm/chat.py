@@ -66,7 +66,9 @@ def _short_stretches(turns: DataFrame) -> DataFrame:
     )
     own = F.lit(0).cast("long")
     entry = lambda x: F.struct((x["upto"] - x["sorted"]["tokens"]).alias("before"), own.alias("own"), *[x["sorted"][c].alias(c) for c in ("role", "text", "tokens")])
-    return rows.withColumn("upto", upto).select("conv", own.alias("stretch"), F.transform(F.arrays_zip("sorted", "upto"), entry).alias("entries"))
+    return rows.withColumn("upto", upto).select(
+        "conv", own.alias("stretch"), F.transform(F.arrays_zip("sorted", "upto"), entry).alias("entries"), F.element_at("upto", -1).alias("all")
+    )
 
 
 def _long_stretches(turns: DataFrame, stretch: int, history: int) -> DataFrame:
@@ -75,25 +77,26 @@ def _long_stretches(turns: DataFrame, stretch: int, history: int) -> DataFrame:
     rows = stage(turns.withColumn("row", F.monotonically_increasing_id()), "chat-turns")
     order = [F.col(c) for c in [*ORDER, "row"]]
     summed = running_totals(rows.drop("text"), order, ["tokens"], ["conv"])
-    placed = summed.select("row", (F.col("tokens_upto") - F.col("tokens")).alias("before"), (F.col("tokens_all") - 1).alias("last"))
+    placed = summed.select("row", (F.col("tokens_upto") - F.col("tokens")).alias("before"), F.col("tokens_all").alias("all"))
     own = F.floor(F.col("before") / stretch)
     is_system = (F.col("before") == 0) & (F.col("role") == SYSTEM_ROLE)
-    until = F.when(is_system, F.floor(F.col("last") / stretch)).otherwise(F.least(own + 1, F.floor((F.col("before") + history) / stretch)))
+    until = F.when(is_system, F.floor((F.col("all") - 1) / stretch)).otherwise(F.least(own + 1, F.floor((F.col("before") + history) / stretch)))
     # Numbers in two steps: no array is as long as a long conversation.
     copies = rows.join(placed, "row").withColumns({"own": own, "until": until})
     copies = copies.withColumn("block", F.explode(F.sequence(F.floor(F.col("own") / 1024), F.floor(F.col("until") / 1024))))
     within = F.sequence(F.greatest(F.col("own"), F.col("block") * 1024), F.least(F.col("until"), F.col("block") * 1024 + 1023))
     copies = copies.withColumn("stretch", F.explode(within))
-    return copies.groupBy("conv", "stretch").agg(F.sort_array(F.collect_list(F.struct("before", "own", "role", "text", "tokens"))).alias("entries"))
+    entries = F.sort_array(F.collect_list(F.struct("before", "own", "role", "text", "tokens")))
+    return copies.groupBy("conv", "stretch").agg(entries.alias("entries"), F.max("all").alias("all"))
 
 
 def _windows(stretches: DataFrame, budget: int, history: int) -> DataFrame:
     """``conv, window, n_repeated, turns``: each stretch's windows, filled turn by turn up to the budget."""
     system = F.filter("entries", lambda x: (x["before"] == 0) & (x["role"] == SYSTEM_ROLE))
     others = F.filter("entries", lambda x: (x["before"] > 0) | (x["role"] != SYSTEM_ROLE))
-    parts = stretches.select("conv", "stretch", system.alias("system"), others.alias("others"))
-    room = F.greatest(F.lit(budget) - F.coalesce(F.try_element_at("system", F.lit(1))["tokens"], F.lit(0)), F.lit(budget // 4)).cast("long")
-    parts = parts.withColumn("room", room).withColumn("reach", F.least(F.lit(history), F.floor(F.col("room") / 2)).cast("long"))
+    parts = stretches.select("conv", "stretch", "all", system.alias("system"), others.alias("others"))
+    parts = parts.withColumn("opening", F.coalesce(F.try_element_at("system", F.lit(1))["tokens"], F.lit(0)))
+    parts = parts.withColumn("room", F.greatest(F.lit(budget) - F.col("opening"), F.lit(budget // 4)).cast("long")).withColumn("reach", F.least(F.lit(history), F.floor(F.col("room") / 2)).cast("long"))
 
     def repeated(start: Column) -> Column:
         """Tokens of the history that a window beginning at ``start`` repeats."""
@@ -110,13 +113,12 @@ def _windows(stretches: DataFrame, budget: int, history: int) -> DataFrame:
         lambda got: got["starts"],
     )
     # A system turn alone is a window; a stretch without a turn of its own has none.
-    alone = F.when((F.col("stretch") == 0) & (F.size("others") == 0), F.array(F.lit(0).cast("long"))).otherwise(F.array().cast("array<bigint>"))
+    alone = F.when((F.col("stretch") == 0) & (F.col("opening") == F.col("all")), F.array(F.lit(0).cast("long"))).otherwise(F.array().cast("array<bigint>"))
     begun = parts.withColumn("starts", starts).withColumn("starts", F.when(F.size("starts") > 0, F.col("starts")).otherwise(alone))
     rows = begun.select("*", F.posexplode("starts").alias("number", "start"))
     after = F.coalesce(F.try_element_at("starts", F.col("number") + 2), F.lit((1 << 63) - 1))
     shown = F.filter("others", lambda x: (x["before"] >= F.col("start") - F.col("reach")) & (x["before"] < after))
-    first = (F.col("stretch") == 0) & (F.col("number") == 0)
-    again = F.when(first, 0).otherwise(F.size("system")) + F.size(F.filter("others", lambda x: (x["before"] >= F.col("start") - F.col("reach")) & (x["before"] < F.col("start"))))
+    again = F.when(F.col("start") <= F.col("opening"), 0).otherwise(F.size("system")) + F.size(F.filter("others", lambda x: (x["before"] >= F.col("start") - F.col("reach")) & (x["before"] < F.col("start"))))
     # A stretch has fewer windows than tokens, so the numbers grow with the conversation.
     window = F.col("stretch") * (1 << 20) + F.col("number")
     return rows.select("conv", window.alias("window"), again.cast("int").alias("n_repeated"), F.concat("system", shown).alias("turns"))

@@ -294,4 +294,4 @@ def cluster(
     facts = [(j, min(inertia.get(j, 0), LONG), hashlib.sha256(",".join(str(int(x)) for x in p).encode()).hexdigest()) for j, p in enumerate(points)]
     per_cluster = spark.createDataFrame(facts, "cluster int, cluster_inertia long, centroid_sha256 string")
     placed = found.filter("slot is null").select("vec_id", "cluster", "distance")
-    return placed.join(F.broadcast(per_cluster), "cluster").select("vec_id", "cluster", "distance", "cluster_inertia", F.lit(total).alias("inertia"), "centroid_sha256")
+    return placed.join(F.broadcast(per_cluster), "cluster").select("vec_id", "cluster", "distance", "cluster_inertia", F.lit(total).cast("long").alias("inertia"), "centroid_sha256")

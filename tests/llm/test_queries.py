@@ -10,7 +10,7 @@ from tools import compare
 
 def test_all_operators_are_registered():
     numbers = sorted(int(n[2:].split("_")[0]) for n in QUERIES)
-    assert numbers == list(range(1, 11)) and "pipeline" in driver.queries() and set(QUERIES) <= set(driver.queries())
+    assert numbers == list(range(1, 14)) and "pipeline" in driver.queries() and set(QUERIES) <= set(driver.queries())
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
@@ -28,6 +28,7 @@ def test_query_equals_sql(spark, name, monkeypatch):
     ("op5_neighbours", ["query_id", "rank", "vec_id", "score"]),
     ("op7_quality", ["doc_id", "score", "keep"]),
     ("op8_main_text", ["page_id", "url", "text", "n_chars"]),
+    ("op12_whitening", ["vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"]),
     ("op10_retrieval_packing", ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]),
 ])
 def test_query_columns(spark, name, columns):
