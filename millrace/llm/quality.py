@@ -219,16 +219,17 @@ def _slot(*parts: str) -> int:
 def hashed_features(words: Words, statistics: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``(row, bucket, value)``: shares of word shapes and of their pairs, and one slot for the range
     each statistic lies in."""
-    shapes, of_word = np.unique(np.array(words.shapes, object).astype(str), return_inverse=True) if words.shapes else (np.zeros(0, str), np.zeros(0, int))
-    slots = np.array([_slot("shape", s) for s in shapes.tolist()], np.int64)
-    shape = of_word[words.codes]
+    # As dictionary codes: an array of equally wide strings would be as wide as the longest word.
+    encoded = plain(pc.dictionary_encode(pa.array(words.shapes, pa.large_string())))
+    shapes, of_word = encoded.dictionary.to_pylist(), encoded.indices.to_numpy(zero_copy_only=False)
+    slots = np.array([_slot("shape", s) for s in shapes], np.int64)
+    shape = of_word[words.codes].astype(np.int64)
     n = np.maximum(np.diff(words.offsets), 1).astype(np.float64)
     rows, buckets, values = [words.owner], [slots[shape] if len(shape) else np.zeros(0, int)], [1 / n[words.owner]]
     inner = np.flatnonzero(words.owner[1:] == words.owner[:-1])
     if len(inner):
         pair, at = np.unique(shape[:-1][inner] * len(shapes) + shape[1:][inner], return_inverse=True)
-        names = shapes.tolist()
-        pair_slots = np.array([_slot("pair", names[p // len(names)], names[p % len(names)]) for p in pair.tolist()], np.int64)
+        pair_slots = np.array([_slot("pair", shapes[p // len(shapes)], shapes[p % len(shapes)]) for p in pair.tolist()], np.int64)
         rows.append(words.owner[:-1][inner])
         buckets.append(pair_slots[at])
         values.append(1 / n[words.owner[:-1][inner]])

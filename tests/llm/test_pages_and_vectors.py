@@ -108,11 +108,47 @@ PARAGRAPHS = [f"{name} " + "words of the story go on and on here, " * 8 + "end."
 NAV = "<div><a href=1>Home page</a> <a href=2>News of today</a> <a href=3>All the rest of it</a></div>"
 
 
-@pytest.mark.parametrize("around", ["{}{}", "<div>{}</div><div>{}</div>", "<div><section>{}</section></div><h2>Next part</h2><div><div>{}</div></div>", "<article>{}</article><article>{}</article>"])
+ONE = "".join(f"<p>{p}</p>" for p in PARAGRAPHS)
+NOTICE = "<div>We use cookies. Accept them.</div>"
+
+
+@pytest.mark.parametrize("around", [
+    "{}{}", "<div>{}</div><div>{}</div>", "<div><section>{}</section></div><h2>Next part</h2><div><div>{}</div></div>", "<article>{}</article><article>{}</article>",
+    "<div>{}</div><p>Next part</p><div>{}</div>", "<div>{}</div><div>{}</div>" + NOTICE, NOTICE + "<article>{}</article><article>{}</article>" + NOTICE,
+    "<div class=post>{}{}</div>", "<section><div>{}</div><div>Next part</div><div>{}</div></section>",
+])
 def test_article_in_several_sections(around):
     first, second = ["".join(f"<p>{p}</p>" for p in part) for part in (PARAGRAPHS[:3], PARAGRAPHS[3:])]
     text = extraction.main_text(f"<html><body>{NAV}{around.format(first, second)}{NAV}</body></html>")
-    assert text == " ".join(PARAGRAPHS[:3] + ["Next part"] * ("<h2>" in around) + PARAGRAPHS[3:])
+    assert text == " ".join(PARAGRAPHS[:3] + ["Next part"] * ("Next" in around) + PARAGRAPHS[3:])
+
+
+@pytest.mark.parametrize("page", [
+    f'<div style="overflow: hidden ; color:red">{ONE}</div>', f'<div class="page menu-open">{ONE}</div>', f'<div class="image-share-card">{ONE}</div>', f"<p it's>{ONE}",
+    f"<p a='x>y' b = \"it's\" c=d/e/>{ONE}", f"<form id=x>{ONE}</form>", f'<div class="content sidebar-page">{ONE}</div>', f'<div style="color:red; DISPLAY : none">gone away</div><div>{ONE}</div>',
+    f"<div hidden>gone</div>{ONE}", f"<div aria-hidden='true'>gone</div><div>{ONE}</div>", f"<a title=\"the hidden valley\"></a>{ONE}", f"<div hidden>{ONE}</div>",
+    f"<div class=post>{ONE}<section id=comments>{ONE}{ONE}</section></div>", f"<article>{ONE}<div class='share-buttons'>Share this with friends</div></article>",
+    f"<article>{ONE}<div class='author-ad-note'>Short</div></article>", f"<main><article>{ONE}</article><div>Neutral words</div></main>",
+])
+def test_names_and_attributes_do_not_overrule_density(page):
+    assert extraction.main_text(f"<html><body>{NAV}{page}<footer>foot</footer></body></html>") == " ".join(PARAGRAPHS)
+
+
+@pytest.mark.parametrize("shell", ["<article>{}</article>", "<div class=post>{}</div>", "<main>{}</main>", "<div><div>{}</div></div>"])
+def test_links_inside_an_article_are_kept(shell):
+    references = "<ul>" + "".join(f"<li><a href=x>Reference number {i}</a></li>" for i in range(5)) + "</ul>"
+    linked = "<p>See <a href=x>this very long link text here</a> ok.</p><p title='the hidden valley'>kept</p>"
+    text = extraction.main_text(f"<html><body>{NAV}{shell.format(ONE + linked + references)}</body></html>")
+    assert text == " ".join([*PARAGRAPHS, "See this very long link text here ok. kept", *(f"Reference number {i}" for i in range(5))])
+
+
+def test_deep_nesting_takes_time_in_proportion():
+    import time
+
+    for page in ("<div>" * 20_000 + "x" + "</i>" * 20_000, "<i><div>" + "<b>" * 20_000 + "x" + "</i>" * 20_000, "<div>" + "<b>" * 9000 + "<tr>" * 9000 + "<td>" * 9000 + "</p>" * 9000 + "x"):
+        started = time.process_time()
+        assert extraction.main_text(page) == "x"
+        assert time.process_time() - started < 5
 
 
 def test_extraction_of_the_test_pages_and_odd_ones(spark):
