@@ -60,9 +60,9 @@ def postings(spark: SparkSession, folder: str) -> DataFrame:
 )
 def stored_index_lookup(spark: SparkSession, folder: str) -> DataFrame:
     path = new_scratch_path(spark, "index")
-    search.save_postings(search.postings(_tokens(spark, folder), "doc_id", "tokens"), path, 8)
+    search.save_postings(search.postings(_tokens(spark, folder), "doc_id", "tokens"), path)
     wanted = _queries(spark, folder).select(F.explode("tokens").alias("token")).distinct()
-    return spark.read.parquet(path).join(wanted, "token", "left_semi").select("doc_id", "token", "tf")
+    return search.stored_postings(spark, path, wanted).select("doc_id", "token", "tf")
 
 
 @query(
@@ -159,9 +159,8 @@ def _top_sql(preset: str) -> str:
 
 def _top(spark: SparkSession, folder: str, preset: str) -> DataFrame:
     index = search.tfidf_index(_tokens(spark, folder, preset), "doc_id", "tokens")
-    scores = search.cosine_scores(index, _queries(spark, folder, preset), "item_id", "tokens")
     # Ranked by rounded scores, so that last-digit differences between engines cannot swap hits.
-    return search.top_hits(round_doubles(scores))
+    return search.search(index, _queries(spark, folder, preset), "item_id", "tokens", digits=6)
 
 
 @query("search_hits", _top_sql(SIMPLE) + " SELECT query_id, doc_id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM ranked WHERE rank <= 5")
@@ -174,10 +173,8 @@ def stored_search_hits(spark: SparkSession, folder: str) -> DataFrame:
     """The same hits from weights on storage, read only where a query term can be."""
     path = new_scratch_path(spark, "weights")
     index = search.tfidf_index(_tokens(spark, folder), "doc_id", "tokens")
-    search.save_weights(index, path, 16)
-    stored = search.StoredWeights.load(spark, path)
-    scores = search.stored_cosine_scores(stored, index, _queries(spark, folder), "item_id", "tokens")
-    return search.top_hits(round_doubles(scores))
+    search.save_weights(index, path)
+    return search.stored_search(search.Buckets.load(spark, path), index, _queries(spark, folder), "item_id", "tokens", digits=6)
 
 
 @query(
@@ -189,8 +186,37 @@ def search_hits_with_text(spark: SparkSession, folder: str) -> DataFrame:
     return search.attach_text(_top(spark, folder, "simple"), table(spark, folder, "documents"), "doc_id", "text")
 
 
-@query("hashed_search_hits")
+SLOTS = 10_000
+_HASHED_SQL = f"""slot_tokens AS (SELECT doc_id, unnest({SIMPLE}) AS token FROM documents),
+    query_tokens AS (SELECT item_id AS doc_id, unnest({SIMPLE}) AS token FROM benchmark),
+    counts AS MATERIALIZED (SELECT doc_id, CAST('0x' || substr(md5(token), 1, 8) AS BIGINT) % {SLOTS} AS slot, count(*) AS tf FROM slot_tokens GROUP BY ALL),
+    query_counts AS (SELECT doc_id, CAST('0x' || substr(md5(token), 1, 8) AS BIGINT) % {SLOTS} AS slot, count(*) AS tf FROM query_tokens GROUP BY ALL),
+    idf AS MATERIALIZED (SELECT slot, ln(((SELECT count(*) FROM documents) + 1) / (count(*) + 1)) AS idf FROM counts GROUP BY slot),
+    weights AS MATERIALIZED (SELECT doc_id, slot, tf * idf / sqrt(sum(pow(tf * idf, 2)) OVER (PARTITION BY doc_id)) AS weight FROM counts JOIN idf USING (slot) WHERE idf > 0),
+    query_weights AS (SELECT doc_id AS query_id, slot, tf * idf / sqrt(sum(pow(tf * idf, 2)) OVER (PARTITION BY doc_id)) AS wanted
+        FROM query_counts JOIN idf USING (slot) WHERE idf > 0)"""
+
+
+@query("hashed_tfidf_weights", f"WITH {_HASHED_SQL} SELECT doc_id, CAST(slot AS INT) AS slot, round(weight, 6) AS weight FROM weights")
+def hashed_tfidf_weights(spark: SparkSession, folder: str) -> DataFrame:
+    weights = search.hashed_index(_tokens(spark, folder), "doc_id", "tokens", SLOTS).weights
+    return round_doubles(weights.select("doc_id", F.col("term").alias("slot"), "weight"))
+
+
+@query(
+    "hashed_search_hits",
+    f"""WITH {_HASHED_SQL}, scores AS (SELECT query_id, doc_id, round(sum(weight * wanted), 6) AS score FROM query_weights JOIN weights USING (slot) GROUP BY ALL)
+        SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INT) AS rank FROM scores
+        WHERE score >= 0.05 QUALIFY rank <= 5""",
+)
 def hashed_search_hits(spark: SparkSession, folder: str) -> DataFrame:
+    index = search.hashed_index(_tokens(spark, folder), "doc_id", "tokens", SLOTS)
+    return search.hashed_search(index, _queries(spark, folder), "item_id", "tokens", digits=6)
+
+
+@query("hashed_vector_hits")
+def hashed_vector_hits(spark: SparkSession, folder: str) -> DataFrame:
+    """The same search with vectors of a fitted pipeline, whose slots come from another hash."""
     docs = _tokens(spark, folder)
     model = search.hashed_tfidf_model(docs, "tokens")
     return search.top_hits(search.hashed_cosine_scores(model, docs, "doc_id", _queries(spark, folder), "item_id"))

@@ -40,6 +40,23 @@ def csv_scan_inferred(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select(F.col("event_id").cast("long"), F.col("user_id").cast("long"), "event_type", "value")
 
 
+@query(
+    "tsv_scan_line_breaks",
+    """SELECT o_orderkey AS id, o_orderpriority || chr(10) || '"' || o_orderstatus || '"' || CASE WHEN o_orderkey % 3 = 0 THEN chr(10) || chr(9) ELSE ' end' END AS note,
+        o_totalprice AS price FROM orders""",
+)
+def tsv_scan_line_breaks(spark: SparkSession, folder: str) -> DataFrame:
+    """Every order from one file whose fields hold line breaks, tabs and quotes; the file is read in splits."""
+    orders = table(spark, folder, "orders").select(
+        F.col("o_orderkey").cast("string").alias("id"),
+        F.concat("o_orderpriority", F.lit('\n"'), "o_orderstatus", F.lit('"'), F.when(F.col("o_orderkey") % 3 == 0, "\n\t").otherwise(" end")).alias("note"),
+        F.col("o_totalprice").cast("string").alias("price"),
+    )
+    path = new_scratch_path(spark, "orders-tsv")
+    orders.write.options(sep="\t", header=True, quote='"', escape='"', quoteAll=True).csv(path)
+    return delimited.read_tsv(spark, path, delimited.schema_of(id="long", note="string", price="double"))
+
+
 @query(
     "tsv_scan_complete_rows",
     """SELECT p_partkey AS id, p_name || ' "' || p_type || '"' || chr(9) || p_brand AS name, p_retailprice AS price

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+from pyspark.ml.functions import array_to_vector
+from pyspark.mllib.linalg.distributed import RowMatrix
+from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -165,24 +169,60 @@ def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
     )
 
 
+# Density: width of a bin and reach of a kernel in bandwidths, and moments kept for each bin. A kernel
+# is the series of its bin's moments; what the series and the reach leave out is below 1e-12 of a peak.
+_BIN, _REACH, _MOMENTS = 1 / 16, 9.0, 7
+
+
+def _hermite(t: Column, moments: Sequence[Column]) -> Column:
+    """``sum of moments[j] * He_j(t) / j!``, the kernels of a bin without their common factor."""
+    below, here, total, factorial = F.lit(0.0), F.lit(1.0), moments[0], 1.0
+    for j, moment in enumerate(moments[1:], 1):
+        below, here = here, t * here - (j - 1) * below
+        factorial *= j
+        total = total + moment * here / factorial
+    return total
+
+
 def density(df: DataFrame, column: str, grid: int = 200) -> DataFrame:
     """``(point, x, density)``: Gaussian kernel estimate on an even grid, Scott's bandwidth.
 
-    Equal values are counted first, and every task adds its values' kernels up to ``grid`` sums
-    before the shuffle.
+    Values within reach of a grid point are counted in bins of a sixteenth of a bandwidth, with the
+    moments of their places in the bin: tasks hand on some 300 bins for each grid point at most,
+    whatever the table's size, and only those meet the grid points in their reach. The error is below
+    1e-12 of one value's kernel at its peak.
     """
     values = _present(df, column)
-    extent = _extent(values, "value")
-    low, step = extent["lo"], (extent["hi"] - extent["lo"]) / max(grid - 1, 1)
+    extent = values.agg(F.count("value"), F.min("value"), F.max("value"), F.stddev_samp("value")).first()
+    n, low, high, spread = extent
+    frame = df.sparkSession.range(grid if n else 0).select(F.col("id").alias("point"))
+    step = (high - low) / max(grid - 1, 1) if n else 0.0
+    x = (F.lit(low or 0.0) + F.col("point") * step).alias("x")
     # A constant column has no bandwidth, and so no density.
-    bandwidth = F.nullif(extent["sd"] * F.pow(extent["n"].cast("double"), F.lit(-0.2)), F.lit(0.0))
-    counted = values.groupBy("value").agg(F.count("*").alias("n"))
-    placed = counted.select("value", "n", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("point"))
-    distance = (low + F.col("point") * step - F.col("value")) / bandwidth
-    kernel = F.sum(F.col("n") * F.exp(-distance * distance / 2))
-    sums = placed.groupBy("point").agg(kernel.alias("k"))
-    scale = extent["n"] * bandwidth * F.sqrt(F.lit(2) * F.pi())
-    return sums.select("point", (low + F.col("point") * step).alias("x"), (F.col("k") / scale).alias("density"))
+    if not spread:
+        return frame.select(F.col("point").cast("int").alias("point"), x, F.lit(None).cast("double").alias("density"))
+    h = spread * n**-0.2
+    value = F.col("value")
+    near = values.filter(F.abs(value - (low + F.round((value - low) / step) * step)) <= (_REACH + _BIN) * h)
+    placed = near.withColumn("bin", F.floor((value - low) / (h * _BIN)))
+    placed = placed.withColumn("u", (value - low) / h - (F.col("bin") + 0.5) * _BIN)
+    power, powers = F.lit(1.0), []
+    for j in range(_MOMENTS):
+        powers.append(F.sum(power).alias(f"m{j}"))
+        power = power * F.col("u")
+    sums = placed.groupBy("bin").agg(*powers)
+    middle = low + (F.col("bin") + 0.5) * _BIN * h
+    first = F.greatest(F.ceil((middle - _REACH * h - low) / step), F.lit(0))
+    last = F.least(F.floor((middle + _REACH * h - low) / step), F.lit(grid - 1))
+    reached = sums.select("*", middle.alias("middle"), first.alias("first"), last.alias("last")).filter("first <= last")
+    pairs = reached.withColumn("point", F.explode(F.sequence("first", "last")))
+    t = (low + F.col("point") * step - F.col("middle")) / h
+    kernel = F.exp(-F.col("t") * F.col("t") / 2) * _hermite(F.col("t"), [F.col(f"m{j}") for j in range(_MOMENTS)])
+    curve = pairs.withColumn("t", t).groupBy("point").agg(F.sum(kernel).alias("k"))
+    # Both sides have at most `grid` rows.
+    points = frame.join(F.broadcast(curve), "point", "left")
+    scale = n * h * math.sqrt(2 * math.pi)
+    return points.select(F.col("point").cast("int").alias("point"), x, (F.coalesce("k", F.lit(0.0)) / scale).alias("density"))
 
 
 def mean_by(df: DataFrame, group: Column | str, means: dict[str, str]) -> DataFrame:
@@ -220,17 +260,31 @@ def weekday(date: Column) -> Column:
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``(a, b, r)`` for all ordered pairs: Pearson correlation over rows that have both values.
 
-    One pass over the table: each row is read once per column and correlated with all columns,
-    reduced per task before the shuffle. One aggregate with all pairs side by side would outgrow
-    code generation.
+    A row becomes one vector: whether each value is there, the value, and its square, 0 where it is
+    missing. The Gramian of these vectors holds every pair's count, sums, squares and products over
+    its common rows. Rows are read once and added up per task; what is exchanged, and what the driver
+    gets, is the square of three times the columns. Values are shifted by those of one row, which
+    keeps sums small where columns lie far from 0.
     """
-    clean = nan_to_null(df.select(*columns)).select(*[F.col(c).cast("double").alias(c) for c in columns])
-    cells = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("value")) for c in columns])
-    rows = clean.select(F.explode(cells).alias("_cell"), *columns)
-    wide = rows.groupBy(F.col("_cell.name").alias("_a")).agg(
-        F.array(*[F.struct(F.lit(c).alias("b"), F.corr("_cell.value", c).alias("r")) for c in columns]).alias("_pairs")
-    )
-    return wide.select(F.col("_a").alias("a"), F.explode("_pairs").alias("_pair")).select("a", "_pair.b", "_pair.r")
+    clean = nan_to_null(df.select(*columns)).select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)])
+    d, some = len(columns), clean.first()
+    names = [(a, b) for a in range(d) for b in range(d)]
+    if some is None:
+        return df.sparkSession.createDataFrame([(columns[a], columns[b], None) for a, b in names], "a string, b string, r double")
+    shift = [x or 0.0 for x in some]
+    here = [F.col(f"x{i}").isNotNull().cast("double") for i in range(d)]
+    value = [F.coalesce(F.col(f"x{i}") - F.lit(shift[i]), F.lit(0.0)) for i in range(d)]
+    vectors = clean.select(array_to_vector(F.array(*here, *value, *[v * v for v in value])).alias("row"))
+    gram = RowMatrix(MLUtils.convertVectorColumnsFromML(vectors, "row")).computeGramianMatrix().toArray()
+
+    def r(a: int, b: int) -> float | None:
+        n, x, y = gram[a, b], gram[d + a, b], gram[a, d + b]
+        if n < 2:
+            return None
+        spread = (gram[2 * d + a, b] - x * x / n) * (gram[a, 2 * d + b] - y * y / n)
+        return max(-1.0, min(1.0, float((gram[d + a, d + b] - x * y / n) / math.sqrt(spread)))) if spread > 0 else None
+
+    return df.sparkSession.createDataFrame([(columns[a], columns[b], r(a, b)) for a, b in names], "a string, b string, r double")
 
 
 def correlation_with(df: DataFrame, columns: Sequence[str], target: str) -> DataFrame:

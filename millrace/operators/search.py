@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import IDF, HashingTF, Normalizer
@@ -10,7 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.text import as_text, ngram_range, simple_tokens
-from millrace.plans.joins import attach_by_key, match_by_key
+from millrace.operators import impact
+from millrace.plans.joins import attach_by_key, fits_broadcast, match_by_key
 from millrace.plans.spread import by_key, numbered_rows_of, rows_of
 from millrace.plans.staging import stage
 
@@ -49,13 +51,80 @@ def inverted_index(df: DataFrame, id_col: str, tokens_col: str, block_size: int
     )
 
 
-def save_postings(index: DataFrame, path: str, partitions: int) -> None:
-    """Write postings range-partitioned and sorted by token, so a token filter skips row groups.
+# Postings or weights of a storage bucket, and rows of a file; a bucket is what a look-up reads at least.
+PER_BUCKET = 1 << 22
 
-    ``doc_id`` is part of the range key: a token with very many postings is split over files.
+
+def _bucket(key: Column | str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
+def _write_buckets(df: DataFrame, key: str, order: list[str], path: str, buckets: int, files: int) -> None:
+    """One folder per hash bucket of ``key``, files of about equal size, sorted by ``order``.
+
+    Ranges cut a key with very many rows into several files. The number of buckets is written beside them.
     """
-    order = ["token", "doc_id"] if "doc_id" in index.columns else ["token", "block"]
-    index.repartitionByRange(partitions, *order).sortWithinPartitions(*order).write.mode("overwrite").parquet(path)
+    order = ["bucket", *order]
+    ranged = df.withColumn("bucket", _bucket(key, buckets)).repartitionByRange(files, *order).sortWithinPartitions(*order)
+    ranged.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/rows")
+    df.sparkSession.createDataFrame([(buckets,)], "buckets int").write.mode("overwrite").parquet(f"{path}/settings")
+
+
+def _parts(rows: int, per_part: int) -> int:
+    return max(1, -(-rows // per_part))
+
+
+@dataclass
+class Buckets:
+    """Rows on storage by hash bucket of a key."""
+
+    rows: DataFrame
+    buckets: int
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Buckets:
+        return cls(spark.read.parquet(f"{path}/rows"), spark.read.parquet(f"{path}/settings").first()["buckets"])
+
+    def of(self, wanted: DataFrame, key: str) -> DataFrame:
+        """The rows whose key is among ``wanted``; only the folders that can hold one are read."""
+        # At most as many numbers as buckets.
+        needed = [row.bucket for row in wanted.select(_bucket(key, self.buckets).alias("bucket")).distinct().collect()]
+        return self.rows.filter(F.col("bucket").isin(needed)).drop("bucket").join(wanted.select(key).distinct(), key, "left_semi")
+
+
+def posting_blocks(index: DataFrame, block_size: int = 1024) -> DataFrame:
+    """``(token, block, offsets, positions)``: the output of :func:`postings` in blocks of ``block_size``
+    consecutive integer document ids. A document is its offset in the block, and a position the
+    distance from the one before: small numbers, which take few bits on storage."""
+    gaps = F.transform("positions", lambda p, i: p - F.when(i > 0, F.get("positions", i - 1)).otherwise(F.lit(0)))
+    rows = index.select("token", F.floor(F.col("doc_id") / block_size).alias("block"), F.pmod("doc_id", F.lit(block_size)).cast("int").alias("offset"), gaps.alias("gaps"))
+    grouped = rows.groupBy("token", "block").agg(F.sort_array(F.collect_list(F.struct("offset", "gaps"))).alias("e"))
+    return grouped.select("token", "block", F.col("e.offset").alias("offsets"), F.col("e.gaps").alias("gaps"))
+
+
+def save_postings(index: DataFrame, path: str, block_size: int = 1024, per_bucket: int = PER_BUCKET) -> None:
+    """Write postings in blocks, one folder per bucket of tokens; see :func:`stored_postings`.
+
+    ``per_bucket`` postings are aimed at for a bucket, so their number follows the size of the index.
+    """
+    blocks = stage(posting_blocks(index, block_size), "posting-blocks")
+    total = blocks.agg(F.sum(F.size("offsets").cast("long")).alias("n")).first()["n"] or 0
+    parts = _parts(total, per_bucket)
+    _write_buckets(blocks.withColumn("size", F.lit(block_size)), "token", ["token", "block"], path, parts, parts)
+
+
+def stored_postings(spark: SparkSession, path: str, tokens: DataFrame) -> DataFrame:
+    """``(doc_id, token, tf, positions)`` of the given ``(token)`` from what :func:`save_postings` wrote.
+
+    Only the folders of buckets that hold a token asked for are read.
+    """
+    found = Buckets.load(spark, path).of(tokens, "token")
+    entries = found.select("token", "block", "size", rows_of(F.arrays_zip("offsets", "gaps")).alias("e"))
+    positions = F.aggregate(
+        "e.gaps", F.array().cast("array<int>"),
+        lambda sums, gap: F.concat(sums, F.array(F.coalesce(F.try_element_at(sums, F.lit(-1)), F.lit(0)) + gap)),
+    )
+    return entries.select((F.col("block") * F.col("size") + F.col("e.offsets")).alias("doc_id"), "token", F.size("e.gaps").cast("long").alias("tf"), positions.alias("positions"))
 
 
 def within_distance(index: DataFrame, pairs: DataFrame, distance: int = 1) -> DataFrame:
@@ -114,16 +183,48 @@ class TfIdfIndex:
     """Exact TF-IDF over word n-grams.
 
     ``documents`` is ``(doc_id, tokens)``, distributed by ``doc_id``; ``terms`` is
-    ``(term, df, idf)`` for the kept vocabulary; ``norms`` is ``(doc_id, norm)``. Weights are raw
-    counts times idf, divided by the document's norm only for documents that are hit.
+    ``(term, df, idf)`` for the kept vocabulary. Weights are raw counts times idf, divided by the
+    document's norm only for documents that are hit.
     """
 
     documents: DataFrame
     terms: DataFrame
-    norms: DataFrame
     ngram_low: int = 1
     ngram_high: int = 3
 
+    @cached_property
+    def norms(self) -> DataFrame:
+        """``(doc_id, norm)``, computed and written when first asked for."""
+        return stage(self._weighted(self.terms).groupBy("doc_id").agg(_norm()), "norms")
+
+    def _weighted(self, terms: DataFrame, *more: str) -> DataFrame:
+        """``(doc_id, term, w, *more)``: counts times idf. Few terms are broadcast, and all others are
+        dropped before anything is counted; many are joined with the documents' counts."""
+        grams, payload = self.terms_of(self.documents), F.struct("idf", *more).alias("payload")
+        lookup = terms.select("term", "df", payload)
+        if fits_broadcast(terms):
+            known = grams.join(F.broadcast(lookup.drop("df")), "term")
+            counts = known.groupBy("doc_id", "term", "payload").agg(F.count("*").alias("tf"))
+        else:
+            counts = attach_by_key(grams.groupBy("doc_id", "term").agg(F.count("*").alias("tf")), lookup, "term", "df", "payload", F.col("doc_id"))
+        return counts.select("doc_id", "term", (F.col("tf") * F.col("payload.idf")).alias("w"), *[F.col(f"payload.{m}") for m in more])
+
+    def weights_of(self, wanted: DataFrame) -> DataFrame:
+        """``(term, doc_id, weight)``: the documents' weights of the terms of the staged table ``(term)``.
+
+        The first call finds all norms in the same pass.
+        """
+        asked = wanted.select("term").distinct().withColumn("asked", F.lit(True))
+        if "norms" in self.__dict__:
+            weighted = self._weighted(stage(self.terms.join(wanted.select("term").distinct(), "term", "left_semi"), "asked-terms"))
+            return weighted.join(self.norms, "doc_id").select("term", "doc_id", (F.col("w") / F.col("norm")).alias("weight"))
+        marked = self.terms.join(asked, "term", "left") if not fits_broadcast(self.terms) else stage(self.terms.join(asked, "term", "left"), "marked-terms")
+        kept = F.collect_list(F.when(F.col("asked"), F.struct("term", "w"))).alias("kept")
+        documents = stage(self._weighted(marked, "asked").groupBy("doc_id").agg(_norm(), kept), "weighted-documents")
+        self.norms = documents.select("doc_id", "norm")
+        rows = documents.select("doc_id", "norm", rows_of("kept").alias("e"))
+        return rows.select("e.term", "doc_id", (F.col("e.w") / F.col("norm")).alias("weight"))
+
     def terms_of(self, df: DataFrame) -> DataFrame:
         return _terms(df, self.ngram_low, self.ngram_high)
 
@@ -140,7 +241,13 @@ class TfIdfIndex:
         ngram_low, ngram_high = spark.read.parquet(f"{path}/settings").first()
         documents = by_key(spark.read.parquet(f"{path}/documents"), "doc_id")
         terms, norms = (spark.read.parquet(f"{path}/{part}") for part in ("terms", "norms"))
-        return cls(documents, terms, norms, ngram_low, ngram_high)
+        index = cls(documents, terms, ngram_low, ngram_high)
+        index.norms = norms
+        return index
+
+
+def _norm() -> Column:
+    return F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")
 
 
 def _index_words(text: Column) -> Column:
@@ -169,13 +276,15 @@ def tfidf_index(
     ``idf = ln((1 + N) / (1 + df)) + 1``. Tokens of one character are not indexed. With ``unique``
     only the first of equal documents is kept.
     """
-    if unique:
-        texts = distinct_documents(df, id_col, tokens_col)
-    else:
-        texts = df.select(F.col(id_col).alias("doc_id"), as_text(F.col(tokens_col)).alias("text"))
+    texts = df.select(F.col(id_col).alias("doc_id"), as_text(F.col(tokens_col)).alias("text"))
     # Written once: the terms, the norms and every search read tokens instead of making them again.
-    listed = stage(texts.select("doc_id", _index_words(F.col("text")).alias("tokens")), "index-documents")
-    documents = by_key(listed, "doc_id")
+    tokens = _index_words(F.col("text")).alias("tokens")
+    listed = stage(texts.select("doc_id", tokens, F.md5("text").alias("digest"), F.monotonically_increasing_id().alias("row")), "index-documents")
+    if unique:
+        # Digests are exchanged, not texts.
+        first = listed.groupBy("digest").agg(F.min(F.struct("doc_id", "row")).alias("first")).select("first.row")
+        listed = listed.join(stage(first, "index-unique"), "row", "left_semi")
+    documents = by_key(listed.select("doc_id", "tokens"), "doc_id")
     total = documents.agg(F.count("*").alias("n")).scalar()
 
     # One row per document and distinct term leaves the row itself; repeats are cut before the
@@ -186,22 +295,13 @@ def tfidf_index(
     kept_terms = counted.filter((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df) * total))
     terms = stage(kept_terms.withColumn("idf", F.log((total + 1) / (F.col("df") + 1)) + 1), "terms")
 
-    counts = (
-        _terms(documents, ngram_low, ngram_high)
-        .groupBy("doc_id", "term")
-        .agg(F.count("*").alias("tf"))
-    )
-    weighted = attach_by_key(counts, terms, "term", "df", "idf", spread_by=F.col("doc_id"))
-    norms = weighted.groupBy("doc_id").agg(F.sqrt(F.sum(F.pow(F.col("tf") * F.col("idf"), 2))).alias("norm"))
-    return TfIdfIndex(documents, terms, norms, ngram_low, ngram_high)
+    return TfIdfIndex(documents, terms, ngram_low, ngram_high)
 
 
 def tfidf_weights(index: TfIdfIndex) -> DataFrame:
     """L2-normalised weights ``(doc_id, term, weight)`` of every document."""
-    counts = index.terms_of(index.documents).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-    weighted = attach_by_key(counts, index.terms, "term", "df", "idf", spread_by=F.col("doc_id"))
-    joined = weighted.join(index.norms, "doc_id")
-    return joined.select("doc_id", "term", (F.col("tf") * F.col("idf") / F.col("norm")).alias("weight"))
+    joined = index._weighted(index.terms).join(index.norms, "doc_id")
+    return joined.select("doc_id", "term", (F.col("w") / F.col("norm")).alias("weight"))
 
 
 def query_weights(index: TfIdfIndex, queries: DataFrame, id_col: str, tokens_col: str) -> DataFrame:
@@ -228,60 +328,34 @@ def cosine_scores(index: TfIdfIndex, queries: DataFrame, id_col: str, tokens_col
     return dots.join(index.norms, "doc_id").select("query_id", "doc_id", (F.col("dot") / F.col("norm")).alias("score"))
 
 
-def _bucket(buckets: int) -> Column:
-    return F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
-
+def _wanted(weights: DataFrame) -> DataFrame:
+    return weights.select("query_id", "term", F.col("weight").alias("wanted"))
 
-@dataclass
-class StoredWeights:
-    """Document weights on storage, and the number of buckets they were written in."""
 
-    weights: DataFrame
-    buckets: int
+def save_weights(index: TfIdfIndex, path: str, per_bucket: int = PER_BUCKET) -> None:
+    """Write the documents' weights, one folder per bucket of terms, sorted by term and falling impact."""
+    weights = stage(tfidf_weights(index).withColumn("level", impact.level(F.col("weight"))), "weights")
+    parts = _parts(weights.count(), per_bucket)
+    _write_buckets(weights, "term", ["term", "level", "doc_id"], path, parts, parts)
 
-    @classmethod
-    def load(cls, spark: SparkSession, path: str) -> StoredWeights:
-        return cls(spark.read.parquet(f"{path}/weights"), spark.read.parquet(f"{path}/settings").first()["buckets"])
 
+def _stored_blocks(stored: Buckets, wanted: DataFrame) -> DataFrame:
+    return stage(impact.with_blocks(stored.of(wanted, "term").select("term", "doc_id", "weight")), "impact-blocks")
 
-def save_weights(index: TfIdfIndex, path: str, buckets: int = 256, slices: int = 8) -> None:
-    """Write the document weights in one folder per hash bucket of the term, sorted by term.
 
-    A bucket has ``slices`` files by hash of the document: equal parts, however frequent a term is.
-    The number of buckets is written beside them, for :class:`StoredWeights`.
-    """
-    weights = tfidf_weights(index).withColumn("bucket", _bucket(buckets))
-    spread_out = weights.repartition("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(slices)))
-    ordered = spread_out.sortWithinPartitions("bucket", "term", "doc_id")
-    ordered.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/weights")
-    settings = ordered.sparkSession.createDataFrame([(buckets,)], "buckets int")
-    settings.write.mode("overwrite").parquet(f"{path}/settings")
-
-
-def stored_cosine_scores(
-    stored: StoredWeights, index: TfIdfIndex, queries: DataFrame, id_col: str, tokens_col: str
+def stored_search(
+    stored: Buckets, index: TfIdfIndex, queries: DataFrame, id_col: str, tokens_col: str,
+    k: int = TOP_K, min_score: float = MIN_SCORE, digits: int | None = None,
 ) -> DataFrame:
-    """Like :func:`cosine_scores`, from weights written by :func:`save_weights`.
-
-    Only folders that hold a query term are read.
-    """
-    wanted = query_weights(index, queries, id_col, tokens_col).select("query_id", "term", F.col("weight").alias("wanted"))
-    wanted = stage(wanted, "queries")
-    # At most `buckets` numbers.
-    needed = [row.bucket for row in wanted.select(_bucket(stored.buckets).alias("bucket")).distinct().collect()]
-    there = stored.weights.filter(F.col("bucket").isin(needed)).select("doc_id", "term", "weight")
-    matched = match_by_key(there, wanted, "term", F.col("doc_id"))
-    return matched.groupBy("query_id", "doc_id").agg(F.sum(F.col("weight") * F.col("wanted")).alias("score"))
+    """Like :func:`search`, from weights written by :func:`save_weights`; only folders that can hold a
+    query term are read."""
+    wanted = stage(query_weights(index, queries, id_col, tokens_col), "queries")
+    return impact.top_k(_stored_blocks(stored, wanted), _wanted(wanted), k, min_score, digits)
 
 
 def top_hits(scores: DataFrame, k: int = TOP_K, min_score: float = MIN_SCORE) -> DataFrame:
-    """The best ``k`` documents per query at or above ``min_score``, ties by document id.
-
-    Each task keeps only its own best ``k`` per query before the shuffle.
-    """
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("doc_id"))
-    ranked = scores.filter(F.col("score") >= min_score).withColumn("rank", F.row_number().over(best))
-    return ranked.filter(F.col("rank") <= k)
+    """The best ``k`` documents per query at or above ``min_score``, ties by document id."""
+    return impact.ranked(scores, k, min_score)
 
 
 def search(
@@ -291,9 +365,17 @@ def search(
     tokens_col: str,
     k: int = TOP_K,
     min_score: float = MIN_SCORE,
+    digits: int | None = None,
 ) -> DataFrame:
-    """Ranked hits ``(query_id, doc_id, score, rank)`` for a table of preprocessed queries."""
-    return top_hits(cosine_scores(index, queries, id_col, tokens_col), k, min_score)
+    """Ranked hits ``(query_id, doc_id, score, rank)`` for a table of preprocessed queries.
+
+    The weights of the queries' terms are written once as impact blocks, and only documents that can
+    be among the hits are scored to the end; see :mod:`millrace.operators.impact`. With ``digits``,
+    scores are rounded before they are ranked.
+    """
+    wanted = stage(query_weights(index, queries, id_col, tokens_col), "queries")
+    blocks = stage(impact.with_blocks(index.weights_of(wanted)), "impact-blocks")
+    return impact.top_k(blocks, _wanted(wanted), k, min_score, digits)
 
 
 def require_queries(queries: DataFrame, text_col: str) -> DataFrame:
@@ -333,6 +415,60 @@ def hashed_weights(model: PipelineModel, df: DataFrame, id_col: str) -> DataFram
     return rows.select(id_col, "cell.slot", "cell.weight").filter("weight <> 0")
 
 
+def hashed_slot(token: Column, num_features: int) -> Column:
+    """The slot of a token: the first 32 bits of its MD5 digest, which any engine can compute."""
+    return (F.conv(F.substring(F.md5(token), 1, 8), 16, 10).cast("long") % num_features).cast("int")
+
+
+@dataclass
+class HashedIndex:
+    """Unit-length hashed TF-IDF weights ``(term, doc_id, weight)`` and ``slots (term, idf)``, where a term is a slot."""
+
+    weights: DataFrame
+    slots: DataFrame
+    num_features: int
+
+
+def _hashed_counts(df: DataFrame, id_col: str, tokens_col: str, num_features: int) -> DataFrame:
+    tokens = by_key(df.select(F.col(id_col).alias("doc_id"), F.col(tokens_col).alias("tokens")), "doc_id").select("doc_id", rows_of("tokens").alias("token"))
+    counted = tokens.groupBy("doc_id", "token").agg(F.count("*").alias("n"))
+    return counted.groupBy("doc_id", hashed_slot(F.col("token"), num_features).alias("term")).agg(F.sum("n").alias("tf"))
+
+
+def hashed_index(df: DataFrame, id_col: str, tokens_col: str, num_features: int = 10_000) -> HashedIndex:
+    """Hashed counts times ``idf = ln((N + 1) / (df + 1))``, scaled to unit length.
+
+    Slots in every document weigh nothing and are left out, as are documents without another slot.
+    There are at most ``num_features`` slots.
+    """
+    counts = stage(_hashed_counts(df, id_col, tokens_col, num_features), "hashed-counts")
+    total = df.agg(F.count("*").alias("n")).scalar()
+    frequency = counts.groupBy("term").agg(F.count("*").alias("df"))
+    slots = stage(frequency.select("term", F.log((total + 1) / (F.col("df") + 1)).alias("idf")), "hashed-slots")
+    return HashedIndex(stage(_hashed_unit(counts, slots), "hashed-weights"), slots, num_features)
+
+
+def _hashed_unit(counts: DataFrame, slots: DataFrame) -> DataFrame:
+    # The slots are bounded by their number.
+    raw = counts.join(F.broadcast(slots), "term").select("doc_id", "term", (F.col("tf") * F.col("idf")).alias("w")).filter("w > 0")
+    norms = raw.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return raw.join(norms, "doc_id").select("term", "doc_id", (F.col("w") / F.col("norm")).alias("weight"))
+
+
+def hashed_search(
+    index: HashedIndex, queries: DataFrame, id_col: str, tokens_col: str, k: int = TOP_K, min_score: float = MIN_SCORE, digits: int | None = None
+) -> DataFrame:
+    """Ranked hits by cosine of hashed vectors; a query without a weighted slot has none.
+
+    Scored like :func:`search`: the largest weights of unread blocks and the length of a query's
+    unread slots bound what is left, so that most documents are never scored.
+    """
+    unit = _hashed_unit(_hashed_counts(queries, id_col, tokens_col, index.num_features), index.slots)
+    wanted = stage(unit.select(F.col("doc_id").alias("query_id"), "term", F.col("weight").alias("wanted")), "queries")
+    asked = index.weights.join(wanted.select("term").distinct(), "term", "left_semi")
+    return impact.top_k(stage(impact.with_blocks(asked), "impact-blocks"), wanted, k, min_score, digits)
+
+
 def hashed_cosine_scores(
     model: PipelineModel, documents: DataFrame, doc_id: str, queries: DataFrame, query_id: str
 ) -> DataFrame:

@@ -2,41 +2,36 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Keys that carry more than 1/HEAVY_KEYS of all rows; there can be fewer than HEAVY_KEYS of them.
 HEAVY_KEYS = 1000
-# A side is broadcast only when measuring it shows no more bytes than this.
-BROADCAST_BYTES = 64 << 20
-_FIXED_BYTES = 16
+# A side is broadcast only when the files it was staged in hold no more bytes than this.
+BROADCAST_BYTES = 16 << 20
 
 
 def fits_broadcast(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> bool:
-    """Whether a side is small enough to be broadcast, by the bytes of its values.
+    """Whether a staged side is small enough to be broadcast, by the size of the files it is read from.
 
-    Texts and lists are measured row by row, so a few very long ones count for what they are; the
-    sum is added up per task.
+    A side that was not staged has no known size and does not fit.
     """
-    fixed = F.lit(_FIXED_BYTES * len(df.columns))
-    long = [F.octet_length(F.col(c)) if t in ("string", "binary") else F.octet_length(F.to_json(F.struct(c)))
-            for c, t in df.dtypes if t in ("string", "binary") or t.startswith(("array", "map", "struct"))]
-    size = reduce(lambda a, b: a + F.coalesce(b, F.lit(0)), long, fixed)
-    return (df.agg(F.sum(size.cast("long")).alias("b")).first()["b"] or 0) <= max_bytes
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= max_bytes
 
 
 def attach_by_key(
-    rows: DataFrame, lookup: DataFrame, key: str, weight: str, payload: str, spread_by: Column
+    rows: DataFrame, lookup: DataFrame, key: str, weight: str, payload: str, spread_by: Column, max_bytes: int = 0
 ) -> DataFrame:
     """Inner join of ``rows`` with ``lookup`` (unique ``key``), adding column ``payload``.
 
+    A lookup staged in up to ``max_bytes`` is broadcast, and ``rows`` stay where they are. Else
     ``lookup.weight`` tells how many rows carry the key. Keys above 1/HEAVY_KEYS of the sum number
     fewer than HEAVY_KEYS by counting, so broadcasting them is safe whatever the data size. Rows of
     those keys are salted by ``spread_by`` and so never meet in one task; all other keys are light
     and take the ordinary shuffle join.
     """
+    if max_bytes and fits_broadcast(lookup, max_bytes):
+        return rows.join(F.broadcast(lookup.select(key, payload)), key).select(*rows.columns, payload)
     total = lookup.agg(F.sum(weight).alias("t")).scalar()
     is_heavy = F.col(weight) * HEAVY_KEYS > total
     heavy = lookup.filter(is_heavy).select(key, F.col(payload).alias("_heavy"))
@@ -58,8 +53,7 @@ def match_by_key(
 ) -> DataFrame:
     """Inner join of a large table with a usually small many-to-many side.
 
-    ``wanted``, best a staged table, is broadcast when its measured bytes allow it, so ``rows`` is not moved at all. Beyond
-    that, ``rows`` is salted by ``spread_by`` and ``wanted`` repeated once per salt: a key holding a
+    ``wanted`` is broadcast when it is staged in few bytes, so ``rows`` is not moved at all. Beyond that, ``rows`` is salted by ``spread_by`` and ``wanted`` repeated once per salt: a key holding a
     third of all rows is still spread over ``salts`` tasks. Both ways give the same rows.
     """
     if fits_broadcast(wanted, max_bytes):

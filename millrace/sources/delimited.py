@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
     BooleanType, DataType, DateType, DoubleType, IntegerType, LongType, StringType, StructField, StructType,
 )
 
 from millrace.operators.quality import drop_incomplete, first_per_key
+from millrace.plans.staging import stage
 
 _TYPES = {
     "string": StringType(), "double": DoubleType(), "long": LongType(), "int": IntegerType(),
@@ -61,17 +62,17 @@ def read_tsv(spark: SparkSession, path: str, schema: StructType, multi_line: boo
 
     All columns are read as text first, so that every spelling of a missing value is known before
     the types are applied; a field that does not fit its type counts as missing. ``multi_line``
-    allows line breaks inside quotes but keeps a file from being split: turn it off for very large
-    files that have none.
+    allows line breaks inside quotes, in files that are read in splits all the same; see
+    :func:`quoted_records`. Without it every line is a record.
     """
-    as_text = StructType()
-    for field in schema.fields:
-        as_text.add(field.name, StringType())
-    raw = (
-        spark.read.schema(as_text)
-        .options(sep="\t", header=True, quote='"', escape='"', multiLine=multi_line, nullValue="")
-        .csv(path)
-    )
+    options = {"sep": "\t", "quote": '"', "escape": '"', "nullValue": ""}
+    if multi_line:
+        names = ", ".join(f"`{f.name}` string" for f in schema.fields)
+        fields = F.from_csv("record", names, options)
+        raw = quoted_records(spark, path).select(fields.alias("fields")).select("fields.*")
+    else:
+        as_text = StructType([StructField(f.name, StringType()) for f in schema.fields])
+        raw = spark.read.schema(as_text).options(header=True, **options).csv(path)
     typed = raw.select(*[
         _typed(F.when(~F.col(f"`{f.name}`").isin(MISSING_TEXTS), F.col(f"`{f.name}`")), f.dataType).alias(f.name)
         for f in schema.fields
@@ -79,6 +80,45 @@ def read_tsv(spark: SparkSession, path: str, schema: StructType, multi_line: boo
     return drop_incomplete(typed)
 
 
+def quoted_records(spark: SparkSession, path: str) -> DataFrame:
+    """``(record)``: the records of delimited files without their headers, line breaks inside quotes kept.
+
+    Files are read in splits. A line with an odd number of quotes opens or closes a quoted field, as
+    quotes stand around fields and twice inside them; how many such lines a split has tells the next
+    ones whether they begin inside quotes. Splits without any, outside of quotes, are records as they
+    are, and nothing is moved. In the others a line's number of odd lines before it says which record
+    it belongs to, and the lines of a record are joined over splits.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("line")
+    )
+    odd = ((F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))) % 2).cast("long")
+    sizes = lines.groupBy("file", "split").agg(F.sum(odd).alias("odd_lines"), F.min("line").alias("first_line"))
+    earlier = Window.partitionBy("file").orderBy("split")
+    # One row per split; they are numbered within their file.
+    splits = stage(
+        sizes.select(
+            "file", "split", "odd_lines", F.coalesce(F.sum("odd_lines").over(earlier.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("odd_before"),
+            F.when(F.row_number().over(earlier) == 1, F.col("first_line")).alias("header"),
+        ),
+        "splits",
+    )
+    placed = lines.join(splits, ["file", "split"])
+    quiet = (F.col("odd_lines") == 0) & (F.col("odd_before") % 2 == 0)
+    is_header = F.col("line").eqNullSafe(F.col("header"))
+    whole = placed.filter(quiet & ~is_header).select("value")
+
+    within = Window.partitionBy("file", "split").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    busy = placed.filter(~quiet).withColumn("odd", odd).withColumn("before", F.col("odd_before") + F.coalesce(F.sum("odd").over(within), F.lit(0)))
+    alone = (F.col("odd") == 0) & (F.col("before") % 2 == 0)
+    single = busy.filter(alone & ~is_header).select("value")
+    parts = F.sort_array(F.collect_list(F.struct("split", "line", "value")))
+    joined = busy.filter(~alone).groupBy("file", F.floor(F.col("before") / 2).alias("record")).agg(parts.alias("parts"), F.max(is_header).alias("is_header"))
+    several = joined.filter(~F.col("is_header")).select(F.array_join("parts.value", "\n").alias("value"))
+    records = whole.unionAll(single).unionAll(several).select(F.regexp_replace("value", "\r$", "").alias("record"))
+    return records.filter(F.trim("record") != "")
+
+
 def _typed(text: Column, kind: DataType) -> Column:
     """The text as a value of its type; a whole number may be written with a zero fraction (``3.0``)."""
     if not isinstance(kind, (IntegerType, LongType)):

@@ -41,6 +41,29 @@ def test_percentiles_equal_numpy(spark, partitions):
     assert ordered.exact_percentiles(df, "v", {"mid": 0.5}).first().mid == pytest.approx(np.median([*a, 5.0]))
 
 
+@pytest.mark.parametrize("select_rows", [1, 20, 10**6])
+def test_bracketed_percentiles_equal_numpy(spark, select_rows):
+    """One group holds most rows, one value a third of them; brackets close in several rounds."""
+    draw = np.random.default_rng(4)
+    groups = {"a": np.append(draw.normal(size=4000), np.full(2000, 0.25)), "b": draw.integers(0, 5, 300).astype(float), None: np.array([7.0])}
+    df = spark.createDataFrame([(g, float(v)) for g, vs in groups.items() for v in vs], "g string, v double").repartition(5)
+    wanted = {"lo": 0.0, "q1": 0.25, "mid": 0.5, "q9": 0.9, "hi": 1.0}
+    out = {r.g: tuple(r)[1:] for r in ordered.exact_percentiles(df, "v", wanted, ["g"], select_rows).collect()}
+    assert out == {g: pytest.approx(tuple(np.percentile(vs, [100 * p for p in wanted.values()]))) for g, vs in groups.items()}
+    whole = ordered.exact_percentiles(df, "v", wanted, select_rows=select_rows).first()
+    assert tuple(whole) == pytest.approx(tuple(np.percentile(np.concatenate(list(groups.values())), [100 * p for p in wanted.values()])))
+
+
+def test_positions_take_one_exchange_of_the_rows(spark):
+    df = spark.range(5000).select((F.col("id") * 7919 % 5000).alias("k"), F.concat(F.lit("x"), "id").alias("s")).repartition(3)
+    placed = assign_doc_id(df, "k")
+    assert [(r.doc_id, r.k) for r in placed.orderBy("doc_id").collect()] == [(i, i) for i in range(5000)]
+    placed.collect()
+    text = placed._jdf.queryExecution().executedPlan().toString()
+    assert text.count("ReusedExchange") >= 1 and "Window" in text and "InMemory" not in text
+    assert assign_doc_id(df.limit(0), "k").count() == 0
+
+
 def test_attach_by_key_with_heavy_and_light_keys(spark, monkeypatch):
     monkeypatch.setattr(joins, "HEAVY_KEYS", 3)
     rows = spark.createDataFrame([(i, "hot" if i % 2 else f"k{i % 20}") for i in range(200)] + [(999, "unknown")], "id long, key string")

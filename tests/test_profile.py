@@ -132,3 +132,34 @@ def test_summary_of_decimals_and_nan(spark):
     rows = spark.sql("SELECT CAST(v AS DECIMAL(5,1)) AS d, CAST(w AS DOUBLE) AS n FROM VALUES (1.0, 'NaN'), (2.0, '3.0') t(v, w)")
     got = {r.column: (r["count"], r["mean"], r["max"]) for r in profile.summary(rows).collect()}
     assert got == {"d": (2, 1.5, "2.0"), "n": (1, 3.0, "3.0")}
+
+
+def test_density_of_far_and_skewed_values(spark):
+    """Values far from every grid point, and a bandwidth much smaller and much larger than a step."""
+    draw = np.random.default_rng(3)
+    for numbers, grid in ((np.append(draw.normal(1e6, 2.0, 3000), 1e6 + 5000), 40), (draw.normal(size=2000), 500), (draw.integers(0, 9, 400).astype(float), 1)):
+        out = profile.density(values(spark, *numbers), "v", grid).orderBy("point").collect()
+        points = np.linspace(numbers.min(), numbers.max(), grid)
+        h = numbers.std(ddof=1) * len(numbers) ** -0.2
+        direct = np.exp(-(((points[:, None] - numbers) / h) ** 2) / 2).sum(1) / (len(numbers) * h * math.sqrt(2 * math.pi))
+        assert np.abs(np.array([r.density for r in out]) - direct).max() < 2e-12 / h
+
+
+def test_density_explodes_bins_and_not_rows(spark):
+    rows = spark.range(200_000).select(F.sqrt(F.col("id")).alias("v"))
+    text = profile.density(rows, "v", 200)._jdf.queryExecution().executedPlan().toString()
+    # Plans are printed from the end: rows are counted in bins before anything is multiplied.
+    assert text.index("Generate") < text.rindex("partial_sum") and "Python" not in text
+
+
+def test_correlation_far_from_zero(spark):
+    draw = np.random.default_rng(1)
+    data = draw.normal(size=(500, 3)) @ draw.normal(size=(3, 3)) + [1e9, -3e8, 0.0]
+    df = spark.createDataFrame(data.tolist(), "a double, b double, c double")
+    out = {(r.a, r.b): r.r for r in profile.correlation_matrix(df, ["a", "b", "c"]).collect()}
+    wanted = np.corrcoef(data.T)
+    assert all(out[a, b] == pytest.approx(wanted[i, j], abs=1e-6) for i, a in enumerate("abc") for j, b in enumerate("abc"))
+    empty = profile.correlation_matrix(df.limit(0), ["a", "b"]).collect()
+    assert len(empty) == 4 and {r.r for r in empty} == {None}
+    constant = {(r.a, r.b): r.r for r in profile.correlation_matrix(df.withColumn("b", F.lit(2.0)), ["a", "b"]).collect()}
+    assert constant["a", "b"] is None and constant["b", "b"] is None and constant["a", "a"] == pytest.approx(1)

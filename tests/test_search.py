@@ -1,10 +1,14 @@
+import hashlib
 import math
+import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import search
+from millrace.operators import impact, search
+from millrace.plans.staging import stage
 
 DOCS = {
     0: "red laptop with dual-band wifi and red mouse",
@@ -90,14 +94,104 @@ def test_saved_index_gives_the_same_hits(spark, tmp_path):
     assert hits(index) == hits(again) != []
 
 
-def test_stored_weights_give_the_same_scores_and_prune_folders(spark, tmp_path):
+def hits_of(rows):
+    return sorted((r.query_id, r.doc_id, round(r.score, 9)) for r in rows.collect())
+
+
+def test_stored_weights_give_the_same_hits_and_prune_folders(spark, tmp_path):
     index = search.tfidf_index(frame(spark, DOCS), "id", "tokens")
-    search.save_weights(index, str(tmp_path / "w"), 8)
-    weights = search.StoredWeights.load(spark, str(tmp_path / "w"))
-    stored = search.stored_cosine_scores(weights, index, frame(spark, QUERIES), "id", "tokens")
-    got = {(r.query_id, r.doc_id): r.score for r in stored.collect()}
-    assert got == pytest.approx(brute_force(DOCS, QUERIES)[0])
-    assert "PartitionFilters: [bucket" in stored._jdf.queryExecution().executedPlan().toString()
+    search.save_weights(index, str(tmp_path / "w"), per_bucket=3)
+    stored = search.Buckets.load(spark, str(tmp_path / "w"))
+    assert stored.buckets > 4
+    queries = frame(spark, QUERIES)
+    assert hits_of(search.stored_search(stored, index, queries, "id", "tokens", 3, 1e-9)) == hits_of(search.search(index, queries, "id", "tokens", 3, 1e-9)) != []
+    wanted = stage(index.terms.limit(1), "one")
+    found = stored.of(wanted, "term")
+    assert re.search(r"PartitionFilters: \[[^\]]*bucket#", full_plan(spark, found))
+    assert found.select("term").distinct().collect() == wanted.select("term").collect()
+    # Fewer words asked for, fewer files read.
+    bucket = wanted.select(search._bucket("term", stored.buckets).alias("b")).first().b
+    read = stored.rows.filter(F.col("bucket") == bucket).select(F.input_file_name()).distinct().count()
+    assert read < stored.rows.select(F.input_file_name()).distinct().count()
+
+
+def full_plan(spark, df):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "5000")
+    try:
+        return df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
+
+
+def zipf_weights(spark, documents, queries, seed):
+    """Unit TF-IDF vectors over words of very uneven frequency, as ``(term, doc_id, weight)`` and wanted weights."""
+    draw = np.random.default_rng(seed)
+    counts = [Counter(np.minimum(draw.pareto(0.4, 25).astype(int), 2999).tolist()) for _ in range(documents + queries)]
+    df = Counter(t for c in counts[:documents] for t in c)
+    def rows(some):
+        out = []
+        for i, c in enumerate(some):
+            w = {t: n * math.log((documents + 1) / (df[t] + 1)) for t, n in c.items()}
+            norm = math.sqrt(sum(x * x for x in w.values()))
+            out += [(f"t{t}", i, x / norm) for t, x in w.items() if x > 0]
+        return out
+    docs, asked = rows(counts[:documents]), rows(counts[documents:])
+    return docs, asked, spark.createDataFrame(docs, "term string, doc_id long, weight double"), spark.createDataFrame([(q, t, w) for t, q, w in asked], "query_id long, term string, wanted double")
+
+
+@pytest.mark.parametrize("k, min_score", [(3, 0.05), (5, 0.3), (2, 1e-6)])
+def test_block_bounds_give_the_exact_best_and_spare_most_pairs(spark, k, min_score):
+    documents, queries = 2000, 20
+    docs, asked, weights, wanted = zipf_weights(spark, documents, queries, k)
+    blocks, wanted = stage(impact.with_blocks(weights), "blocks"), stage(wanted, "wanted")
+    by_term = defaultdict(list)
+    for t, d, w in docs:
+        by_term[t].append((d, w))
+    scores = defaultdict(float)
+    for t, q, w in asked:
+        for d, x in by_term[t]:
+            scores[q, d] += w * x
+    best = {q: [d for _, d in sorted((-round(s, 6), d) for (p, d), s in scores.items() if p == q and round(s, 6) >= min_score)[:k]] for q in range(queries)}
+    found = defaultdict(list)
+    for r in impact.top_k(blocks, wanted, k, min_score, 6).orderBy("query_id", "rank").collect():
+        assert r.score == pytest.approx(scores[r.query_id, r.doc_id], abs=1e-6)
+        found[r.query_id].append(r.doc_id)
+    assert {q: d for q, d in best.items() if d} == dict(found)
+    # Both ways to the end give the same.
+    partial, essential, left = impact.candidates(blocks, wanted, k, min_score)
+    again = impact.ranked(impact._finished(blocks, left, stage(partial, "candidates")), k, min_score, 6)
+    assert sorted((r.query_id, r["rank"], r.doc_id) for r in again.collect()) == [(q, i + 1, d) for q, ds in sorted(found.items()) for i, d in enumerate(ds)]
+    if min_score > 0.1:
+        assert impact._sums(blocks, essential).count() < 0.2 * documents * queries
+
+
+def test_top_hits_of_odd_weights(spark):
+    weights = spark.createDataFrame([("a", 1, 1.0), ("a", 2, 0.0), ("b", 1, -1.0), ("a", 4, 1e-300), ("c", 5, 0.5), ("c", 6, 0.5)], "term string, doc_id long, weight double")
+    wanted = spark.createDataFrame([(1, "a", 1.0), (2, "c", 1.0), (3, "zzz", 1.0)], "query_id long, term string, wanted double")
+    found = impact.top_k(stage(impact.with_blocks(weights), "b"), stage(wanted, "w"), 2, 0.05).collect()
+    assert sorted((r.query_id, r["rank"], r.doc_id) for r in found) == [(1, 1, 1), (2, 1, 5), (2, 2, 6)]
+    nothing = stage(impact.with_blocks(weights.limit(0)), "b")
+    assert impact.top_k(nothing, stage(wanted, "w"), 2, 0.05).count() == 0
+
+
+def test_hashed_search_equals_brute_force(spark):
+    def slot(t):
+        return int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % 50
+    counts = {i: Counter(slot(w) for w in t.split()) for i, t in DOCS.items()}
+    df = Counter(s for c in counts.values() for s in c)
+    def unit(c):
+        w = {s: n * math.log((len(DOCS) + 1) / (df[s] + 1)) for s, n in c.items() if s in df}
+        norm = math.sqrt(sum(x * x for x in w.values()))
+        return {s: x / norm for s, x in w.items() if x > 0}
+    docs = {i: unit(c) for i, c in counts.items()}
+    index = search.hashed_index(frame(spark, DOCS), "id", "tokens", 50)
+    assert {(r.doc_id, r.term): pytest.approx(r.weight) for r in index.weights.collect()} == {(i, s): w for i, d in docs.items() for s, w in d.items()}
+    found = {(r.query_id, r.doc_id): r.score for r in search.hashed_search(index, frame(spark, QUERIES), "id", "tokens", 100, 1e-9).collect()}
+    wanted = {}
+    for q, text in QUERIES.items():
+        u = unit(Counter(slot(w) for w in text.split()))
+        wanted |= {(q, i): x for i, d in docs.items() if (x := sum(u[s] * d.get(s, 0) for s in u)) > 0}
+    assert found == pytest.approx(wanted)
 
 
 def test_duplicates_keep_the_smallest_id(spark):
@@ -122,10 +216,19 @@ def test_postings_and_distances(spark):
     assert near(3) == [(1, 0, 2), (1, 2, 1), (2, 0, 1)]
 
 
-def test_stored_postings_are_sorted_and_complete(spark, tmp_path):
+def test_stored_postings_come_back_from_few_folders(spark, tmp_path):
     index = search.postings(frame(spark, DOCS), "id", "tokens")
-    search.save_postings(index, str(tmp_path / "p"), 3)
-    assert spark.read.parquet(str(tmp_path / "p")).count() == index.count()
+    path = str(tmp_path / "p")
+    search.save_postings(index, path, block_size=2, per_bucket=4)
+    everything = search.stored_postings(spark, path, index.select("token").distinct())
+    plain = lambda df: sorted((r.doc_id, r.token, r.tf, tuple(r.positions)) for r in df.select("doc_id", "token", "tf", "positions").collect())
+    assert plain(everything) == plain(index)
+    one = stage(index.select("token").limit(1), "one")
+    token = one.first().token
+    found = search.stored_postings(spark, path, one)
+    assert plain(found) == plain(index.filter(F.col("token") == token))
+    assert re.search(r"PartitionFilters: \[[^\]]*bucket#", full_plan(spark, found))
+    assert search.Buckets.load(spark, path).buckets > 2
 
 
 def test_empty_queries_fail(spark):
@@ -168,6 +271,22 @@ def test_search_does_not_move_documents_or_run_python(spark):
     plan = search.top_hits(scores)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "WindowGroupLimit" in plan
     assert "Python" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+    plan = search.search(index, frame(spark, QUERIES), "id", "tokens")._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan
+    assert not any(word in plan for word in ("Python", "Arrow", "CartesianProduct", "NestedLoop"))
+
+
+def test_weights_are_the_same_with_broadcast_and_joined_terms(spark, monkeypatch):
+    def weights():
+        index = search.tfidf_index(frame(spark, DOCS), "id", "tokens")
+        some = stage(index.terms.limit(5), "some")
+        early = sorted((r.term, r.doc_id, round(r.weight, 12)) for r in index.weights_of(some).collect())
+        late = sorted((r.term, r.doc_id, round(r.weight, 12)) for r in index.weights_of(some).collect())
+        assert early == late
+        return sorted((r.term, r.doc_id, round(r.weight, 12)) for r in search.tfidf_weights(index).collect())
+    broadcast = weights()
+    monkeypatch.setattr(search, "fits_broadcast", lambda df: False)
+    assert weights() == broadcast != []
 
 
 def test_phrases_of_any_length(spark):

@@ -48,3 +48,34 @@ def test_whole_numbers_may_have_a_zero_fraction(spark, tmp_path):
     (tmp_path / "t.tsv").write_text("a\tb\nx\t3.0\ny\t3.5\nz\t9007199254740993\nw\t1e3\n")
     rows = delimited.read_tsv(spark, str(tmp_path / "t.tsv"), delimited.schema_of(a="string", b="long")).collect()
     assert {r.a: r.b for r in rows} == {"x": 3, "z": 9007199254740993, "w": 1000}
+
+
+def test_quoted_line_breaks_in_files_read_by_many_tasks(spark, tmp_path):
+    import csv
+    import random
+
+    draw = random.Random(3)
+    texts = ["plain", 'with "quotes" in', "two\nlines", "a\ttab", 'x\n\n"y"\nz\n', "é" * 50, '"', "", "many\n" * 400, "\n"]
+    rows = [(str(i), draw.choice(texts), str(draw.random())) for i in range(1500)]
+    for part in range(2):
+        with open(tmp_path / f"{part}.tsv", "w", newline="") as out:
+            writer = csv.writer(out, delimiter="\t", lineterminator="\r\n" if part else "\n")
+            writer.writerows([("id", "na me", "v"), *rows[750 * part : 750 * (part + 1)]])
+    (tmp_path / "header only.tsv").write_text("id\tna me\tv\n")
+    (tmp_path / "empty.tsv").write_text("")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        assert spark.read.text(str(tmp_path / "0.tsv")).rdd.getNumPartitions() > 10
+        found = delimited.read_tsv(spark, str(tmp_path), delimited.schema_of(**{"id": "long", "na me": "string", "v": "double"}))
+        assert sorted(tuple(r) for r in found.collect()) == sorted((int(i), t, float(v)) for i, t, v in rows if t)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_files_without_quoted_breaks_are_not_moved(spark, tmp_path):
+    (tmp_path / "t.tsv").write_text("a\tb\n" + 'x y\t"q ""z"""\n' * 500)
+    rows = delimited.read_tsv(spark, str(tmp_path / "t.tsv"), delimited.schema_of(a="string", b="string"))
+    assert [tuple(r) for r in rows.distinct().collect()] == [("x y", 'q "z"')] and rows.count() == 500
