@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from millrace.llm import language, mixing, packing, quality, simhash
 from millrace.plans.staging import stage
 
-# Of a mixed-language text, the share of letters that its main language must hold.
-LEAST_LANGUAGE_SHARE = 0.4
+# The share of a text's letters that must lie in words that some known language may write.
+LEAST_KNOWN_SHARE = 0.1
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,9 +23,9 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with letters, most of them in one language."""
+    """Documents with letters in the script of a known language, also those in several languages."""
     model = language.train(docs, "text", "lang", F.col("doc_id"))
-    return language.kept(docs, "text", model, LEAST_LANGUAGE_SHARE)
+    return language.kept(docs, "text", model, LEAST_KNOWN_SHARE)
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -10,13 +11,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 SLICE_BYTES = 1 << 20
+_LIBC = ctypes.CDLL(None)
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.Table]:
     """The rows of Arrow batches in pieces of about ``most`` bytes of text, one row at least.
 
     Null texts become empty ones. A batch of long texts is thus never expanded to words at once.
-    Arrow's unused memory goes back to the system after the last piece, as workers outlive their tasks.
+    Unused memory goes back to the system after the last piece, as workers outlive their tasks.
     """
     for batch in batches:
         table = pa.Table.from_batches([batch])
@@ -32,7 +34,15 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SL
             stop = max(start + 1, int(np.searchsorted(ends, before + most, side="right")))
             yield table.slice(start, stop - start)
             start = stop
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: Arrow's, and that of the C library where it can."""
     pa.default_memory_pool().release_unused()
+    trim = getattr(_LIBC, "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def plain(column: pa.ChunkedArray | pa.Array) -> pa.Array:

@@ -237,10 +237,12 @@ def viterbi(scores: np.ndarray, offsets: np.ndarray, penalty: float) -> np.ndarr
 
 @dataclass
 class Labels:
-    """What :func:`label` finds: for each text the language and score, and the spans of all texts."""
+    """What :func:`label` finds: for each text the language and score, the share of its letters in words
+    that some language may write, and the spans of all texts."""
 
     lang: list[str]
     score: np.ndarray
+    known: np.ndarray
     spans_per_text: np.ndarray
     first_word: np.ndarray
     words: np.ndarray
@@ -253,7 +255,7 @@ def label(texts: pa.Array, model: Model, penalty: float) -> Labels:
     rows, names = len(texts), model.languages
     none = np.zeros(0, np.int64)
     if not names or not len(codes):
-        return Labels([UNKNOWN] * rows, np.zeros(rows), np.zeros(rows, np.int64), none, none, none)
+        return Labels([UNKNOWN] * rows, np.zeros(rows), np.zeros(rows), np.zeros(rows, np.int64), none, none, none)
     scores, letters = model.word_scores(words.to_pylist())
     letters = letters.astype(np.float64)
     known = letters * (scores.min(1, initial=0.0) < 0)
@@ -261,7 +263,7 @@ def label(texts: pa.Array, model: Model, penalty: float) -> Labels:
     all_letters = np.bincount(owner, letters[codes], rows)
     lettered = all_letters > 0
     if not lettered.any():
-        return Labels([UNKNOWN] * rows, np.zeros(rows), np.zeros(rows, np.int64), none, none, none)
+        return Labels([UNKNOWN] * rows, np.zeros(rows), np.zeros(rows), np.zeros(rows, np.int64), none, none, none)
     labels = viterbi(scores[codes], offsets, penalty)
     held = np.bincount(owner * len(names) + labels, known[codes], rows * len(names)).reshape(rows, -1)
     top = np.where(held.any(1), held.argmax(1), model.common)
@@ -274,7 +276,7 @@ def label(texts: pa.Array, model: Model, penalty: float) -> Labels:
     usable = lettered[owner[first]]
     first, size = first[usable], size[usable]
     lang = [names[t] if ok else UNKNOWN for t, ok in zip(top.tolist(), lettered.tolist())]
-    return Labels(lang, np.where(lettered, share, 0.0), np.bincount(owner[first], minlength=rows), first - offsets[owner[first]], size, labels[first])
+    return Labels(lang, np.where(lettered, share, 0.0), held.sum(1) / np.maximum(all_letters, 1), np.bincount(owner[first], minlength=rows), first - offsets[owner[first]], size, labels[first])
 
 
 SPAN = pa.list_(pa.struct([("first_word", pa.int32()), ("words", pa.int32()), ("lang", pa.string())]))
@@ -308,12 +310,18 @@ def identify(docs: DataFrame, id_col: str, text_col: str, model: Model, penalty:
     return rows.mapInArrow(labelled, f"doc_id {kind}, lang_pred string, score double, spans array<struct<first_word:int,words:int,lang:string>>")
 
 
-def kept(docs: DataFrame, text_col: str, model: Model, least_score: float, penalty: float = SWITCH_PENALTY) -> DataFrame:
-    """The rows, with all their columns, whose language is known with at least ``least_score``."""
+def kept(docs: DataFrame, text_col: str, model: Model, least_known: float, penalty: float = SWITCH_PENALTY) -> DataFrame:
+    """The rows, with all their columns, of which at least the share ``least_known`` of the letters
+    lies in words that some known language may write, in however many languages.
+
+    Texts without letters go. A model without languages rejects no other text.
+    """
+    if not model.languages:
+        return docs.filter(F.coalesce(F.col(text_col), F.lit("")).rlike(r"\p{L}"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def decide(texts: pa.Array) -> np.ndarray:
         found = label(texts, shared.value, penalty)
-        return (found.score >= least_score) & (np.array(found.lang, object) != UNKNOWN)
+        return (found.known >= least_known) & (np.array(found.lang, object) != UNKNOWN)
 
     return kept_rows(docs, text_col, decide)

@@ -26,11 +26,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.chunks import plain, ranges, slices, word_codes
+from millrace.llm.chunks import give_back, plain, ranges, slices, word_codes
 from millrace.plans.staging import stage
 
 WINDOW = 2048
-SHARD_DOCUMENTS = 1024
+# Ids of a shard of the index, and windows of a partition.
+SHARD_TOKENS = 1 << 19
+PART_WINDOWS = 2048
 K1, B = 1.2, 0.75
 # Length of the vectors by which pieces are routed, rows of the tree's sample, and its rows in a leaf.
 DIMENSIONS = 32
@@ -38,7 +40,9 @@ SAMPLE_ROWS = 20_000
 LEAF_ROWS = 8
 # Pieces whose tokens are projected together.
 ROWS_AT_ONCE = 512
-CACHED_STEMS = 300_000
+CACHED_PIECES = 300_000
+# Text that is tokenised at once: distinct words grow more slowly than texts.
+TEXT_BYTES = 4 << 20
 # ASCII marks that a tokenizer's pattern keeps together as one piece; the apostrophe opens suffixes.
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -51,83 +55,107 @@ def ends_in_letter(last: str) -> bool:
     return not last or unicodedata.category(unicodedata.normalize("NFC", last).lower()[-1])[0] == "L"
 
 
+class _Numbers(dict):
+    """Numbers strings in the order in which they are first looked up."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.listed: list[str] = []
+
+    def __missing__(self, key: str) -> int:
+        self[key] = number = len(self.listed)
+        self.listed.append(key)
+        return number
+
+
 class WordEncoder:
     """Token ids of texts, computed once per distinct word.
 
     Right for tokenizers that drop white space and whose pieces never reach over it. A word of
     letters followed by marks is two pieces, so it costs two look-ups; every other word is encoded
     whole, also one whose last letter turns into a letter and a combining mark, which belongs to the
-    marks after it. The memo of letter runs is emptied when it holds ``CACHED_STEMS`` entries, and after a task.
+    marks after it. The memo of pieces is emptied when it holds ``CACHED_PIECES`` entries, and after a task.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
+        vocabulary = self.tokenizer.get_vocab()
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.closing = np.zeros(max(vocabulary.values()) + 1, bool)
+        if suffix:
+            self.closing[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
         self.clear()
 
     def clear(self) -> None:
-        self.numbers: dict[str, int] = {}
-        self.pool: list[np.ndarray] = [np.zeros(0, np.int32)]
-        self.lengths: list[np.ndarray] = [np.zeros(0, np.int64)]
-
-    def _whole(self, words: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-
-    def _run(self, word: str) -> list[int]:
-        # For ASCII letters the byte alphabet, the normal form and lower-casing are plain.
-        return [t.id for t in self.model.tokenize(word.lower())]
-
-    def numbered(self, pieces: list[str], letters: bool) -> np.ndarray:
-        """Memo numbers of pieces, new ones added."""
-        numbers = self.numbers
-        found = [numbers.get(p, -1) for p in pieces]
-        missing = [p for p, n in zip(pieces, found) if n < 0]
-        if missing:
-            plain_ones = [p for p in missing if letters and p.isascii()]
-            others = [p for p in missing if not (letters and p.isascii())]
-            lists = [self._run(p) for p in plain_ones] + self._whole(others)
-            for p in plain_ones + others:
-                numbers[p] = len(numbers)
-            self.pool.append(np.fromiter((i for ids in lists for i in ids), np.int32))
-            self.lengths.append(np.fromiter(map(len, lists), np.int64, len(lists)))
-            found = [numbers[p] for p in pieces]
-        return np.array(found, np.int64)
+        self.known = _Numbers()
+        self.pool, self.starts, self.lengths = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _whole(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        lists = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        lengths = np.fromiter(map(len, lists), np.int64, len(lists))
+        return np.fromiter((i for ids in lists for i in ids), np.int32, int(lengths.sum())), lengths
+
+    def _letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Words of ASCII letters, encoded as one text: each is a piece that one closing token ends."""
+        if words and self.closing.any():
+            texts = [" ".join(words[i : i + 4096]) for i in range(0, len(words), 4096)]
+            ids = np.concatenate([np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+            ends = np.flatnonzero(self.closing[ids])
+            if len(ends) == len(words) and ends[-1] == len(ids) - 1:
+                return ids, np.diff(ends, prepend=-1)
+        return self._whole(words)
+
+    def numbered(self, pieces: pa.Array) -> np.ndarray:
+        """Memo numbers of distinct pieces, new ones added."""
+        before = len(self.known)
+        found = np.fromiter(map(self.known.__getitem__, pieces.to_pylist()), np.int64, len(pieces))
+        new = self.known.listed[before:]
+        if new:
+            simple = np.fromiter((w.isascii() and w.isalpha() for w in new), bool, len(new))
+            starts, lengths = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64)
+            for chosen, encode in ((simple, self._letters), (~simple, self._whole)):
+                ids, sizes = encode([new[i] for i in np.flatnonzero(chosen)])
+                starts[chosen], lengths[chosen] = len(self.pool) + np.cumsum(sizes) - sizes, sizes
+                self.pool = np.concatenate([self.pool, ids])
+            self.starts, self.lengths = np.concatenate([self.starts, starts]), np.concatenate([self.lengths, lengths])
+        return found
 
     def __call__(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """``(offsets, ids)`` of all texts, each closed by ``end_id``."""
-        if len(self.numbers) > CACHED_STEMS:
+        if len(self.known) > CACHED_PIECES:
             self.clear()
         offsets, codes, words = word_codes(texts)
+        words = plain(words.cast(pa.string()))
         stems = pc.ascii_rtrim(words, MARKS)
+        cut = pc.binary_length(stems).to_numpy(zero_copy_only=False)
+        full = pc.binary_length(words).to_numpy(zero_copy_only=False)
         simple = pc.or_(pc.utf8_is_alpha(stems), pc.equal(pc.binary_length(stems), 0)).to_numpy(zero_copy_only=False)
         ends = plain(pc.dictionary_encode(pc.utf8_slice_codeunits(stems, -1)))
         safe = np.array([ends_in_letter(c) for c in ends.dictionary.to_pylist()], bool)
         simple &= safe[ends.indices.to_numpy()]
-        cut = pc.binary_length(stems).to_numpy(zero_copy_only=False)
-        full = pc.binary_length(words).to_numpy(zero_copy_only=False)
         # A number for the first piece of each distinct word and, where marks follow, for the second.
         first, second = np.full(len(words), -1), np.full(len(words), -1)
         has_stem, has_marks = simple & (cut > 0), simple & (full > cut)
         encoded = plain(pc.dictionary_encode(stems.filter(pa.array(has_stem))))
-        first[has_stem] = self.numbered(encoded.dictionary.to_pylist(), True)[encoded.indices.to_numpy()]
+        first[has_stem] = self.numbered(encoded.dictionary)[encoded.indices.to_numpy()]
         tails = plain(pc.dictionary_encode(pc.replace_substring_regex(words.filter(pa.array(has_marks)), r"^\pL+", "")))
-        second[has_marks] = self.numbered(tails.dictionary.to_pylist(), False)[tails.indices.to_numpy()]
+        second[has_marks] = self.numbered(tails.dictionary)[tails.indices.to_numpy()]
         odd = ~simple
-        first[odd] = self.numbered(words.filter(pa.array(odd)).to_pylist(), False)
+        first[odd] = self.numbered(plain(words.filter(pa.array(odd))))
 
-        self.pool, self.lengths = [np.concatenate(self.pool)], [np.concatenate(self.lengths)]
-        lengths = np.append(self.lengths[0], 0)  # number -1: no ids
-        starts = np.append(np.cumsum(self.lengths[0]) - self.lengths[0], 0)
-        # Two places for each word of each text, and one after each text for the end.
-        both = np.stack([first, second], 1)
-        places = both[codes].reshape(-1)
-        counts = lengths[places]
-        ids = self.pool[0][ranges(starts[places], counts)] if len(places) else np.zeros(0, np.int32)
-        upto = np.concatenate([[0], np.cumsum(counts)])[2 * offsets]
-        ids = np.insert(ids, upto[1:], end_id)
-        return upto + np.arange(len(upto)), ids
+        # The ids of each distinct word, and of one more that closes a text.
+        lengths = np.append(self.lengths, 0)  # number -1: no ids
+        starts = np.append(self.starts, 0)
+        places = np.stack([first, second], 1).reshape(-1)
+        word_ids = np.append(self.pool[ranges(starts[places], lengths[places])] if len(places) else np.zeros(0, np.int32), end_id).astype(np.int32)
+        counts = np.append(lengths[first] + lengths[second], 1)
+        begins = np.cumsum(counts) - counts
+        closed = np.insert(codes, offsets[1:], len(words))
+        sizes = counts[closed]
+        upto = np.concatenate([[0], np.cumsum(sizes)])[offsets + np.arange(len(offsets))]
+        return upto, word_ids[ranges(begins[closed], sizes)] if len(closed) else np.zeros(0, np.int32)
 
 
 def _encoder(path: str) -> WordEncoder:
@@ -146,7 +174,7 @@ def token_pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer_path: st
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer_path)
-        for table in slices(batches):
+        for table in slices(batches, most=TEXT_BYTES):
             offsets, ids = encoder(plain(table["text"]), end_id)
             lengths = np.diff(offsets)
             pieces = -(-lengths // window)
@@ -161,7 +189,10 @@ def token_pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer_path: st
                 [plain(table["doc_id"]).take(pa.array(row)), pa.array(start), pa.array(length), pa.array(lengths[row]), binary.cast(pa.binary()), pa.array(place)],
                 names=["doc_id", "start", "length", "doc_tokens", "ids", "place"],
             )
-        encoder.clear()
+        # Workers outlive their tasks; the vocabulary is read again in a fraction of a second.
+        del encoder
+        _encoders.clear()
+        give_back()
 
     kind = dict(numbered.dtypes)["doc_id"]
     return numbered.mapInArrow(cut, f"doc_id {kind}, start long, length long, doc_tokens long, ids binary, place long")
@@ -351,49 +382,88 @@ class Shard:
         self.of_list, self.list_first = slot[order], np.searchsorted(self.place[order], np.arange(len(lists) + 1))
 
     def ranked(self, seed: int, query_tokens: int | None) -> np.ndarray:
-        """All lists by falling BM25 score for the seed's tokens (None: all of them), ties in order."""
+        """The unused lists by falling BM25 score for the seed's tokens (None: all of them), ties in order."""
         slots = self.of_list[self.list_first[seed] : self.list_first[seed + 1]][:query_tokens]
         hits = ranges(self.first[slots], self.first[slots + 1] - self.first[slots])
         scores = np.bincount(self.place[hits], self.weight[hits], len(self.left))
-        return np.argsort(-scores, kind="stable")
+        unused = np.flatnonzero(self.left)
+        return unused[np.argsort(-scores[unused], kind="stable")]
 
 
 def fill_windows(
-    lists: list[np.ndarray], window: int, query_tokens: int | None = None, known: Statistics | None = None
+    lists: list[np.ndarray], window: int, query_tokens: int | None = None, known: Statistics | None = None, last: bool = True
 ) -> Iterator[list[tuple[int, int, int]]]:
     """Sequences of ``(list, start, length)``. The best unused neighbour that fits goes in whole; if
-    none fits, the best one is cut and its rest stays unused. Only the last sequence can be short."""
+    none fits, the best one is cut and its rest stays unused. Only the last sequence can be short;
+    unless this is the ``last`` shard, what would make up that one stays unused."""
     shard = Shard(lists, known)
     left, used = shard.left, shard.used
+    total = int(left.sum())
     for seed in range(len(lists)):
         while left[seed]:
-            room, sequence, order = window, [], None
-            take = seed
-            while True:
-                length = min(room, int(left[take]))
-                sequence.append((take, int(used[take]), length))
-                used[take] += length
-                left[take] -= length
-                room -= length
-                if not room:
-                    break
-                if order is None:
-                    order = shard.ranked(seed, query_tokens)
-                order = order[left[order] > 0]
-                if not len(order):
-                    break
-                fits = left[order] <= room
-                take = int(order[np.argmax(fits)])  # the first of all if none fits
+            if total < window and not last:
+                return
+            taken, lengths = [np.array([seed])], [np.array([min(window, left[seed])])]
+            room = window - int(lengths[0][0])
+            if room:
+                order = shard.ranked(seed, query_tokens)
+                order, skipped = order[order != seed], None
+                while room:
+                    ends = np.cumsum(left[order])
+                    whole = int(np.searchsorted(ends, room, side="right"))
+                    if whole:
+                        taken.append(order[:whole])
+                        lengths.append(left[order[:whole]])
+                        room -= int(ends[whole - 1])
+                        order = order[whole:]
+                    elif len(order):
+                        # What doesn't fit now never will; the best of it is cut if nothing else fits.
+                        skipped = order[0] if skipped is None else skipped
+                        order = order[left[order] <= room]
+                    elif skipped is not None:
+                        taken.append(np.array([skipped]))
+                        lengths.append(np.array([room]))
+                        room = 0
+                    else:
+                        break
+            chosen, sizes = np.concatenate(taken), np.concatenate(lengths)
+            sequence = list(zip(chosen.tolist(), used[chosen].tolist(), sizes.tolist()))
+            used[chosen] += sizes
+            left[chosen] -= sizes
+            total -= window - room
             yield sequence
 
 
+class _Pieces:
+    """Pieces of a partition, as columns: where they come from and their ids one after the other."""
+
+    def __init__(self, parts: list[pa.RecordBatch]) -> None:
+        table = pa.Table.from_batches(parts)
+        self.doc_id = plain(table["doc_id"])
+        self.start, self.doc_tokens = (plain(table[c]).to_numpy() for c in ("start", "doc_tokens"))
+        data = plain(plain(table["ids"]).cast(pa.large_binary()))
+        self.offsets = np.frombuffer(data.buffers()[1], np.int64, len(data) + 1) // 4
+        self.ids = np.frombuffer(data.buffers()[2] or b"", "<u4", self.offsets[-1])
+
+    def lists(self) -> list[np.ndarray]:
+        return [self.ids[a:b] for a, b in zip(self.offsets[:-1].tolist(), self.offsets[1:].tolist())]
+
+    def cut(self, row: np.ndarray, at: np.ndarray, length: np.ndarray, **more: np.ndarray) -> pa.RecordBatch:
+        """Parts ``at`` to ``at + length`` of the given pieces, with more columns."""
+        bounds = np.concatenate([[0], 4 * np.cumsum(length)]).astype(np.int64)
+        data = self.ids[ranges(self.offsets[:-1][row] + at, length)].astype("<u4")
+        ids = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(row), [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(data.tobytes())])
+        columns = {"doc_id": self.doc_id.take(pa.array(row)), "start": self.start[row] + at, "length": length, "doc_tokens": self.doc_tokens[row], **more}
+        return pa.RecordBatch.from_arrays([*[pa.array(c) for c in columns.values()], ids.cast(pa.binary())], names=[*columns, "ids"])
+
+
 def pack(
     docs: DataFrame,
     id_col: str,
     text_col: str,
     tokenizer_path: str,
     window: int = WINDOW,
-    shard_documents: int = SHARD_DOCUMENTS,
+    shard_tokens: int = SHARD_TOKENS,
     query_tokens: int | None = None,
     end_id: int = 1,
 ) -> DataFrame:
@@ -401,11 +471,12 @@ def pack(
 
     One row per piece: ``doc_id, start, length, doc_tokens, sequence_id, offset, ids``. Each id of a
     document, the end id included, lies in exactly one piece, and pieces fill a sequence gaplessly
-    from offset 0. Only the last sequence of a shard can be shorter than the window.
+    from offset 0. Only the last sequence of a partition can be shorter than the window, and there
+    is a partition for each ``PART_WINDOWS`` windows of ids, however short the documents are.
 
     Pieces go to partitions of about equal size in the order of a tree over the whole corpus, so
-    neither equal ids nor copies gather in a task; a partition is packed shard after shard in bounded
-    memory, and a lost task packs the same sequences again. Null texts count as empty (one piece, the
+    neither equal ids nor copies gather in a task; a partition is packed in shards of ``shard_tokens``
+    ids, in bounded memory; what a shard leaves of a window goes into the next, and a lost task packs the same sequences again. Null texts count as empty (one piece, the
     end id); equal rows are documents of their own; null ids are kept; an empty table gives no rows;
     other columns are ignored. Equal scores take the earlier list. A seed is looked up by all its
     tokens, or the ``query_tokens`` of highest weight; lists without any of them come last and are not lost.
@@ -415,42 +486,45 @@ def pack(
     rests = pieces.filter(F.col("length") < window)
     found = statistics(rests, max(end_id, *vocabulary.values()) + 1)
     shared = docs.sparkSession.sparkContext.broadcast(found)
-    rows = routed(rests, found, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = routed(rests, found, max(1, round(found.pieces * found.mean / (PART_WINDOWS * window))))
+    most = min(shard_tokens, 1 << 30)
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sequence_id = TaskContext.get().partitionId() << 32
-        waiting: list[tuple] = []
-
-        def written(sequences: list[list[tuple]]) -> pa.RecordBatch:
-            nonlocal sequence_id
-            out: list[tuple] = []
-            for sequence in sequences:
-                offset = 0
-                for doc_id, start, length, doc_tokens, data in sequence:
-                    out.append((doc_id, start, length, doc_tokens, sequence_id, offset, data))
-                    offset += length
-                sequence_id += 1
-            columns = list(zip(*out)) or [[]] * 7
-            kinds = [id_kind, *[pa.int64()] * 5, pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=NAMES)
-
-        def shards() -> Iterator[pa.RecordBatch]:
-            lists = [np.frombuffer(x[4], "<u4") for x in waiting]
-            out = []
-            for sequence in fill_windows(lists, window, query_tokens, shared.value):
-                out.append([(waiting[i][0], waiting[i][1] + at, n, waiting[i][3], waiting[i][4][4 * at : 4 * (at + n)]) for i, at, n in sequence])
-            waiting.clear()
-            yield written(out)
-
-        id_kind = pa.int64()
+        waiting: list[pa.RecordBatch] = []
+        tokens = 0
+
+        def shard(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal sequence_id, waiting, tokens
+            pieces = _Pieces(waiting)
+            used = np.zeros(len(pieces.start), np.int64)
+            sequences = list(fill_windows(pieces.lists(), window, query_tokens, shared.value, last))
+            sizes = np.array([len(x) for x in sequences], np.int64)
+            if len(sizes):
+                row, at, length = np.array([piece for x in sequences for piece in x], np.int64).T
+                np.add.at(used, row, length)
+                first = np.cumsum(sizes) - sizes
+                before = np.cumsum(length) - length
+                offset = before - np.repeat(before[first], sizes)
+                yield pieces.cut(row, at, length, sequence_id=sequence_id + np.repeat(np.arange(len(sizes)), sizes), offset=offset)
+            sequence_id += len(sizes)
+            left = np.diff(pieces.offsets) - used
+            rest = np.flatnonzero(left)
+            waiting, tokens = ([pieces.cut(rest, used[rest], left[rest])] if len(rest) else []), int(left.sum())
+
         for batch in batches:
-            id_kind = batch.schema.field("doc_id").type
-            for row in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "start", "length", "doc_tokens", "ids")]):
-                waiting.append(row)
-                if len(waiting) == shard_documents:
-                    yield from shards()
+            ends = np.cumsum(batch.column(batch.schema.get_field_index("length")).to_numpy())
+            start = 0
+            while start < batch.num_rows:
+                room = (ends[start - 1] if start else 0) + most - tokens
+                stop = max(start + 1, int(np.searchsorted(ends, room, side="right")))
+                waiting.append(batch.slice(start, stop - start).select(PIECES))
+                tokens += int(ends[stop - 1] - (ends[start - 1] if start else 0))
+                start = stop
+                if tokens >= most or (start < batch.num_rows and tokens + ends[start] - ends[start - 1] > most):
+                    yield from shard(False)
         if waiting:
-            yield from shards()
+            yield from shard(True)
 
     kind = dict(docs.dtypes)[id_col]
     filled = rows.mapInArrow(packed, f"doc_id {kind}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
@@ -460,7 +534,7 @@ def pack(
     return filled.union(whole.select("doc_id", "start", "length", "doc_tokens", number, F.lit(0).cast("long").alias("offset"), "ids"))
 
 
-NAMES = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]
+PIECES = ["doc_id", "start", "length", "doc_tokens", "ids"]
 
 
 def with_checksums(pieces: DataFrame, keep_ids: bool = False) -> DataFrame:

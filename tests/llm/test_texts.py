@@ -74,7 +74,7 @@ def check_packed(docs, rows, window):
 
 
 def test_packing_keeps_every_token(spark):
-    rows = packing.with_checksums(packing.pack(odd.documents(spark), "id", "body", TOKENIZER, window=64, shard_documents=5), keep_ids=True).collect()
+    rows = packing.with_checksums(packing.pack(odd.documents(spark), "id", "body", TOKENIZER, window=64, shard_tokens=300), keep_ids=True).collect()
     check_packed([(i, t) for i, t, _, _ in odd.TEXTS], rows, 64)
     assert packing.pack(odd.documents(spark, empty=True), "id", "body", TOKENIZER).count() == 0
 
@@ -90,6 +90,43 @@ def test_packing_pads_little_and_puts_related_documents_together(spark):
         assert len({i % 2 for i, _, _ in sequence[:4]}) == 1 or len(sequence) < 5
 
 
+def test_short_documents_leave_little_padding(spark):
+    docs = spark.range(20_000).select(F.col("id"), F.lit("two words").alias("body"))
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        rows = packing.pack(docs, "id", "body", TOKENIZER, shard_tokens=10_000).groupBy("sequence_id").agg(F.sum("length").alias("n")).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert sum(r.n for r in rows) == 60_000 and 60_000 > 0.97 * 2048 * len(rows)
+
+
+def test_greedy_filling_equals_one_by_one():
+    """The vectorised filling takes what a plain loop over the ranked lists takes."""
+    draw = np.random.default_rng(2)
+    lists = [draw.integers(0, 200, draw.integers(1, 90)).astype("<u4") for _ in range(300)]
+    for last in (True, False):
+        shard = packing.Shard(lists)
+        wanted = []
+        for seed in range(len(lists)):
+            while shard.left[seed]:
+                if shard.left.sum() < 128 and not last:
+                    break
+                room, sequence, take = 128, [], seed
+                order = [i for i in shard.ranked(seed, None).tolist() if i != seed]
+                while True:
+                    n = min(room, int(shard.left[take]))
+                    sequence.append((take, int(shard.used[take]), n))
+                    shard.used[take] += n
+                    shard.left[take] -= n
+                    room -= n
+                    order = [i for i in order if shard.left[i] and i != take]
+                    if not room or not order:
+                        break
+                    take = next((i for i in order if shard.left[i] <= room), order[0])
+                wanted.append(sequence)
+        assert list(packing.fill_windows(lists, 128, last=last)) == wanted
+
+
 def test_related_documents_meet_from_all_over_the_corpus(spark):
     rng = np.random.default_rng(5)
     words = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 9)) for _ in range(60 * 12)]
@@ -99,7 +136,7 @@ def test_related_documents_meet_from_all_over_the_corpus(spark):
         own = words[i % 60 * 12 : i % 60 * 12 + 12]
         texts.append((i, " ".join(rng.permutation([*rng.choice(own, 12), *rng.choice(common, 40)]).tolist())))
     docs = spark.createDataFrame(texts, "id long, body string").repartition(8)
-    rows = packing.with_checksums(packing.pack(docs, "id", "body", TOKENIZER, window=512, shard_documents=20), keep_ids=True).collect()
+    rows = packing.with_checksums(packing.pack(docs, "id", "body", TOKENIZER, window=512, shard_tokens=2000), keep_ids=True).collect()
     check_packed(texts, rows, 512)
     sequences = defaultdict(list)
     for r in rows:
