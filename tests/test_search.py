@@ -139,7 +139,7 @@ def zipf_weights(spark, documents, queries, seed):
     return docs, asked, spark.createDataFrame(docs, "term string, doc_id long, weight double"), spark.createDataFrame([(q, t, w) for t, q, w in asked], "query_id long, term string, wanted double")
 
 
-@pytest.mark.parametrize("k, min_score", [(3, 0.05), (5, 0.3), (2, 1e-6)])
+@pytest.mark.parametrize("k, min_score", [(3, 0.05), (5, 0.5), (2, 1e-6)])
 def test_block_bounds_give_the_exact_best_and_spare_most_pairs(spark, k, min_score):
     documents, queries = 2000, 20
     docs, asked, weights, wanted = zipf_weights(spark, documents, queries, k)
