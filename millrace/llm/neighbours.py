@@ -161,7 +161,7 @@ def nearest(df: DataFrame, id_col: str, vector_col: str, queries: str, k: int =
     the SQL condition ``queries`` on ``vec_id``; smallest Euclidean distance first, ties to the smaller id.
 
     Equal vectors are one point with its ``k + 1`` smallest ids, so copies need no room and ties
-    among them are exact. The upper tree is fitted on about ``sample_rows`` points; every row is
+    among them are exact. A query that repeats with the same vector is asked once. The upper tree is fitted on about ``sample_rows`` points; every row is
     indexed. A query first searches its own cell, and then, with the k-th distance found there, only
     the cells whose box the stopping test does not rule out. Neither cells nor the queries that meet
     one are ever all in one task. Vectors that are null, empty, zero or hold null or non-finite
@@ -194,7 +194,7 @@ def nearest(df: DataFrame, id_col: str, vector_col: str, queries: str, k: int =
         "neighbours-cells",
     )
     asked = stage(
-        _projected(points.filter(queries).select("v", F.array("vec_id").alias("ids")), dimensions)
+        _projected(points.filter(queries).select("v", F.array("vec_id").alias("ids")).distinct(), dimensions)
         .mapInArrow(dealt, f"v array<double>, shadow array<double>, ids array<{kind}>, cell long")
         .select(F.col("ids")[0].alias("query_id"), "v", "shadow", "cell", F.size("v").alias("size")),
         "neighbours-queries",
@@ -208,7 +208,9 @@ def nearest(df: DataFrame, id_col: str, vector_col: str, queries: str, k: int =
     box_size, box_cell = boxes["size"].to_numpy(), boxes["cell"].to_numpy()
     low, high = (np.stack([boxes[f"{name}{i}"].to_numpy() for i in range(dimensions)], 1) for name in ("low", "high"))
 
-    first = stage(_searched(placed, asked.withColumn("bound", F.lit(float("inf"))), parts, k, ratio, kind), "neighbours-first")
+    # Beyond MOST_CELLS cells, a cell is searched in slices of about the same size.
+    slices = max(1, -(-total // (wanted * cell_rows)))
+    first = stage(_searched(placed, asked.withColumn("bound", F.lit(float("inf"))), parts, slices, k, ratio, kind), "neighbours-first")
     kth = best_of(first, k, F.col("score"), F.col("vec_id")).filter(F.col("rank") == k).select("query_id", F.col("score").alias("bound"))
     bounded = asked.join(kth, "query_id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
 
@@ -227,7 +229,7 @@ def nearest(df: DataFrame, id_col: str, vector_col: str, queries: str, k: int =
             at = batch.schema.get_field_index("cell")
             yield taken.set_column(at, "cell", pa.array(np.concatenate(cell or [np.zeros(0, np.int64)]), pa.int64()))
 
-    others = _searched(placed, bounded.mapInArrow(routed, bounded.schema), parts, k, ratio, kind)
+    others = _searched(placed, bounded.mapInArrow(routed, bounded.schema), parts, slices, k, ratio, kind)
     found = best_of(first.union(others), k, F.col("score"), F.col("vec_id"))
     return found.select("query_id", "rank", "vec_id", "score")
 
@@ -249,12 +251,14 @@ def _projected(rows: DataFrame, dimensions: int) -> DataFrame:
     return rows.select("v", "ids").mapInArrow(project, f"v array<double>, shadow array<double>, ids {dict(rows.dtypes)['ids']}")
 
 
-def _searched(placed: DataFrame, asked: DataFrame, parts: int, k: int, ratio: float, kind: str) -> DataFrame:
-    """Search each query in the cell it names, many queries of a cell in parts."""
-    asked = asked.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(parts)))
+def _searched(placed: DataFrame, asked: DataFrame, parts: int, slices: int, k: int, ratio: float, kind: str) -> DataFrame:
+    """Search each query in the cell it names, many queries of a cell in parts, many points in slices."""
+    asked = asked.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(parts)) * slices)
+    if slices > 1:
+        asked = asked.withColumn("part", F.explode(F.sequence(F.col("part"), F.col("part") + slices - 1)))
     # A cell's points go once to each part of the queries that need them.
     needed = asked.select("size", "cell", F.col("part").alias("piece")).distinct()
-    points = placed.join(needed, ["size", "cell"])
+    points = placed.join(needed, ["size", "cell"]).filter(F.pmod(F.xxhash64("v"), F.lit(slices)) == F.col("piece") % slices)
 
     def both(points: pa.Table, asked: pa.Table) -> pa.Table:
         out: list[tuple[int, float, int]] = []

@@ -14,6 +14,7 @@ every seed with every piece, as each id of a tokenizer's bounded vocabulary stan
 
 from __future__ import annotations
 
+import os
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -42,7 +43,8 @@ LEAF_ROWS = 8
 ROWS_AT_ONCE = 512
 CACHED_PIECES = 300_000
 # Text that is tokenised at once: distinct words grow more slowly than texts.
-TEXT_BYTES = 4 << 20
+TEXT_BYTES = 2 << 20
+LETTERS_AT_ONCE = 1024
 # ASCII marks that a tokenizer's pattern keeps together as one piece; the apostrophe opens suffixes.
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -78,6 +80,8 @@ class WordEncoder:
     """
 
     def __init__(self, path: str) -> None:
+        # A task is one thread; threads of the library's own would take other tasks' cores and memory.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -98,14 +102,20 @@ class WordEncoder:
         return np.fromiter((i for ids in lists for i in ids), np.int32, int(lengths.sum())), lengths
 
     def _letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Words of ASCII letters, encoded as one text: each is a piece that one closing token ends."""
-        if words and self.closing.any():
-            texts = [" ".join(words[i : i + 4096]) for i in range(0, len(words), 4096)]
-            ids = np.concatenate([np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
-            ends = np.flatnonzero(self.closing[ids])
-            if len(ends) == len(words) and ends[-1] == len(ids) - 1:
-                return ids, np.diff(ends, prepend=-1)
-        return self._whole(words)
+        """Words of letters, encoded as texts of many: each is a piece that one closing token ends. Where
+        a letter turns into more than a letter, the tokens don't add up, and the words are encoded one by one."""
+        ids, lengths = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        for i in range(0, len(words), LETTERS_AT_ONCE):
+            some = words[i : i + LETTERS_AT_ONCE]
+            found = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, np.int32)
+            ends = np.flatnonzero(self.closing[found])
+            if len(ends) == len(some) and ends[-1] == len(found) - 1:
+                ids.append(found)
+                lengths.append(np.diff(ends, prepend=-1))
+            else:
+                for out, part in zip((ids, lengths), self._whole(some)):
+                    out.append(part)
+        return np.concatenate(ids), np.concatenate(lengths)
 
     def numbered(self, pieces: pa.Array) -> np.ndarray:
         """Memo numbers of distinct pieces, new ones added."""
@@ -113,7 +123,7 @@ class WordEncoder:
         found = np.fromiter(map(self.known.__getitem__, pieces.to_pylist()), np.int64, len(pieces))
         new = self.known.listed[before:]
         if new:
-            simple = np.fromiter((w.isascii() and w.isalpha() for w in new), bool, len(new))
+            simple = np.fromiter(map(str.isalpha, new), bool, len(new))
             starts, lengths = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64)
             for chosen, encode in ((simple, self._letters), (~simple, self._whole)):
                 ids, sizes = encode([new[i] for i in np.flatnonzero(chosen)])

@@ -109,8 +109,7 @@ WITH usable AS (
 ), scored AS (
     SELECT q.vec_id AS query_id, c.vec_id,
         CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: CAST(p[1] * p[2] AS HUGEINT))) AS BIGINT) AS score
-    FROM usable q JOIN usable c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
-    WHERE q.vec_id % 50 = 0
+    FROM (SELECT DISTINCT vec_id, v FROM usable WHERE vec_id % 50 = 0) q JOIN usable c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
 ), ranked AS (
     SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM scored
 )

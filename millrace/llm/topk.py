@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.vectors import best_of, matrix, usable
+from millrace.llm.vectors import best_of, matrix, scaled, usable
 
 SCALE = 256
 LEVELS = (2, 8, 16)
@@ -36,7 +36,8 @@ def statistics(vectors: np.ndarray, segments: int) -> np.ndarray:
 
 def _exact(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
     """Integer inner products; beyond what a double holds exactly, by integers of any size."""
-    most = float(np.abs(vectors).max(initial=0)) * float(np.abs(query).max(initial=0)) * len(query)
+    with np.errstate(over="ignore"):
+        most = np.abs(vectors).max(initial=0) * np.abs(query).max(initial=0) * len(query)
     if most < 2**53:
         return (vectors @ query).astype(np.int64)
     whole = [int(x) for x in query]
@@ -46,20 +47,25 @@ def _exact(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
 
 def best_in_block(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, names: np.ndarray, k: int) -> list[tuple[int, int, int]]:
     """``(query, id, score)`` of the ``k`` best other rows of a block for each query; ties to the smaller id."""
-    levels = [(statistics(vectors, n), statistics(queries, n)) for n in LEVELS]
+    # Squares of larger numbers leave the range of doubles; there every candidate is computed exactly.
+    bounded = max(np.abs(vectors).max(initial=0), np.abs(queries).max(initial=0)) < 1e140
+    levels = [(statistics(vectors, n), statistics(queries, n)) for n in LEVELS] if bounded else []
     # Sums of squares and products are rounded; the bounds are widened by more than that.
-    slack = 1e-9 * np.sqrt((vectors**2).sum(1).max(initial=0)) * np.sqrt((queries**2).sum(1)) + 0.5
+    with np.errstate(over="ignore"):
+        slack = 1e-9 * np.sqrt((vectors**2).sum(1).max(initial=0)) * np.sqrt((queries**2).sum(1)) + 0.5
     out = []
     for start in range(0, len(queries), TOGETHER):
         rows = slice(start, start + TOGETHER)
-        half = levels[0][0].shape[1] // 2
-        mean = levels[0][1][rows, :half] @ levels[0][0][:, :half].T
-        spread = levels[0][1][rows, half:] @ levels[0][0][:, half:].T
-        for i in range(len(mean)):
+        if bounded:
+            half = levels[0][0].shape[1] // 2
+            mean = levels[0][1][rows, :half] @ levels[0][0][:, :half].T
+            spread = levels[0][1][rows, half:] @ levels[0][0][:, half:].T
+        for i in range(len(queries[rows])):
             q = start + i
             left = np.flatnonzero(ids != names[q])
-            middle, wide = mean[i, left], spread[i, left]
-            for level in range(len(LEVELS)):
+            if bounded:
+                middle, wide = mean[i, left], spread[i, left]
+            for level in range(len(levels)):
                 if level:
                     stats, of_query = levels[level][0][left], levels[level][1][q]
                     half_now = stats.shape[1] // 2
@@ -83,11 +89,12 @@ def search(df: DataFrame, id_col: str, vector_col: str, queries: str, k: int = 5
     vectors with null or non-finite components and rows without id take no part; zero vectors do;
     vectors of different sizes are never compared. Equal vectors are ranked by id; rows that repeat
     an id are candidates of their own, except for a query of that id. With fewer than ``k`` other rows
-    all are returned. Scores beyond 64 bits are cut to their range.
+    all are returned. A query that repeats with the same vector is asked once. Scores beyond 64 bits
+    are cut to their range, and ``scale * x`` to that of doubles.
     """
     points = usable(df, id_col, vector_col, zero=True).withColumn("size", F.size("v"))
     blocks = max(1, -(-points.count() // block_rows))
-    asked = points.filter(queries)
+    asked = points.filter(queries).distinct()
     parts = max(1, -(-asked.count() // query_rows))
     number = lambda n: F.sequence(F.lit(0), F.lit(n - 1))
     dealt = F.xxhash64("vec_id", "v")
@@ -100,8 +107,9 @@ def search(df: DataFrame, id_col: str, vector_col: str, queries: str, k: int = 5
     def both(candidates: pa.Table, wanted: pa.Table) -> pa.Table:
         found: list[tuple[int, int, int]] = []
         if candidates.num_rows and wanted.num_rows:
-            scaled = lambda column: np.floor(scale * matrix(column))
-            found = best_in_block(scaled(candidates["v"]), candidates["vec_id"].to_numpy(), scaled(wanted["query"]), wanted["query_id"].to_numpy(), k)
+            found = best_in_block(
+                scaled(matrix(candidates["v"]), scale), candidates["vec_id"].to_numpy(), scaled(matrix(wanted["query"]), scale), wanted["query_id"].to_numpy(), k
+            )
         return pa.table({n: pa.array([f[i] for f in found], pa.int64()) for i, n in enumerate(("query_id", "vec_id", "score"))})
 
     found = candidates.groupBy("size", "block", "part").cogroup(wanted.groupBy("q_size", "q_block", "q_part")).applyInArrow(both, "query_id long, vec_id long, score long")

@@ -8,6 +8,7 @@ version line, goes on there and reports the bytes between as a gap.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import uuid
 import zlib
@@ -159,9 +160,22 @@ class Damage(Exception):
     """A check that failed; the message is the gap's reason."""
 
 
-def _digest_ok(value: str | None, data: bytes) -> bool:
+UNCHECKED = "(unchecked)"
+DIGESTS = ("md5", "sha1", "sha224", "sha256", "sha384", "sha512")
+
+
+def digest_check(value: str | None, data: bytes) -> bool | None:
+    """Whether a digest such as ``sha1:<base32>`` fits the data, written in base 16, 32 or 64; none at
+    all fits. None if its kind is not known, so nothing can be said."""
     kind, _, wanted = (value or "").partition(":")
-    return kind.lower() != "sha256" or hashlib.sha256(data).hexdigest() == wanted.strip().lower()
+    kind, wanted = kind.strip().lower().replace("-", ""), wanted.strip().rstrip("=")
+    if not kind:
+        return True
+    if kind not in DIGESTS:
+        return None
+    digest = hashlib.new(kind, data, usedforsecurity=False).digest()
+    written = (digest.hex(), base64.b32encode(digest).decode().rstrip("=").lower())
+    return wanted.lower() in written or wanted == base64.b64encode(digest).decode().rstrip("=")
 
 
 def parse(source: Source, offset: int) -> tuple[dict[str, str], bytes, int]:
@@ -185,13 +199,23 @@ def parse(source: Source, offset: int) -> tuple[dict[str, str], bytes, int]:
     if end + 4 > source.size or source.read(end, 4) != b"\r\n\r\n":
         raise Damage("record without end")
     block = source.read(begin, int(length))
-    if not _digest_ok(fields.get("warc-block-digest"), block):
-        raise Damage("block digest")
+    unknown = []
+
+    def check(name: str, data: bytes) -> None:
+        fits = digest_check(fields.get(f"warc-{name}-digest"), data)
+        if fits is None:
+            unknown.append(f"unchecked {name} digest")
+        elif not fits:
+            raise Damage(f"{name} digest")
+
+    check("block", block)
     payload = block
     if fields.get("content-type", "").startswith("application/http"):
         payload = block.partition(b"\r\n\r\n")[2]
-    if fields.get("warc-type") != "revisit" and not _digest_ok(fields.get("warc-payload-digest"), payload):
-        raise Damage("payload digest")
+    if fields.get("warc-type") != "revisit":
+        check("payload", payload)
+    # A field of no archive, as names are letters and hyphens.
+    fields[UNCHECKED] = ", ".join(unknown)
     return fields, payload, end + 4
 
 
@@ -280,7 +304,7 @@ def entries(source: Source) -> Iterator[tuple]:
             if fields is None:
                 yield "gap", offset, end - offset, {}, None, f"in member: {payload}"
             else:
-                yield "record", offset, end - offset, fields, payload, None
+                yield "record", offset, end - offset, fields, payload, fields[UNCHECKED] or None
 
 
 def read_archives(archives: DataFrame, path_col: str = "path") -> DataFrame:
@@ -288,7 +312,7 @@ def read_archives(archives: DataFrame, path_col: str = "path") -> DataFrame:
     record_id, refers_to, uri, payload, payload_digest, reason``.
 
     A ``gap`` is a range of bytes that no check passed for, with the reason of the first failure; the
-    records after it are recovered. Bytes inside a valid member are reported at the member's place.
+    records after it are recovered. A record whose digest is of an unknown kind says so as its reason. Bytes inside a valid member are reported at the member's place.
     One task reads an archive, in steps of bounded size; a single record is held whole. Null paths
     and empty files give no entries.
     """

@@ -29,6 +29,6 @@ def vectors(spark: SparkSession, empty: bool = False) -> DataFrame:
     rows = [
         (0, [1.0, 0.5, 0.0]), (1, [1.0, 0.5, 0.0]), (100, [1.0, 0.5, 0.0]), (2, [-1.0, 2.0, 3.0]), (2, [-1.0, 2.0, 3.0]), (3, None), (4, [0.0, 0.0, 0.0]),
         (5, [float("nan"), 1.0, 1.0]), (6, [float("inf"), 1.0, 1.0]), (7, [None, 1.0, 1.0]), (8, []), (200, [0.3, 0.3, 0.3]), (300, [0.0, 0.0, 0.0]),
-        (None, [1.0, 1.0, 1.0]), (9, [1.0, 2.0]), (400, [2.0, 1.0]), (10, [5.0, -5.0, 0.25]),
+        (200, [0.3, 0.3, 0.3]), (None, [1.0, 1.0, 1.0]), (9, [1.0, 2.0]), (400, [2.0, 1.0]), (10, [5.0, -5.0, 0.25]),
     ]
     return spark.createDataFrame([] if empty else [(i, v, 0.0, 1) for i, v in rows], "id long, e array<float>, score double, cell long")

@@ -69,6 +69,26 @@ def test_later_records_are_recovered_and_gaps_logged(compressed, damage):
     assert covered[0][0] == 0 and covered[-1][1] == len(data) and all(a[1] == b[0] for a, b in zip(covered, covered[1:]))
 
 
+def digested(body, value):
+    head = f"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Block-Digest: {value}\r\nContent-Length: {len(body)}\r\n\r\n".encode()
+    return head + body + b"\r\n\r\n"
+
+
+def test_digests_of_other_kinds():
+    import base64
+    import hashlib
+
+    body = b"some payload " * 9
+    written = [("md5", lambda d: d.hex()), ("sha1", lambda d: base64.b32encode(d).decode()), ("SHA-256", lambda d: d.hex().upper()), ("sha512", lambda d: base64.b64encode(d).decode())]
+    for kind, write in written:
+        value = f"{kind}:{write(hashlib.new(kind.lower().replace('-', ''), body).digest())}"
+        good, bad = digested(body, value), digested(body[:-1] + b"X", value)
+        found = read(good + bad + good)
+        assert [(e[0], e[5]) for e in found] == [("record", None), ("gap", "block digest"), ("record", None)]
+    (odd_one,) = read(digested(body, "whirl:abc"))
+    assert odd_one[0] == "record" and odd_one[5] == "unchecked block digest"
+
+
 def test_archives_of_odd_pages(spark, tmp_path):
     same = "x" * 200
     rows = [(1, "http://a", same), (2, None, same), (2, None, same), (3, "http://b\r\nX: y", "tiny"), (4, "é", "tiny"), (5, "u", None), (None, "u", same), (6, "u", "é" * 70_000)]
@@ -212,6 +232,24 @@ def test_vector_searches_on_odd_rows(spark):
         assert search(odd.vectors(spark, empty=True), "id", "e", "vec_id % 50 = 0").count() == 0
 
 
+def test_products_of_huge_components(spark):
+    rows = [(0, [1e307, 1.0]), (1, [-1e307, 1.0]), (2, [2.0, 3.0]), (3, [1e307, 2.0]), (50, [1.0, 1.0])]
+    found = topk.search(spark.createDataFrame(rows, "id long, e array<double>"), "id", "e", "vec_id % 50 = 0", k=2).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id) for r in found) == [(0, 1, 3), (0, 2, 50), (50, 1, 0), (50, 2, 3)]
+    assert {r.score for r in found if r.query_id == 50} == {2**63 - 1}
+
+
+def test_cells_searched_in_slices(spark, monkeypatch):
+    draw = np.random.default_rng(2)
+    data = draw.normal(size=(400, 4))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "id long, e array<double>")
+    monkeypatch.setattr(neighbours, "MOST_CELLS", 2)
+    found = neighbours.nearest(table, "id", "e", "vec_id % 100 = 0", k=5, cell_rows=50).toPandas()
+    for q, rows in found.groupby("query_id"):
+        distances = np.sqrt(((data - data[q]) ** 2).sum(1))
+        assert rows.sort_values("rank").vec_id.tolist() == [i for i in np.argsort(distances) if i != q][:5]
+
+
 def test_neighbours_recall_and_scores(spark):
     rng = np.random.default_rng(8)
     centres = rng.normal(size=(40, 24)) * 3
@@ -239,5 +277,7 @@ def test_chi_square_and_bounds():
         half = x.shape[1] // 2
         middle, wide = y[:, :half] @ x[:, :half].T, y[:, half:] @ x[:, half:].T
         assert (middle + wide + 1e-3 >= b @ a.T).all() and (middle - wide - 1e-3 <= b @ a.T).all()
+    huge = np.array([[1e300, 1.0], [-1e300, 2.0], [5.0, 3.0], [1e300, 1.0]])
+    assert [x[1] for x in topk.best_in_block(huge, np.arange(4), huge[:1], np.array([0]), 3)] == [3, 2, 1]
     large = np.array([[1e17, 3.0], [-1e17, 5.0]])
     assert topk._exact(large, np.array([10.0, 1.0])).tolist() == [10**18 + 3, -(10**18) + 5]
