@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.catalog import textsql as sql
@@ -11,7 +13,7 @@ from millrace.catalog.registry import query
 from millrace.catalog.views import CAUSES, SCORED_SQL, TRIPS_SQL, round_doubles, scored, table, trips
 from millrace.catalog.wording import documents
 from millrace.operators import evaluate, features, models, presets, quality, topics
-from millrace.plans.staging import new_scratch_path
+from millrace.plans.staging import new_scratch_path, stage
 from millrace.sources import models as stored
 
 _KEY = "CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING)"
@@ -159,17 +161,38 @@ def network_scores(spark: SparkSession, folder: str) -> DataFrame:
     return _fitted(spark, folder, "network", maxIter=10)
 
 
+def _left_out(tuned: models.Tuned) -> DataFrame:
+    """What the scores of left-out rows hold for each grid point and fold, and whether their area is that
+    of a share: between 0 and 1, and the rest of 1 for the reverse order."""
+    groups = ["settings", "fold"]
+    areas = evaluate.roc_areas(tuned.predictions, groups, F.col("score"))
+    reverse = evaluate.roc_areas(tuned.predictions, groups, -F.col("score")).select(*groups, F.col("area").alias("reverse"))
+    is_area = F.col("area").between(0.0, 1.0) & (F.abs(F.col("area") + F.col("reverse") - 1) < 1e-9)
+    return areas.join(reverse, groups).select(*groups, "rows", "positives", is_area.alias("is_area"))
+
+
 def _tuned(spark: SparkSession, folder: str, family: str) -> DataFrame:
-    """The score of every point of the family's own grid over five folds."""
-    scores = models.cross_validate(family, vectors(spark, folder), parallelism=4).scores
-    return scores.select("settings", F.col("area").between(0.0, 1.0).alias("is_area"))
+    """The family's own grid over five folds."""
+    fold = features.hash_percent(F.col("vec_id"), "fold") % 5
+    return _left_out(models.cross_validate(family, vectors(spark, folder), parallelism=4, fold=fold))
 
 
-def _grid_sql(family: str) -> str:
+def _grid(family: str) -> str:
     points = [""]
     for name, choices in sorted(models.GRIDS[family].items()):
         points = [f"{p}{', ' if p else ''}{name}={c}" for p in points for c in choices]
-    return "SELECT settings, true AS is_area FROM (VALUES " + ", ".join(f"('{p}')" for p in points) + ") t(settings)"
+    return "(VALUES " + ", ".join(f"('{p}')" for p in points) + ") grid(settings)"
+
+
+def _folds_sql(family: str, rows: str, key: str) -> str:
+    fold = _PERCENT.format(salt="'fold'", key=f"CAST({key} AS STRING)")
+    return f"""folded AS (SELECT CAST({fold} % 5 AS INT) AS fold, label FROM {rows})
+        SELECT settings, fold, CAST(count(*) AS BIGINT) AS rows, CAST(sum(label) AS BIGINT) AS positives, true AS is_area
+        FROM {_grid(family)}, folded GROUP BY settings, fold"""
+
+
+def _grid_sql(family: str) -> str:
+    return "WITH vectors AS (SELECT vec_id, CASE WHEN label < 5 THEN 1 ELSE 0 END AS label FROM embeddings), " + _folds_sql(family, "vectors", "vec_id")
 
 
 @query("tuned_logistic_regression", _grid_sql("logistic_regression"))
@@ -256,6 +279,71 @@ def trip_label_distribution(spark: SparkSession, folder: str) -> DataFrame:
     return features.label_distribution(_encoded(spark, folder).select("side", "label"))
 
 
+_HALF = _PERCENT.format(salt="'sample'", key="CAST(trip_id AS STRING)") + " < 50"
+FAMILIES = {"logistic_regression": {}, "random_forest": {}, "boosted_trees": {}, "network": {"maxIter": 10}}
+
+
+def _half_of(spark: SparkSession, folder: str, side: str) -> DataFrame:
+    """A half of the trips on one side of the split, by trip, written once for all models."""
+    rows = features.hash_sample(_encoded(spark, folder).filter(F.col("side") == side), F.col("trip_id"), 50)
+    return stage(rows, f"trips-{side}")
+
+
+@query(
+    "trip_sample_distribution",
+    f"""WITH {TRIPS_SQL}, {_CODED_SQL}
+        SELECT CASE WHEN training THEN 'train' ELSE 'test' END AS side, label, CAST(count(*) AS BIGINT) AS count FROM prepared WHERE {_HALF} GROUP BY ALL""",
+)
+def trip_sample_distribution(spark: SparkSession, folder: str) -> DataFrame:
+    """Labels of both sides after the sample."""
+    rows = features.hash_sample(_encoded(spark, folder), F.col("trip_id"), 50)
+    return features.label_distribution(rows.select("side", "label"))
+
+
+@query(
+    "trip_evaluation",
+    f"""WITH {TRIPS_SQL}, {_CODED_SQL}, sampled AS (SELECT * FROM prepared WHERE NOT training AND {_HALF})
+        SELECT family, CAST(count(*) AS BIGINT) AS rows, CAST(sum(label) AS BIGINT) AS positives, true AS recall_is_accuracy, true AS metrics_are_shares,
+            true AS area_under_points, CAST(1 AS BIGINT) AS curve_starts
+        FROM (VALUES {', '.join(f"('{f}')" for f in FAMILIES)}) t(family), sampled GROUP BY family""",
+)
+def trip_evaluation(spark: SparkSession, folder: str) -> DataFrame:
+    """Four families fitted on half of the training side and measured on half of the test side.
+
+    A confusion matrix holds every row; recall weighted by class is the accuracy; the trapezoids under
+    the points of the curve are the area.
+    """
+    train, test = _half_of(spark, folder, "train"), _half_of(spark, folder, "test")
+    rows = []
+    for family, params in FAMILIES.items():
+        scores = stage(models.predict(models.train(family, train, **params), test).select("label", "prediction", evaluate.positive_score().alias("score")), "trip-scores")
+        confusion = stage(evaluate.confusion_matrix(scores), "trip-confusion")
+        by_label = {r["label"]: r["n"] for r in confusion.groupBy("label").agg(F.sum("count").alias("n")).collect()}
+        weighted = evaluate.weighted_metrics(confusion).first()
+        positive = evaluate.positive_metrics(scores, F.col("score")).first()
+        # Sorted by both rates a curve never turns back, so a point's trapezoid needs only the one before.
+        points = evaluate.roc_points(scores, F.col("score"), bins=1000)
+        before = Window.orderBy("fpr", "tpr")
+        trapezoid = (F.col("fpr") - F.lag("fpr").over(before)) * (F.col("tpr") + F.lag("tpr").over(before)) / 2
+        curve = points.select("threshold", trapezoid.alias("part")).agg(F.sum("part").alias("under"), F.count_if(F.col("threshold").isNull()).alias("starts")).first()
+        area = evaluate.roc_area(scores, F.floor(F.col("score") * 1000) / 1000).first()["area"]
+        rows.append((
+            family, sum(by_label.values()), by_label.get(1, 0), abs(weighted["accuracy"] - weighted["weighted_recall"]) < 1e-9,
+            all(0 <= x <= 1 for x in [*weighted, *positive, area]), abs(curve["under"] - area) < 1e-9, curve["starts"],
+        ))
+    return spark.createDataFrame(rows, "family string, rows long, positives long, recall_is_accuracy boolean, metrics_are_shares boolean, area_under_points boolean, curve_starts long")
+
+
+@query(
+    "trip_tuning",
+    f"WITH {TRIPS_SQL}, {_CODED_SQL}, sampled AS (SELECT * FROM prepared WHERE training AND {_HALF}), " + _folds_sql("logistic_regression", "sampled", "trip_id"),
+)
+def trip_tuning(spark: SparkSession, folder: str) -> DataFrame:
+    """The whole grid of logistic regression on the sampled training side: every row is scored once for each point by a model that has not seen it."""
+    fold = features.hash_percent(F.col("trip_id"), "fold") % 5
+    return _left_out(models.cross_validate("logistic_regression", _half_of(spark, folder, "train"), parallelism=4, fold=fold))
+
+
 @query("feature_importances")
 def feature_importances(spark: SparkSession, folder: str) -> DataFrame:
     rows = _encoded(spark, folder)
@@ -270,6 +358,37 @@ def model_parameters(spark: SparkSession, folder: str) -> DataFrame:
     return stored.load_parameters(spark, path)
 
 
+@query("parameters_rescore", "SELECT CAST(count(*) AS BIGINT) AS rows, CAST(count(*) AS BIGINT) AS agreeing FROM embeddings")
+def parameters_rescore(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows whose probability follows from the parameters on storage alone: a join, a sum and the logistic function."""
+    path = new_scratch_path(spark, "parameters")
+    rows = vectors(spark, folder)
+    model = models.train("logistic_regression", rows)
+    stored.save_parameters(stored.model_parameters(spark, model), path)
+    terms = stored.load_parameters(spark, path)
+    cells = rows.select("vec_id", F.posexplode(vector_to_array("features")).alias("slot", "x")).withColumn("term", F.col("slot").cast("string"))
+    intercept = F.lit(terms.filter("term = 'intercept'").first()["value"])
+    odds = cells.join(terms, "term").groupBy("vec_id").agg((F.sum(F.col("x") * F.col("value")) + intercept).alias("odds"))
+    scored_rows = models.predict(model, rows).select("vec_id", evaluate.positive_score().alias("score"))
+    same = F.abs(F.col("score") - 1 / (1 + F.exp(-F.col("odds")))) < 1e-9
+    return scored_rows.join(odds, "vec_id").agg(F.count("*").alias("rows"), F.count_if(same).alias("agreeing"))
+
+
+@query(
+    "importance_sources",
+    f"""WITH {TRIPS_SQL}, {_CODED_SQL}
+        SELECT name AS source, CAST(n AS BIGINT) AS slots, true AS in_range, 1.0E0 AS total FROM sizes
+        UNION ALL SELECT unnest([{', '.join(repr(c) for c in _NUMERIC)}]), 1, true, 1.0E0""",
+)
+def importance_sources(spark: SparkSession, folder: str) -> DataFrame:
+    """Importances rolled up to the encoded columns: a slot for each number and for each category of the training side, shares that add up to one."""
+    rows = _encoded(spark, folder)
+    listed = evaluate.feature_importances(models.train("random_forest", rows, numTrees=5), rows)
+    total = listed.agg(F.round(F.sum("importance"), 9)).first()[0]
+    per_source = listed.groupBy("source").agg(F.count("*").alias("slots"), F.min(F.col("importance").between(0.0, 1.0)).alias("in_range"))
+    return per_source.withColumn("total", F.lit(total))
+
+
 @query("reloaded_model_agrees", "SELECT CAST(count(*) AS BIGINT) AS rows, CAST(count(*) AS BIGINT) AS agreeing FROM embeddings")
 def reloaded_model_agrees(spark: SparkSession, folder: str) -> DataFrame:
     """Rows that a saved and reloaded model scores exactly like the model in memory."""
@@ -320,3 +439,27 @@ def topic_table(spark: SparkSession, folder: str) -> DataFrame:
     rows = _simple_tokens(spark, folder)
     words = topics.topic_words(topics.fit_topics(rows, "tokens"))
     return topics.topic_table(words, rows, "tokens")
+
+
+_TOPICS, _WORDS = 5, 10
+_LISTED = f"(SELECT unnest(range({_TOPICS})) AS topic_id) CROSS JOIN (SELECT unnest(range(1, {_WORDS + 1})) AS rank)"
+
+
+@query(
+    "topic_facts",
+    f"""WITH {_VOCABULARY_SQL}, known AS (SELECT CAST(count(*) AS BIGINT) AS terms FROM vocabulary),
+        words AS (SELECT unnest(tokens) AS term FROM tokenised), used AS (SELECT CAST(count(*) AS BIGINT) AS n FROM words WHERE term IN (SELECT term FROM vocabulary))
+        SELECT CAST(topic_id AS INT) AS topic_id, CAST(rank AS INT) AS rank, terms, n AS words, true AS in_vocabulary, true AS falls FROM {_LISTED}, known, used""",
+)
+def topic_facts(spark: SparkSession, folder: str) -> DataFrame:
+    """What holds for the words of any topics: each rank once, weights that fall, words of the vocabulary,
+    and counts of all topics that add up to the words of the corpus."""
+    model = topics.fit_topics(_simple_tokens(spark, folder), "tokens", _TOPICS, passes=5)
+    listed = topics.topic_words(model, _WORDS)
+    before = F.lag("importance").over(Window.partitionBy("topic_id").orderBy("rank"))
+    known = topics.topic_vocabulary(_simple_tokens(spark, folder), "tokens").select(F.col("term").alias("word"), F.lit(True).alias("known"))
+    facts = listed.withColumn("falls", F.coalesce(before >= F.col("importance"), F.lit(True)) & F.col("importance").between(0.0, 1.0)).join(known, "word", "left")
+    return facts.select(
+        "topic_id", "rank", F.lit(model.size).cast("long").alias("terms"), F.lit(round(sum(model.totals))).cast("long").alias("words"),
+        F.coalesce("known", F.lit(False)).alias("in_vocabulary"), "falls",
+    )

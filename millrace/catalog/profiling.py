@@ -147,21 +147,31 @@ def arrival_delay_histogram(spark: SparkSession, folder: str) -> DataFrame:
     return round_doubles(profile.histogram(trips(spark, folder, "arr_delay"), "arr_delay"))
 
 
-@query(
-    "delay_density",
-    f"""WITH {TRIPS_SQL}, e AS (
-            SELECT count(dep_delay) AS n, min(dep_delay) AS lo, (max(dep_delay) - min(dep_delay)) / 199 AS step,
-                   stddev_samp(dep_delay) * pow(count(dep_delay), -0.2) AS h FROM trips),
-        v AS (SELECT dep_delay AS value, count(*) AS c FROM trips WHERE dep_delay IS NOT NULL GROUP BY 1)
+def _density_sql(column: str) -> str:
+    return f"""WITH {TRIPS_SQL}, e AS (
+            SELECT count({column}) AS n, min({column}) AS lo, (max({column}) - min({column})) / 199 AS step,
+                   stddev_samp({column}) * pow(count({column}), -0.2) AS h FROM trips),
+        v AS (SELECT {column} AS value, count(*) AS c FROM trips WHERE {column} IS NOT NULL GROUP BY 1)
         SELECT CAST(p AS INT) AS point, round(any_value(lo + p * step), 6) AS x,
                round(sum(c * exp(-pow((lo + p * step - value) / h, 2) / 2)) / any_value(n * h * sqrt(2 * pi())), 9) AS density
-        FROM range(200) r(p), e, v GROUP BY p""",
-)
-def delay_density(spark: SparkSession, folder: str) -> DataFrame:
-    curve = profile.density(trips(spark, folder, "dep_delay"), "dep_delay")
+        FROM range(200) r(p), e, v GROUP BY p"""
+
+
+def _density(spark: SparkSession, folder: str, column: str) -> DataFrame:
+    curve = profile.density(trips(spark, folder, column), column)
     return curve.select("point", F.round("x", 6).alias("x"), F.round("density", 9).alias("density"))
 
 
+@query("delay_density", _density_sql("dep_delay"))
+def delay_density(spark: SparkSession, folder: str) -> DataFrame:
+    return _density(spark, folder, "dep_delay")
+
+
+@query("arrival_delay_density", _density_sql("arr_delay"))
+def arrival_delay_density(spark: SparkSession, folder: str) -> DataFrame:
+    return _density(spark, folder, "arr_delay")
+
+
 @query(
     "airline_rates",
     f"""WITH {TRIPS_SQL} SELECT airline, round(avg(dep_delay), 6) AS avg_dep_delay, round(avg(arr_delay), 6) AS avg_arr_delay,

@@ -99,12 +99,22 @@ def proximity_matches(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.join(counted, ["first", "second"]).select("item_id", "place", "doc_id", "matches")
 
 
-def _unique_sql(preset: str) -> str:
-    return f"""prepared AS (SELECT doc_id, {preset} AS tokens FROM documents),
+def _prepared_sql(preset: str) -> str:
+    return f"prepared AS (SELECT doc_id, {preset} AS tokens FROM documents), asked AS (SELECT item_id, {preset} AS tokens FROM benchmark)"
+
+
+# The rich preset is a chain of steps; documents and queries go through it together.
+_RICH = f"""both_texts AS (SELECT 'd' || doc_id AS key, text FROM documents UNION ALL SELECT 'q' || item_id, text FROM benchmark), {sql.rich_steps("text", "both_texts", "key")},
+    prepared AS MATERIALIZED (SELECT CAST(substr(key, 2) AS BIGINT) AS doc_id, tokens FROM rich WHERE starts_with(key, 'd')),
+    asked AS MATERIALIZED (SELECT CAST(substr(key, 2) AS BIGINT) AS item_id, tokens FROM rich WHERE starts_with(key, 'q'))"""
+
+
+def _unique_sql(prepared: str) -> str:
+    return f"""{prepared},
     unique_documents AS MATERIALIZED (SELECT min(doc_id) AS doc_id, array_to_string(tokens, ' ') AS text FROM prepared GROUP BY array_to_string(tokens, ' '))"""
 
 
-@query("distinct_documents", f"WITH {_unique_sql(sql.simple_preset('text'))} SELECT doc_id, text FROM unique_documents")
+@query("distinct_documents", f"WITH {_unique_sql(_prepared_sql(sql.simple_preset('text')))} SELECT doc_id, text FROM unique_documents")
 def distinct_documents(spark: SparkSession, folder: str) -> DataFrame:
     return search.distinct_documents(_tokens(spark, folder, "simple"), "doc_id", "tokens")
 
@@ -115,45 +125,45 @@ def _grams_sql(source: str, key: str, words: str) -> str:
     {source}_tf AS MATERIALIZED (SELECT {key}, term, count(*) AS tf FROM ({parts}) GROUP BY {key}, term)"""
 
 
-def _index_sql(preset: str) -> str:
-    return f"""{_unique_sql(preset)}, {_grams_sql('unique_documents', 'doc_id', SIMPLE)},
+def _index_sql(prepared: str) -> str:
+    return f"""{_unique_sql(prepared)}, {_grams_sql('unique_documents', 'doc_id', SIMPLE)},
     total AS (SELECT count(*) AS n FROM unique_documents),
     terms AS MATERIALIZED (SELECT term, count(*) AS df, ln((1 + any_value(n)) / (1 + count(*))) + 1 AS idf FROM unique_documents_tf, total
               GROUP BY term HAVING count(*) >= 2 AND count(*) <= 0.9 * any_value(n)),
     norms AS MATERIALIZED (SELECT doc_id, sqrt(sum(pow(tf * idf, 2))) AS norm FROM unique_documents_tf JOIN terms USING (term) GROUP BY doc_id)"""
 
 
-@query("tfidf_terms", f"WITH {_index_sql(SIMPLE)} SELECT term, CAST(df AS BIGINT) AS df, round(idf, 6) AS idf FROM terms")
+@query("tfidf_terms", f"WITH {_index_sql(_prepared_sql(SIMPLE))} SELECT term, CAST(df AS BIGINT) AS df, round(idf, 6) AS idf FROM terms")
 def tfidf_terms(spark: SparkSession, folder: str) -> DataFrame:
     return round_doubles(search.tfidf_index(_tokens(spark, folder), "doc_id", "tokens").terms)
 
 
 @query(
     "tfidf_weights",
-    f"""WITH {_index_sql(SIMPLE)} SELECT doc_id, term, round(tf * idf / norm, 6) AS weight
+    f"""WITH {_index_sql(_prepared_sql(SIMPLE))} SELECT doc_id, term, round(tf * idf / norm, 6) AS weight
         FROM unique_documents_tf JOIN terms USING (term) JOIN norms USING (doc_id)""",
 )
 def tfidf_weights(spark: SparkSession, folder: str) -> DataFrame:
     return round_doubles(search.tfidf_weights(search.tfidf_index(_tokens(spark, folder), "doc_id", "tokens")))
 
 
-def _scores_sql(preset: str) -> str:
-    return f"""WITH {_index_sql(preset)},
-    queries AS (SELECT item_id AS query_id, array_to_string({preset}, ' ') AS text FROM benchmark), {_grams_sql('queries', 'query_id', SIMPLE)},
+def _scores_sql(prepared: str) -> str:
+    return f"""WITH {_index_sql(prepared)},
+    queries AS (SELECT item_id AS query_id, array_to_string(tokens, ' ') AS text FROM asked), {_grams_sql('queries', 'query_id', SIMPLE)},
     query_norms AS (SELECT query_id, sqrt(sum(pow(tf * idf, 2))) AS norm FROM queries_tf JOIN terms USING (term) GROUP BY query_id),
     scores AS (SELECT q.query_id, d.doc_id, sum(q.tf * idf / query_norms.norm * d.tf * idf / norms.norm) AS score
         FROM queries_tf q JOIN terms USING (term) JOIN query_norms USING (query_id) JOIN unique_documents_tf d USING (term)
         JOIN norms ON norms.doc_id = d.doc_id GROUP BY q.query_id, d.doc_id)"""
 
 
-@query("cosine_scores", _scores_sql(SIMPLE) + " SELECT query_id, doc_id, round(score, 6) AS score FROM scores")
+@query("cosine_scores", _scores_sql(_prepared_sql(SIMPLE)) + " SELECT query_id, doc_id, round(score, 6) AS score FROM scores")
 def cosine_scores(spark: SparkSession, folder: str) -> DataFrame:
     index = search.tfidf_index(_tokens(spark, folder), "doc_id", "tokens")
     return round_doubles(search.cosine_scores(index, _queries(spark, folder), "item_id", "tokens"))
 
 
-def _top_sql(preset: str) -> str:
-    return _scores_sql(preset) + """, ranked AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank
+def _top_sql(prepared: str) -> str:
+    return _scores_sql(prepared) + """, ranked AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank
         FROM scores WHERE score >= 0.05)"""
 
 
@@ -163,12 +173,18 @@ def _top(spark: SparkSession, folder: str, preset: str) -> DataFrame:
     return search.search(index, _queries(spark, folder, preset), "item_id", "tokens", digits=6)
 
 
-@query("search_hits", _top_sql(SIMPLE) + " SELECT query_id, doc_id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM ranked WHERE rank <= 5")
+@query("search_hits", _top_sql(_prepared_sql(SIMPLE)) + " SELECT query_id, doc_id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM ranked WHERE rank <= 5")
 def search_hits(spark: SparkSession, folder: str) -> DataFrame:
     return _top(spark, folder, "plain")
 
 
-@query("stored_search_hits", _top_sql(SIMPLE) + " SELECT query_id, doc_id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM ranked WHERE rank <= 5")
+@query("rich_search_hits", _top_sql(_RICH) + " SELECT query_id, doc_id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM ranked WHERE rank <= 5")
+def rich_search_hits(spark: SparkSession, folder: str) -> DataFrame:
+    """Search with documents and queries richly preprocessed."""
+    return _top(spark, folder, "rich")
+
+
+@query("stored_search_hits", _top_sql(_prepared_sql(SIMPLE)) + " SELECT query_id, doc_id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM ranked WHERE rank <= 5")
 def stored_search_hits(spark: SparkSession, folder: str) -> DataFrame:
     """The same hits from weights on storage, read only where a query term can be."""
     path = new_scratch_path(spark, "weights")
@@ -179,7 +195,7 @@ def stored_search_hits(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "search_hits_with_text",
-    _top_sql(sql.simple_preset("text"))
+    _top_sql(_prepared_sql(sql.simple_preset("text")))
     + " SELECT query_id, r.doc_id, round(score, 6) AS score, CAST(rank AS INT) AS rank, d.text AS description FROM ranked r JOIN documents d USING (doc_id) WHERE rank <= 5",
 )
 def search_hits_with_text(spark: SparkSession, folder: str) -> DataFrame:

@@ -259,3 +259,12 @@ def cancellation_codes_known(spark: SparkSession, folder: str) -> DataFrame:
 def category_index(spark: SparkSession, folder: str) -> DataFrame:
     columns = ["airline", "origin", "cancellation_code"]
     return features.string_index_table(trips(spark, folder, *columns), columns)
+
+
+@query("rows_in_memory", "SELECT r_name AS region, CAST(count(*) AS BIGINT) AS nations FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
+def rows_in_memory(spark: SparkSession, folder: str) -> DataFrame:
+    """A table of dictionaries that the caller holds, joined with one on storage."""
+    held = [row.asDict() for row in table(spark, folder, "region").select("r_regionkey", "r_name").collect()]
+    regions = spark.createDataFrame(held, "r_regionkey long, r_name string")
+    nations = table(spark, folder, "nation").join(regions, F.col("n_regionkey") == F.col("r_regionkey"))
+    return nations.groupBy(F.col("r_name").alias("region")).agg(F.count("*").alias("nations"))

@@ -35,47 +35,34 @@ JOINED_PAIRS = {("m2", "ssd"): "m.2 ssd", ("dual", "band"): "dual-band"}
 
 # Phrases kept as one token.
 PHRASES = (
-    # operating systems
     "windows 11 pro", "windows 11 home", "windows 10 pro", "windows 10 home", "win 11 pro",
     "win 11 home", "win 10 pro", "win 10 home", "win 11", "win 10", "chrome os", "mac os",
     "linux ubuntu",
-    # office suites
     "office 365", "office 2019", "office 19 pro", "office 2021", "office 2021 pro", "libre office",
     "google workspace", "365 office", "office 19", "office 21", "office 21 pro",
-    # processors
     "intel core i3", "core i3", "intel core i5", "core i5", "intel core i7", "core i7",
     "intel core i9", "core i9", "amd ryzen 3", "amd ryzen 5", "amd ryzen 7", "amd ryzen 9",
     "apple m1", "apple m2",
-    # graphics
     "nvidia geforce gtx", "nvidia geforce rtx", "amd radeon rx", "intel iris xe", "nvidia quadro",
     "integrated graphics", "discrete graphics",
-    # displays
     "full hd", "4k uhd", "8k uhd", "oled display", "retina display", "anti glare", "infinity edge",
     "touch screen", "refresh rate",
-    # storage and memory
     "ddr4 ram", "ddr5 ram", "lpddr4x", "lpddr5x", "m.2 ssd", "nvme ssd", "sata ssd", "hard drive",
     "hdd", "1tb ssd", "2tb ssd", "512gb ssd", "256gb ssd", "16gb ram", "32gb ram", "64gb ram",
     "128gb ssd", "64gb emmc", "expandable storage",
-    # networking
     "dual band wifi", "wifi 6", "wifi 5", "bluetooth 5.1", "bluetooth 5.2", "ethernet port",
     "gigabit ethernet", "usb c", "usb 3.0", "hdmi port", "thunderbolt 3", "thunderbolt 4", "wi-fi",
-    # battery and power
     "battery life", "fast charging", "usb c charging", "power adapter", "watt power supply",
     "battery backup", "removable battery", "long battery life",
-    # build
     "lightweight design", "slim bezel", "aluminum body", "carbon fiber", "spill resistant keyboard",
     "backlit keyboard", "fingerprint reader", "face recognition", "secure boot", "fanless design",
     "portable design",
-    # audio and video
     "dolby audio", "stereo speakers", "dual speakers", "noise cancellation", "built in webcam",
     "hd webcam", "privacy shutter", "dual microphone",
-    # accessories
     "wireless mouse", "keyboard cover", "stylus pen", "usb hub", "hdmi cable", "screen protector",
     "carry case", "laptop stand",
-    # other
     "gaming laptop", "workstation laptop", "business laptop", "2 in 1 laptop", "detachable keyboard",
     "convertible laptop", "all in one desktop", "tower pc", "mini pc", "high performance",
     "energy efficient", "overclocked", "pre installed software",
-    # kinds of computer
     "mini computer", "mini desktop", "pc portatile", "all in one", "pronto all'uso",
 )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.ml import Model
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -84,6 +86,22 @@ def roc_area(df: DataFrame, score: Column, label: str = "label") -> DataFrame:
     return ranked.agg((concordant / F.nullif(pairs, F.lit(0.0))).alias("area"))
 
 
+def roc_areas(df: DataFrame, groups: Sequence[str], score: Column, label: str = "label") -> DataFrame:
+    """``(*groups, rows, positives, area)``: the exact area of every group, null where it has one class.
+
+    Scores are counted first and ranked over many tasks, so neither many groups nor large ones matter.
+    """
+    counts = df.groupBy(*groups, score.alias("score")).agg(
+        F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg")
+    )
+    ranked = running_totals(counts, [F.col("score").desc()], ["pos", "neg"], groups)
+    concordant = F.sum(F.col("neg") * (F.col("pos_upto") - F.col("pos") / 2))
+    pairs = F.sum("pos") * F.sum("neg").cast("double")
+    return ranked.groupBy(*groups).agg(
+        F.sum(F.col("pos") + F.col("neg")).alias("rows"), F.sum("pos").alias("positives"), (concordant / F.nullif(pairs, F.lit(0.0))).alias("area")
+    )
+
+
 def roc_points(df: DataFrame, score: Column, label: str = "label", bins: int | None = None) -> DataFrame:
     """``(threshold, fpr, tpr)`` per distinct score, and (0, 0) without threshold.
 

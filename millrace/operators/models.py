@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import (
@@ -12,11 +14,12 @@ from pyspark.ml.classification import (
     MultilayerPerceptronClassifier,
     RandomForestClassifier,
 )
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.tuning import ParamGridBuilder
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.operators.evaluate import roc_areas
 from millrace.plans.staging import stage
 
 SEED = 42
@@ -69,10 +72,17 @@ def param_grid(base: Estimator, values: Mapping[str, Sequence]) -> list[dict]:
 
 @dataclass
 class Tuned:
-    """The model refitted with the best settings and the score of every grid point."""
+    """The model refitted with the best settings; ``scores`` ``(settings, area)``, the mean area over the
+    folds of every grid point; and ``predictions`` ``(settings, fold, label, score)``, every row scored
+    once for each grid point by a model that has not seen its fold."""
 
     model: Model
     scores: DataFrame
+    predictions: DataFrame
+
+
+def _settings(point: Mapping) -> str:
+    return ", ".join(f"{p.name}={v}" for p, v in sorted(point.items(), key=lambda e: e[0].name))
 
 
 def cross_validate(
@@ -82,26 +92,34 @@ def cross_validate(
     folds: int = 5,
     parallelism: int = 2,
     seed: int = SEED,
+    fold: Column | None = None,
 ) -> Tuned:
-    """Choose the grid point with the largest mean ROC area and refit it on all rows.
+    """Choose the grid point with the largest mean ROC area (the first of equals) and refit it on all rows.
 
-    The encoded rows are written once: every fold reads them back instead of encoding again, and
-    the random fold of a row is the same in every read. ``scores`` is ``(settings, area)``.
+    ``fold`` gives a row's fold, 0 to ``folds - 1``; without it folds are random. The encoded rows are
+    written once with their folds: every fit reads them back instead of encoding again. The scores of
+    all rows left out are one table, and the areas of all folds and grid points come exactly from it in
+    one job. Models of a grid are fitted ``parallelism`` at a time.
     """
-    spark = df.sparkSession
-    rows = stage(df.select("features", "label"), "folds")
+    number = F.floor(F.rand(seed) * folds).cast("int") if fold is None else fold.cast("int")
+    rows = stage(df.select("features", "label", number.alias("fold")), "folds")
     base = estimator(family)
     points = param_grid(base, grid or GRIDS[family])
-    fitted = CrossValidator(
-        estimator=base,
-        estimatorParamMaps=points,
-        evaluator=BinaryClassificationEvaluator(labelCol="label", metricName="areaUnderROC"),
-        numFolds=folds,
-        parallelism=parallelism,
-        seed=seed,
-    ).fit(rows)
-    table = [(", ".join(f"{p.name}={v}" for p, v in sorted(point.items(), key=lambda e: e[0].name)), float(area)) for point, area in zip(points, fitted.avgMetrics)]
-    return Tuned(fitted.bestModel, spark.createDataFrame(table, "settings string, area double"))
+
+    def left_out(point: dict, held: int) -> DataFrame:
+        model = base.fit(rows.filter(F.col("fold") != held), point)
+        scored = predict(model, rows.filter(F.col("fold") == held))
+        return scored.select(F.lit(_settings(point)).alias("settings"), "fold", "label", vector_to_array("rawPrediction")[1].alias("score"))
+
+    with ThreadPool(parallelism) as pool:
+        parts = pool.starmap(left_out, [(point, held) for point in points for held in range(folds)])
+    predictions = stage(reduce(DataFrame.unionAll, parts), "out-of-fold")
+    areas = roc_areas(predictions, ["settings", "fold"], F.col("score"))
+    # One row per grid point.
+    scores = stage(areas.groupBy("settings").agg(F.avg("area").alias("area")), "grid-scores")
+    area = {r["settings"]: r["area"] for r in scores.collect()}
+    best = max(points, key=lambda p: (area[_settings(p)] is not None, area[_settings(p)] or 0.0))
+    return Tuned(base.fit(rows, best), scores, predictions)
 
 
 def predict(model: Model, df: DataFrame) -> DataFrame:

@@ -67,7 +67,11 @@ def row_positions(df: DataFrame, order_by: Sequence[Column], name: str, slices:
     The rows are exchanged once: sorted ranges number their own rows, and the sizes of the ranges
     before give the shift. Sizes come from the same exchange, so both sides see the same ranges; all
     columns are hashed into them only to keep the two exchanges alike. One row per range is broadcast.
+    A session that does not reuse exchanges gets positions from :func:`running_totals`.
     """
+    if df.sparkSession.conf.get("spark.sql.exchange.reuse", "true").lower() != "true":
+        totals = running_totals(df.withColumn("_one", F.lit(1).cast("long")), order_by, ["_one"], slices=slices)
+        return totals.select((F.col("_one_upto") - 1).alias(name), *df.columns)
     slices = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(slices, *order_by).sortWithinPartitions(*order_by)
     # A partition's number stands above the lowest 33 bits, the place of a row in it below.

@@ -20,10 +20,12 @@ def plan(df):
     "rich_preset", "simple_preset", "trigram_counts", "top_bigrams", "inverted_index", "postings", "proximity_matches",
     "search_hits", "page_links", "product_listings", "missing_profile", "first_per_description", "price_box_statistics",
     "segments_described", "delay_density", "airline_rates", "correlation_matrix", "roc_points", "document_ids",
+    "cosine_scores", "tfidf_weights", "stored_search_hits", "hashed_search_hits", "hashed_tfidf_weights", "stored_index_lookup",
+    "bag_of_words", "tsv_scan_line_breaks",
 ])
 def test_no_python_and_no_all_pairs_join(spark, name):
     text = plan(QUERIES[name](spark, DATA))
-    assert not any(word in text for word in ("EvalPython", "InPandas", "CartesianProduct", "NestedLoopJoin"))
+    assert not any(word in text for word in ("EvalPython", "InPandas", "InArrow", "CartesianProduct", "NestedLoopJoin"))
 
 
 def test_texts_are_tokenised_once(spark):

@@ -62,6 +62,11 @@ def test_positions_take_one_exchange_of_the_rows(spark):
     text = placed._jdf.queryExecution().executedPlan().toString()
     assert text.count("ReusedExchange") >= 1 and "Window" in text and "InMemory" not in text
     assert assign_doc_id(df.limit(0), "k").count() == 0
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        assert [(r.doc_id, r.k) for r in assign_doc_id(df, "k").orderBy("doc_id").collect()] == [(i, i) for i in range(5000)]
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
 
 
 def test_attach_by_key_with_heavy_and_light_keys(spark, monkeypatch):
