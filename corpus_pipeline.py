@@ -19,7 +19,7 @@ LEAST_KNOWN_SHARE = 0.1
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the weakly labelled classifier accepts."""
-    return quality.kept(docs, "text", quality.fit(docs, "text"))
+    return quality.kept(docs, "text", quality.fit(docs, "text", F.col("doc_id")))
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,17 +1,20 @@
 """Licence scan: passages against templates by sparse TF-IDF cosine, then inheritance by directory.
 
-Lines and paragraphs with a licence cue are the candidate passages of a file. Their terms are
-weighted by inverse document frequency and compared with notices of known licences. A file without
-a match of its own takes the licence of the nearest directory above it that holds a licence file.
+Lines and paragraphs with signs of a licence, and the whole of such a file, are its candidate
+passages. Their terms are weighted by inverse document frequency and compared with the texts,
+notices and headings of known licences. A file without a match of its own takes the licence of the nearest directory above it that holds a licence file.
 All steps are DataFrame operations.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.plans.joins import attach_by_key
+from millrace.plans.spread import rows_of
 from millrace.plans.staging import stage
 
 # Short notices by which licences are granted, several for one licence where usual.
@@ -36,7 +39,73 @@ TEMPLATES = [
     ("MPL-2.0", "This file is subject to the terms of the Mozilla Public License, version 2.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain under the Unlicense license."),
 ]
-CUE = "(?i)licen[sc]e|copyright|spdx|warranty|permission"
+# The texts of short licences, and the notices and headings of long ones.
+_AS_IS = (
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, '
+    "FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER "
+    "LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation "
+    "and/or other materials provided with the distribution. "
+)
+_BSD_NAMES = (
+    "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software "
+    "without specific prior written permission. "
+)
+_BSD_END = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED '
+    "WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY "
+    "DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF "
+    "USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING "
+    "NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_GNU = (
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation, "
+    "either version {} of the License, or (at your option) any later version."
+)
+TEMPLATES += [
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in "
+     "the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the "
+     "Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission "
+     "notice shall be included in all copies or substantial portions of the Software. " + _AS_IS),
+    ("BSD-2-Clause", _BSD + _BSD_END),
+    ("BSD-3-Clause", _BSD + _BSD_NAMES + _BSD_END),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice "
+     "and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL "
+     "IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES "
+     "WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH "
+     "THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this "
+     "software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright "
+     "laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the "
+     "public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future "
+     "rights to this software under copyright law. " + _AS_IS),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the "
+     "License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "
+     "\"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations "
+     "under the License."),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one "
+     "at http://mozilla.org/MPL/2.0/."),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("GPL-2.0", _GNU.format("General Public License", 2)),
+    ("GPL-3.0", _GNU.format("General Public License", 3)),
+    ("LGPL-3.0", _GNU.format("Lesser General Public License", 3)),
+    ("AGPL-3.0", _GNU.format("Affero General Public License", 3)),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("CC0-1.0", "Creative Commons Legal Code CC0 1.0 Universal"),
+]
+TEMPLATES += [(name, f"SPDX-License-Identifier: {name}") for name in sorted({name for name, _ in TEMPLATES})]
+# A file is looked at if one of these occurs in it, and a passage if it holds one or shares some long terms with the templates.
+CUE = "(?i)licen[sc]e|copyright|spdx|warrant|permission|redistribut|unencumbered"
+TELLING_LETTERS, TELLING_TERMS = 7, 3
+WHOLE_FILE = 1 << 30
 TERM = r"[a-z0-9]+(?:\.[0-9]+)*"
 FILE_NAME = "(?i)^(un)?licen[sc]e([.-].*)?$|^copying([.-].*)?$|^notice([.-].*)?$"
 THRESHOLD = 0.6
@@ -53,15 +122,23 @@ def template_table(spark: SparkSession, templates: list[tuple[str, str]] = TEMPL
     return spark.createDataFrame(rows, "template int, licence string, text string")
 
 
+def telling_terms(templates: list[tuple[str, str]] = TEMPLATES) -> list[str]:
+    """The long terms of templates."""
+    return sorted({t for _, text in templates for t in re.findall(TERM, text.lower()) if len(t) >= TELLING_LETTERS})
+
+
 def passages(files: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id, unit, terms``: lines and paragraphs with a cue; ``unit`` counts lines from 0 and paragraphs from -1 down."""
+    """``id, unit, terms``: lines, paragraphs and whole texts that have a cue or share ``TELLING_TERMS``
+    long terms with the templates; ``unit`` counts lines from 0 and paragraphs from -1 down, and is
+    ``WHOLE_FILE`` for the text."""
     text = F.col(text_col)
     rows = files.filter(text.rlike(CUE)).select(F.col(id_col).alias("id"), text.alias("t"))
     lines = F.transform(F.split("t", "\n"), lambda x, i: F.struct(i.alias("unit"), x.alias("p")))
     paragraphs = F.transform(F.split("t", "\n[ \t\r]*\n"), lambda x, i: F.struct((-1 - i).alias("unit"), x.alias("p")))
-    cued = F.filter(F.concat(lines, paragraphs), lambda u: u["p"].rlike(CUE))
-    units = rows.select("id", F.explode(cued).alias("u")).select("id", "u.unit", terms_of(F.col("u.p")).alias("terms"))
-    return units.filter(F.size("terms") > 0)
+    whole = F.array(F.struct(F.lit(WHOLE_FILE).alias("unit"), F.col("t").alias("p")))
+    units = rows.select("id", rows_of(F.concat(lines, paragraphs, whole)).alias("u")).select("id", "u.unit", "u.p", terms_of(F.col("u.p")).alias("terms"))
+    shared = F.size(F.array_intersect("terms", F.array(*map(F.lit, telling_terms()))))
+    return units.filter((F.size("terms") > 0) & (F.col("p").rlike(CUE) | (shared >= TELLING_TERMS))).drop("p")
 
 
 def matches(files: DataFrame, id_col: str, text_col: str, templates: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.chunks import kept_rows, plain, slices, word_codes
@@ -289,19 +289,21 @@ def vote_counts(docs: DataFrame, text_col: str) -> DataFrame:
     return _texts(docs, text_col).mapInArrow(counted, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n"))
 
 
-def fit(docs: DataFrame, text_col: str, training_rows: int = TRAINING_ROWS) -> Scorer:
+def fit(docs: DataFrame, text_col: str, key: Column | None = None, training_rows: int = TRAINING_ROWS) -> Scorer:
     """Estimate the labellers from all documents and fit the linear model on about ``training_rows``.
 
     The driver gets one row per vote pattern (at most 3 to the number of labellers) and the hashed
-    features of the sample. Without documents every text scores 0.5 and is kept.
+    features of the sample, which is drawn by hash of the text and of ``key``, whatever the layout of
+    the files; rows of the same text and key count once in it. Without documents every text scores 0.5 and is kept.
     """
     patterns = vote_counts(docs, text_col).toArrow()
     n = patterns["n"].to_numpy()
     if not len(n):
         return Scorer(LabelModel(0.5, np.full((2, len(LABELLERS)), 0.5)), np.zeros(BUCKETS + 1))
     labels = fit_labels(pattern_votes(patterns["pattern"].to_numpy(), len(LABELLERS)), n)
-    chance = F.pmod(F.xxhash64(F.coalesce("text", F.lit("")), F.monotonically_increasing_id()), F.lit(1 << 30))
-    sample = _texts(docs, text_col).filter(chance < int(min(1.0, training_rows / int(n.sum())) * (1 << 30)))
+    keyed = docs.select(F.col(text_col).alias("text"), (F.lit(0) if key is None else key).alias("key"))
+    chance = F.pmod(F.xxhash64(F.coalesce("text", F.lit("")), "key"), F.lit(1 << 30))
+    sample = keyed.filter(chance < int(min(1.0, training_rows / int(n.sum())) * (1 << 30))).distinct().select("text")
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in slices(batches):

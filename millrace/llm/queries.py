@@ -52,7 +52,7 @@ def op1_language(spark: SparkSession, folder: str) -> DataFrame:
 def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Quality of every document, learnt from heuristic labellers alone."""
     docs = table(spark, folder, "documents")
-    return quality.classify(docs, "doc_id", "text", quality.fit(docs, "text"))
+    return quality.classify(docs, "doc_id", "text", quality.fit(docs, "text", F.col("doc_id")))
 
 
 @query
@@ -127,16 +127,21 @@ def op6_licences(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _licence_sql() -> str:
-    values = ", ".join(f"({i}, '{name}', '{text}')" for i, (name, text) in enumerate(licences.TEMPLATES))
+    quoted = lambda text: text.replace("'", "''")
+    values = ", ".join(f"({i}, '{name}', '{quoted(text)}')" for i, (name, text) in enumerate(licences.TEMPLATES))
+    telling = "[" + ", ".join(f"'{t}'" for t in licences.telling_terms()) + "]"
     return f"""
 WITH template AS (SELECT * FROM (VALUES {values}) t(template, licence, text)
+), looked_at AS (SELECT doc_id, text FROM documents WHERE regexp_matches(text, '{licences.CUE}')
 ), unit AS (
-    SELECT doc_id AS id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS unit, unnest(string_split(text, chr(10))) AS p FROM documents
+    SELECT doc_id AS id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS unit, unnest(string_split(text, chr(10))) AS p FROM looked_at
     UNION ALL
-    SELECT doc_id, -generate_subscripts(regexp_split_to_array(text, '\\n[ \\t\\r]*\\n'), 1), unnest(regexp_split_to_array(text, '\\n[ \\t\\r]*\\n'))
-    FROM documents WHERE regexp_matches(text, '{licences.CUE}')
+    SELECT doc_id, -generate_subscripts(regexp_split_to_array(text, '\\n[ \\t\\r]*\\n'), 1), unnest(regexp_split_to_array(text, '\\n[ \\t\\r]*\\n')) FROM looked_at
+    UNION ALL
+    SELECT doc_id, {licences.WHOLE_FILE}, text FROM looked_at
+), told AS (SELECT id, unit, p, regexp_extract_all(lower(p), '{licences.TERM}') AS terms FROM unit
 ), passage AS (
-    SELECT id, unit, regexp_extract_all(lower(p), '{licences.TERM}') AS terms FROM unit WHERE regexp_matches(p, '{licences.CUE}')
+    SELECT id, unit, terms FROM told WHERE regexp_matches(p, '{licences.CUE}') OR len(list_intersect(terms, {telling})) >= {licences.TELLING_TERMS}
 ), full_passage AS (SELECT * FROM passage WHERE len(terms) > 0
 ), total AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM full_passage
 ), known AS (

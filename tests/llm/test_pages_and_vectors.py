@@ -1,6 +1,9 @@
 """WARC, extraction, licences and vector searches on odd rows and against brute force."""
 
 import math
+import re
+import textwrap
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -205,6 +208,35 @@ def test_headers_files_and_inheritance(spark):
     assert licences.scan(files.limit(0), "i", F.col("p"), "t", licences.template_table(spark)).count() == 0
 
 
+def test_licence_files_of_many_paragraphs(spark):
+    by_name = defaultdict(list)
+    for name, text in licences.TEMPLATES:
+        by_name[name].append(text)
+    def wrapped(text, indent=""):
+        return "\n".join(indent + line for line in textwrap.wrap(text, 70))
+    bsd = max(by_name["BSD-3-Clause"], key=len)
+    parts = re.split(r" (?=[123]\. |THIS SOFTWARE)", bsd)
+    gpl = "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n" + wrapped(
+        "Copyright (C) 2007 Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."
+    ) + "\n\n                            Preamble\n\n" + wrapped("The GNU General Public License is a free, copyleft license for software and other kinds of works. " * 20)
+    apache = "                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n" + wrapped("terms and conditions of use and reproduction " * 60)
+    rows = [
+        (1, "bsd/LICENSE", "Copyright (c) 2020, Some One\nAll rights reserved.\n\n" + "\n\n".join(map(wrapped, parts))),
+        (2, "gpl/COPYING", gpl), (3, "apache/LICENSE.txt", apache), (4, "mpl/LICENSE", "Mozilla Public License Version 2.0\n==================================\n\n1. Definitions\n" + "word " * 300),
+        (5, "un/UNLICENSE", "\n\n".join(wrapped(p) for p in re.split(r"(?<=\.) (?=[A-Z])", max(by_name["Unlicense"], key=len)))),
+        (6, "isc/LICENSE.md", "ISC\n\n" + wrapped(max(by_name["ISC"], key=len))), (7, "mit/LICENSE", "The MIT License\n\nCopyright (c) 2021 Me\n\n" + wrapped(max(by_name["MIT"], key=len))),
+        (8, "hdr/a.c", "/*\n" + wrapped(max(by_name["Apache-2.0"], key=len), " * ") + "\n */\nint main() { return 0; }\n" * 200), (9, "spdx/b.c", "// SPDX-License-Identifier: BSD-2-Clause\ncode"),
+        (10, "gpl2/x.py", "# " + max((t for t in by_name["GPL-2.0"]), key=len) + "\nimport os\n" * 30),
+        (11, "none/README", "How to get permission to enter the building, and who has the copyright of the drawings on its walls.\nNo more."),
+    ]
+    rows += [(100 + i, f"{path.split('/')[0]}/src/deep/file{i}.c", "int x;") for i, path, _ in rows]
+    files = spark.createDataFrame(rows, "i long, p string, t string")
+    got = {r.id: (r.licence, r.basis) for r in licences.scan(files, "i", F.col("p"), "t", licences.template_table(spark)).collect()}
+    names = {1: "BSD-3-Clause", 2: "GPL-3.0", 3: "Apache-2.0", 4: "MPL-2.0", 5: "Unlicense", 6: "ISC", 7: "MIT", 8: "Apache-2.0", 9: "BSD-2-Clause", 10: "GPL-2.0"}
+    assert {i: got[i] for i in range(1, 12)} == {i: (n, "header") for i, n in names.items()} | {11: (None, None)}
+    assert {i: got[100 + i] for i in range(1, 8)} == {i: (names[i], "inherited") for i in range(1, 8)} and got[108][0] is None and got[111] == (None, None)
+
+
 # --- vectors --------------------------------------------------------------------------------------
 
 
@@ -235,7 +267,8 @@ def test_vector_searches_on_odd_rows(spark):
 def test_products_of_huge_components(spark):
     rows = [(0, [1e307, 1.0]), (1, [-1e307, 1.0]), (2, [2.0, 3.0]), (3, [1e307, 2.0]), (50, [1.0, 1.0])]
     found = topk.search(spark.createDataFrame(rows, "id long, e array<double>"), "id", "e", "vec_id % 50 = 0", k=2).collect()
-    assert sorted((r.query_id, r["rank"], r.vec_id) for r in found) == [(0, 1, 3), (0, 2, 50), (50, 1, 0), (50, 2, 3)]
+    # Scores that are cut to the largest long tie.
+    assert sorted((r.query_id, r["rank"], r.vec_id) for r in found) == [(0, 1, 2), (0, 2, 3), (50, 1, 0), (50, 2, 3)]
     assert {r.score for r in found if r.query_id == 50} == {2**63 - 1}
 
 
@@ -278,6 +311,6 @@ def test_chi_square_and_bounds():
         middle, wide = y[:, :half] @ x[:, :half].T, y[:, half:] @ x[:, half:].T
         assert (middle + wide + 1e-3 >= b @ a.T).all() and (middle - wide - 1e-3 <= b @ a.T).all()
     huge = np.array([[1e300, 1.0], [-1e300, 2.0], [5.0, 3.0], [1e300, 1.0]])
-    assert [x[1] for x in topk.best_in_block(huge, np.arange(4), huge[:1], np.array([0]), 3)] == [3, 2, 1]
+    assert [x[1] for x in topk.best_in_block(huge, np.arange(4), huge[:1], np.array([0]), 3)] == [2, 3, 1]
     large = np.array([[1e17, 3.0], [-1e17, 5.0]])
     assert topk._exact(large, np.array([10.0, 1.0])).tolist() == [10**18 + 3, -(10**18) + 5]
