@@ -53,7 +53,7 @@ def tsv_scan_line_breaks(spark: SparkSession, folder: str) -> DataFrame:
         F.col("o_totalprice").cast("string").alias("price"),
     )
     path = new_scratch_path(spark, "orders-tsv")
-    orders.write.options(sep="\t", header=True, quote='"', escape='"', quoteAll=True).csv(path)
+    orders.write.options(sep="\t", header=True, quote='"', escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
     return delimited.read_tsv(spark, path, delimited.schema_of(id="long", note="string", price="double"))
 
 
