@@ -294,16 +294,16 @@ def fit(docs: DataFrame, text_col: str, key: Column | None = None, training_rows
 
     The driver gets one row per vote pattern (at most 3 to the number of labellers) and the hashed
     features of the sample, which is drawn by hash of the text and of ``key``, whatever the layout of
-    the files; rows of the same text and key count once in it. Without documents every text scores 0.5 and is kept.
+    the files. Rows of the same text and key are drawn together, with the small chance of one row.
+    Without documents every text scores 0.5 and is kept.
     """
     patterns = vote_counts(docs, text_col).toArrow()
     n = patterns["n"].to_numpy()
     if not len(n):
         return Scorer(LabelModel(0.5, np.full((2, len(LABELLERS)), 0.5)), np.zeros(BUCKETS + 1))
     labels = fit_labels(pattern_votes(patterns["pattern"].to_numpy(), len(LABELLERS)), n)
-    keyed = docs.select(F.col(text_col).alias("text"), (F.lit(0) if key is None else key).alias("key"))
-    chance = F.pmod(F.xxhash64(F.coalesce("text", F.lit("")), "key"), F.lit(1 << 30))
-    sample = keyed.filter(chance < int(min(1.0, training_rows / int(n.sum())) * (1 << 30))).distinct().select("text")
+    chance = F.pmod(F.xxhash64(F.coalesce(F.col(text_col), F.lit("")), F.lit(0) if key is None else key), F.lit(1 << 30))
+    sample = _texts(docs.filter(chance < int(min(1.0, training_rows / int(n.sum())) * (1 << 30))), text_col)
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in slices(batches):
