@@ -82,6 +82,19 @@ def test_cross_validation_picks_the_best_point(vectors):
     assert tuned.model.getRegParam() == float(max(scores, key=scores.get).split("=")[1])
 
 
+def test_tuned_forests_are_grown_in_parts(vectors, monkeypatch):
+    """The driver holds a bounded number of trees, and the parts' votes add up to those of all trees."""
+    grown, fit = [], models.RandomForestClassifier._fit
+    monkeypatch.setattr(models.RandomForestClassifier, "_fit", lambda self, df: grown.append(self.getNumTrees()) or fit(self, df))
+    monkeypatch.setattr(models, "FOREST_NODES", 64)
+    tuned = models.cross_validate("random_forest", vectors, {"numTrees": [5], "maxDepth": [4]}, folds=2)
+    assert sorted(grown) == [1, 1, 2, 2, 2, 2]
+    rows = tuned.predictions.collect()
+    # A tree's votes of both classes are 1 in all.
+    assert len(rows) == vectors.count() and all(0 <= r.score <= 5 for r in rows) and max(r.score for r in rows) > 2
+    assert tuned.scores.first().area > 0.8 and tuned.model.getNumTrees == 5
+
+
 def test_parameters_survive_a_round_trip(spark, tmp_path):
     rows = [(0, 0.0, 1.1, 1.0), (1, 2.0, 1.0, 0.0), (2, 2.0, 1.3, 1.0), (3, 0.0, 1.2, 0.0), (4, 0.0, -0.5, 1.0)]
     data = spark.createDataFrame([(i, Vectors.dense(a, b), y) for i, a, b, y in rows], ["id", "features", "label"])
