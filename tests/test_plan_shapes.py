@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.catalog import QUERIES
+from millrace.catalog import QUERIES, classification, views
 from millrace.operators import profile, quality
 from tests.conftest import DATA
 
@@ -55,3 +55,22 @@ def test_filters_and_columns_reach_the_scan(spark):
 def test_top_rows_use_a_bounded_sort(spark):
     events = spark.read.parquet(f"{DATA}/events.parquet")
     assert "TakeOrderedAndProject" in plan(profile.top_rows(events, "value", 10, "event_id"))
+
+
+def test_trips_are_joined_once_before_training(spark):
+    """Fits and scores read the written trips; no pass joins them again."""
+    text = plan(classification._encoded(spark, DATA))
+    assert "lineitem.parquet" not in text and "Join" not in text
+
+
+def test_lines_of_trips_are_exchanged_once(spark):
+    """Orders meet customers before lines; where both are too large to be broadcast, the lines move once."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = views.trips(spark, DATA, "trip_id", "dep_delay", "dest")
+        text = rows._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    lines = text.splitlines()
+    depth = {c: next(len(l) - len(l.lstrip(" :+-")) for l in lines if c in l and "Relation" in l) for c in ("l_orderkey", "c_custkey")}
+    assert depth["c_custkey"] > depth["l_orderkey"]
