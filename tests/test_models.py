@@ -95,6 +95,15 @@ def test_tuned_forests_are_grown_in_parts(vectors, monkeypatch):
     assert tuned.scores.first().area > 0.8 and tuned.model.getNumTrees == 5
 
 
+def test_few_rows_need_no_parts():
+    forest = models.estimator("random_forest")
+    deep = {forest.numTrees: 100, forest.maxDepth: 15}
+    assert len(models._parts(forest, deep, 1000)) == 1
+    parts = models._parts(forest, deep, 1 << 24)
+    assert sum(p[forest.numTrees] for p in parts) == 100 and max(p[forest.numTrees] for p in parts) == 4
+    assert len({p[forest.seed] for p in parts}) == len(parts)
+
+
 def test_parameters_survive_a_round_trip(spark, tmp_path):
     rows = [(0, 0.0, 1.1, 1.0), (1, 2.0, 1.0, 0.0), (2, 2.0, 1.3, 1.0), (3, 0.0, 1.2, 0.0), (4, 0.0, -0.5, 1.0)]
     data = spark.createDataFrame([(i, Vectors.dense(a, b), y) for i, a, b, y in rows], ["id", "features", "label"])
