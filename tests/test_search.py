@@ -295,3 +295,15 @@ def test_phrases_of_any_length(spark):
     phrases = spark.createDataFrame([(1, ["a", "b", "c"]), (2, ["b"]), (3, ["a", "b", "c", "d"]), (4, ["c", "b", "c"]), (5, ["b", "c", "a", "b", "c"])], "pair_id long, tokens array<string>")
     got = {(r.pair_id, r.doc_id): r.matches for r in search.phrase_matches(index, phrases).collect()}
     assert got == {(1, 1): 2, (1, 4): 1, (2, 1): 2, (2, 2): 1, (2, 3): 1, (2, 4): 2, (3, 1): 1, (3, 4): 1, (5, 4): 1}
+
+
+def test_weights_attach_terms_once(spark, monkeypatch):
+    """Weights and norms come from one pass over the documents' terms."""
+    docs = spark.createDataFrame([(1, ["red", "fox"]), (2, ["red", "hen"]), (3, ["fox", "hen", "hen"]), (None, ["red", "hen", "fox"])], "doc_id long, tokens array<string>")
+    index = search.tfidf_index(docs, "doc_id", "tokens")
+    passes, weighted = [], search.TfIdfIndex._weighted
+    monkeypatch.setattr(search.TfIdfIndex, "_weighted", lambda self, *a: passes.append(a) or weighted(self, *a))
+    squares = {}
+    for r in search.tfidf_weights(index).collect():
+        squares[r.doc_id] = squares.get(r.doc_id, 0) + r.weight**2
+    assert len(passes) == 1 and squares == {1: pytest.approx(1), 2: pytest.approx(1), 3: pytest.approx(1)}
