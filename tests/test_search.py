@@ -307,3 +307,15 @@ def test_weights_attach_terms_once(spark, monkeypatch):
     for r in search.tfidf_weights(index).collect():
         squares[r.doc_id] = squares.get(r.doc_id, 0) + r.weight**2
     assert len(passes) == 1 and squares == {1: pytest.approx(1), 2: pytest.approx(1), 3: pytest.approx(1)}
+
+
+
+def 
+
+def test_distances_repeat_no_list_of_positions(spark):
+    """Rows of one id count as one document; a word of many pairs meets only the words before it."""
+    docs = spark.createDataFrame([(0, "a x b".split()), (0, "a x b".split()), (0, "q b".split()), (None, "a b".split())], "id long, tokens array<string>")
+    pairs = spark.createDataFrame([(1, "a", "b"), (1, "a", "b"), (2, "q", "x"), (3, "x", "b"), (4, None, "b")], "pair_id long, first string, second string")
+    found = search.within_distance(search.postings(docs, "id", "tokens"), pairs, 2)
+    assert sorted((r.pair_id, str(r.doc_id), r.matches) for r in found.collect()) == [(1, "0", 2), (1, "None", 1), (2, "0", 1), (3, "0", 1)]
+    assert "SortAggregate" not in full_plan(spark, found)
