@@ -319,3 +319,15 @@ def test_distances_repeat_no_list_of_positions(spark):
     found = search.within_distance(search.postings(docs, "id", "tokens"), pairs, 2)
     assert sorted((r.pair_id, str(r.doc_id), r.matches) for r in found.collect()) == [(1, "0", 2), (1, "None", 1), (2, "0", 1), (3, "0", 1)]
     assert "SortAggregate" not in full_plan(spark, found)
+
+
+
+def test_a_phrase_is_looked_up_by_its_rarest_token(spark, monkeypatch):
+    texts = [(i, "the old fox" if i == 3 else "the old the old hen") for i in range(9)] + [(None, "the old fox")]
+    index = search.postings(spark.createDataFrame([(i, t.split()) for i, t in texts], "id long, tokens array<string>"), "id", "tokens")
+    phrases = spark.createDataFrame([(1, ["the", "old", "fox"]), (None, ["old", "fox"]), (2, ["the", "cat"])], "pair_id long, tokens array<string>")
+    asked, match = [], search.match_by_key
+    monkeypatch.setattr(search, "match_by_key", lambda rows, wanted, *a: asked.extend(r.token for r in wanted.collect()) or match(rows, wanted, *a))
+    found = search.phrase_matches(index, phrases).collect()
+    assert sorted(((r.pair_id, r.doc_id, r.matches) for r in found), key=str) == sorted([(1, 3, 1), (1, None, 1), (None, 3, 1), (None, None, 1)], key=str)
+    assert sorted(asked) == ["cat", "fox", "fox"]
