@@ -1,5 +1,6 @@
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.functions import lexicon
 from millrace.functions import text as tx
@@ -122,3 +123,18 @@ def test_ngrams(one):
     assert one(lambda X: tx.ngrams(X, 2), "array<string>", *lists) == [[], [], ["a b"], ["a b", "b c"]]
     assert one(lambda X: tx.ngrams(X, 3), "array<string>", *lists) == [[], [], [], ["a b c"]]
     assert one(lambda X: tx.ngram_range(X, 1, 3), "array<string>", ["a", "b", "c"]) == ["a", "b", "c", "a b", "b c", "a b c"]
+
+
+def test_words_are_stripped_in_one_go(spark):
+    texts = ["It's 5.1, wi-fi: o'clock's (USB--C)!", "\u00a0a\u2028b ½ ' '' \t_x_ ΟΔΟΣ.", "", None, "don't STOP... classes ponies ss"]
+    x = F.col("t")
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(
+        tx.bare_words(x).alias("bare"), tx.strip_non_word(tx.word_tokens(x)).alias("bare_steps"),
+        tx.protect_phrases(tx.word_tokens(x), ["usb c", "wi-fi"], keep_case=False, strip=True).alias("kept"),
+        tx.strip_punctuation(tx.protect_phrases(tx.word_tokens(x), ["usb c", "wi-fi"], keep_case=False)).alias("kept_steps"),
+    ).collect()
+    assert all(r.bare == r.bare_steps and r.kept == r.kept_steps for r in rows)
+
+
+def test_common_beginnings_of_words_are_tried_once():
+    assert tx._any_of(["win 10", "win 11", "x.", "x.y"]) in ("(?:w(?:i(?:n(?:\\ (?:1(?:0|1))))))|x(?:\\.))", "(?:w(?:i(?:n(?:\\ (?:1(?:0|1)))))|x(?:\\.))")
