@@ -11,6 +11,7 @@ from pyspark.sql.types import (
 )
 
 from millrace.operators.quality import drop_incomplete, first_per_key
+from millrace.plans.joins import fits_broadcast
 from millrace.plans.staging import stage
 
 _TYPES = {
@@ -80,40 +81,47 @@ def read_tsv(spark: SparkSession, path: str, schema: StructType, multi_line: boo
     return drop_incomplete(typed)
 
 
+# Lines whose quotes are counted together.
+SLICE_LINES = 1 << 14
+
+
 def quoted_records(spark: SparkSession, path: str) -> DataFrame:
     """``(record)``: the records of delimited files without their headers, line breaks inside quotes kept.
 
     Files are read in splits. A line with an odd number of quotes opens or closes a quoted field, as
-    quotes stand around fields and twice inside them; how many such lines a split has tells the next
-    ones whether they begin inside quotes. Splits without any, outside of quotes, are records as they
-    are, and nothing is moved. In the others a line's number of odd lines before it says which record
-    it belongs to, and the lines of a record are joined over splits.
+    quotes stand around fields and twice inside them; how many such lines a slice of a split has tells
+    the next ones whether they begin inside quotes. Slices without any, outside of quotes, are records
+    as they are, and nothing is moved. In the others a line's number of odd lines before it says which
+    record it belongs to, and the lines of a record are joined over slices. Slices have up to
+    ``SLICE_LINES`` lines, so that no task orders a whole split, and lines are moved without the names
+    of their files.
     """
     lines = spark.read.option("lineSep", "\n").text(path).select(
         "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("line")
-    )
+    ).withColumn("slice", F.floor(F.col("line") / SLICE_LINES))
     odd = ((F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))) % 2).cast("long")
-    sizes = lines.groupBy("file", "split").agg(F.sum(odd).alias("odd_lines"), F.min("line").alias("first_line"))
-    earlier = Window.partitionBy("file").orderBy("split")
-    # One row per split; they are numbered within their file.
-    splits = stage(
+    sizes = lines.groupBy("file", "split", "slice").agg(F.sum(odd).alias("odd_lines"), F.min("line").alias("first_line"))
+    earlier = Window.partitionBy("file").orderBy("split", "slice")
+    # One row per slice; they are numbered within their file, and the file is known by its first line.
+    slices = stage(
         sizes.select(
-            "file", "split", "odd_lines", F.coalesce(F.sum("odd_lines").over(earlier.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("odd_before"),
-            F.when(F.row_number().over(earlier) == 1, F.col("first_line")).alias("header"),
+            "file", "split", "slice", "odd_lines", F.coalesce(F.sum("odd_lines").over(earlier.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("odd_before"),
+            F.first("first_line").over(earlier).alias("header"), F.row_number().over(earlier).alias("place"),
         ),
-        "splits",
+        "slices",
     )
-    placed = lines.join(splits, ["file", "split"])
+    placed = lines.join(F.broadcast(slices) if fits_broadcast(slices) else slices, ["file", "split", "slice"]).drop("file", "split", "slice")
     quiet = (F.col("odd_lines") == 0) & (F.col("odd_before") % 2 == 0)
     is_header = F.col("line").eqNullSafe(F.col("header"))
     whole = placed.filter(quiet & ~is_header).select("value")
 
-    within = Window.partitionBy("file", "split").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
-    busy = placed.filter(~quiet).withColumn("odd", odd).withColumn("before", F.col("odd_before") + F.coalesce(F.sum("odd").over(within), F.lit(0)))
+    within = Window.partitionBy("header", "place").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    busy = placed.filter(~quiet).select("value", "line", "header", "place", "odd_before", odd.alias("odd"))
+    busy = busy.withColumn("before", F.col("odd_before") + F.coalesce(F.sum("odd").over(within), F.lit(0)))
     alone = (F.col("odd") == 0) & (F.col("before") % 2 == 0)
     single = busy.filter(alone & ~is_header).select("value")
-    parts = F.sort_array(F.collect_list(F.struct("split", "line", "value")))
-    joined = busy.filter(~alone).groupBy("file", F.floor(F.col("before") / 2).alias("record")).agg(parts.alias("parts"), F.max(is_header).alias("is_header"))
+    parts = F.sort_array(F.collect_list(F.struct("place", "line", "value")))
+    joined = busy.filter(~alone).groupBy("header", F.floor(F.col("before") / 2).alias("record")).agg(parts.alias("parts"), F.max(is_header).alias("is_header"))
     several = joined.filter(~F.col("is_header")).select(F.array_join("parts.value", "\n").alias("value"))
     records = whole.unionAll(single).unionAll(several).select(F.regexp_replace("value", "\r$", "").alias("record"))
     return records.filter(F.trim("record") != "")

@@ -79,3 +79,17 @@ def test_files_without_quoted_breaks_are_not_moved(spark, tmp_path):
     (tmp_path / "t.tsv").write_text("a\tb\n" + 'x y\t"q ""z"""\n' * 500)
     rows = delimited.read_tsv(spark, str(tmp_path / "t.tsv"), delimited.schema_of(a="string", b="string"))
     assert [tuple(r) for r in rows.distinct().collect()] == [("x y", 'q "z"')] and rows.count() == 500
+
+
+def test_quoted_lines_are_counted_in_slices(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(delimited, "SLICE_LINES", 4)
+    notes = ["plain", 'a "b"', "two\nlines", "x\n\n\n\n\n\n\n\ny", 'q\n"\nr']
+    for part in range(2):
+        lines = "".join(f'"{i}"\t"{notes[i % 5].replace(chr(34), chr(34) * 2)}"\n' for i in range(100 * part, 100 * part + 100))
+        (tmp_path / f"{part}.tsv").write_text('"id"\t"no\nte"\n' + lines)
+    spark.read.text(str(tmp_path)).count()
+    rows = delimited.read_tsv(spark, str(tmp_path), delimited.schema_of(id="long", note="string"))
+    assert sorted(tuple(r) for r in rows.collect()) == [(i, notes[i % 5]) for i in range(200)]
+    # Windows are of slices, and lines are not moved with the names of their files.
+    text = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" in text and not any("file" in line for line in text.splitlines() if "Window" in line or "Aggregate" in line)
