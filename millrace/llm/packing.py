@@ -15,8 +15,9 @@ every seed with every piece, as each id of a tokenizer's bounded vocabulary stan
 from __future__ import annotations
 
 import os
+import string
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -41,9 +42,10 @@ SAMPLE_ROWS = 20_000
 LEAF_ROWS = 8
 # Pieces whose tokens are projected together.
 ROWS_AT_ONCE = 512
-CACHED_PIECES = 300_000
-# Text that is tokenised at once: distinct words grow more slowly than texts.
+# Text that is tokenised at once, and text whose distinct words are: they grow more slowly than texts.
 TEXT_BYTES = 2 << 20
+SHARED_BYTES = 32 << 20
+PIECES_AT_ONCE = 1 << 15
 LETTERS_AT_ONCE = 1024
 # ASCII marks that a tokenizer's pattern keeps together as one piece; the apostrophe opens suffixes.
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -57,26 +59,13 @@ def ends_in_letter(last: str) -> bool:
     return not last or unicodedata.category(unicodedata.normalize("NFC", last).lower()[-1])[0] == "L"
 
 
-class _Numbers(dict):
-    """Numbers strings in the order in which they are first looked up."""
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.listed: list[str] = []
-
-    def __missing__(self, key: str) -> int:
-        self[key] = number = len(self.listed)
-        self.listed.append(key)
-        return number
-
-
 class WordEncoder:
     """Token ids of texts, computed once per distinct word.
 
     Right for tokenizers that drop white space and whose pieces never reach over it. A word of
-    letters followed by marks is two pieces, so it costs two look-ups; every other word is encoded
-    whole, also one whose last letter turns into a letter and a combining mark, which belongs to the
-    marks after it. The memo of pieces is emptied when it holds ``CACHED_PIECES`` entries, and after a task.
+    letters followed by marks is two pieces; every other word is encoded whole, also one whose last
+    letter turns into a letter and a combining mark, which belongs to the marks after it. Where a
+    tokenizer lowers letters, ASCII words are lowered before they are told apart.
     """
 
     def __init__(self, path: str) -> None:
@@ -90,11 +79,10 @@ class WordEncoder:
         self.closing = np.zeros(max(vocabulary.values()) + 1, bool)
         if suffix:
             self.closing[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
-        self.clear()
+        self.lowers = all(self.ids_of(c) == self.ids_of(c.lower()) for c in string.ascii_uppercase)
 
-    def clear(self) -> None:
-        self.known = _Numbers()
-        self.pool, self.starts, self.lengths = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    def ids_of(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _whole(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         lists = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
@@ -107,7 +95,7 @@ class WordEncoder:
         ids, lengths = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
         for i in range(0, len(words), LETTERS_AT_ONCE):
             some = words[i : i + LETTERS_AT_ONCE]
-            found = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, np.int32)
+            found = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.int32)
             ends = np.flatnonzero(self.closing[found])
             if len(ends) == len(some) and ends[-1] == len(found) - 1:
                 ids.append(found)
@@ -117,27 +105,23 @@ class WordEncoder:
                     out.append(part)
         return np.concatenate(ids), np.concatenate(lengths)
 
-    def numbered(self, pieces: pa.Array) -> np.ndarray:
-        """Memo numbers of distinct pieces, new ones added."""
-        before = len(self.known)
-        found = np.fromiter(map(self.known.__getitem__, pieces.to_pylist()), np.int64, len(pieces))
-        new = self.known.listed[before:]
-        if new:
-            simple = np.fromiter(map(str.isalpha, new), bool, len(new))
-            starts, lengths = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64)
-            for chosen, encode in ((simple, self._letters), (~simple, self._whole)):
-                ids, sizes = encode([new[i] for i in np.flatnonzero(chosen)])
-                starts[chosen], lengths[chosen] = len(self.pool) + np.cumsum(sizes) - sizes, sizes
-                self.pool = np.concatenate([self.pool, ids])
-            self.starts, self.lengths = np.concatenate([self.starts, starts]), np.concatenate([self.lengths, lengths])
-        return found
-
-    def __call__(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-        """``(offsets, ids)`` of all texts, each closed by ``end_id``."""
-        if len(self.known) > CACHED_PIECES:
-            self.clear()
-        offsets, codes, words = word_codes(texts)
-        words = plain(words.cast(pa.string()))
+    def pieces(self, listed: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(ids, starts, lengths)`` of distinct pieces."""
+        simple = pc.utf8_is_alpha(listed).to_numpy(zero_copy_only=False)
+        starts, lengths = np.zeros(len(listed), np.int64), np.zeros(len(listed), np.int64)
+        found, total = [np.zeros(0, np.int32)], 0
+        for chosen, encode in ((simple, self._letters), (~simple, self._whole)):
+            at = np.flatnonzero(chosen)
+            for i in range(0, len(at), PIECES_AT_ONCE):
+                some = at[i : i + PIECES_AT_ONCE]
+                ids, sizes = encode(listed.take(pa.array(some)).to_pylist())
+                starts[some], lengths[some] = total + np.cumsum(sizes) - sizes, sizes
+                total += len(ids)
+                found.append(ids)
+        return np.concatenate(found), starts, lengths
+
+    def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(ids, starts, lengths)`` of words without white space."""
         stems = pc.ascii_rtrim(words, MARKS)
         cut = pc.binary_length(stems).to_numpy(zero_copy_only=False)
         full = pc.binary_length(words).to_numpy(zero_copy_only=False)
@@ -145,27 +129,50 @@ class WordEncoder:
         ends = plain(pc.dictionary_encode(pc.utf8_slice_codeunits(stems, -1)))
         safe = np.array([ends_in_letter(c) for c in ends.dictionary.to_pylist()], bool)
         simple &= safe[ends.indices.to_numpy()]
-        # A number for the first piece of each distinct word and, where marks follow, for the second.
-        first, second = np.full(len(words), -1), np.full(len(words), -1)
         has_stem, has_marks = simple & (cut > 0), simple & (full > cut)
-        encoded = plain(pc.dictionary_encode(stems.filter(pa.array(has_stem))))
-        first[has_stem] = self.numbered(encoded.dictionary)[encoded.indices.to_numpy()]
-        tails = plain(pc.dictionary_encode(pc.replace_substring_regex(words.filter(pa.array(has_marks)), r"^\pL+", "")))
-        second[has_marks] = self.numbered(tails.dictionary)[tails.indices.to_numpy()]
-        odd = ~simple
-        first[odd] = self.numbered(plain(words.filter(pa.array(odd))))
-
-        # The ids of each distinct word, and of one more that closes a text.
-        lengths = np.append(self.lengths, 0)  # number -1: no ids
-        starts = np.append(self.starts, 0)
+        # The first piece of each word and, where marks follow, the second.
+        tails = pc.replace_substring_regex(words.filter(pa.array(has_marks)), r"^\pL+", "")
+        parts = pa.concat_arrays([plain(x) for x in (stems.filter(pa.array(has_stem)), tails, words.filter(pa.array(~simple)))])
+        encoded = plain(pc.dictionary_encode(parts))
+        number = encoded.indices.to_numpy()
+        first, second = np.full(len(words), -1), np.full(len(words), -1)
+        stop = int(has_stem.sum())
+        first[has_stem], second[has_marks] = number[:stop], number[stop : stop + len(tails)]
+        first[~simple] = number[stop + len(tails) :]
+
+        ids, starts, lengths = self.pieces(encoded.dictionary)
+        lengths, starts = np.append(lengths, 0), np.append(starts, 0)  # number -1: no ids
         places = np.stack([first, second], 1).reshape(-1)
-        word_ids = np.append(self.pool[ranges(starts[places], lengths[places])] if len(places) else np.zeros(0, np.int32), end_id).astype(np.int32)
-        counts = np.append(lengths[first] + lengths[second], 1)
-        begins = np.cumsum(counts) - counts
-        closed = np.insert(codes, offsets[1:], len(words))
-        sizes = counts[closed]
-        upto = np.concatenate([[0], np.cumsum(sizes)])[offsets + np.arange(len(offsets))]
-        return upto, word_ids[ranges(begins[closed], sizes)] if len(closed) else np.zeros(0, np.int32)
+        counts = lengths[first] + lengths[second]
+        word_ids = ids[ranges(starts[places], lengths[places])] if len(places) else np.zeros(0, np.int32)
+        return word_ids, np.cumsum(counts) - counts, counts
+
+    def slices(self, texts: Iterable[pa.Array], end_id: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """``(offsets, ids)`` of each array of texts, every text closed by ``end_id``; a word that
+        stands in several arrays is encoded once."""
+        coded = []
+        for some in texts:
+            offsets, codes, words = word_codes(some)
+            words = plain(words.cast(pa.string()))
+            if self.lowers:
+                words = pc.if_else(pc.string_is_ascii(words), pc.ascii_lower(words), words)
+            coded.append((offsets, codes.astype(np.int32), plain(words)))
+        shared = plain(pc.dictionary_encode(pa.concat_arrays([words for *_, words in coded])))
+        number = shared.indices.to_numpy()
+        ids, begins, counts = self.words(plain(shared.dictionary))
+        # One more word closes a text.
+        ids, begins, counts = np.append(ids, end_id).astype(np.int32), np.append(begins, len(ids)), np.append(counts, 1)
+        before = 0
+        for offsets, codes, words in coded:
+            closed = np.insert(number[before : before + len(words)][codes], offsets[1:], len(counts) - 1)
+            before += len(words)
+            sizes = counts[closed]
+            upto = np.concatenate([[0], np.cumsum(sizes)])[offsets + np.arange(len(offsets))]
+            yield upto, ids[ranges(begins[closed], sizes)] if len(closed) else np.zeros(0, np.int32)
+
+    def __call__(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """``(offsets, ids)`` of all texts, each closed by ``end_id``."""
+        return next(self.slices([texts], end_id))
 
 
 def _encoder(path: str) -> WordEncoder:
@@ -182,10 +189,14 @@ def token_pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer_path: st
     """
     numbered = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("place"))
 
+    def shared(batches: Iterator[pa.RecordBatch], encoder: WordEncoder) -> Iterator[tuple[pa.Table, tuple[np.ndarray, np.ndarray]]]:
+        for large in slices(batches, most=SHARED_BYTES):
+            tables = [*slices(iter(large.combine_chunks().to_batches()), most=TEXT_BYTES)]
+            yield from zip(tables, encoder.slices((plain(t["text"]) for t in tables), end_id))
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer_path)
-        for table in slices(batches, most=TEXT_BYTES):
-            offsets, ids = encoder(plain(table["text"]), end_id)
+        for table, (offsets, ids) in shared(batches, encoder):
             lengths = np.diff(offsets)
             pieces = -(-lengths // window)
             row = np.repeat(np.arange(len(lengths)), pieces)
@@ -388,7 +399,10 @@ class Shard:
         self.weight = np.repeat(idf, df) * tf * (K1 + 1) / (tf + norm[self.place])
         # The tokens of each list, the most telling first.
         slot = np.repeat(np.arange(len(self.tokens)), df)
-        order = np.lexsort((slot, -self.weight, self.place))
+        order = np.argsort(-self.weight, kind="stable")  # slots rise already
+        # Small numbers are sorted digit by digit.
+        small = self.place.astype(np.uint16) if len(lists) <= 1 << 16 else self.place
+        order = order[np.argsort(small[order], kind="stable")]
         self.of_list, self.list_first = slot[order], np.searchsorted(self.place[order], np.arange(len(lists) + 1))
 
     def ranked(self, seed: int, query_tokens: int | None) -> np.ndarray:

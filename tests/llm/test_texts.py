@@ -48,6 +48,17 @@ def test_words_whose_last_letter_becomes_a_letter_and_a_mark():
     assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == wanted
 
 
+def test_a_word_of_several_slices_is_encoded_once(monkeypatch):
+    encoder = packing.WordEncoder(TOKENIZER)
+    tokenizer = Tokenizer.from_file(TOKENIZER)
+    texts = [["one Two, two", "H\u0331 h\u0331"], ["TWO one! x1"], [], ["Σας one\n"]]
+    asked, letters = [], packing.WordEncoder._letters
+    monkeypatch.setattr(packing.WordEncoder, "_letters", lambda self, words: asked.extend(words) or letters(self, words))
+    for some, (offsets, ids) in zip(texts, encoder.slices([pa.array(t, pa.string()) for t in texts], 1), strict=True):
+        assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == [tokenizer.encode(t, add_special_tokens=False).ids + [1] for t in some]
+    assert sorted(asked) == ["one", "two", "Σας"]
+
+
 def check_packed(docs, rows, window):
     tokenizer = Tokenizer.from_file(TOKENIZER)
     wanted = defaultdict(list)
