@@ -309,9 +309,6 @@ def test_weights_attach_terms_once(spark, monkeypatch):
     assert len(passes) == 1 and squares == {1: pytest.approx(1), 2: pytest.approx(1), 3: pytest.approx(1)}
 
 
-
-def 
-
 def test_distances_repeat_no_list_of_positions(spark):
     """Rows of one id count as one document; a word of many pairs meets only the words before it."""
     docs = spark.createDataFrame([(0, "a x b".split()), (0, "a x b".split()), (0, "q b".split()), (None, "a b".split())], "id long, tokens array<string>")
@@ -321,7 +318,6 @@ def test_distances_repeat_no_list_of_positions(spark):
     assert "SortAggregate" not in full_plan(spark, found)
 
 
-
 def test_a_phrase_is_looked_up_by_its_rarest_token(spark, monkeypatch):
     texts = [(i, "the old fox" if i == 3 else "the old the old hen") for i in range(9)] + [(None, "the old fox")]
     index = search.postings(spark.createDataFrame([(i, t.split()) for i, t in texts], "id long, tokens array<string>"), "id", "tokens")
@@ -331,3 +327,25 @@ def test_a_phrase_is_looked_up_by_its_rarest_token(spark, monkeypatch):
     found = search.phrase_matches(index, phrases).collect()
     assert sorted(((r.pair_id, r.doc_id, r.matches) for r in found), key=str) == sorted([(1, 3, 1), (1, None, 1), (None, 3, 1), (None, None, 1)], key=str)
     assert sorted(asked) == ["cat", "fox", "fox"]
+
+
+def test_hashed_cells_are_exchanged_once(spark):
+    index = search.hashed_index(frame(spark, DOCS), "id", "tokens", 50)
+    counts = stage(search._hashed_counts(frame(spark, DOCS), "id", "tokens", 50), "counts")
+    weights = search._hashed_unit(counts, index.slots)
+    assert full_plan(spark, weights).count("Exchange hashpartitioning") == 1
+    squares = {}
+    for r in weights.collect():
+        squares[r.doc_id] = squares.get(r.doc_id, 0) + r.weight**2
+    assert squares and all(v == pytest.approx(1) for v in squares.values())
+
+
+def test_searches_exchange_sums_not_postings(spark):
+    """What is added to partial scores is summed by document and query before it is exchanged."""
+    weights = spark.createDataFrame([(t, d, w) for t, w in (("a", 0.75), ("b", 0.5), ("c", 0.25)) for d in range(20)], "term string, doc_id long, weight double")
+    blocks = stage(impact.with_blocks(weights), "blocks")
+    plan = stage(blocks.select("block").distinct().select(F.lit(7).alias("query_id"), "block", F.lit(0.5).alias("wanted")), "plan")
+    partial = stage(spark.createDataFrame([(7, 3, 1.0), (7, 4, 2.0), (8, 5, 3.0)], "query_id int, doc_id long, score double"), "partial")
+    found = impact._finished(blocks, plan, partial)
+    assert sorted(tuple(r) for r in found.collect()) == [(7, 3, 1.75), (7, 4, 2.75), (8, 5, 3.0)]
+    assert "partial_sum" in full_plan(spark, found)
