@@ -349,3 +349,15 @@ def test_searches_exchange_sums_not_postings(spark):
     found = impact._finished(blocks, plan, partial)
     assert sorted(tuple(r) for r in found.collect()) == [(7, 3, 1.75), (7, 4, 2.75), (8, 5, 3.0)]
     assert "partial_sum" in full_plan(spark, found)
+
+
+def test_terms_are_exchanged_before_they_are_counted(spark, monkeypatch):
+    """No task sums terms that others hold, too; the partitions follow the size of the written tokens."""
+    counted, write = [], search.stage
+    monkeypatch.setattr(search, "stage", lambda df, name: counted.append((name, full_plan(spark, df))) or write(df, name))
+    monkeypatch.setattr(search, "TOKEN_BYTES", 500)
+    index = search.tfidf_index(frame(spark, DOCS), "id", "tokens")
+    plan = dict(counted)["terms"]
+    assert plan.rindex("partial_count") < plan.index("Exchange hashpartitioning(term")
+    assert "REPARTITION_BY_NUM" in plan and index.documents.rdd.getNumPartitions() > 4
+    assert {r.term: r.idf for r in index.terms.collect()} == pytest.approx(brute_force(DOCS, {})[1])
