@@ -24,9 +24,8 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SL
         table = pa.Table.from_batches([batch])
         if not table.num_rows:
             continue
-        texts = pc.fill_null(table[text], "").combine_chunks()
-        texts = texts.chunk(0) if isinstance(texts, pa.ChunkedArray) else texts
-        table = table.set_column(table.schema.get_field_index(text), text, texts.cast(pa.large_string()))
+        texts = _large(plain(pc.fill_null(table[text], "") if table[text].null_count else table[text]))
+        table = table.set_column(table.schema.get_field_index(text), text, texts)
         ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
         start = 0
         while start < table.num_rows:
@@ -37,6 +36,15 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SL
     give_back()
 
 
+def _large(texts: pa.Array) -> pa.Array:
+    """The same texts with long offsets, without a copy of them; none may be null."""
+    if texts.type != pa.string() or not len(texts):
+        return texts.cast(pa.large_string())
+    _, offsets, data = texts.buffers()
+    offsets = np.frombuffer(offsets, np.int32, len(texts) + 1).astype(np.int64)
+    return pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(offsets), data)
+
+
 def give_back() -> None:
     """Return freed memory to the system: Arrow's, and that of the C library where it can."""
     pa.default_memory_pool().release_unused()
@@ -47,7 +55,9 @@ def give_back() -> None:
 
 def plain(column: pa.ChunkedArray | pa.Array) -> pa.Array:
     """One contiguous array without an offset."""
-    array = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    array = column
+    if isinstance(column, pa.ChunkedArray):  # combining copies one chunk, too
+        array = column.chunk(0) if column.num_chunks == 1 else column.combine_chunks()
     if isinstance(array, pa.ChunkedArray):
         array = array.chunk(0) if array.num_chunks else pa.array([], array.type)
     return pa.concat_arrays([array]) if array.offset else array

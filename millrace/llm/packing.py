@@ -139,8 +139,10 @@ class WordEncoder:
         stop = int(has_stem.sum())
         first[has_stem], second[has_marks] = number[:stop], number[stop : stop + len(tails)]
         first[~simple] = number[stop + len(tails) :]
+        listed = encoded.dictionary
+        del stems, cut, full, ends, tails, parts, encoded, number  # encoding takes the most memory
 
-        ids, starts, lengths = self.pieces(encoded.dictionary)
+        ids, starts, lengths = self.pieces(listed)
         lengths, starts = np.append(lengths, 0), np.append(starts, 0)  # number -1: no ids
         places = np.stack([first, second], 1).reshape(-1)
         counts = lengths[first] + lengths[second]
@@ -150,22 +152,28 @@ class WordEncoder:
     def slices(self, texts: Iterable[pa.Array], end_id: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """``(offsets, ids)`` of each array of texts, every text closed by ``end_id``; a word that
         stands in several arrays is encoded once."""
-        coded = []
+        coded, lists = [], []
         for some in texts:
             offsets, codes, words = word_codes(some)
             words = plain(words.cast(pa.string()))
             if self.lowers:
                 words = pc.if_else(pc.string_is_ascii(words), pc.ascii_lower(words), words)
-            coded.append((offsets, codes.astype(np.int32), plain(words)))
-        shared = plain(pc.dictionary_encode(pa.concat_arrays([words for *_, words in coded])))
-        number = shared.indices.to_numpy()
-        ids, begins, counts = self.words(plain(shared.dictionary))
+            coded.append((offsets, codes.astype(np.int32), len(words)))
+            lists.append(plain(words))
+        joined = pa.concat_arrays(lists)
+        del words, lists
+        shared = plain(pc.dictionary_encode(joined))
+        del joined
+        number, distinct = shared.indices.to_numpy(), plain(shared.dictionary)
+        del shared
+        ids, begins, counts = self.words(distinct)
+        del distinct
         # One more word closes a text.
         ids, begins, counts = np.append(ids, end_id).astype(np.int32), np.append(begins, len(ids)), np.append(counts, 1)
         before = 0
-        for offsets, codes, words in coded:
-            closed = np.insert(number[before : before + len(words)][codes], offsets[1:], len(counts) - 1)
-            before += len(words)
+        for offsets, codes, size in coded:
+            closed = np.insert(number[before : before + size][codes], offsets[1:], len(counts) - 1)
+            before += size
             sizes = counts[closed]
             upto = np.concatenate([[0], np.cumsum(sizes)])[offsets + np.arange(len(offsets))]
             yield upto, ids[ranges(begins[closed], sizes)] if len(closed) else np.zeros(0, np.int32)
@@ -181,17 +189,21 @@ def _encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
-def token_pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer_path: str, window: int = WINDOW, end_id: int = 1) -> DataFrame:
+def token_pieces(
+    docs: DataFrame, id_col: str, text_col: str, tokenizer_path: str, window: int = WINDOW, end_id: int = 1, shared_bytes: int = SHARED_BYTES
+) -> DataFrame:
     """Each document's ids, cut into whole windows and one shorter rest.
 
+    The distinct words of ``shared_bytes`` of text are encoded together: fewer take less memory and more time.
+
     Columns ``doc_id, start, length, doc_tokens, ids`` (little-endian unsigned 32-bit) and ``place``,
     a number that spreads pieces evenly whatever their ids and texts are.
     """
     numbered = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("place"))
 
     def shared(batches: Iterator[pa.RecordBatch], encoder: WordEncoder) -> Iterator[tuple[pa.Table, tuple[np.ndarray, np.ndarray]]]:
-        for large in slices(batches, most=SHARED_BYTES):
-            tables = [*slices(iter(large.combine_chunks().to_batches()), most=TEXT_BYTES)]
+        for large in slices(batches, most=shared_bytes):
+            tables = [*slices(iter(large.to_batches()), most=TEXT_BYTES)]
             yield from zip(tables, encoder.slices((plain(t["text"]) for t in tables), end_id))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -490,6 +502,7 @@ def pack(
     shard_tokens: int = SHARD_TOKENS,
     query_tokens: int | None = None,
     end_id: int = 1,
+    shared_bytes: int = SHARED_BYTES,
 ) -> DataFrame:
     """Pack all documents into sequences of ``window`` tokens.
 
@@ -505,7 +518,7 @@ def pack(
     other columns are ignored. Equal scores take the earlier list. A seed is looked up by all its
     tokens, or the ``query_tokens`` of highest weight; lists without any of them come last and are not lost.
     """
-    pieces = stage(token_pieces(docs, id_col, text_col, tokenizer_path, window, end_id), "packing-pieces")
+    pieces = stage(token_pieces(docs, id_col, text_col, tokenizer_path, window, end_id, shared_bytes), "packing-pieces")
     vocabulary = _encoder(tokenizer_path).tokenizer.get_vocab()
     rests = pieces.filter(F.col("length") < window)
     found = statistics(rests, max(end_id, *vocabulary.values()) + 1)

@@ -406,3 +406,30 @@ def test_slices_cover_long_and_null_texts():
     batch = pa.RecordBatch.from_pydict({"id": [1, 2, 3], "text": ["a" * 100, None, "b"]})
     parts = list(chunks.slices(iter([batch]), most=10))
     assert [t["id"].to_pylist() for t in parts] == [[1], [2, 3]] and parts[1]["text"].to_pylist() == ["", "b"]
+
+
+def test_slices_and_words_take_little_memory(monkeypatch):
+    """Texts are not copied to be sliced, and a batch's lists of words are gone when pieces are encoded."""
+    batch = pa.RecordBatch.from_pydict({"text": ["some words of a text"] * 100_000})
+    before = pa.total_allocated_bytes()
+    for table in chunks.slices(iter([batch]), most=1 << 16):
+        assert table["text"][0].as_py() == "some words of a text"
+        assert pa.total_allocated_bytes() - before < batch.nbytes // 2
+
+    encoder, held = packing._encoder(public_tokenizers.path("word_bpe_49k.json")), []
+    words = pa.array([f"word{i}, number" * 4 for i in range(50_000)])
+    encode = encoder.pieces
+    monkeypatch.setattr(encoder, "pieces", lambda listed: held.append(pa.total_allocated_bytes() - before - words.nbytes - listed.nbytes) or encode(listed))
+    before = pa.total_allocated_bytes() - words.nbytes
+    encoder(words, 1)
+    assert held[0] < words.nbytes * 2
+
+
+@pytest.mark.parametrize("shared_bytes", [1, 64, packing.SHARED_BYTES])
+def test_pieces_do_not_depend_on_shared_words(spark, shared_bytes):
+    docs = spark.createDataFrame([(i, "one, two three " * (i % 7) + f"w{i}") for i in range(50)] + [(50, None)], "id long, text string")
+    path = public_tokenizers.path("word_bpe_49k.json")
+    got = {(r.doc_id, r.start): bytes(r.ids) for r in packing.token_pieces(docs, "id", "text", path, shared_bytes=shared_bytes).collect()}
+    tokenizer = Tokenizer.from_file(path)
+    wanted = {(r.id, 0): np.array(tokenizer.encode(r.text or "", add_special_tokens=False).ids + [1], "<u4").tobytes() for r in docs.collect()}
+    assert got == wanted
