@@ -15,9 +15,10 @@ from millrace.plans.staging import stage
 
 # The share of a text's letters that must lie in words that some known language may write.
 LEAST_KNOWN_SHARE = 0.1
-# Text whose distinct words are tokenised together, less than packing alone takes: executors and their
-# workers still hold what the stages before took.
+# Text whose distinct words are tokenised together, less than packing alone takes, and pieces of words kept
+# for the next task, none: executors and their workers still hold what the stages before took.
 SHARED_BYTES = 8 << 20
+KNOWN_PIECES = 0
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +44,7 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of 2048 tokens."""
-    pieces = packing.pack(docs, "doc_id", "text", public_tokenizers.path("word_bpe_49k.json"), shared_bytes=SHARED_BYTES)
+    pieces = packing.pack(docs, "doc_id", "text", public_tokenizers.path("word_bpe_49k.json"), shared_bytes=SHARED_BYTES, known_pieces=KNOWN_PIECES)
     return packing.with_checksums(pieces, keep_ids=True)
 
 

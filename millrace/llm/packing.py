@@ -14,7 +14,9 @@ every seed with every piece, as each id of a tokenizer's bounded vocabulary stan
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import string
 import unicodedata
 from collections.abc import Iterable, Iterator
@@ -40,15 +42,27 @@ K1, B = 1.2, 0.75
 DIMENSIONS = 32
 SAMPLE_ROWS = 20_000
 LEAF_ROWS = 8
-# Pieces whose tokens are projected together.
-ROWS_AT_ONCE = 512
+# Pieces whose tokens are projected together: their rows of the projection fit a core's cache.
+ROWS_AT_ONCE = 64
 # Text that is tokenised at once, and text whose distinct words are: they grow more slowly than texts.
 TEXT_BYTES = 2 << 20
 SHARED_BYTES = 32 << 20
 PIECES_AT_ONCE = 1 << 15
-LETTERS_AT_ONCE = 1024
+LETTERS_AT_ONCE = 256
+# Distinct pieces that a worker remembers from task to task, some 50 bytes each.
+KNOWN_PIECES = 500_000
+# A shard's postings are cut down when so much of its lists has been used since.
+DROPPED_SHARE = 0.2
 # ASCII marks that a tokenizer's pattern keeps together as one piece; the apostrophe opens suffixes.
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+# Letters that neither composing nor lower-casing changes, and steps that leave words of them whole.
+LATIN = "a-zß-öø-ÿ"
+NORMALIZERS = [{"type": "NFC"}, {"type": "Lowercase"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}]
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PRE_TOKENIZERS = [
+    {"type": "Split", "pattern": {"Regex": SPLIT}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
 
 _encoders: dict[str, WordEncoder] = {}
 
@@ -65,10 +79,11 @@ class WordEncoder:
     Right for tokenizers that drop white space and whose pieces never reach over it. A word of
     letters followed by marks is two pieces; every other word is encoded whole, also one whose last
     letter turns into a letter and a combining mark, which belongs to the marks after it. Where a
-    tokenizer lowers letters, ASCII words are lowered before they are told apart.
+    tokenizer lowers letters, ASCII words are lowered before they are told apart. Up to ``most_known``
+    pieces are kept for the next texts.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, most_known: int = 0) -> None:
         # A task is one thread; threads of the library's own would take other tasks' cores and memory.
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -80,6 +95,34 @@ class WordEncoder:
         if suffix:
             self.closing[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
         self.lowers = all(self.ids_of(c) == self.ids_of(c.lower()) for c in string.ascii_uppercase)
+        self.spaced = self._spaced()
+        self.most_known, self.known = most_known, pa.array([], pa.string())
+        self.known_ids, self.known_starts, self.known_lengths = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _spaced(self) -> tuple | None:
+        """The same model behind a split at spaces alone, for words of a-z and for those of ``LATIN``: both get
+        the same ids if all other steps are known to leave such words as they are. None where they are not known."""
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        def steps(part: object, name: str) -> list[dict]:
+            told = json.loads(part.__getstate__()) if part is not None else {name: []}
+            return told.get(name, [told])
+
+        whole = self.tokenizer
+        added = [t.content for t in whole.get_added_tokens_decoder().values()]
+        if (
+            not all(x in NORMALIZERS for x in steps(whole.normalizer, "normalizers"))
+            or steps(whole.pre_tokenizer, "pretokenizers") != PRE_TOKENIZERS
+            or any(re.fullmatch(r"[\w\s]*", t) for t in added)
+            or whole.truncation
+            or whole.padding
+        ):
+            return None
+        ascii_only, latin = Tokenizer(whole.model), Tokenizer(whole.model)
+        ascii_only.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        bytes_of = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        latin.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), bytes_of])
+        return ascii_only, latin
 
     def ids_of(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -95,7 +138,10 @@ class WordEncoder:
         ids, lengths = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
         for i in range(0, len(words), LETTERS_AT_ONCE):
             some = words[i : i + LETTERS_AT_ONCE]
-            found = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.int32)
+            text, tokenizer = " ".join(some), self.tokenizer
+            if self.spaced and re.fullmatch(f"[{LATIN} ]+", text):
+                tokenizer = self.spaced[not text.isascii()]
+            found = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
             ends = np.flatnonzero(self.closing[found])
             if len(ends) == len(some) and ends[-1] == len(found) - 1:
                 ids.append(found)
@@ -106,11 +152,35 @@ class WordEncoder:
         return np.concatenate(ids), np.concatenate(lengths)
 
     def pieces(self, listed: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """``(ids, starts, lengths)`` of distinct pieces."""
+        """``(ids, starts, lengths)`` of distinct pieces; known ones are looked up."""
+        if not self.most_known:
+            return self.encoded(listed)
+        at = pc.index_in(listed, value_set=self.known)
+        new, at = at.is_null().to_numpy(zero_copy_only=False), pc.fill_null(at, 0).to_numpy()
+        others = plain(listed.filter(pa.array(new)))
+        ids, starts, lengths = self.encoded(others)
+        all_starts, all_lengths = np.zeros(len(listed), np.int64), np.zeros(len(listed), np.int64)
+        all_starts[new], all_lengths[new] = len(self.known_ids) + starts, lengths
+        all_starts[~new], all_lengths[~new] = self.known_starts[at[~new]], self.known_lengths[at[~new]]
+        all_ids = np.concatenate([self.known_ids, ids])
+        room = self.most_known - len(self.known)
+        if room > 0 and len(others):
+            self.known = pa.concat_arrays([self.known, others.slice(0, room)])
+            starts, lengths = starts[:room], lengths[:room]
+            self.known_starts = np.concatenate([self.known_starts, len(self.known_ids) + np.cumsum(lengths) - lengths])
+            self.known_lengths = np.concatenate([self.known_lengths, lengths])
+            self.known_ids = np.concatenate([self.known_ids, ids[ranges(starts, lengths)]])
+        return all_ids, all_starts, all_lengths
+
+    def encoded(self, listed: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(ids, starts, lengths)`` of distinct pieces, words of letters alike in their letters together."""
         simple = pc.utf8_is_alpha(listed).to_numpy(zero_copy_only=False)
+        latin = pc.match_substring_regex(listed, f"^[{LATIN}]+$").to_numpy(zero_copy_only=False)
+        narrow = latin & pc.string_is_ascii(listed).to_numpy(zero_copy_only=False)
         starts, lengths = np.zeros(len(listed), np.int64), np.zeros(len(listed), np.int64)
         found, total = [np.zeros(0, np.int32)], 0
-        for chosen, encode in ((simple, self._letters), (~simple, self._whole)):
+        kinds = ((narrow, self._letters), (latin & ~narrow, self._letters), (simple & ~latin, self._letters), (~simple & ~latin, self._whole))
+        for chosen, encode in kinds:
             at = np.flatnonzero(chosen)
             for i in range(0, len(at), PIECES_AT_ONCE):
                 some = at[i : i + PIECES_AT_ONCE]
@@ -183,21 +253,37 @@ class WordEncoder:
         return next(self.slices([texts], end_id))
 
 
-def _encoder(path: str) -> WordEncoder:
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
+def _encoder(path: str, most_known: int = 0) -> WordEncoder:
+    if path not in _encoders or _encoders[path].most_known != most_known:
+        _encoders[path] = WordEncoder(path, most_known)
     return _encoders[path]
 
 
+def _forget() -> None:
+    """Workers outlive their tasks; the vocabulary is read again in a fraction of a second. Tasks call
+    this by name, as their own globals are copies."""
+    if _encoders:
+        _encoders.clear()
+        give_back()
+
+
 def token_pieces(
-    docs: DataFrame, id_col: str, text_col: str, tokenizer_path: str, window: int = WINDOW, end_id: int = 1, shared_bytes: int = SHARED_BYTES
+    docs: DataFrame,
+    id_col: str,
+    text_col: str,
+    tokenizer_path: str,
+    window: int = WINDOW,
+    end_id: int = 1,
+    shared_bytes: int = SHARED_BYTES,
+    known_pieces: int = 0,
 ) -> DataFrame:
     """Each document's ids, cut into whole windows and one shorter rest.
 
     The distinct words of ``shared_bytes`` of text are encoded together: fewer take less memory and more time.
+    So do fewer ``known_pieces``, pieces of words that a worker keeps for its next task.
 
-    Columns ``doc_id, start, length, doc_tokens, ids`` (little-endian unsigned 32-bit) and ``place``,
-    a number that spreads pieces evenly whatever their ids and texts are.
+    Columns ``doc_id, start, length, doc_tokens, ids`` (little-endian unsigned 32-bit), ``place``,
+    a number that spreads pieces evenly whatever their ids and texts are, and ``counts``, see ``_counted``.
     """
     numbered = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("place"))
 
@@ -207,7 +293,15 @@ def token_pieces(
             yield from zip(tables, encoder.slices((plain(t["text"]) for t in tables), end_id))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(tokenizer_path)
+        encoder = _encoder(tokenizer_path, known_pieces)
+        yield from _counted(pieces_of(batches, encoder), max(len(encoder.closing), end_id + 1), window)
+        del encoder
+        if known_pieces:
+            give_back()
+        else:
+            _forget()
+
+    def pieces_of(batches: Iterator[pa.RecordBatch], encoder: WordEncoder) -> Iterator[pa.RecordBatch]:
         for table, (offsets, ids) in shared(batches, encoder):
             lengths = np.diff(offsets)
             pieces = -(-lengths // window)
@@ -222,13 +316,9 @@ def token_pieces(
                 [plain(table["doc_id"]).take(pa.array(row)), pa.array(start), pa.array(length), pa.array(lengths[row]), binary.cast(pa.binary()), pa.array(place)],
                 names=["doc_id", "start", "length", "doc_tokens", "ids", "place"],
             )
-        # Workers outlive their tasks; the vocabulary is read again in a fraction of a second.
-        del encoder
-        _encoders.clear()
-        give_back()
 
     kind = dict(numbered.dtypes)["doc_id"]
-    return numbered.mapInArrow(cut, f"doc_id {kind}, start long, length long, doc_tokens long, ids binary, place long")
+    return numbered.mapInArrow(cut, f"doc_id {kind}, start long, length long, doc_tokens long, ids binary, place long, counts binary")
 
 
 def _token_counts(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -245,6 +335,29 @@ def _token_counts(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarra
         yield (keys[first] >> np.uint64(32)).astype(np.int64), (keys[first] & np.uint64(0xFFFFFFFF)).astype(np.int64), tf
 
 
+def _counted(batches: Iterator[pa.RecordBatch], size: int, window: int) -> Iterator[pa.RecordBatch]:
+    """The batches of a task with a column ``counts``, null but in one row: pairs of a slot and its number, as
+    64-bit integers. Slots below ``size`` are ids and count the pieces shorter than ``window`` that hold them; the
+    next two are the number of these pieces and of their ids."""
+    totals, held = np.zeros(size + 2, np.int64), None
+
+    def with_counts(batch: pa.RecordBatch, counts: list[bytes]) -> pa.RecordBatch:
+        column = pa.array(counts + [None] * (batch.num_rows - len(counts)), pa.binary())
+        return pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, "counts"])
+
+    for batch in batches:
+        rests = batch.filter(pc.less(batch.column("length"), window))
+        for row, token, tf in _token_counts(rests) if rests.num_rows else ():
+            totals[:size] += np.bincount(token, minlength=size)
+            totals[size:] += row[-1] + 1, tf.sum()
+        if held is not None:
+            yield with_counts(held, [])
+        held = batch
+    if held is not None:
+        at = np.flatnonzero(totals)
+        yield with_counts(held, [np.stack([at, totals[at]], 1).tobytes()])
+
+
 @dataclass
 class Statistics:
     """Corpus-wide BM25 statistics: ``idf`` of every id, mean length and number of pieces."""
@@ -254,20 +367,20 @@ class Statistics:
     pieces: int
 
 
-def statistics(rests: DataFrame, size: int) -> Statistics:
-    """Count all pieces; a task hands on one row per id below ``size`` at most."""
+def statistics(pieces: DataFrame, size: int) -> Statistics:
+    """Add up the ``counts`` of tasks; a task hands on one row per id below ``size`` at most."""
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _forget()
         totals = np.zeros(size + 2, np.int64)
         for batch in batches:
-            if batch.num_rows:
-                for row, token, tf in _token_counts(batch):
-                    totals[:size] += np.bincount(token, minlength=size)
-                    totals[size:] += row[-1] + 1, tf.sum()
+            for counts in batch.column(0).to_pylist():
+                at, n = np.frombuffer(counts, np.int64).reshape(-1, 2).T
+                totals[at] += n
         at = np.flatnonzero(totals)
         yield pa.RecordBatch.from_pydict({"slot": pa.array(at), "n": pa.array(totals[at])})
 
-    rows = rests.select("ids").mapInArrow(counted, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    rows = pieces.select("counts").filter("counts is not null").mapInArrow(summed, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     totals = np.zeros(size + 2, np.int64)
     totals[rows["slot"].to_numpy()] = rows["n"].to_numpy()
     df, pieces, tokens = totals[:size], int(totals[size]), int(totals[size + 1])
@@ -366,6 +479,7 @@ def routed(rests: DataFrame, found: Statistics, parts: int) -> DataFrame:
     known = context.broadcast((found.idf, projection))
 
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _forget()
         for batch in batches:
             if batch.num_rows:
                 vectors = _vectors(batch, *known.value)
@@ -381,6 +495,7 @@ def routed(rests: DataFrame, found: Statistics, parts: int) -> DataFrame:
     routes = context.broadcast((order, bounds))
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _forget()
         for batch in batches:
             if batch.num_rows:
                 order, bounds = routes.value
@@ -402,10 +517,15 @@ class Shard:
         self.used = np.zeros(len(lists), np.int64)
         token = np.concatenate(lists).astype(np.uint64)
         place = np.repeat(np.arange(len(lists), dtype=np.uint64), self.left)
-        keys, tf = np.unique((token << np.uint64(24)) | place, return_counts=True)
+        keys = np.sort((token << np.uint64(24)) | place)
+        new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        tf, keys = np.diff(new, append=len(keys)), keys[new]
         self.place = (keys & np.uint64(0xFFFFFF)).astype(np.int64)
-        self.tokens, first, df = np.unique(keys >> np.uint64(24), return_index=True, return_counts=True)
-        self.first = np.append(first, len(keys))
+        token = keys >> np.uint64(24)
+        first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        self.tokens, self.first = token[first], np.append(first, len(keys))
+        df = np.diff(self.first)
+        self.alive = len(lists)
         idf = known.idf[self.tokens.astype(np.int64)] if known else np.log1p((len(lists) - df + 0.5) / (df + 0.5))
         norm = K1 * (1 - B + B * self.left / (known.mean if known else self.left.mean()))
         self.weight = np.repeat(idf, df) * tf * (K1 + 1) / (tf + norm[self.place])
@@ -419,12 +539,20 @@ class Shard:
 
     def ranked(self, seed: int, query_tokens: int | None) -> np.ndarray:
         """The unused lists by falling BM25 score for the seed's tokens (None: all of them), ties in order."""
+        unused = np.flatnonzero(self.left)
+        if len(unused) < (1 - DROPPED_SHARE) * self.alive:
+            self._drop_used(len(unused))
         slots = self.of_list[self.list_first[seed] : self.list_first[seed + 1]][:query_tokens]
         hits = ranges(self.first[slots], self.first[slots + 1] - self.first[slots])
         scores = np.bincount(self.place[hits], self.weight[hits], len(self.left))
-        unused = np.flatnonzero(self.left)
         return unused[np.argsort(-scores[unused], kind="stable")]
 
+    def _drop_used(self, alive: int) -> None:
+        """Postings of used lists go; those of the others keep their order, so scores stay the same."""
+        kept = self.left[self.place] > 0
+        self.first = np.concatenate([[0], np.cumsum(kept)])[self.first]
+        self.place, self.weight, self.alive = self.place[kept], self.weight[kept], alive
+
 
 def fill_windows(
     lists: list[np.ndarray], window: int, query_tokens: int | None = None, known: Statistics | None = None, last: bool = True
@@ -503,6 +631,7 @@ def pack(
     query_tokens: int | None = None,
     end_id: int = 1,
     shared_bytes: int = SHARED_BYTES,
+    known_pieces: int = KNOWN_PIECES,
 ) -> DataFrame:
     """Pack all documents into sequences of ``window`` tokens.
 
@@ -518,15 +647,15 @@ def pack(
     other columns are ignored. Equal scores take the earlier list. A seed is looked up by all its
     tokens, or the ``query_tokens`` of highest weight; lists without any of them come last and are not lost.
     """
-    pieces = stage(token_pieces(docs, id_col, text_col, tokenizer_path, window, end_id, shared_bytes), "packing-pieces")
-    vocabulary = _encoder(tokenizer_path).tokenizer.get_vocab()
-    rests = pieces.filter(F.col("length") < window)
-    found = statistics(rests, max(end_id, *vocabulary.values()) + 1)
+    pieces = stage(token_pieces(docs, id_col, text_col, tokenizer_path, window, end_id, shared_bytes, known_pieces), "packing-pieces")
+    found = statistics(pieces, max(end_id + 1, len(_encoder(tokenizer_path).closing)))
+    rests = pieces.filter(F.col("length") < window).drop("counts")
     shared = docs.sparkSession.sparkContext.broadcast(found)
     rows = routed(rests, found, max(1, round(found.pieces * found.mean / (PART_WINDOWS * window))))
     most = min(shard_tokens, 1 << 30)
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _forget()
         sequence_id = TaskContext.get().partitionId() << 32
         waiting: list[pa.RecordBatch] = []
         tokens = 0

@@ -1,5 +1,6 @@
 """Packing, near-duplicates, language, quality, mixing and the pipeline on odd rows and against brute force."""
 
+import itertools
 import re
 import unicodedata
 import zlib
@@ -11,7 +12,7 @@ import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, normalizers
 
 import corpus_pipeline
 from millrace.llm import chunks, components, language, mixing, packing, quality, simhash
@@ -59,6 +60,61 @@ def test_a_word_of_several_slices_is_encoded_once(monkeypatch):
     assert sorted(asked) == ["one", "two", "Σας"]
 
 
+def test_known_words_are_not_encoded_again(monkeypatch):
+    encoder = packing.WordEncoder(TOKENIZER, most_known=3)
+    tokenizer = Tokenizer.from_file(TOKENIZER)
+    asked, letters = [], packing.WordEncoder._letters
+    monkeypatch.setattr(packing.WordEncoder, "_letters", lambda self, words: asked.append(words) or letters(self, words))
+    for text, new in (("one Two", ["one", "two"]), ("two été three one", ["three", "été"]), ("three été one\u0301 two, été", ["three"]), ("", [])):
+        asked.clear()
+        _, ids = encoder(pa.array([text]), 1)
+        assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids + [1]
+        assert sorted(w for words in asked for w in words) == new
+
+
+def test_plain_letters_need_no_pattern(tmp_path):
+    encoder, tokenizer = packing.WordEncoder(TOKENIZER), Tokenizer.from_file(TOKENIZER)
+    letters = [chr(c) for c in range(0x61, 0x100) if chr(c).isalpha() and chr(c).islower() and chr(c) not in "ªµº"]
+    for words in (["".join(w) for w in itertools.product(letters[:26], repeat=2)], [a + b + "n" for a in letters[26:] for b in letters]):
+        wanted = [e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        encoder.tokenizer = None  # the whole one is not asked
+        ids, lengths = encoder._letters(words)
+        assert ids.tolist() == [i for x in wanted for i in x] and lengths.tolist() == [len(x) for x in wanted]
+    for change in ("normalizer", "added"):
+        other = Tokenizer.from_file(TOKENIZER)
+        if change == "normalizer":
+            other.normalizer = normalizers.Sequence([normalizers.NFD(), normalizers.StripAccents(), normalizers.Lowercase()])
+        else:
+            other.add_tokens(["nna"])
+        other.save(str(tmp_path / "other.json"))
+        encoder = packing.WordEncoder(str(tmp_path / "other.json"))
+        texts = ["été anna nna", "Éa, nö"]
+        offsets, ids = encoder(pa.array(texts), 1)
+        if change == "normalizer":
+            assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == [other.encode(t, add_special_tokens=False).ids + [1] for t in texts]
+        assert encoder.spaced is None
+
+
+def test_statistics_come_with_the_pieces(spark):
+    docs = spark.createDataFrame([(i, "one, two three " * (i % 7) + f"w{i}") for i in range(50)] + [(50, None)], "id long, text string").repartition(3)
+    pieces = packing.token_pieces(docs, "id", "text", TOKENIZER, window=20).cache()
+    found = packing.statistics(pieces.drop("ids"), 49408)
+    rests = [np.frombuffer(r.ids, "<u4") for r in pieces.collect() if r.length < 20]
+    df = np.bincount(np.concatenate([np.unique(x) for x in rests]), minlength=49408)
+    assert 0 < len(rests) < pieces.count() and found.pieces == len(rests) and found.mean == sum(map(len, rests)) / len(rests)
+    assert np.array_equal(found.idf, np.log1p((len(rests) - df + 0.5) / (df + 0.5)))
+    assert packing.statistics(packing.token_pieces(docs.limit(0), "id", "text", TOKENIZER), 49408).pieces == 0
+
+
+def test_used_lists_leave_the_postings():
+    draw = np.random.default_rng(4)
+    lists = [draw.integers(0, 50, 30) for _ in range(40)]
+    whole, shard = packing.Shard(lists), packing.Shard(lists)
+    wanted = [i for i in whole.ranked(0, None).tolist() if i < 20]
+    shard.left[20:] = 0
+    assert shard.ranked(0, None).tolist() == wanted and shard.place.max() < 20 and len(shard.place) < 0.6 * len(whole.place)
+
+
 def check_packed(docs, rows, window):
     tokenizer = Tokenizer.from_file(TOKENIZER)
     wanted = defaultdict(list)
