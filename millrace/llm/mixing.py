@@ -97,7 +97,9 @@ def shard_counts(sources: DataFrame, block_words: int, shard_slots: int, seed: i
     total = round(all_slots)
     shards = max(1, -(-total // shard_slots))
     t = F.col("shard")
-    size = F.floor((t + 1) * total / shards) - F.floor(t * total / shards)
+    # Shards times slots passes an int's range at some 190 million words; the draws hash the shard as it is.
+    at = t.cast("long")
+    size = F.floor((at + 1) * total / shards) - F.floor(at * total / shards)
     each = wanted.select("*", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")).withColumn("mean", size * F.col("quota") / F.lit(all_slots or 1.0))
     upto = Window.partitionBy("shard").orderBy("sid").rowsBetween(Window.unboundedPreceding, 0)
     shares = each.withColumn("whole", F.floor("mean")).withColumn("part", F.col("mean") - F.col("whole")).withColumn("high", F.sum("part").over(upto))

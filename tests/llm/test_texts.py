@@ -426,6 +426,17 @@ def test_mixture_of_odd_rows(spark):
     assert empty.taken().count() == 0 and empty.texts().count() == 0
 
 
+def test_slots_of_more_words_than_an_int_holds(spark):
+    schema = "source string, sid long, source_size long, target double"
+    sources = spark.createDataFrame([("a", 0, 1_500_000_000, 9e8), ("b", 1, 500_000_000, 11e8)], schema)
+    rows = mixing.shard_counts(sources, 32, 16384, 20).toPandas()
+    total = 2_000_000_000 // 32
+    shards = -(-total // 16384)
+    sizes = [(t + 1) * total // shards - t * total // shards for t in range(shards)]
+    assert (rows.groupby("shard").slots.sum().sort_index() == sizes).all() and len(rows) == 2 * shards
+    assert rows.groupby("sid").slots.sum().tolist() == pytest.approx([9e8 / 32, 11e8 / 32], rel=1e-3)
+
+
 def test_permutation_is_one(spark):
     rows = spark.range(1000).select(F.col("id").alias("i"), F.lit(1000).cast("long").alias("n"), F.lit(4).alias("salt"))
     places = [r.p for r in mixing.permuted(rows, "i", "n", ["salt"], "p", 9).orderBy("i").collect()]
