@@ -3,6 +3,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
+from millrace.catalog import classification
 from millrace.operators import evaluate, features, models
 from millrace.sources import models as stored
 
@@ -120,3 +121,29 @@ def test_importances_name_every_slot(spark):
     table = evaluate.feature_importances(models.train("random_forest", encoded, numTrees=5), encoded).collect()
     assert {r.feature for r in table} == {"n", "c_Vec_a", "c_Vec_b"} and table[0].source == "c"
     assert sum(r.importance for r in table) == pytest.approx(1)
+
+
+@pytest.fixture(scope="module")
+def trip_tables(spark, tmp_path_factory):
+    """Lines of 80 orders with the tables that trips are joined from."""
+    folder = str(tmp_path_factory.mktemp("trips"))
+    lines = spark.range(240).selectExpr(
+        "id % 80 AS l_orderkey", "CAST(id / 80 AS INT) + 1 AS l_linenumber", "id AS l_partkey", "id % 4 AS l_suppkey", "CAST(id AS DOUBLE) AS l_extendedprice",
+        "0.1D AS l_discount", "0.2D AS l_tax", "CAST(id % 50 AS DOUBLE) AS l_quantity", "date_add(DATE'2020-01-01', CAST(id % 31 AS INT)) AS l_shipdate",
+    )
+    orders = spark.range(80).selectExpr("id AS o_orderkey", "id % 5 AS o_custkey", "DATE'2020-01-01' AS o_orderdate", "CAST(id % 3 AS STRING) AS o_orderpriority")
+    tables = {"lineitem": lines, "orders": orders, "supplier": spark.range(4).selectExpr("id AS s_suppkey", "id AS s_nationkey"), "customer": spark.range(5).selectExpr("id AS c_custkey", "id AS c_nationkey")}
+    for name, rows in tables.items():
+        rows.write.parquet(f"{folder}/{name}.parquet")
+    return folder
+
+
+def test_trip_tuning_is_given_every_row_of_the_training_side(spark, trip_tables, monkeypatch):
+    given = []
+    monkeypatch.setattr(models, "cross_validate", lambda family, rows, **_: given.append(rows) or (_ for _ in ()).throw(InterruptedError))
+    with pytest.raises(InterruptedError):
+        classification.trip_tuning(spark, trip_tables)
+    lines = spark.read.parquet(f"{trip_tables}/lineitem.parquet")
+    wanted = features.with_side(lines, F.col("l_orderkey")).filter("side = 'train'").selectExpr("l_orderkey * 10 + l_linenumber AS trip_id")
+    assert 100 < wanted.count() < 240
+    assert sorted(r.trip_id for r in given[0].select("trip_id").collect()) == sorted(r.trip_id for r in wanted.collect())
