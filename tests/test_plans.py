@@ -1,5 +1,7 @@
 import math
+import os
 import random
+import time
 
 import numpy as np
 import pytest
@@ -93,6 +95,32 @@ def test_staged_tables_live_in_the_configured_folder(spark):
     assert all(root in f for f in staged.inputFiles()) and staged.count() == 5
 
 
+def shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+
+def test_staged_tables_leave_no_shuffles_behind(spark):
+    before, setting = shuffle_files(spark), spark.conf.get(staging._DROP_SHUFFLES)
+    rows = spark.range(1000).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).count()
+    staged = staging.stage(rows, "shuffled")
+    for _ in range(50):  # They are removed in the background.
+        if not shuffle_files(spark) - before:
+            break
+        time.sleep(0.2)
+    assert not shuffle_files(spark) - before and spark.conf.get(staging._DROP_SHUFFLES) == setting
+    assert staged.count() == rows.count() == 7
+    staging.discard(staged)
+    assert not os.path.exists(os.path.dirname(spark._jvm.java.net.URI(staged.inputFiles()[0]).getPath()))
+
+
+def test_a_failed_write_restores_the_setting(spark):
+    setting = spark.conf.get(staging._DROP_SHUFFLES)
+    with pytest.raises(Exception, match="no such row"):
+        staging.stage(spark.range(1).select(F.raise_error(F.lit("no such row")).alias("x").cast("string")), "failing")
+    assert spark.conf.get(staging._DROP_SHUFFLES) == setting
+
+
 def test_scratch_folder_is_required_on_a_cluster():
     class Context:
         master, applicationId = "spark://host:7077", "app"
