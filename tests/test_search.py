@@ -1,5 +1,6 @@
 import hashlib
 import math
+import os
 import re
 from collections import Counter, defaultdict
 
@@ -361,3 +362,37 @@ def test_terms_are_exchanged_before_they_are_counted(spark, monkeypatch):
     assert plan.rindex("partial_count") < plan.index("Exchange hashpartitioning(term")
     assert "REPARTITION_BY_NUM" in plan and index.documents.rdd.getNumPartitions() > 4
     assert {r.term: r.idf for r in index.terms.collect()} == pytest.approx(brute_force(DOCS, {})[1])
+
+
+def test_rounds_give_the_same_index_and_hits(spark, tmp_path, monkeypatch):
+    """Terms and documents taken some at a time, as a large corpus is, are those of one go."""
+    def results(path):
+        index = search.tfidf_index(frame(spark, DOCS), "id", "tokens")
+        queries = frame(spark, QUERIES)
+        hits = search.search(index, queries, "id", "tokens", 3, 1e-9)
+        index.__dict__.pop("norms")
+        search.save_weights(index, path, 4)
+        stored = search.stored_search(search.Buckets.load(spark, path), index, queries, "id", "tokens", 3, 1e-9)
+        index.__dict__.pop("norms")
+        tables = index.terms, search.tfidf_weights(index), search.cosine_scores(index, queries, "id", "tokens"), index.norms, hits, stored
+        return [sorted(map(tuple, t.collect())) for t in tables]
+
+    once = results(str(tmp_path / "once"))
+    names, write = [], search.stage
+    monkeypatch.setattr(search, "stage", lambda df, name: names.append(name) or write(df, name))
+    monkeypatch.setattr(search, "fits_broadcast", lambda df: False)
+    monkeypatch.setattr(search, "ROUND_BYTES", 1)
+    rounds = results(str(tmp_path / "rounds"))
+    assert names.count("terms") == search.MAX_ROUNDS // 2 and names.count("weighted-documents") == 3 * search.MAX_ROUNDS
+    assert all(len(a) and len(a) == len(b) for a, b in zip(once, rounds))
+    for a, b in zip(once, rounds):
+        assert all(v == (pytest.approx(w) if isinstance(w, float) else w) for x, y in zip(a, b) for v, w in zip(x, y))
+
+
+def test_saved_weights_leave_no_copy_of_the_documents(spark, tmp_path, monkeypatch):
+    written, write = {}, search.stage
+    monkeypatch.setattr(search, "stage", lambda df, name: written.setdefault(name, write(df, name)))
+    index = search.tfidf_index(frame(spark, DOCS), "id", "tokens")
+    search.save_weights(index, str(tmp_path / "w"))
+    folder = os.path.dirname(spark._jvm.java.net.URI(written["weighted-documents"].inputFiles()[0]).getPath())
+    assert not os.path.exists(folder) and index.norms.count() == len(brute_force(DOCS, {})[2])
