@@ -147,3 +147,13 @@ def test_trip_tuning_is_given_every_row_of_the_training_side(spark, trip_tables,
     wanted = features.with_side(lines, F.col("l_orderkey")).filter("side = 'train'").selectExpr("l_orderkey * 10 + l_linenumber AS trip_id")
     assert 100 < wanted.count() < 240
     assert sorted(r.trip_id for r in given[0].select("trip_id").collect()) == sorted(r.trip_id for r in wanted.collect())
+
+
+def test_scores_of_left_out_rows_are_written_without_features(vectors, monkeypatch):
+    """Features are written again only for a part that follows, and a part's table goes when the next has read it."""
+    written, write = [], models.stage
+    monkeypatch.setattr(models, "stage", lambda df, name: written.append((name, df.columns)) or write(df, name))
+    models.cross_validate("logistic_regression", vectors, {"regParam": [0.1]}, folds=2, parallelism=1)
+    monkeypatch.setattr(models, "FOREST_NODES", 64)
+    models.cross_validate("random_forest", vectors, {"numTrees": [4], "maxDepth": [4]}, folds=2, parallelism=1)
+    assert ["features" in columns for name, columns in written if name == "left-out"] == [False, False, True, False, True, False]
